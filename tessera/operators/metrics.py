@@ -25,6 +25,10 @@ from pyspark.sql import types as T
 
 from tessera.functions.registry import get_metric
 
+# unit recorded with each result (others: 'count')
+METRIC_UNITS = {"ROW_COUNT": "rows", "FRESHNESS": "seconds", "NULL_PERCENT": "percent",
+                "AVG": "value", "MIN": "value", "MAX": "value", "STDDEV": "value"}
+
 RESULT_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
     T.StructField("column_name", T.StringType()),

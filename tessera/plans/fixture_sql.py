@@ -54,6 +54,8 @@ REFS = """
 SELECT c_name AS contact_name, 'GOV' AS contact_database, 'PUBLIC' AS contact_schema,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'STEWARD' WHEN 'MACHINERY' THEN 'SUPPORT'
        WHEN 'HOUSEHOLD' THEN 'ACCESS_APPROVAL' ELSE 'GENERAL' END AS contact_purpose,
+  concat('DB', CAST(c_custkey % 100 % 3 AS VARCHAR)) AS object_database,
+  concat('S', CAST(c_custkey % 100 % 2 AS VARCHAR)) AS object_schema,
   concat('T', CAST(c_custkey % 100 AS VARCHAR)) AS object_name,
   CASE WHEN c_acctbal < 0 THEN c_custkey END AS object_deleted
 FROM customer

@@ -64,3 +64,16 @@ def checks_sql(table_view: str, table_name: str, checks, round_digits: int | Non
         parts.append(f"SELECT {_q(table_name)} AS table_name, {colsql} AS column_name, "
                      f"{_q(metric)} AS metric_name, {val} AS value {frm}")
     return "\nUNION ALL\n".join(parts)
+
+
+def sql_quote(e: str) -> str:
+    """DuckDB CASE that quotes an identifier expression like ``quote_identifier``."""
+    return (f"(CASE WHEN {e} IS NULL OR {e} = '' THEN {e} "
+            f"WHEN starts_with({e}, '\"') AND ends_with({e}, '\"') THEN {e} "
+            f"WHEN regexp_matches({e}, '[ .+/*()\\[\\]{{}}-]') OR upper({e}) IN "
+            f"('TABLE', 'COLUMN', 'VIEW', 'DATABASE', 'SCHEMA', 'SELECT', 'FROM', 'WHERE') "
+            f"THEN '\"' || {e} || '\"' ELSE {e} END)")
+
+
+def sql_fq(db: str, schema: str, table: str) -> str:
+    return f"({sql_quote(db)} || '.' || {sql_quote(schema)} || '.' || {sql_quote(table)})"

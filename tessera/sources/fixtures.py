@@ -92,6 +92,8 @@ def contact_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("PUBLIC").alias("contact_schema"),
         F.when(seg == "BUILDING", "STEWARD").when(seg == "MACHINERY", "SUPPORT")
          .when(seg == "HOUSEHOLD", "ACCESS_APPROVAL").otherwise("GENERAL").alias("contact_purpose"),
+        _tag("DB", F.col("c_custkey") % 100 % 3).alias("object_database"),
+        _tag("S", F.col("c_custkey") % 100 % 2).alias("object_schema"),
         _tag("T", F.col("c_custkey") % 100).alias("object_name"),
         F.when(F.col("c_acctbal") < 0, F.col("c_custkey")).alias("object_deleted"),
     )
