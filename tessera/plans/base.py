@@ -38,6 +38,6 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     # importing the modules fills REGISTRY
     from tessera.plans import (  # noqa: F401
-        catalog_queries, contact_queries, describe_queries, history_queries,
+        catalog_queries, check_queries, contact_queries, describe_queries, history_queries,
         kpi_queries, metric_queries, monitor_queries, name_queries, stream_queries,
     )
