@@ -1 +1,311 @@
-"""Registered queries."""
+"""Registered description queries."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tessera.operators import describe as D
+from tessera.operators.catalog import columns_listing
+from tessera.plans.base import register
+from tessera.plans.catalog_queries import COL_LISTING_SQL, OBJ_LISTING_SQL, listing
+from tessera.plans.fixture_sql import with_ctes
+from tessera.sources.catalog import schema_columns
+from tessera.sources.fixtures import catalog_columns, contact_refs
+from tessera.sources.tables import read_table
+
+# tables described from their real schema and data: (sample key, columns in order)
+SAMPLED = {
+    "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+    "supplier": ("s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    "nation": ("n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]),
+    "region": ("r_regionkey", ["r_regionkey", "r_name"]),
+    "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                              "o_orderdate", "o_orderpriority"]),
+    "events": ("event_id", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
+}
+DB, SCHEMA = "TESTDATA", "PUBLIC"
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _nl(s: str) -> str:
+    """A Python string with newlines as a DuckDB expression."""
+    return " || chr(10) || ".join(_lit(p) for p in s.split("\n"))
+
+
+# ---------------------------------------------------------------- samples
+
+def _table_samples(spark, sf_dir):
+    return reduce(lambda a, b: a.unionByName(b), [
+        D.sample_rows(read_table(spark, sf_dir, t), t, key) for t, (key, _) in SAMPLED.items()])
+
+
+def _row_sql(t: str) -> str:
+    key, cols = SAMPLED[t]
+    render = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return (f"SELECT * FROM (SELECT '{t}' AS table_name, {key} AS k, concat_ws(' | ', {render}) AS row_text "
+            f"FROM {t} ORDER BY {key} LIMIT 5)")
+
+
+_ROWS_SQL = " UNION ALL ".join(_row_sql(t) for t in SAMPLED)
+
+
+@register("sample_table_rows", f"""
+SELECT table_name, row_number() OVER (PARTITION BY table_name ORDER BY k) AS rn, row_text
+FROM ({_ROWS_SQL}) r""")
+def sample_table_rows(spark, sf_dir):
+    return _table_samples(spark, sf_dir)
+
+
+def _column_samples(spark, sf_dir):
+    return reduce(lambda a, b: a.unionByName(b), [
+        D.column_samples(read_table(spark, sf_dir, t), t, key) for t, (key, _) in SAMPLED.items()])
+
+
+def _val_sql() -> str:
+    parts = []
+    for t, (key, cols) in SAMPLED.items():
+        for c in cols:
+            parts.append(f"SELECT * FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, "
+                         f"md5(CAST({key} AS VARCHAR)) AS h, CAST({c} AS VARCHAR) AS value_text "
+                         f"FROM {t} ORDER BY h LIMIT 10)")
+    return " UNION ALL ".join(parts)
+
+
+_VALS_SQL = f"""
+SELECT table_name, column_name, value_text,
+  row_number() OVER (PARTITION BY table_name, column_name ORDER BY h) AS sample_rank
+FROM ({_val_sql()}) v"""
+
+
+@register("sample_column_values", _VALS_SQL)
+def sample_column_values(spark, sf_dir):
+    return _column_samples(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- prompts over real tables
+
+def _real_columns(spark, sf_dir):
+    frames = [schema_columns(read_table(spark, sf_dir, t), t, DB, SCHEMA) for t in SAMPLED]
+    return columns_listing(reduce(lambda a, b: a.unionByName(b), frames))
+
+
+def _real_objects(spark):
+    return spark.createDataFrame([(DB, SCHEMA, t, "TABLE") for t in SAMPLED],
+                                 "database_name string, schema_name string, table_name string, object_type string")
+
+
+_TYPE_MAP = ("CASE data_type WHEN 'VARCHAR' THEN 'STRING' WHEN 'INTEGER' THEN 'INT' "
+             "WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' ELSE upper(data_type) END")
+_IN_TABLES = ", ".join(f"'{t}'" for t in SAMPLED)
+_REAL_COLS = f"""
+SELECT table_name, ordinal_position, column_name, {_TYPE_MAP} AS data_type
+FROM information_schema.columns WHERE table_name IN ({_IN_TABLES})"""
+
+_TABLE_INSTR = D._INSTRUCTION.format(what="table", limit=D.TABLE_LIMIT)
+_COLUMN_INSTR = D._INSTRUCTION.format(what="column", limit=D.COLUMN_LIMIT)
+
+
+@register("table_prompts", f"""
+SELECT '{DB}' AS database_name, '{SCHEMA}' AS schema_name, c.table_name, 'TABLE' AS object_type,
+  c.n_columns, c.column_list,
+  {_nl(_TABLE_INSTR)} || chr(10) || chr(10) || '---METADATA---' || chr(10) || 'TABLE Name: ' || c.table_name
+  || chr(10) || 'Schema: {SCHEMA}' || chr(10) || 'Database: {DB}' || chr(10) || 'Columns:' || chr(10)
+  || c.columns_text || chr(10) || chr(10) || '---SAMPLE DATA (LIMIT 5 ROWS)---' || chr(10)
+  || coalesce(s.sample_data, '{D.NO_SAMPLE}') || chr(10) || chr(10) || '---TASK---' || chr(10)
+  || 'Describe the table ' || c.table_name || '.' AS prompt
+FROM (SELECT table_name, count(*) AS n_columns,
+        string_agg('- ' || column_name || ' (' || data_type || ')', chr(10) ORDER BY ordinal_position)
+          AS columns_text,
+        string_agg(column_name, ', ' ORDER BY ordinal_position) AS column_list
+      FROM ({_REAL_COLS}) rc GROUP BY table_name) c
+LEFT JOIN (SELECT table_name, string_agg(row_text, chr(10) ORDER BY k) AS sample_data
+           FROM ({_ROWS_SQL}) r GROUP BY table_name) s ON c.table_name = s.table_name""")
+def table_prompts(spark, sf_dir):
+    samples = D.sample_text(_table_samples(spark, sf_dir)).select(
+        F.lit(DB).alias("database_name"), F.lit(SCHEMA).alias("schema_name"), "table_name", "sample_data")
+    return D.table_prompts(_real_objects(spark), _real_columns(spark, sf_dir), samples)
+
+
+@register("column_prompts", f"""
+SELECT '{DB}' AS database_name, '{SCHEMA}' AS schema_name, c.table_name, c.column_name, c.data_type,
+  {_nl(_COLUMN_INSTR)} || chr(10) || chr(10) || '---METADATA---' || chr(10) || 'Column Name: '
+  || c.column_name || chr(10) || 'Table Name: ' || c.table_name || chr(10) || 'Schema: {SCHEMA}'
+  || chr(10) || 'Database: {DB}' || chr(10) || 'Data Type: ' || c.data_type || chr(10) || chr(10)
+  || '---SAMPLE DATA (LIMIT 10 ROWS)---' || chr(10) || coalesce(s.sample_data, '{D.NO_SAMPLE}')
+  || chr(10) || chr(10) || '---TASK---' || chr(10) || 'Describe the column ' || c.column_name || '.'
+  AS prompt
+FROM ({_REAL_COLS}) c
+LEFT JOIN (SELECT table_name, column_name,
+             string_agg(coalesce(value_text, 'NULL'), chr(10) ORDER BY sample_rank) AS sample_data
+           FROM ({_VALS_SQL}) v GROUP BY table_name, column_name) s
+  ON c.table_name = s.table_name AND c.column_name = s.column_name""")
+def column_prompts(spark, sf_dir):
+    return D.column_prompts(_real_columns(spark, sf_dir), _column_samples(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- descriptions over the catalog
+
+def _objects(spark, sf_dir):
+    """Tables of the column catalog with their listed type and current description."""
+    cols = catalog_columns(spark, sf_dir).select(
+        F.col("table_catalog").alias("database_name"), F.col("table_schema").alias("schema_name"),
+        "table_name").distinct()
+    lst = listing(spark, sf_dir).select("database_name", "schema_name",
+                                        F.col("object_name").alias("table_name"),
+                                        "object_type", "current_description")
+    return (cols.join(lst, D.OBJ_KEYS, "left")
+            .withColumn("object_type", F.coalesce("object_type", F.lit("BASE TABLE"))))
+
+
+def _columns(spark, sf_dir):
+    return columns_listing(catalog_columns(spark, sf_dir))
+
+
+_KIND_LABEL = "CASE WHEN {t} = 'VIEW' THEN 'View' ELSE 'Table' END"
+_OBJ_SQL = f"""
+SELECT c.database_name, c.schema_name, c.table_name, coalesce(l.object_type, 'BASE TABLE') AS object_type,
+  l.current_description
+FROM (SELECT DISTINCT table_catalog AS database_name, table_schema AS schema_name, table_name FROM cols) c
+LEFT JOIN ({OBJ_LISTING_SQL}) l ON c.database_name = l.database_name AND c.schema_name = l.schema_name
+  AND c.table_name = l.object_name"""
+_TABLE_DESC_SQL = f"""
+SELECT o.object_type AS kind, o.database_name, o.schema_name, o.table_name,
+  CAST(NULL AS VARCHAR) AS column_name, o.current_description AS before_description,
+  {_KIND_LABEL.format(t='o.object_type')} || ' ' || o.table_name || ' in ' || o.database_name || '.'
+  || o.schema_name || ' with ' || CAST(coalesce(x.n, 0) AS VARCHAR) || ' columns: ' || coalesce(x.cl, '')
+    AS description,
+  CAST(NULL AS VARCHAR) AS error
+FROM ({_OBJ_SQL}) o
+LEFT JOIN (SELECT table_catalog, table_schema, table_name, count(*) AS n,
+             string_agg(column_name, ', ' ORDER BY ordinal_position) AS cl
+           FROM cols GROUP BY table_catalog, table_schema, table_name) x
+  ON o.database_name = x.table_catalog AND o.schema_name = x.table_schema AND o.table_name = x.table_name"""
+_COL_DESC_SQL = f"""
+SELECT 'COLUMN' AS kind, database_name, schema_name, table_name, column_name,
+  current_description AS before_description,
+  'Column ' || column_name || ' of ' || table_name || ' (' || lower(data_type) || ')' AS description,
+  CAST(NULL AS VARCHAR) AS error
+FROM ({COL_LISTING_SQL}) c"""
+
+
+def _template_tables(spark, sf_dir):
+    return D.generate_descriptions(_objects(spark, sf_dir), _columns(spark, sf_dir), "TABLE")
+
+
+@register("describe_tables", with_ctes(_TABLE_DESC_SQL, "objs", "cols"))
+def describe_tables(spark, sf_dir):
+    return _template_tables(spark, sf_dir)
+
+
+@register("describe_columns", with_ctes(_COL_DESC_SQL, "cols"))
+def describe_columns(spark, sf_dir):
+    return D.generate_descriptions(_objects(spark, sf_dir), _columns(spark, sf_dir), "COLUMN")
+
+
+def python_template(prompts: pd.Series) -> pd.Series:
+    """The column template as a Python completer (exercises the Arrow/mapInPandas path)."""
+    f = prompts.str.extract(r"Column Name: (?P<c>[^\n]*)\nTable Name: (?P<t>[^\n]*)\n"
+                            r"(?:.*\n)*?Data Type: (?P<d>[^\n]*)")
+    return "Column " + f["c"] + " of " + f["t"] + " (" + f["d"].str.lower() + ")"
+
+
+@register("describe_columns_pandas", with_ctes(_COL_DESC_SQL, "cols"))
+def describe_columns_pandas(spark, sf_dir):
+    return D.generate_descriptions(_objects(spark, sf_dir), _columns(spark, sf_dir), "COLUMN",
+                                   completer=python_template)
+
+
+_BOTH_SQL = f"{_TABLE_DESC_SQL} UNION ALL {_COL_DESC_SQL}"
+
+
+def _both(spark, sf_dir):
+    return D.generate_descriptions(_objects(spark, sf_dir), _columns(spark, sf_dir), "BOTH")
+
+
+@register("generate_descriptions", with_ctes(_BOTH_SQL, "objs", "cols"))
+def generate_descriptions(spark, sf_dir):
+    return _both(spark, sf_dir)
+
+
+@register("description_length_violations", with_ctes(f"""
+SELECT *, length(description) AS length,
+  CASE WHEN kind = 'COLUMN' THEN {D.COLUMN_LIMIT} ELSE {D.TABLE_LIMIT} END AS "limit"
+FROM ({_BOTH_SQL}) s
+WHERE length(description) > CASE WHEN kind = 'COLUMN' THEN {D.COLUMN_LIMIT} ELSE {D.TABLE_LIMIT} END""",
+                                                      "objs", "cols"))
+def description_length_violations(spark, sf_dir):
+    return D.length_violations(_both(spark, sf_dir))
+
+
+@register("run_summary", with_ctes(f"""
+SELECT count(DISTINCT (database_name, schema_name, table_name)) AS tables_processed,
+  count(*) FILTER (WHERE kind <> 'COLUMN' AND description IS NOT NULL AND description <> '') AS table_descriptions,
+  count(*) FILTER (WHERE kind = 'COLUMN' AND description IS NOT NULL AND description <> '') AS column_descriptions,
+  count(*) FILTER (WHERE NOT (description IS NOT NULL AND description <> '')) AS failed,
+  printf('Processed %d table(s). Generated %d table description(s) and %d column description(s); %d failed.',
+    count(DISTINCT (database_name, schema_name, table_name)),
+    count(*) FILTER (WHERE kind <> 'COLUMN' AND description IS NOT NULL AND description <> ''),
+    count(*) FILTER (WHERE kind = 'COLUMN' AND description IS NOT NULL AND description <> ''),
+    count(*) FILTER (WHERE NOT (description IS NOT NULL AND description <> ''))) AS message
+FROM ({_BOTH_SQL}) s""", "objs", "cols"))
+def run_summary(spark, sf_dir):
+    return D.run_summary(_both(spark, sf_dir))
+
+
+def _new_comments(spark, sf_dir):
+    cols = _columns(spark, sf_dir)
+    und = cols.filter(F.col("has_description") == "No")
+    desc = F.concat(F.lit("Column "), F.col("column_name"), F.lit(" of "), F.col("table_name"),
+                    F.lit(" ("), F.lower("data_type"), F.lit(")"))
+    return und.select(*D.OBJ_KEYS, F.lower("column_name").alias("column_name"),
+                      F.when(F.col("ordinal_position") % 11 == 0, F.lit("")).otherwise(desc)
+                      .alias("description"))
+
+
+@register("merge_column_comments", with_ctes(f"""
+SELECT c.database_name, c.schema_name, c.table_name, c.column_name,
+  CASE WHEN n.u IS NOT NULL THEN (CASE WHEN n.d <> '' THEN n.d END)
+       WHEN c.current_description IS NOT NULL
+        AND regexp_matches(c.current_description, '[^ \\t\\n\\x0B\\f\\r]') THEN c.current_description
+  END AS comment
+FROM ({COL_LISTING_SQL}) c
+LEFT JOIN (SELECT database_name, schema_name, table_name, upper(lower(column_name)) AS u,
+             CASE WHEN ordinal_position % 11 = 0 THEN ''
+                  ELSE 'Column ' || column_name || ' of ' || table_name || ' (' || lower(data_type) || ')' END AS d
+           FROM ({COL_LISTING_SQL}) x WHERE has_description = 'No') n
+  ON c.database_name = n.database_name AND c.schema_name = n.schema_name AND c.table_name = n.table_name
+ AND upper(c.column_name) = n.u""", "cols"))
+def merge_column_comments(spark, sf_dir):
+    return D.merge_column_comments(_columns(spark, sf_dir), _new_comments(spark, sf_dir))
+
+
+def _selection(spark, sf_dir):
+    return contact_refs(spark, sf_dir).select(
+        F.col("object_database").alias("database_name"), F.col("object_schema").alias("schema_name"),
+        "object_name").distinct()
+
+
+_SEL = "(SELECT DISTINCT object_database AS database_name, object_schema AS schema_name, object_name FROM refs)"
+
+
+@register("resolve_selection", with_ctes(f"""
+SELECT s.database_name, s.schema_name, s.object_name, l.object_type, l.current_description, l.has_description
+FROM {_SEL} s JOIN ({OBJ_LISTING_SQL}) l ON s.database_name = l.database_name
+  AND s.schema_name = l.schema_name AND s.object_name = l.object_name""", "objs", "refs"))
+def resolve_selection(spark, sf_dir):
+    return D.resolve_selection(listing(spark, sf_dir), _selection(spark, sf_dir))
+
+
+@register("unresolved_selection", with_ctes(f"""
+SELECT * FROM {_SEL} s WHERE NOT EXISTS (SELECT 1 FROM ({OBJ_LISTING_SQL}) l
+  WHERE s.database_name = l.database_name AND s.schema_name = l.schema_name
+    AND s.object_name = l.object_name)""", "objs", "refs"))
+def unresolved_selection(spark, sf_dir):
+    return D.unresolved_selection(listing(spark, sf_dir), _selection(spark, sf_dir))
