@@ -1 +1,99 @@
-"""Registered queries."""
+"""Registered scheduled/streaming measurement queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators.metrics import Check
+from tessera.plans.base import ROUND_DIGITS, register
+from tessera.plans.fixture_sql import with_ctes
+from tessera.sinks.tables import append_and_read
+from tessera.sources.fixtures import measurement_log
+from tessera.streaming import windows as W
+
+DELAY = "1 hour"
+_METRICS_SQL = ("count(*) AS row_count, count(*) FILTER (WHERE {v} IS NULL) AS null_count, "
+                "round(avg({v}), 6) AS value_avg, min({v}) AS value_min, max({v}) AS value_max")
+
+
+def _rounded(df):
+    return df.withColumn("value_avg", F.round("value_avg", ROUND_DIGITS))
+
+
+@register("metrics_by_window", with_ctes(f"""
+SELECT time_bucket(INTERVAL 30 MINUTE, measurement_time) AS window_start,
+  time_bucket(INTERVAL 30 MINUTE, measurement_time) + INTERVAL 30 MINUTE AS window_end,
+  {_METRICS_SQL.format(v='value')}
+FROM qr GROUP BY 1, 2""", "qr"))
+def metrics_by_window(spark, sf_dir):
+    """'Every 30 minutes': metrics of the measured values per 30-minute window."""
+    return _rounded(W.window_metrics(measurement_log(spark, sf_dir), "measurement_time", "value",
+                                     "30 minutes"))
+
+
+@register("metrics_by_day", with_ctes(f"""
+SELECT time_bucket(INTERVAL 1 DAY, measurement_time, INTERVAL '6 hours 30 minutes') AS window_start,
+  time_bucket(INTERVAL 1 DAY, measurement_time, INTERVAL '6 hours 30 minutes') + INTERVAL 1 DAY AS window_end,
+  {_METRICS_SQL.format(v='value')}
+FROM qr GROUP BY 1, 2""", "qr"))
+def metrics_by_day(spark, sf_dir):
+    """'Daily at 06:30 UTC': day windows starting at 06:30."""
+    return _rounded(W.window_metrics(measurement_log(spark, sf_dir), "measurement_time", "value",
+                                     "1 day", W.daily_offset(6, 30)))
+
+
+_CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+@register("stream_window_metrics", f"""
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+    time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, {_METRICS_SQL.format(v='value')}
+  FROM events GROUP BY 1, 2) w WHERE {_CLOSED}""")
+def stream_window_metrics(spark, sf_dir):
+    """Events streamed from their files; day windows emitted when the watermark
+    (max event time - 1 hour) passes their end."""
+    s = W.file_stream(spark, sf_dir, "events")
+    out = W.run_available(W.stream_window_metrics(s, "ts", "value", "1 day", DELAY), "window_metrics")
+    return _rounded(out)
+
+
+@register("stream_unique_duplicate", f"""
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+    time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+    count(DISTINCT user_id) AS unique_count, count(user_id) - count(DISTINCT user_id) AS duplicate_count
+  FROM events GROUP BY 1, 2) w WHERE {_CLOSED}""")
+def stream_unique_duplicate(spark, sf_dir):
+    s = W.file_stream(spark, sf_dir, "events")
+    return W.run_available(W.stream_distinct_counts(s, "ts", "user_id", "1 day", DELAY), "distinct_counts")
+
+
+@register("stream_on_change")
+def stream_on_change(spark, sf_dir):
+    """'When data changes': every new micro-batch of events is measured (rows-only check)."""
+    s = W.file_stream(spark, sf_dir, "events", max_files=1)
+    checks = [Check("ROW_COUNT"), Check("NULL_COUNT", "value"), Check("UNIQUE_COUNT", "user_id"),
+              Check("DUPLICATE_COUNT", "user_id")]
+    return W.on_change(s, checks, "events")
+
+
+@register("metrics_merge_partials", with_ctes("""
+SELECT metric_name, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS nulls,
+  round(sum(value), 6) AS value_sum, min(value) AS value_min, max(value) AS value_max
+FROM qr GROUP BY metric_name""", "qr"))
+def metrics_merge_partials(spark, sf_dir):
+    """Daily partial states are stored, then merged over the whole range."""
+    parts = W.partials(measurement_log(spark, sf_dir), "measurement_time", "value", ["metric_name"])
+    stored = append_and_read(parts, "daily_partials")
+    merged = W.merge_partials(stored, ["metric_name"])
+    return merged.withColumn("value_sum", F.round("value_sum", ROUND_DIGITS))
+
+
+@register("metrics_merge_sketch")
+def metrics_merge_sketch(spark, sf_dir):
+    """Distinct tables per metric estimated by merging daily HLL sketches (approximate)."""
+    parts = W.partials(measurement_log(spark, sf_dir), "measurement_time", "value", ["metric_name"],
+                       sketch_col="table_name")
+    stored = append_and_read(parts, "daily_sketches")
+    return W.merge_partials(stored, ["metric_name"]).select("metric_name", "n", "distinct_estimate")
