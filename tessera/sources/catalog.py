@@ -60,7 +60,7 @@ def session_objects(spark: SparkSession, database: str | None = None) -> DataFra
 
 
 def session_columns(spark: SparkSession, database: str, table: str) -> DataFrame:
-    cols = spark.catalog.listColumns(table, database)
+    cols = spark.catalog.listColumns(f"`{database}`.`{table}`")
     rows = [("spark_catalog", database, table, c.name, c.dataType.upper(), c.description, i + 1)
             for i, c in enumerate(cols)]
     return spark.createDataFrame(rows, COLUMN_SCHEMA)
