@@ -95,6 +95,7 @@ def coverage(account_tables: DataFrame, monitored_keys: DataFrame, contact_keys:
     ``*_keys`` carry (table_catalog, table_schema, table_name)."""
     t = kpi_tables(account_tables).select("table_catalog", "table_schema", "table_name")
     keys = ["table_catalog", "table_schema", "table_name"]
+    monitored_keys, contact_keys = monitored_keys.distinct(), contact_keys.distinct()
     return combine({
         "tables_with_monitors": t.join(monitored_keys, keys, "left_semi").agg(F.count(F.lit(1)).alias("value")),
         "tables_with_contacts": t.join(contact_keys, keys, "left_semi").agg(F.count(F.lit(1)).alias("value")),

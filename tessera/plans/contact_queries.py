@@ -55,7 +55,7 @@ SELECT * FROM ({OBJ_LISTING_SQL}) o WHERE NOT EXISTS (
 def tables_without_contacts(spark, sf_dir):
     live = K.live(contact_refs(spark, sf_dir)).select(
         F.col("object_database").alias("database_name"), F.col("object_schema").alias("schema_name"),
-        "object_name")
+        "object_name").distinct()
     return listing(spark, sf_dir).join(live, ["database_name", "schema_name", "object_name"], "left_anti")
 
 
@@ -65,7 +65,7 @@ SELECT * FROM ({OBJ_LISTING_SQL}) o WHERE NOT EXISTS (
     AND qr.table_name = o.object_name)""", "objs", "qr"))
 def unmonitored_objects(spark, sf_dir):
     mon = M.quality_results(measurement_log(spark, sf_dir)).select(
-        "database_name", "schema_name", F.col("table_name").alias("object_name"))
+        "database_name", "schema_name", F.col("table_name").alias("object_name")).distinct()
     return listing(spark, sf_dir).join(mon, ["database_name", "schema_name", "object_name"], "left_anti")
 
 
@@ -75,5 +75,5 @@ SELECT * FROM ({OBJ_LISTING_SQL}) o WHERE EXISTS (
     AND qr.table_name = o.object_name)""", "objs", "qr"))
 def monitored_objects(spark, sf_dir):
     mon = M.quality_results(measurement_log(spark, sf_dir)).select(
-        "database_name", "schema_name", F.col("table_name").alias("object_name"))
+        "database_name", "schema_name", F.col("table_name").alias("object_name")).distinct()
     return listing(spark, sf_dir).join(mon, ["database_name", "schema_name", "object_name"], "left_semi")

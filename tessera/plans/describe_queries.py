@@ -13,6 +13,7 @@ from tessera.plans.base import register
 from tessera.plans.catalog_queries import COL_LISTING_SQL, OBJ_LISTING_SQL, listing
 from tessera.plans.fixture_sql import with_ctes
 from tessera.sources.catalog import schema_columns
+from tessera.sources.config import config_frame
 from tessera.sources.fixtures import catalog_columns, contact_refs
 from tessera.sources.tables import read_table
 
@@ -97,8 +98,8 @@ def _real_columns(spark, sf_dir):
 
 
 def _real_objects(spark):
-    return spark.createDataFrame([(DB, SCHEMA, t, "TABLE") for t in SAMPLED],
-                                 "database_name string, schema_name string, table_name string, object_type string")
+    return config_frame(spark, [(DB, SCHEMA, t, "TABLE") for t in SAMPLED],
+                        "database_name string, schema_name string, table_name string, object_type string")
 
 
 _TYPE_MAP = ("CASE data_type WHEN 'VARCHAR' THEN 'STRING' WHEN 'INTEGER' THEN 'INT' "

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.sources.config import config_frame
+
 OBJECT_SCHEMA = T.StructType([
     T.StructField("table_catalog", T.StringType()), T.StructField("table_schema", T.StringType()),
     T.StructField("table_name", T.StringType()), T.StructField("table_type", T.StringType()),
@@ -31,7 +33,7 @@ def schema_columns(df: DataFrame, table: str, database: str = "", schema: str =
     """One row per field of ``df`` (ordinal from 1), comments from field metadata."""
     rows = [(database, schema, table, f.name, type_name(f.dataType),
              (f.metadata or {}).get("comment"), i + 1) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, COLUMN_SCHEMA)
+    return config_frame(df.sparkSession, rows, COLUMN_SCHEMA)
 
 
 def readable(spark: SparkSession, name: str) -> bool:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.config import config_frame
 from tessera.sources.tables import read_table
 
 
@@ -142,5 +143,5 @@ THRESHOLD_ROWS = [("NULL_COUNT", 0.0, 100.0), ("UNIQUE_COUNT", 20.0, None), ("FR
 
 def thresholds(spark: SparkSession) -> DataFrame:
     """Threshold policy per metric (a configuration input, not data)."""
-    return spark.createDataFrame(
-        THRESHOLD_ROWS, "metric_name string, threshold_min double, threshold_max double")
+    return config_frame(spark, THRESHOLD_ROWS,
+                        "metric_name string, threshold_min double, threshold_max double")
