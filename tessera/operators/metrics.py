@@ -111,26 +111,67 @@ def _distinct_branch(df: DataFrame, table: str, column: str, metrics: list[str])
     return stats.select(_long(table, [(column, m, F.col(pick[m])) for m in metrics]))
 
 
+# ACCEPTED_VALUES with more values than this is evaluated as an anti-join against the
+# domain (broadcast while the domain is bounded) instead of an IN list in the scan.
+ACCEPTED_INLINE_MAX = 1000
+
+
+def _domain_branch(df: DataFrame, table: str, ch: Check) -> DataFrame:
+    p = ch.param_dict()
+    v = col_ref(ch.column)
+    dom = p.get("domain")
+    if dom is None:
+        from tessera.sources.config import config_frame
+        dtype = dict((f.name, f.dataType) for f in df.schema.fields)[ch.column]
+        dom = config_frame(df.sparkSession, [(x,) for x in p["values"]],
+                           T.StructType([T.StructField("_v", dtype)]))
+    else:
+        dom = dom.select(F.col(dom.columns[0]).alias("_v"))
+    outside = (df.select(v.alias("_v")).filter(F.col("_v").isNotNull())
+               .join(dom.distinct(), "_v", "left_anti"))
+    return outside.agg(F.count(F.lit(1)).alias("n")).select(
+        _long(table, [(ch.column, "ACCEPTED_VALUES", F.col("n"))]))
+
+
+def _needs_domain_join(ch: Check) -> bool:
+    p = ch.param_dict()
+    return ch.metric.upper() == "ACCEPTED_VALUES" and (
+        "domain" in p or len(p.get("values") or ()) > ACCEPTED_INLINE_MAX)
+
+
 def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
-            distinct: str = "exact") -> DataFrame:
+            distinct: str = "exact", materialize: bool = False) -> DataFrame:
     """Evaluate ``checks`` on ``df``; one long row per check.
 
     ``as_of`` is the measurement clock for FRESHNESS (default: current timestamp).
     ``distinct="approx"`` computes UNIQUE_COUNT with HyperLogLog++ inside the scan
     aggregate instead of a group-by (duplicate counts stay exact).
+    ``materialize=True`` cuts the lineage of an expensive derived source (a shuffle join,
+    say) once -- a checkpoint of the needed columns in the shared checkpoint folder --
+    so the per-column branches do not each recompute it. Plain scans need no such step:
+    each branch reads only its own column.
     """
     spark = df.sparkSession
     ok, failed = validate_checks(df, checks)
     parts: list[DataFrame] = []
 
-    scan, by_column = [], {}
+    scan, by_column, domain = [], {}, []
     for ch in ok:
         m = get_metric(ch.metric)
-        if m.kind == "scan" or (distinct == "approx" and m.name == "UNIQUE_COUNT"):
+        if _needs_domain_join(ch):
+            domain.append(ch)
+        elif m.kind == "scan" or (distinct == "approx" and m.name == "UNIQUE_COUNT"):
             scan.append((ch, m))
         else:
             by_column.setdefault(ch.column, []).append(m.name)
 
+    if materialize and (len(by_column) + len(domain) + (1 if scan else 0)) > 1:
+        from tessera.session import checkpoint_root
+        checkpoint_root(spark)
+        needed = sorted({ch.column for ch in ok if ch.column})
+        df = (df.select(*[col_ref(c) for c in needed]) if needed else df.select(F.lit(1).alias("_one")))
+        df = df.checkpoint(eager=True)
+
     if scan:
         aggs, items = [], []
         for i, (ch, m) in enumerate(scan):
@@ -149,6 +190,9 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
     for column, names in by_column.items():
         parts.append(_distinct_branch(df, table_name, column, names))
 
+    for ch in domain:
+        parts.append(_domain_branch(df, table_name, ch))
+
     if failed:
         rows = [(table_name, ch.column, ch.metric.upper(), None) for ch, _ in failed]
         parts.append(spark.createDataFrame(rows, RESULT_SCHEMA))
@@ -191,9 +235,11 @@ def measure_expand(df: DataFrame, checks, table_name: str, *, as_of=None) -> Dat
 
 
 def measure_suite(suite: dict[str, tuple[DataFrame, list]], *, as_of=None,
-                  distinct: str = "exact") -> DataFrame:
-    """Measure several tables; one union of the per-table plans (one job when collected)."""
-    parts = [measure(df, checks, name, as_of=as_of, distinct=distinct)
+                  distinct: str = "exact", materialize=()) -> DataFrame:
+    """Measure several tables; one union of the per-table plans (one job when collected).
+    ``materialize`` names the tables whose (derived) source is checkpointed once."""
+    parts = [measure(df, checks, name, as_of=as_of, distinct=distinct,
+                     materialize=name in materialize)
              for name, (df, checks) in suite.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

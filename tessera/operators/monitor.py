@@ -95,6 +95,9 @@ def time_range(df: DataFrame, range_key: str = "7d", as_of=None,
     start = clock - F.expr(RANGES[range_key])
     if dict(df.dtypes)[ts_col] == "timestamp_ntz":
         start = start.cast("timestamp_ntz")
+    if "measurement_date" in df.columns:
+        # results written partitioned by date: the redundant date bound prunes partitions
+        df = df.filter(F.col("measurement_date") >= F.to_date(start))
     return df.filter(ts >= start)
 
 

@@ -73,10 +73,20 @@ def stream_window_metrics(stream: DataFrame, ts: str, value: str, duration: str,
 
 
 def stream_distinct_counts(stream: DataFrame, ts: str, key: str, duration: str,
-                           delay: str) -> DataFrame:
+                           delay: str, exact: bool = True) -> DataFrame:
     """Streaming UNIQUE / DUPLICATE per window without ``countDistinct`` (rejected on
-    streams): (window, value) counts, then a second aggregation per window."""
+    streams): (window, value) counts, then a second aggregation per window.
+
+    Exact state is one row per (open window, value). ``exact=False`` keeps one HLL++
+    state per open window instead (bounded size, ~5% error)."""
     s = with_event_time(stream, ts, delay)
+    if not exact:
+        k = F.col(key)
+        out = s.groupBy(F.window(ts, duration).alias("w")).agg(
+            F.approx_count_distinct(k).alias("unique_count"),
+            (F.count(k) - F.approx_count_distinct(k)).alias("duplicate_count"))
+        return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                          "unique_count", "duplicate_count")
     per_value = s.groupBy(F.window(ts, duration).alias("w"), F.col(key).alias("v")).agg(
         F.count(F.lit(1)).alias("n"))
     per_window = per_value.groupBy("w").agg(
