@@ -91,3 +91,17 @@ FROM (SELECT (SELECT count(*) FROM {_DBS} a) AS databases, {_EST} AS schemas,
 def kpi_overview(spark, sf_dir):
     objs = account_objects(spark, sf_dir)
     return KP.overview(objs, objs, measurement_log(spark, sf_dir), contact_refs(spark, sf_dir))
+
+
+@register("kpi_display", with_ctes(f"""
+SELECT format('{{:,}}', tables) AS tables_text,
+  format('{{:,}}', tables_with_descriptions) AS documented_text,
+  printf('%.1f%%', description_percentage) AS description_percentage_text
+FROM ({_DOC}) d""", "objs"))
+def kpi_display(spark, sf_dir):
+    """Dashboard formatting: thousands separators and one-decimal percentages."""
+    from tessera.functions.text import percent_1, thousands
+    d = KP.documentation_kpi(account_objects(spark, sf_dir))
+    return d.select(thousands("tables").alias("tables_text"),
+                    thousands("tables_with_descriptions").alias("documented_text"),
+                    percent_1("description_percentage").alias("description_percentage_text"))
