@@ -25,9 +25,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _utc(fn: QueryFn) -> QueryFn:
+    """Every query computes on UTC clocks, whatever session it is given."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
     _load()
-    return {k: v[0] for k, v in REGISTRY.items()}
+    return {k: _utc(v[0]) for k, v in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:

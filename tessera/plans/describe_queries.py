@@ -102,8 +102,9 @@ def _real_objects(spark):
                         "database_name string, schema_name string, table_name string, object_type string")
 
 
-_TYPE_MAP = ("CASE data_type WHEN 'VARCHAR' THEN 'STRING' WHEN 'INTEGER' THEN 'INT' "
-             "WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' ELSE upper(data_type) END")
+_TYPE_MAP = ("CASE WHEN data_type = 'VARCHAR' THEN 'STRING' WHEN data_type = 'INTEGER' THEN 'INT' "
+             "WHEN data_type LIKE 'TIMESTAMP%' AND data_type NOT LIKE '%TIME ZONE%' THEN 'TIMESTAMP_NTZ' "
+             "ELSE upper(data_type) END")
 _IN_TABLES = ", ".join(f"'{t}'" for t in SAMPLED)
 _REAL_COLS = f"""
 SELECT table_name, ordinal_position, column_name, {_TYPE_MAP} AS data_type
