@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.names import comment_statement, split_last_dot
 from tessera.functions.text import metric_action_sentence, metric_object_type
+from tessera.operators.scalars import distinct_counts
 
 HISTORY_COLUMNS = ["database_name", "schema_name", "object_type", "object_name", "column_name",
                    "before_description", "after_description", "sql_executed", "updated_by",
@@ -107,12 +108,10 @@ def newest_changes(df: DataFrame, n: int) -> DataFrame:
 
 def history_summary(desc_history: DataFrame) -> DataFrame:
     """Counters over the whole filtered log (not over a listing cap)."""
-    return desc_history.agg(F.count(F.lit(1)).alias("total_changes"),
-                            F.count_distinct("object_name").alias("unique_objects"),
-                            F.count_distinct("updated_by").alias("unique_users"))
+    return distinct_counts(desc_history, {"unique_objects": "object_name",
+                                          "unique_users": "updated_by"}, total="total_changes")
 
 
 def metric_history_summary(metric_hist: DataFrame) -> DataFrame:
-    return metric_hist.agg(F.count(F.lit(1)).alias("dmf_changes"),
-                           F.count_distinct("object_name").alias("tables_configured"),
-                           F.count_distinct("object_type").alias("unique_metrics"))
+    return distinct_counts(metric_hist, {"tables_configured": "object_name",
+                                         "unique_metrics": "object_type"}, total="dmf_changes")

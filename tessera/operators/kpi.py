@@ -6,26 +6,16 @@ tiny aggregate) rather than joins of single-row frames.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank
 from tessera.operators.catalog import SYSTEM_DATABASES, databases, schemas
+from tessera.operators.scalars import combine
 
 SCHEMA_SAMPLE_DATABASES = 3
 
 
-def combine(values: dict[str, DataFrame]) -> DataFrame:
-    """{name: one-row frame with column ``value``} -> one row, one column per name."""
-    names = list(values)
-    long = reduce(lambda a, b: a.unionByName(b),
-                  [df.select(F.lit(n).alias("kpi"), F.col("value").cast("double").alias("value"))
-                   for n, df in values.items()])
-    return long.groupBy().pivot("kpi", names).agg(F.first("value"))
-
-
 def kpi_tables(account_tables: DataFrame) -> DataFrame:
     """Account tables the documentation KPI counts (NULL role types drop out of ``<>``)."""
     return account_tables.filter(
