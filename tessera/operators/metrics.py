@@ -88,27 +88,48 @@ def validate_checks(df: DataFrame, checks) -> tuple[list[Check], list[tuple[Chec
     return ok, failed
 
 
-def _long(table: str, items: list[tuple[str | None, str, Column]]) -> Column:
-    return F.inline(F.array(*[
-        F.struct(F.lit(table).alias("table_name"),
-                 F.lit(col).cast("string").alias("column_name"),
-                 F.lit(metric).alias("metric_name"),
-                 value.cast("double").alias("value"))
-        for col, metric, value in items
-    ]))
-
-
-def _distinct_branch(df: DataFrame, table: str, column: str, metrics: list[str]) -> DataFrame:
-    v = col_ref(column)
-    groups = df.select(v.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    stats = groups.agg(
-        F.count("v").alias("unique"),
-        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))) - F.count("v"),
-                   F.lit(0)).alias("surplus"),
-        F.count_if(F.col("v").isNotNull() & (F.col("n") > 1)).alias("repeated"),
-    )
-    pick = {"UNIQUE_COUNT": "unique", "DUPLICATE_COUNT": "surplus", "DUPLICATE_VALUES": "repeated"}
-    return stats.select(_long(table, [(column, m, F.col(pick[m])) for m in metrics]))
+def sql_literal(s: str | None) -> str:
+    """A Spark SQL string literal (NULL for None)."""
+    if s is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _stack(table: str, items: list[tuple[str | None, str, str]]) -> str:
+    """One SQL ``stack`` turning named aggregate columns into long rows: building the
+    long shape as one expression string keeps driver work flat in the number of checks."""
+    rows = ", ".join(f"{sql_literal(table)}, {sql_literal(col)}, {sql_literal(metric)}, "
+                     f"CAST(`{val}` AS DOUBLE)" for col, metric, val in items)
+    return f"stack({len(items)}, {rows}) AS (table_name, column_name, metric_name, value)"
+
+
+_DISTINCT_STATS = {
+    "UNIQUE_COUNT": "count(v)",
+    "DUPLICATE_COUNT": "coalesce(sum(CASE WHEN v IS NOT NULL THEN n END) - count(v), 0)",
+    "DUPLICATE_VALUES": "count_if(v IS NOT NULL AND n > 1)",
+}
+
+
+def _distinct_stats(df: DataFrame, cid: int, column: str) -> DataFrame:
+    """One row (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES) for one column."""
+    groups = df.groupBy(col_ref(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.expr(f"{cid} AS cid"),
+                      *[F.expr(f"{e} AS {m}") for m, e in _DISTINCT_STATS.items()])
+
+
+def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]]) -> DataFrame:
+    """All distinct metrics of a table: per-column stats rows, unioned, then one long
+    shaping step that keeps only the requested (column, metric) pairs."""
+    cols = list(by_column)
+    stats = reduce(lambda a, b: a.union(b), [_distinct_stats(df, i, c) for i, c in enumerate(cols)])
+    names = "array(" + ", ".join(sql_literal(c) for c in cols) + ")"
+    metrics = ", ".join(f"{sql_literal(m)}, CAST({m} AS DOUBLE)" for m in _DISTINCT_STATS)
+    wanted = ", ".join(sql_literal(f"{i}:{m}") for i, c in enumerate(cols) for m in by_column[c])
+    return (stats.selectExpr(f"{sql_literal(table)} AS table_name",
+                             f"element_at({names}, cid + 1) AS column_name", "cid",
+                             f"stack({len(_DISTINCT_STATS)}, {metrics}) AS (metric_name, value)")
+            .where(f"concat(cid, ':', metric_name) IN ({wanted})")
+            .select("table_name", "column_name", "metric_name", "value"))
 
 
 # ACCEPTED_VALUES with more values than this is evaluated as an anti-join against the
@@ -129,8 +150,8 @@ def _domain_branch(df: DataFrame, table: str, ch: Check) -> DataFrame:
         dom = dom.select(F.col(dom.columns[0]).alias("_v"))
     outside = (df.select(v.alias("_v")).filter(F.col("_v").isNotNull())
                .join(dom.distinct(), "_v", "left_anti"))
-    return outside.agg(F.count(F.lit(1)).alias("n")).select(
-        _long(table, [(ch.column, "ACCEPTED_VALUES", F.col("n"))]))
+    return outside.agg(F.count(F.lit(1)).alias("n")).selectExpr(
+        _stack(table, [(ch.column, "ACCEPTED_VALUES", "n")]))
 
 
 def _needs_domain_join(ch: Check) -> bool:
@@ -184,11 +205,11 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
                     params["column_sql"] = "`" + ch.column.replace("`", "``") + "`"
                 expr = m.build(c, params)
             aggs.append(expr.alias(f"_m{i}"))
-            items.append((ch.column, m.name, F.col(f"_m{i}")))
-        parts.append(df.agg(*aggs).select(_long(table_name, items)))
+            items.append((ch.column, m.name, f"_m{i}"))
+        parts.append(df.agg(*aggs).selectExpr(_stack(table_name, items)))
 
-    for column, names in by_column.items():
-        parts.append(_distinct_branch(df, table_name, column, names))
+    if by_column:
+        parts.append(_distinct_part(df, table_name, by_column))
 
     for ch in domain:
         parts.append(_domain_branch(df, table_name, ch))
@@ -226,8 +247,8 @@ def measure_expand(df: DataFrame, checks, table_name: str, *, as_of=None) -> Dat
                 params["column_sql"] = "`" + ch.column.replace("`", "``") + "`"
             expr = m.build(c, params)
         aggs.append(expr.alias(f"_m{i}"))
-        items.append((ch.column, m.name, F.col(f"_m{i}")))
-    out = df.agg(*aggs).select(_long(table_name, items))
+        items.append((ch.column, m.name, f"_m{i}"))
+    out = df.agg(*aggs).selectExpr(_stack(table_name, items))
     if failed:
         rows = [(table_name, ch.column, ch.metric.upper(), None) for ch, _ in failed]
         out = out.unionByName(df.sparkSession.createDataFrame(rows, RESULT_SCHEMA))

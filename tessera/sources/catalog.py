@@ -29,11 +29,21 @@ def type_name(dt: T.DataType) -> str:
     return dt.simpleString().upper()
 
 
+def _field_rows(df: DataFrame, table: str, database: str, schema: str) -> list[tuple]:
+    return [(database, schema, table, f.name, type_name(f.dataType),
+             (f.metadata or {}).get("comment"), i + 1) for i, f in enumerate(df.schema.fields)]
+
+
 def schema_columns(df: DataFrame, table: str, database: str = "", schema: str = "") -> DataFrame:
     """One row per field of ``df`` (ordinal from 1), comments from field metadata."""
-    rows = [(database, schema, table, f.name, type_name(f.dataType),
-             (f.metadata or {}).get("comment"), i + 1) for i, f in enumerate(df.schema.fields)]
-    return config_frame(df.sparkSession, rows, COLUMN_SCHEMA)
+    return config_frame(df.sparkSession, _field_rows(df, table, database, schema), COLUMN_SCHEMA)
+
+
+def schemas_columns(frames: dict[str, DataFrame], database: str = "", schema: str = "") -> DataFrame:
+    """The column rows of several frames (``{table: df}``) as one frame."""
+    spark = next(iter(frames.values())).sparkSession
+    rows = [r for t, df in frames.items() for r in _field_rows(df, t, database, schema)]
+    return config_frame(spark, rows, COLUMN_SCHEMA)
 
 
 def readable(spark: SparkSession, name: str) -> bool:
