@@ -81,6 +81,22 @@ def schedule_expression(kind, n, hour=None, minute=None) -> Column:
     return F.struct(expr.alias("schedule_expression"), label.alias("description"))
 
 
+def parse_schedule(expr) -> Column:
+    """Schedule expression -> struct(kind, every, hour, minute): the inverse of
+    :func:`schedule_expression` ('minutes'/'hours' carry ``every``; 'daily' the time)."""
+    e = _c(expr)
+    mins = F.regexp_extract(e, r"^(\d+) MINUTE$", 1)
+    hours = F.regexp_extract(e, r"^USING CRON 0 \*/(\d+) \* \* \* UTC$", 1)
+    daily = r"^USING CRON (\d+) (\d+) \* \* \* UTC$"
+    dm, dh = F.regexp_extract(e, daily, 1), F.regexp_extract(e, daily, 2)
+    kind = (F.when(mins != "", "minutes").when(hours != "", "hours").when(dm != "", "daily")
+            .when(e == ON_CHANGES_EXPRESSION, "changes"))
+    every = F.when(mins != "", mins.cast("int")).when(hours != "", hours.cast("int"))
+    return F.struct(kind.alias("kind"), every.alias("every"),
+                    F.when(dh != "", dh.cast("int")).alias("hour"),
+                    F.when(dm != "", dm.cast("int")).alias("minute"))
+
+
 def metric_action_sentence(action, metric, column) -> Column:
     """'Added X data quality metric[ to column C]' / '<ACTION> X ...[ on column C]'."""
     action, metric, column = _c(action), _c(metric), _c(column)

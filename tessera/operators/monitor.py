@@ -73,16 +73,26 @@ def threshold_status(results: DataFrame, thresholds: DataFrame,
              .drop("_lo", "_hi"))
 
 
+SCOPE_OR_MAX = 50   # beyond this many (database, schema) pairs: a semi-join, not an OR chain
+
+
 def scope_filter(df: DataFrame, databases=(), schemas=(), db_col="database_name",
                  schema_col="schema_name") -> DataFrame:
-    """database IN (...) AND ((db, schema) OR (db, schema) ...); ``schemas`` as 'db.schema'."""
+    """database IN (...) AND ((db, schema) OR (db, schema) ...); ``schemas`` as 'db.schema'.
+
+    A long pair list becomes a semi-join against a (bounded, broadcast) pair frame."""
     conds = []
     if databases:
         conds.append(F.col(db_col).isin(list(databases)))
-    if schemas:
-        pairs = [s.split(".", 1) for s in schemas]
+    pairs = [s.split(".", 1) for s in schemas]
+    if pairs and len(pairs) <= SCOPE_OR_MAX:
         conds.append(reduce(or_, [(F.col(db_col) == d) & (F.col(schema_col) == s) for d, s in pairs]))
-    return df.filter(reduce(and_, conds)) if conds else df
+    out = df.filter(reduce(and_, conds)) if conds else df
+    if len(pairs) > SCOPE_OR_MAX:
+        from tessera.sources.config import config_frame
+        pf = config_frame(df.sparkSession, [tuple(p) for p in pairs], f"{db_col} string, {schema_col} string")
+        out = out.join(pf.distinct(), [db_col, schema_col], "left_semi")
+    return out
 
 
 def time_range(df: DataFrame, range_key: str = "7d", as_of=None,

@@ -183,3 +183,19 @@ def schedule_expressions(spark, sf_dir):
     s = X.schedule_expression(kind, n, F.hour("ts"), _pick(X.DAILY_MINUTES, F.col("user_id")))
     return e.select("event_id", s.alias("s")).select("event_id", "s.schedule_expression",
                                                      "s.description")
+
+
+@register("schedule_parse", f"""
+SELECT event_id, kind, every, hr AS hour, mi AS minute FROM (
+  SELECT event_id,
+    CASE event_id % 4 WHEN 0 THEN 'minutes' WHEN 1 THEN 'hours' WHEN 2 THEN 'daily' ELSE 'changes' END AS kind,
+    CASE event_id % 4 WHEN 0 THEN {_list(X.PERIODIC_MINUTES)}[user_id % {len(X.PERIODIC_MINUTES)} + 1]
+         WHEN 1 THEN {_list(X.PERIODIC_HOURS)}[user_id % {len(X.PERIODIC_HOURS)} + 1] END AS every,
+    CASE WHEN event_id % 4 = 2 THEN hour(ts) END AS hr,
+    CASE WHEN event_id % 4 = 2 THEN {_list(X.DAILY_MINUTES)}[user_id % {len(X.DAILY_MINUTES)} + 1] END AS mi
+  FROM events) e""")
+def schedule_parse(spark, sf_dir):
+    """Rendered schedule expressions parsed back into their options (round trip)."""
+    s = schedule_expressions(spark, sf_dir)
+    return s.select("event_id", X.parse_schedule("schedule_expression").alias("p")).select(
+        "event_id", "p.kind", "p.every", "p.hour", "p.minute")

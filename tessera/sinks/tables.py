@@ -42,6 +42,13 @@ CSV_TIME_FORMATS = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
                     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
 
+def export_name(prefix: str, now=None) -> str:
+    """``<prefix>_YYYYmmdd_HHMMSS.csv`` (UTC), the export file naming."""
+    import datetime as dt
+    now = now or dt.datetime.now(dt.timezone.utc)
+    return f"{prefix}_{now.strftime('%Y%m%d_%H%M%S')}.csv"
+
+
 def export_csv(df: DataFrame, path: str) -> str:
     """CSV with a header row, one directory of part files (``coalesce`` is not used:
     the export stays parallel at any size)."""

@@ -311,3 +311,18 @@ def test_stream_approx_distinct_close(spark, sf_dir):
     for r in ap:
         e = ex[r.window_start].unique_count
         assert abs(r.unique_count - e) <= max(2, 0.1 * e)
+
+
+def test_scope_filter_long_pair_list_uses_semi_join(spark):
+    df = spark.createDataFrame([("D1", "S1", 1), ("D1", "S2", 2), ("D2", "S1", 3)],
+                               "database_name string, schema_name string, v int")
+    pairs = ["D1.S1"] + [f"X{i}.Y" for i in range(M.SCOPE_OR_MAX + 5)]
+    out = M.scope_filter(df, ["D1", "D2"], pairs)
+    assert [r.v for r in out.collect()] == [1]
+    assert [r.v for r in M.scope_filter(df, [], ["D1.S2", "D2.S1"]).orderBy("v").collect()] == [2, 3]
+
+
+def test_export_name():
+    from tessera.sinks.tables import export_name
+    assert export_name("quality_monitors", dt.datetime(2024, 1, 2, 3, 4, 5)) == \
+        "quality_monitors_20240102_030405.csv"
