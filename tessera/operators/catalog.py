@@ -22,28 +22,31 @@ LISTED_TYPES = ("BASE TABLE", "VIEW")
 SECURE_FLAGS = ("YES", "TRUE", "Y", "1")
 
 
-def databases(objects: DataFrame) -> DataFrame:
+def databases(objects: DataFrame, sort: bool = True) -> DataFrame:
     """Distinct non-system databases, sorted."""
     db = F.col("table_catalog")
-    return (objects.filter(db.isNotNull() & ~db.isin(*SYSTEM_DATABASES))
-            .select(db.alias("database_name")).distinct().orderBy("database_name"))
+    out = (objects.filter(db.isNotNull() & ~db.isin(*SYSTEM_DATABASES))
+           .select(db.alias("database_name")).distinct())
+    return out.orderBy("database_name") if sort else out
 
 
-def schemas(objects: DataFrame, database: str | None = None) -> DataFrame:
+def schemas(objects: DataFrame, database: str | None = None, sort: bool = True) -> DataFrame:
     """Distinct (database, schema) pairs except the system schema, sorted."""
     df = objects
     if database is not None:
         df = df.filter(F.col("table_catalog") == database)
-    return (df.filter(~F.col("table_schema").isin(*SYSTEM_SCHEMAS))
-            .select(F.col("table_catalog").alias("database_name"),
-                    F.col("table_schema").alias("schema_name"))
-            .distinct().orderBy("database_name", "schema_name"))
+    out = (df.filter(~F.col("table_schema").isin(*SYSTEM_SCHEMAS))
+           .select(F.col("table_catalog").alias("database_name"),
+                   F.col("table_schema").alias("schema_name"))
+           .distinct())
+    return out.orderBy("database_name", "schema_name") if sort else out
 
 
 def objects_listing(objects: DataFrame, database: str | None = None,
-                    schema: str | None = None) -> DataFrame:
+                    schema: str | None = None, sort: bool = True) -> DataFrame:
     """Tables and views with description flag: tables UNION views (secure views dropped),
-    sorted by (database, schema, name)."""
+    sorted by (database, schema, name) -- ``sort=False`` when the listing only feeds a join
+    or an aggregate (a global sort there is wasted work)."""
     df = objects
     if database is not None:
         df = df.filter(F.col("table_catalog") == database)
@@ -62,21 +65,23 @@ def objects_listing(objects: DataFrame, database: str | None = None,
     tables = df.filter(F.col("table_type") == "BASE TABLE")
     secure = F.upper(F.coalesce(F.col("is_secure").cast("string"), F.lit(""))).isin(*SECURE_FLAGS)
     views = df.filter((F.col("table_type") == "VIEW") & ~secure)
-    return (shape(tables).unionByName(shape(views))
-            .filter(F.col("object_name").isNotNull() & (F.col("object_name") != ""))
-            .orderBy("database_name", "schema_name", "object_name"))
+    out = (shape(tables).unionByName(shape(views))
+           .filter(F.col("object_name").isNotNull() & (F.col("object_name") != "")))
+    return out.orderBy("database_name", "schema_name", "object_name") if sort else out
 
 
-def columns_listing(columns: DataFrame) -> DataFrame:
-    """Columns with type, description ('', 'null', 'NULL' -> NULL) and flag, by ordinal."""
-    return columns.select(
+def columns_listing(columns: DataFrame, sort: bool = True) -> DataFrame:
+    """Columns with type, description ('', 'null', 'NULL' -> NULL) and flag, by ordinal
+    (``sort=False`` for internal use)."""
+    out = columns.select(
         F.col("table_catalog").alias("database_name"),
         F.col("table_schema").alias("schema_name"),
         "table_name", "column_name", "data_type",
         column_description(F.col("comment")).alias("current_description"),
         has_description(column_description(F.col("comment"))).alias("has_description"),
         "ordinal_position",
-    ).orderBy("database_name", "schema_name", "table_name", "ordinal_position")
+    )
+    return out.orderBy("database_name", "schema_name", "table_name", "ordinal_position") if sort else out
 
 
 def of_type(listing: DataFrame, object_type: str) -> DataFrame:

@@ -55,14 +55,14 @@ def monitors_exact(results: DataFrame) -> DataFrame:
 
 
 def schemas_exact(objects: DataFrame) -> DataFrame:
-    return schemas(objects).agg(F.count(F.lit(1)).alias("schemas"))
+    return schemas(objects, sort=False).agg(F.count(F.lit(1)).alias("schemas"))
 
 
 def schemas_estimate(objects: DataFrame, sample: int = SCHEMA_SAMPLE_DATABASES) -> DataFrame:
     """Schemas of the first ``sample`` databases, scaled by databases/sampled, truncated."""
-    dbs = databases(objects)
+    dbs = databases(objects, sort=False)
     first = dbs.orderBy("database_name").limit(sample)
-    in_sample = schemas(objects).join(first, "database_name", "left_semi")
+    in_sample = schemas(objects, sort=False).join(first, "database_name", "left_semi")
     row = combine({
         "n_db": dbs.agg(F.count(F.lit(1)).alias("value")),
         "n_sample": first.agg(F.count(F.lit(1)).alias("value")),
@@ -97,7 +97,7 @@ def overview(account_tables: DataFrame, objects: DataFrame, log: DataFrame, refs
     percentage, metric count and contact count, with the parity guesses min(count, tables)."""
     doc = documentation_kpi(account_tables)
     row = combine({
-        "databases": databases(objects).agg(F.count(F.lit(1)).alias("value")),
+        "databases": databases(objects, sort=False).agg(F.count(F.lit(1)).alias("value")),
         "schemas": schemas_estimate(objects).select(F.col("schemas_estimate").alias("value")),
         "tables": doc.select(F.col("tables").alias("value")),
         "tables_with_descriptions": doc.select(F.col("tables_with_descriptions").alias("value")),

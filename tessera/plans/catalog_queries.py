@@ -34,12 +34,12 @@ SELECT table_catalog AS database_name, table_schema AS schema_name, table_name,
 FROM cols"""
 
 
-def listing(spark, sf_dir):
-    return C.objects_listing(account_objects(spark, sf_dir))
+def listing(spark, sf_dir, sort=True):
+    return C.objects_listing(account_objects(spark, sf_dir), sort=sort)
 
 
-def col_listing(spark, sf_dir):
-    return C.columns_listing(catalog_columns(spark, sf_dir))
+def col_listing(spark, sf_dir, sort=True):
+    return C.columns_listing(catalog_columns(spark, sf_dir), sort=sort)
 
 
 @register("inventory_databases", with_ctes("""

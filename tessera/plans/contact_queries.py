@@ -37,7 +37,7 @@ LEFT JOIN (SELECT object_database, object_schema, object_name,
   ON o.database_name = p.object_database AND o.schema_name = p.object_schema
  AND o.object_name = p.object_name""", "objs", "refs"))
 def contacts_pivot(spark, sf_dir):
-    objs = listing(spark, sf_dir).select("database_name", "schema_name", "object_name", "object_type")
+    objs = listing(spark, sf_dir, sort=False).select("database_name", "schema_name", "object_name", "object_type")
     return K.contacts_pivot(objs, contact_refs(spark, sf_dir))
 
 
@@ -56,7 +56,7 @@ def tables_without_contacts(spark, sf_dir):
     live = K.live(contact_refs(spark, sf_dir)).select(
         F.col("object_database").alias("database_name"), F.col("object_schema").alias("schema_name"),
         "object_name").distinct()
-    return listing(spark, sf_dir).join(live, ["database_name", "schema_name", "object_name"], "left_anti")
+    return listing(spark, sf_dir, sort=False).join(live, ["database_name", "schema_name", "object_name"], "left_anti")
 
 
 @register("unmonitored_objects", with_ctes(f"""
@@ -66,7 +66,7 @@ SELECT * FROM ({OBJ_LISTING_SQL}) o WHERE NOT EXISTS (
 def unmonitored_objects(spark, sf_dir):
     mon = M.quality_results(measurement_log(spark, sf_dir)).select(
         "database_name", "schema_name", F.col("table_name").alias("object_name")).distinct()
-    return listing(spark, sf_dir).join(mon, ["database_name", "schema_name", "object_name"], "left_anti")
+    return listing(spark, sf_dir, sort=False).join(mon, ["database_name", "schema_name", "object_name"], "left_anti")
 
 
 @register("monitored_objects", with_ctes(f"""
@@ -76,4 +76,4 @@ SELECT * FROM ({OBJ_LISTING_SQL}) o WHERE EXISTS (
 def monitored_objects(spark, sf_dir):
     mon = M.quality_results(measurement_log(spark, sf_dir)).select(
         "database_name", "schema_name", F.col("table_name").alias("object_name")).distinct()
-    return listing(spark, sf_dir).join(mon, ["database_name", "schema_name", "object_name"], "left_semi")
+    return listing(spark, sf_dir, sort=False).join(mon, ["database_name", "schema_name", "object_name"], "left_semi")

@@ -94,7 +94,7 @@ def sample_column_values(spark, sf_dir):
 
 def _real_columns(spark, sf_dir):
     frames = {t: read_table(spark, sf_dir, t) for t in SAMPLED}
-    return columns_listing(schemas_columns(frames, DB, SCHEMA))
+    return columns_listing(schemas_columns(frames, DB, SCHEMA), sort=False)
 
 
 def _real_objects(spark):
@@ -159,7 +159,7 @@ def _objects(spark, sf_dir):
     cols = catalog_columns(spark, sf_dir).select(
         F.col("table_catalog").alias("database_name"), F.col("table_schema").alias("schema_name"),
         "table_name").distinct()
-    lst = listing(spark, sf_dir).select("database_name", "schema_name",
+    lst = listing(spark, sf_dir, sort=False).select("database_name", "schema_name",
                                         F.col("object_name").alias("table_name"),
                                         "object_type", "current_description")
     return (cols.join(lst, D.OBJ_KEYS, "left")
@@ -167,7 +167,7 @@ def _objects(spark, sf_dir):
 
 
 def _columns(spark, sf_dir):
-    return columns_listing(catalog_columns(spark, sf_dir))
+    return columns_listing(catalog_columns(spark, sf_dir), sort=False)
 
 
 _KIND_LABEL = "CASE WHEN {t} = 'VIEW' THEN 'View' ELSE 'Table' END"
@@ -302,7 +302,7 @@ SELECT s.database_name, s.schema_name, s.object_name, l.object_type, l.current_d
 FROM {_SEL} s JOIN ({OBJ_LISTING_SQL}) l ON s.database_name = l.database_name
   AND s.schema_name = l.schema_name AND s.object_name = l.object_name""", "objs", "refs"))
 def resolve_selection(spark, sf_dir):
-    return D.resolve_selection(listing(spark, sf_dir), _selection(spark, sf_dir))
+    return D.resolve_selection(listing(spark, sf_dir, sort=False), _selection(spark, sf_dir))
 
 
 @register("unresolved_selection", with_ctes(f"""
@@ -310,4 +310,4 @@ SELECT * FROM {_SEL} s WHERE NOT EXISTS (SELECT 1 FROM ({OBJ_LISTING_SQL}) l
   WHERE s.database_name = l.database_name AND s.schema_name = l.schema_name
     AND s.object_name = l.object_name)""", "objs", "refs"))
 def unresolved_selection(spark, sf_dir):
-    return D.unresolved_selection(listing(spark, sf_dir), _selection(spark, sf_dir))
+    return D.unresolved_selection(listing(spark, sf_dir, sort=False), _selection(spark, sf_dir))
