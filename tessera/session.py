@@ -77,3 +77,15 @@ def _count():
 
 
 _counter = _count()
+
+
+def size_shuffle_partitions(spark: SparkSession, total_input_bytes: int,
+                            target_bytes: int = 256 << 20, minimum: int | None = None) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so a full shuffle of the input lands near
+    ``target_bytes`` per partition (AQE coalesces smaller ones and splits skewed ones, but
+    it can only merge partitions, never create more). Returns the value set."""
+    minimum = minimum or spark.sparkContext.defaultParallelism
+    n = max(minimum, -(-total_input_bytes // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(target_bytes, 128 << 20)))
+    return n

@@ -95,3 +95,15 @@ def test_periodic_trigger_starts(spark, sf_dir):
     finally:
         q.stop()
     assert spark.read.parquet(out + "/data").count() > 0
+
+
+def test_size_shuffle_partitions(spark, sf_dir):
+    import os
+    from tessera.session import size_shuffle_partitions
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        b = os.path.getsize(f"{sf_dir}/lineitem.parquet")
+        assert size_shuffle_partitions(spark, 100 * (1 << 40), minimum=8) == 409600   # 100 TiB / 256 MiB
+        assert size_shuffle_partitions(spark, b, minimum=8) == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
