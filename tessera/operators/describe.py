@@ -58,7 +58,7 @@ def _w_order(part: str, order: str):
     return Window.partitionBy(part).orderBy(order)
 
 
-def sample_text(rows: DataFrame, header: dict[str, list[str]] | None = None) -> DataFrame:
+def sample_text(rows: DataFrame) -> DataFrame:
     """(table_name, rn, row_text) -> (table_name, sample_data): rows joined by newlines
     (at most the sample size per table)."""
     agg = rows.groupBy("table_name").agg(
