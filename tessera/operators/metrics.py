@@ -103,6 +103,12 @@ def _stack(table: str, items: list[tuple[str | None, str, str]]) -> str:
     return f"stack({len(items)}, {rows}) AS (table_name, column_name, metric_name, value)"
 
 
+# Columns whose distinct metrics share one scan. 1 = one scan + shuffle per column (least
+# memory per task); larger batches divide the number of scan tasks by the batch size --
+# splits are sized by file bytes, not by the pruned column, so per-column scans multiply
+# the task count by the number of columns.
+DISTINCT_BATCH = 4
+
 _DISTINCT_STATS = {
     "UNIQUE_COUNT": "count(v)",
     "DUPLICATE_COUNT": "coalesce(sum(CASE WHEN v IS NOT NULL THEN n END) - count(v), 0)",
@@ -117,11 +123,50 @@ def _distinct_stats(df: DataFrame, cid: int, column: str) -> DataFrame:
                       *[F.expr(f"{e} AS {m}") for m, e in _DISTINCT_STATS.items()])
 
 
-def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]]) -> DataFrame:
-    """All distinct metrics of a table: per-column stats rows, unioned, then one long
-    shaping step that keeps only the requested (column, metric) pairs."""
+def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]]) -> DataFrame:
+    """Stats rows for several columns from ONE scan: every row becomes one typed entry per
+    column -- struct(cid, one field per distinct type, only the column's own field set) --
+    so values keep their type (no string casts) and one group-by serves the batch."""
+    dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    slots: dict[str, int] = {}
+    for _, c in batch:
+        slots.setdefault(dtypes[c], len(slots))
+    entries = []
+    for cid, c in batch:
+        own = slots[dtypes[c]]
+        fields = [f"'cid', {cid}"] + [
+            f"'f{j}', " + (f"`{c.replace('`', '``')}`" if j == own else f"CAST(NULL AS {t})")
+            for t, j in slots.items()]
+        entries.append(f"named_struct({', '.join(fields)})")
+    fcols = [f"f{j}" for j in slots.values()]
+    isnull = " AND ".join(f"{f} IS NULL" for f in fcols)
+    groups = (df.selectExpr(f"inline(array({', '.join(entries)}))")
+              .groupBy("cid", *fcols).agg(F.count(F.lit(1)).alias("n"))
+              .selectExpr("cid", f"NOT ({isnull}) AS present", "n"))
+    # one global aggregate (always one row, also for an empty table), then one row per column
+    aggs = []
+    for cid, _ in batch:
+        on = f"cid = {cid} AND present"
+        aggs += [F.expr(f"count_if({on}) AS u{cid}"),
+                 F.expr(f"coalesce(sum(CASE WHEN {on} THEN n END), 0) - count_if({on}) AS s{cid}"),
+                 F.expr(f"count_if({on} AND n > 1) AS r{cid}")]
+    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}" for cid, _ in batch)
+    return groups.agg(*aggs).selectExpr(
+        f"stack({len(batch)}, {rows}) AS (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES)")
+
+
+def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
+                   batch: int = 1) -> DataFrame:
+    """All distinct metrics of a table: stats rows per column (``batch`` columns per scan),
+    unioned, then one long shaping step that keeps only the requested (column, metric)
+    pairs."""
     cols = list(by_column)
-    stats = reduce(lambda a, b: a.union(b), [_distinct_stats(df, i, c) for i, c in enumerate(cols)])
+    if batch <= 1:
+        frames = [_distinct_stats(df, i, c) for i, c in enumerate(cols)]
+    else:
+        ids = list(enumerate(cols))
+        frames = [_distinct_stats_batch(df, ids[k:k + batch]) for k in range(0, len(ids), batch)]
+    stats = reduce(lambda a, b: a.union(b), [f.select("cid", *_DISTINCT_STATS) for f in frames])
     names = "array(" + ", ".join(sql_literal(c) for c in cols) + ")"
     metrics = ", ".join(f"{sql_literal(m)}, CAST({m} AS DOUBLE)" for m in _DISTINCT_STATS)
     wanted = ", ".join(sql_literal(f"{i}:{m}") for i, c in enumerate(cols) for m in by_column[c])
@@ -161,7 +206,8 @@ def _needs_domain_join(ch: Check) -> bool:
 
 
 def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
-            distinct: str = "exact", materialize: bool = False) -> DataFrame:
+            distinct: str = "exact", materialize: bool = False,
+            distinct_batch: int = DISTINCT_BATCH) -> DataFrame:
     """Evaluate ``checks`` on ``df``; one long row per check.
 
     ``as_of`` is the measurement clock for FRESHNESS (default: current timestamp).
@@ -209,7 +255,7 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
         parts.append(df.agg(*aggs).selectExpr(_stack(table_name, items)))
 
     if by_column:
-        parts.append(_distinct_part(df, table_name, by_column))
+        parts.append(_distinct_part(df, table_name, by_column, distinct_batch))
 
     for ch in domain:
         parts.append(_domain_branch(df, table_name, ch))

@@ -326,3 +326,18 @@ def test_export_name():
     from tessera.sinks.tables import export_name
     assert export_name("quality_monitors", dt.datetime(2024, 1, 2, 3, 4, 5)) == \
         "quality_monitors_20240102_030405.csv"
+
+
+def test_batched_distinct_equals_per_column(spark, frame):
+    checks = [Check(m, c) for c in ("id", "s", "x", "d")
+              for m in ("UNIQUE_COUNT", "DUPLICATE_COUNT", "DUPLICATE_VALUES")]
+    one = _vals(measure(frame, checks, "t", distinct_batch=1))
+    for b in (2, 3, 4, 8):
+        assert _vals(measure(frame, checks, "t", distinct_batch=b)) == one
+    arr = spark.createDataFrame([([1, 2], "a"), ([1, 2], "a"), (None, None)], "a array<int>, s string")
+    ac = [Check(m, c) for c in ("a", "s") for m in ("UNIQUE_COUNT", "DUPLICATE_COUNT")]
+    assert _vals(measure(arr, ac, "t", distinct_batch=1)) == _vals(measure(arr, ac, "t", distinct_batch=2))
+    empty = spark.createDataFrame([], "a long, b string")
+    ec = [Check("UNIQUE_COUNT", "a"), Check("DUPLICATE_COUNT", "b")]
+    assert _vals(measure(empty, ec, "t", distinct_batch=2)) == {("a", "UNIQUE_COUNT"): 0.0,
+                                                                ("b", "DUPLICATE_COUNT"): 0.0}
