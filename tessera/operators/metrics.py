@@ -4,12 +4,14 @@ Plan shape, per table:
 
 * all *scan* metrics of all columns -> ONE ``agg`` (partial aggregate on every map task,
   a single-row final aggregate): one pass over the columns they use;
-* each column with *distinct* metrics -> ``groupBy(column).count()`` (map-side partial
-  aggregation absorbs hot values, so a value holding a third of the rows costs one row
-  per map task) followed by a one-row aggregate over the groups. Several distinct metrics
-  on one column share that group-by; the branches are ``unionByName``-ed into one job, and
-  Parquet column pruning makes each branch read only its own column. This avoids the
-  Expand x (k+1) row multiplication Catalyst uses for k ``countDistinct`` in one ``agg``.
+* columns with *distinct* metrics, ``DISTINCT_BATCH`` at a time -> one scan that turns each
+  row into one typed (column id, value) entry per column, ``groupBy(column id, value)``
+  (map-side partial aggregation absorbs hot values: a value holding a third of the rows
+  costs one row per map task), then one global aggregate with the per-column counts.
+  Batches are unioned into the same job; Parquet pruning reads only a batch's columns.
+  This avoids the Expand x (k+1) row multiplication Catalyst uses for k ``countDistinct``
+  in one ``agg``, and keeps the number of scan tasks at (splits x batches), not
+  (splits x columns).
 
 Results come back long: ``table_name, column_name, metric_name, value`` (value is double).
 """
