@@ -12,7 +12,7 @@ from tessera.operators.contacts import contact_change_requests, contact_path
 from tessera.operators.metrics import METRIC_UNITS
 from tessera.plans.base import AS_OF, register
 from tessera.plans.fixture_sql import THRESH, with_ctes
-from tessera.plans.metric_queries import SUITE, _run, _sql
+from tessera.plans.metric_queries import SUITE, plan_sql, run_plan
 from tessera.plans.monitor_queries import MONITOR_SQL, monitors
 from tessera.plans.oracle_sql import sql_fq, sql_quote
 from tessera.session import scratch_path, unique_name
@@ -191,7 +191,7 @@ _RESULTS_OUT = ("monitor_name, database_name, schema_name, table_name, column_na
 
 
 @register("results_append", f"""
-WITH thresh AS ({THRESH}), m AS ({_sql(SUITE, rounded=True)})
+WITH thresh AS ({THRESH}), m AS ({plan_sql(SUITE, rounded=True)})
 SELECT {_RESULTS_OUT} FROM (
   SELECT m.metric_name AS monitor_name, 'TESTDATA' AS database_name, 'PUBLIC' AS schema_name,
     m.table_name, m.column_name, m.value AS metric_value, {_unit_sql('m.metric_name')} AS metric_unit,
@@ -209,7 +209,7 @@ SELECT {_RESULTS_OUT} FROM (
 def results_append(spark, sf_dir):
     """Measure the suite, judge it against the threshold policy and append the results
     table (partitioned by measurement date so time-range reads prune partitions)."""
-    long = _run(spark, sf_dir, SUITE, rounded=True)
+    long = run_plan(spark, sf_dir, SUITE, rounded=True)
     units = F.create_map(*[x for k, v in METRIC_UNITS.items() for x in (F.lit(k), F.lit(v))])
     res = long.select(
         F.col("metric_name").alias("monitor_name"), F.lit("TESTDATA").alias("database_name"),
@@ -220,7 +220,8 @@ def results_append(spark, sf_dir):
     res = M.threshold_status(res, thresholds(spark))
     res = res.withColumn("sql_executed", metric_statement(
         "database_name", "schema_name", "table_name", "monitor_name", "column_name"))
-    res = res.withColumn("measurement_date", F.to_date("measurement_time"))
+    # results are bounded by the number of checks: one task (one file) per date partition
+    res = res.withColumn("measurement_date", F.to_date("measurement_time")).repartition("measurement_date")
     out = append_and_read(res, "quality_results", partition_by=["measurement_date"])
     return out.select(*[c.strip() for c in _RESULTS_OUT.split(",")])
 

@@ -24,19 +24,19 @@ NUMERIC = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount", "l_tax",
            "orders": ["o_totalprice"], "customer": ["c_acctbal"]}
 
 
-def _src(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return labeled_documents(spark, sf_dir) if name == "docs_l" else read_table(spark, sf_dir, name)
 
 
-def _run(spark, sf_dir, plan: dict[str, list[Check]], rounded=False) -> DataFrame:
-    suite = {t: (_src(spark, sf_dir, t), checks) for t, checks in plan.items()}
+def run_plan(spark, sf_dir, plan: dict[str, list[Check]], rounded=False) -> DataFrame:
+    suite = {t: (source(spark, sf_dir, t), checks) for t, checks in plan.items()}
     out = measure_suite(suite, as_of=AS_OF)
     if rounded:
         out = out.withColumn("value", F.round("value", ROUND_DIGITS))
     return out
 
 
-def _sql(plan: dict[str, list[Check]], rounded=False) -> str:
+def plan_sql(plan: dict[str, list[Check]], rounded=False) -> str:
     rd = ROUND_DIGITS if rounded else None
     body = "\nUNION ALL\n".join(checks_sql(t, t, checks, rd) for t, checks in plan.items())
     return with_ctes(body, "docs_l") if "docs_l" in plan else body
@@ -56,7 +56,7 @@ def _merge(*plans: dict[str, list[Check]]) -> dict[str, list[Check]]:
 
 
 def _define(name: str, plan: dict[str, list[Check]], rounded=False):
-    register(name, _sql(plan, rounded))(lambda spark, sf_dir: _run(spark, sf_dir, plan, rounded))
+    register(name, plan_sql(plan, rounded))(lambda spark, sf_dir: run_plan(spark, sf_dir, plan, rounded))
 
 
 # M1 .. M10: one metric family each, over whole tables
@@ -100,7 +100,7 @@ _define("metric_suite", SUITE, rounded=True)
 
 
 def metric_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, SUITE, rounded=True)
+    return run_plan(spark, sf_dir, SUITE, rounded=True)
 
 
 # M5 option: approximate distinct counts (HLL++, rsd 5%) -- no exact oracle
