@@ -300,3 +300,17 @@ def run_summary(suggestions: DataFrame) -> DataFrame:
     return s.withColumn("message", F.format_string(
         "Processed %d table(s). Generated %d table description(s) and %d column description(s); %d failed.",
         "tables_processed", "table_descriptions", "column_descriptions", "failed"))
+
+
+def suggestion_changes(suggestions: DataFrame) -> DataFrame:
+    """Successful suggestions -> description changes for the audit log: tables are logged
+    as TABLE, views as VIEW, columns as COLUMN named ``table.column``; BEFORE is the
+    description the object had."""
+    kind = F.col("kind")
+    otype = (F.when(kind == "COLUMN", F.lit("COLUMN")).when(kind == "VIEW", F.lit("VIEW"))
+             .otherwise(F.lit("TABLE")))
+    name = F.when(kind == "COLUMN", F.concat_ws(".", "table_name", "column_name")).otherwise(F.col("table_name"))
+    ok = F.col("description").isNotNull() & (F.col("description") != "")
+    return suggestions.filter(ok).select(
+        "database_name", "schema_name", name.alias("object_name"), otype.alias("object_type"),
+        "before_description", F.col("description").alias("after_description"))

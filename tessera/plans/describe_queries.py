@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import describe as D
 from tessera.operators.catalog import columns_listing
-from tessera.plans.base import register
+from tessera.operators.history import description_change_rows
+from tessera.plans.base import AS_OF, register
+from tessera.plans.history_queries import _comment_sql
+from tessera.sinks.tables import append_and_read
 from tessera.plans.catalog_queries import COL_LISTING_SQL, OBJ_LISTING_SQL, listing
 from tessera.plans.fixture_sql import with_ctes
 from tessera.sources.catalog import schemas_columns
@@ -311,3 +314,19 @@ SELECT * FROM {_SEL} s WHERE NOT EXISTS (SELECT 1 FROM ({OBJ_LISTING_SQL}) l
     AND s.object_name = l.object_name)""", "objs", "refs"))
 def unresolved_selection(spark, sf_dir):
     return D.unresolved_selection(listing(spark, sf_dir, sort=False), _selection(spark, sf_dir))
+
+
+@register("describe_and_log", with_ctes(f"""
+SELECT database_name, schema_name, object_type, table_name AS object_name, column_name,
+  nullif(before_description, '') AS before_description, nullif(description, '') AS after_description,
+  {_comment_sql('object_type', 'database_name', 'schema_name', 'table_name', 'column_name', 'description')}
+    AS sql_executed,
+  'tessera' AS updated_by, CAST(TIMESTAMP '{AS_OF}' AS TIMESTAMP) AS updated_at
+FROM (SELECT *, CASE kind WHEN 'COLUMN' THEN 'COLUMN' WHEN 'VIEW' THEN 'VIEW' ELSE 'TABLE' END AS object_type
+      FROM ({_BOTH_SQL}) s WHERE description IS NOT NULL AND description <> '') g""", "objs", "cols"))
+def describe_and_log(spark, sf_dir):
+    """The whole documentation flow as one job: suggestions for every table and column,
+    cleaned, turned into change rows with the true BEFORE, appended to the audit log."""
+    changes = D.suggestion_changes(_both(spark, sf_dir))
+    rows = description_change_rows(changes, updated_by="tessera", updated_at=AS_OF)
+    return append_and_read(rows, "description_history")
