@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessera.functions import names as N
 from tessera.functions.names import METRIC_NAMESPACE
 from tessera.operators import checks as CK
-from tessera.plans.base import register
+from tessera.operators.history import metric_change_rows
+from tessera.plans.base import AS_OF, register
 from tessera.plans.fixture_sql import with_ctes
 from tessera.plans.oracle_sql import sql_fq, sql_quote
+from tessera.sinks.tables import append_and_read
 from tessera.sources.fixtures import catalog_columns
 
 _KEYS = "table_catalog, table_schema, table_name"
@@ -70,3 +75,37 @@ SELECT {_KEYS}, count(*) FILTER (WHERE column_name IS NULL) AS table_level_check
 FROM ({_EXPAND}) e GROUP BY {_KEYS}""", "cols"))
 def check_counts(spark, sf_dir):
     return CK.check_counts(CK.expand_checks(catalog_columns(spark, sf_dir)))
+
+
+_PARSE_T = "regexp_extract(upper(statement), '{p}', 1)".format(p=N.TABLE_PATTERN)
+_PARSE_M = "regexp_extract(upper(statement), '{p}', 1)".format(p=N.METRIC_PATTERN)
+_PARSE_C = "regexp_replace(regexp_extract(statement, '{p}', 1), '^\\s+|\\s+$', '', 'g')".format(
+    p=N.COLUMN_PATTERN)
+
+
+@register("configure_and_log", with_ctes(f"""
+SELECT table_catalog AS database_name, table_schema AS schema_name,
+  'DMF_' || metric || CASE WHEN col IS NOT NULL AND col <> '' THEN '_COLUMN' ELSE '' END AS object_type,
+  tbl AS object_name, col AS column_name, CAST(NULL AS VARCHAR) AS before_description,
+  'Added ' || metric || ' data quality metric' ||
+    CASE WHEN col IS NOT NULL AND col <> '' THEN ' to column ' || col ELSE '' END AS after_description,
+  CAST(NULL AS VARCHAR) AS sql_executed, 'tessera' AS updated_by,
+  CAST(TIMESTAMP '{AS_OF}' AS TIMESTAMP) AS updated_at
+FROM (
+  SELECT table_catalog, table_schema,
+    regexp_replace(coalesce(nullif({_PARSE_T}, ''), '{N.UNKNOWN_TABLE}'), '^"+|"+$', '', 'g') AS tbl,
+    coalesce(nullif({_PARSE_M}, ''), '{N.UNKNOWN_METRIC}') AS metric,
+    CASE WHEN {_PARSE_C} <> '' THEN
+      regexp_replace(regexp_replace({_PARSE_C}, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') END AS col
+  FROM ({_EXPAND}) e) p""", "cols"))
+def configure_and_log(spark, sf_dir):
+    """Configuration -> statements -> each statement parsed back (table, metric, column,
+    as the statement log does) -> ADDED metric changes appended to the audit log."""
+    checks = CK.expand_checks(catalog_columns(spark, sf_dir))
+    parsed = checks.select(F.col("table_catalog").alias("database_name"),
+                           F.col("table_schema").alias("schema_name"),
+                           N.parse_metric_statement("statement").alias("p"))
+    cfg = parsed.select("database_name", "schema_name", "p.table_name",
+                        F.col("p.metric_name").alias("metric_name"), "p.column_name")
+    rows = metric_change_rows(cfg, "ADDED", updated_by="tessera", updated_at=AS_OF)
+    return append_and_read(rows, "metric_history")
