@@ -47,15 +47,20 @@ def daily_offset(hour: int, minute: int) -> str:
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """Stream the Parquet files of one table as they arrive (schema from the batch read)."""
-    schema = read_table(spark, sf_dir, name).schema
-    r = (spark.readStream.format("parquet").schema(schema)
-         .option("pathGlobFilter", f"{name}.parquet"))
+    """Stream the Parquet files of one table as they arrive (schema from the batch read).
+
+    A table stored as a directory is streamed as is; a table stored as one file is
+    streamed from its folder with a file-name filter (the file source needs a folder).
+    The layout is read from the batch listing, so any cluster file system works."""
+    batch = read_table(spark, sf_dir, name)
+    leaf = f"{name}.parquet"
+    is_dir = any(f"/{leaf}/" in f for f in batch.inputFiles())
+    r = spark.readStream.format("parquet").schema(batch.schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    path = table_path(sf_dir, name)
-    import os
-    return r.load(path if os.path.isdir(path) else sf_dir)
+    if is_dir:
+        return r.load(table_path(sf_dir, name))
+    return r.option("pathGlobFilter", leaf).load(sf_dir)
 
 
 def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:

@@ -107,3 +107,16 @@ def test_size_shuffle_partitions(spark, sf_dir):
         assert size_shuffle_partitions(spark, b, minimum=8) == 8
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_file_stream_reads_directory_tables(spark, sf_dir):
+    from tessera.streaming import windows as W
+    root = scratch_path(spark, "tables", unique_name("dir_layout"))
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{root}/events.parquet")
+    a = W.run_available(W.stream_window_metrics(W.file_stream(spark, root, "events"),
+                                                "ts", "value", "1 day", "1 hour"), "dir").collect()
+    b = W.run_available(W.stream_window_metrics(W.file_stream(spark, sf_dir, "events"),
+                                                "ts", "value", "1 day", "1 hour"), "file").collect()
+    key = lambda r: r.window_start
+    assert [(r.window_start, r.row_count) for r in sorted(a, key=key)] == \
+           [(r.window_start, r.row_count) for r in sorted(b, key=key)]
