@@ -329,3 +329,53 @@ def column_checks(df: DataFrame, metrics, columns=None, **params) -> list[Check]
 
 def empty_results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RESULT_SCHEMA)
+
+
+def _checks_by_table(checks: DataFrame) -> dict[tuple, list[Check]]:
+    # the configuration is bounded by the catalog's schemas, not by data: one collect
+    by_table: dict[tuple, list[Check]] = {}
+    for r in checks.select("table_catalog", "table_schema", "table_name", "metric_name",
+                           "column_name").collect():
+        by_table.setdefault((r[0], r[1], r[2]), []).append(Check(r[3], r[4]))
+    return by_table
+
+
+def _measure_tables(spark: SparkSession, items, as_of, resolver, distinct) -> DataFrame:
+    if resolver is None:
+        def resolver(db, schema, table):
+            parts = [p for p in (db, schema, table) if p]
+            return spark.table(".".join("`" + p.replace("`", "``") + "`" for p in parts))
+    parts = []
+    for (db, schema, table), chs in items:
+        name = ".".join(p for p in (db, schema, table) if p)
+        try:
+            df = resolver(db, schema, table)
+        except Exception:           # unreadable table: its checks become NULL results
+            rows = [(name, c.column, c.metric.upper(), None) for c in chs]
+            parts.append(spark.createDataFrame(rows, RESULT_SCHEMA))
+            continue
+        parts.append(measure(df, chs, name, as_of=as_of, distinct=distinct))
+    if not parts:
+        return empty_results(spark)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def measure_checks(spark: SparkSession, checks: DataFrame, *, as_of=None, resolver=None,
+                   distinct: str = "exact") -> DataFrame:
+    """Measure a checks configuration (rows: table_catalog, table_schema, table_name,
+    metric_name, column_name -- the shape of ``checks.expand_checks``) as one union.
+
+    The configuration is read on the driver (it is bounded by schemas, not data) to build
+    one plan per table; tables are resolved with ``resolver(db, schema, table)`` (default:
+    ``spark.table`` on the qualified name). ``table_name`` in the result is the qualified
+    name. For account-wide configurations use :func:`measure_checks_in_jobs`."""
+    return _measure_tables(spark, _checks_by_table(checks).items(), as_of, resolver, distinct)
+
+
+def measure_checks_in_jobs(spark: SparkSession, checks: DataFrame, tables_per_job: int = 200, *,
+                           as_of=None, resolver=None, distinct: str = "exact"):
+    """Like :func:`measure_checks`, but yields one result frame per group of tables, so a
+    configuration over many thousands of tables never becomes one giant plan."""
+    items = list(_checks_by_table(checks).items())
+    for k in range(0, len(items), tables_per_job):
+        yield _measure_tables(spark, items[k:k + tables_per_job], as_of, resolver, distinct)

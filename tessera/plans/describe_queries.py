@@ -7,11 +7,14 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.operators import checks as CK
 from tessera.operators import describe as D
+from tessera.operators.metrics import measure_checks
 from tessera.operators.catalog import columns_listing
 from tessera.operators.history import description_change_rows
 from tessera.plans.base import AS_OF, register
 from tessera.plans.history_queries import _comment_sql
+from tessera.plans.oracle_sql import checks_sql
 from tessera.sinks.tables import append_and_read
 from tessera.plans.catalog_queries import COL_LISTING_SQL, OBJ_LISTING_SQL, listing
 from tessera.plans.fixture_sql import with_ctes
@@ -330,3 +333,32 @@ def describe_and_log(spark, sf_dir):
     changes = D.suggestion_changes(_both(spark, sf_dir))
     rows = description_change_rows(changes, updated_by="tessera", updated_at=AS_OF)
     return append_and_read(rows, "description_history")
+
+
+def _configured_checks():
+    """The checks the config expansion gives for the sampled tables (static schemas)."""
+    from tessera.operators.metrics import Check
+    plan = {}
+    for t, (_, cols) in SAMPLED.items():
+        checks = [Check("ROW_COUNT")]
+        fresh = [c for c in cols if any(w in c.upper() for w in CK.FRESHNESS_NAME_WORDS)]
+        if fresh:
+            checks.append(Check("FRESHNESS", fresh[0]))
+        checks += [Check(m, c) for c in cols for m in ("NULL_COUNT", "DUPLICATE_COUNT", "UNIQUE_COUNT")]
+        plan[t] = checks
+    return plan
+
+
+_CONFIGURED_SQL = "\nUNION ALL\n".join(
+    checks_sql(t, f"{DB}.{SCHEMA}.{t}", chs) for t, chs in _configured_checks().items())
+
+
+@register("measure_configured", _CONFIGURED_SQL)
+def measure_configured(spark, sf_dir):
+    """Catalog -> configuration -> measurement: the real tables' schemas are expanded into
+    checks (ROW_COUNT, FRESHNESS on the first date/time-named column, NULL / DUPLICATE /
+    UNIQUE on every column), then the checks frame is measured table by table."""
+    checks = CK.expand_checks(schemas_columns({t: read_table(spark, sf_dir, t) for t in SAMPLED},
+                                              DB, SCHEMA))
+    return measure_checks(spark, checks, as_of=AS_OF,
+                          resolver=lambda db, schema, table: read_table(spark, sf_dir, table))

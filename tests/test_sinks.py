@@ -120,3 +120,22 @@ def test_file_stream_reads_directory_tables(spark, sf_dir):
     key = lambda r: r.window_start
     assert [(r.window_start, r.row_count) for r in sorted(a, key=key)] == \
            [(r.window_start, r.row_count) for r in sorted(b, key=key)]
+
+
+def test_measure_checks_on_catalog_tables(spark):
+    from tessera.operators.metrics import measure_checks, measure_checks_in_jobs
+    spark.sql("DROP TABLE IF EXISTS tq_m")
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id long, s string").write.saveAsTable("tq_m")
+    checks = spark.createDataFrame(
+        [("spark_catalog", "default", "tq_m", "ROW_COUNT", None),
+         ("spark_catalog", "default", "tq_m", "DUPLICATE_COUNT", "s"),
+         ("spark_catalog", "default", "tq_m", "NULL_COUNT", "s"),
+         ("spark_catalog", "default", "missing_table", "ROW_COUNT", None)],
+        "table_catalog string, table_schema string, table_name string, metric_name string, column_name string")
+    got = {(r.table_name, r.column_name, r.metric_name): r.value for r in measure_checks(spark, checks).collect()}
+    assert got[("spark_catalog.default.tq_m", None, "ROW_COUNT")] == 3
+    assert got[("spark_catalog.default.tq_m", "s", "DUPLICATE_COUNT")] == 1
+    assert got[("spark_catalog.default.tq_m", "s", "NULL_COUNT")] == 1
+    assert got[("spark_catalog.default.missing_table", None, "ROW_COUNT")] is None
+    jobs = list(measure_checks_in_jobs(spark, checks, tables_per_job=1))
+    assert len(jobs) == 2 and sum(j.count() for j in jobs) == 4
