@@ -16,7 +16,7 @@ from tessera.plans.metric_queries import SUITE, plan_sql, run_plan
 from tessera.plans.monitor_queries import MONITOR_SQL, monitors
 from tessera.plans.oracle_sql import sql_fq, sql_quote
 from tessera.session import scratch_path, unique_name
-from tessera.sinks.tables import append_and_read, export_csv, read_csv
+from tessera.sinks.tables import append_and_read, export_csv, read_csv, with_hash_id
 from tessera.sources.fixtures import audit_log, contact_refs, measurement_log, thresholds
 
 _HCOLS = ("history_id, database_name, schema_name, object_type, object_name, column_name, "
@@ -220,6 +220,10 @@ def results_append(spark, sf_dir):
     res = M.threshold_status(res, thresholds(spark))
     res = res.withColumn("sql_executed", metric_statement(
         "database_name", "schema_name", "table_name", "monitor_name", "column_name"))
+    # ids: a content hash (no autoincrement, no global ordering; a re-run gets the same ids)
+    res = with_hash_id(res, "result_id", ["monitor_name", "database_name", "schema_name", "table_name",
+                                          "column_name", "measurement_time"])
+    res = res.withColumn("record_inserted_at", F.col("measurement_time"))
     # results are bounded by the number of checks: one task (one file) per date partition
     res = res.withColumn("measurement_date", F.to_date("measurement_time")).repartition("measurement_date")
     out = append_and_read(res, "quality_results", partition_by=["measurement_date"])
