@@ -33,8 +33,8 @@ def databases(objects: DataFrame, sort: bool = True) -> DataFrame:
 def schemas(objects: DataFrame, database: str | None = None, sort: bool = True) -> DataFrame:
     """Distinct (database, schema) pairs except the system schema, sorted."""
     df = objects
-    if database is not None:
-        df = df.filter(F.col("table_catalog") == database)
+    if database is not None:          # names compare case-insensitively on both sides
+        df = df.filter(F.upper(F.col("table_catalog")) == database.upper())
     out = (df.filter(~F.col("table_schema").isin(*SYSTEM_SCHEMAS))
            .select(F.col("table_catalog").alias("database_name"),
                    F.col("table_schema").alias("schema_name"))
@@ -48,8 +48,8 @@ def objects_listing(objects: DataFrame, database: str | None = None,
     sorted by (database, schema, name) -- ``sort=False`` when the listing only feeds a join
     or an aggregate (a global sort there is wasted work)."""
     df = objects
-    if database is not None:
-        df = df.filter(F.col("table_catalog") == database)
+    if database is not None:          # names compare case-insensitively on both sides
+        df = df.filter(F.upper(F.col("table_catalog")) == database.upper())
     if schema is not None:
         df = df.filter(F.upper(F.col("table_schema")) == schema.upper())
 

@@ -341,3 +341,12 @@ def test_batched_distinct_equals_per_column(spark, frame):
     ec = [Check("UNIQUE_COUNT", "a"), Check("DUPLICATE_COUNT", "b")]
     assert _vals(measure(empty, ec, "t", distinct_batch=2)) == {("a", "UNIQUE_COUNT"): 0.0,
                                                                 ("b", "DUPLICATE_COUNT"): 0.0}
+
+
+def test_name_filters_are_case_insensitive(spark):
+    from tessera.operators import catalog as C
+    objs = spark.createDataFrame([("MyDb", "Sales", "t1", "BASE TABLE", None, "no")],
+                                 "table_catalog string, table_schema string, table_name string, "
+                                 "table_type string, comment string, is_secure string")
+    assert C.objects_listing(objs, "MYDB", "sales").count() == 1
+    assert C.schemas(objs, "mydb").count() == 1
