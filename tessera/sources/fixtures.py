@@ -7,96 +7,80 @@ plain projections. They grow with the scale factor like the tables they come fro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.config import config_frame
 from tessera.sources.tables import read_table
 
 
-def _tag(prefix: str, c: Column) -> Column:
-    return F.concat(F.lit(prefix), c.cast("string"))
-
-
 def measurement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native-style measurement log: one row per measured value (from ``events``).
 
     Argument types/names are arrays as in the warehouse log (empty for table metrics).
     """
-    e = read_table(spark, sf_dir, "events")
-    et = F.col("event_type")
-    table_level = et == "view"
-    no_args = F.array().cast("array<string>")
-    return e.select(
-        F.col("event_id").alias("result_id"),
-        F.when(et == "view", "ROW_COUNT").when(et == "click", "NULL_COUNT")
-         .when(et == "purchase", "UNIQUE_COUNT").when(et == "signup", "FRESHNESS")
-         .otherwise("DUPLICATE_COUNT").alias("metric_name"),
-        _tag("DB", F.col("user_id") % 3).alias("table_database"),
-        _tag("S", F.col("user_id") % 2).alias("table_schema"),
-        _tag("T", F.col("user_id") % 50).alias("table_name"),
-        F.when(table_level, no_args).otherwise(F.array(F.lit("COLUMN"))).alias("argument_types"),
-        F.when(table_level, no_args)
-         .otherwise(F.array(_tag("C", F.col("event_id") % 4))).alias("argument_names"),
-        F.when(F.col("event_id") % 17 == 0, F.lit(None).cast("double"))
-         .otherwise(F.col("value")).alias("value"),
-        F.col("ts").alias("measurement_time"),
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "event_id AS result_id",
+        "CASE event_type WHEN 'view' THEN 'ROW_COUNT' WHEN 'click' THEN 'NULL_COUNT' "
+        "WHEN 'purchase' THEN 'UNIQUE_COUNT' WHEN 'signup' THEN 'FRESHNESS' "
+        "ELSE 'DUPLICATE_COUNT' END AS metric_name",
+        "concat('DB', CAST(user_id % 3 AS STRING)) AS table_database",
+        "concat('S', CAST(user_id % 2 AS STRING)) AS table_schema",
+        "concat('T', CAST(user_id % 50 AS STRING)) AS table_name",
+        "CASE WHEN event_type = 'view' THEN CAST(array() AS array<string>) "
+        "ELSE array('COLUMN') END AS argument_types",
+        "CASE WHEN event_type = 'view' THEN CAST(array() AS array<string>) "
+        "ELSE array(concat('C', CAST(event_id % 4 AS STRING))) END AS argument_names",
+        "CASE WHEN event_id % 17 = 0 THEN CAST(NULL AS DOUBLE) ELSE value END AS value",
+        "ts AS measurement_time",
     )
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Description/metric/contact change history (from ``events``)."""
-    e = read_table(spark, sf_dir, "events")
-    k = F.col("event_id") % 7
-    return e.select(
-        F.col("event_id").alias("history_id"),
-        _tag("DB", F.col("user_id") % 3).alias("database_name"),
-        _tag("S", F.col("user_id") % 2).alias("schema_name"),
-        F.when(k == 0, "TABLE").when(k == 1, "VIEW").when(k == 2, "COLUMN")
-         .when(k == 3, "DMF_ROW_COUNT").when(k == 4, "DMF_NULL_COUNT_COLUMN")
-         .when(k == 5, "CONTACT_STEWARD").otherwise("CONTACT_SUPPORT").alias("object_type"),
-        _tag("T", F.col("user_id") % 50).alias("object_name"),
-        F.when(k.isin(2, 4), _tag("C", F.col("event_id") % 4)).alias("column_name"),
-        F.when(F.col("event_id") % 3 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("old "), F.col("event_type"))).alias("before_description"),
-        F.concat(F.lit("new "), F.col("event_type")).alias("after_description"),
-        _tag("user", F.col("user_id") % 7).alias("updated_by"),
-        F.col("ts").alias("updated_at"),
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "event_id AS history_id",
+        "concat('DB', CAST(user_id % 3 AS STRING)) AS database_name",
+        "concat('S', CAST(user_id % 2 AS STRING)) AS schema_name",
+        "CASE event_id % 7 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'VIEW' WHEN 2 THEN 'COLUMN' "
+        "WHEN 3 THEN 'DMF_ROW_COUNT' WHEN 4 THEN 'DMF_NULL_COUNT_COLUMN' "
+        "WHEN 5 THEN 'CONTACT_STEWARD' ELSE 'CONTACT_SUPPORT' END AS object_type",
+        "concat('T', CAST(user_id % 50 AS STRING)) AS object_name",
+        "CASE WHEN event_id % 7 IN (2, 4) THEN concat('C', CAST(event_id % 4 AS STRING)) END "
+        "AS column_name",
+        "CASE WHEN event_id % 3 = 0 THEN CAST(NULL AS STRING) ELSE concat('old ', event_type) END "
+        "AS before_description",
+        "concat('new ', event_type) AS after_description",
+        "concat('user', CAST(user_id % 7 AS STRING)) AS updated_by",
+        "ts AS updated_at",
     )
 
 
 def account_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog objects / account tables (from ``part``): blank, empty and NULL comments."""
-    p = read_table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    return p.select(
-        _tag("DB", k % 3).alias("table_catalog"),
-        _tag("S", k % 2).alias("table_schema"),
-        _tag("T", k).alias("table_name"),
-        F.when(k % 5 == 0, "VIEW").when(k % 11 == 0, "EXTERNAL TABLE")
-         .otherwise("BASE TABLE").alias("table_type"),
-        F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 1, "")
-         .when(k % 4 == 2, "  ").otherwise(F.col("p_name")).alias("comment"),
-        F.when(k % 13 == 0, F.lit(None).cast("string")).when(k % 17 == 0, "APPLICATION")
-         .otherwise("ROLE").alias("owner_role_type"),
-        F.when(k % 9 == 0, "yes").otherwise("no").alias("is_secure"),
+    return read_table(spark, sf_dir, "part").selectExpr(
+        "concat('DB', CAST(p_partkey % 3 AS STRING)) AS table_catalog",
+        "concat('S', CAST(p_partkey % 2 AS STRING)) AS table_schema",
+        "concat('T', CAST(p_partkey AS STRING)) AS table_name",
+        "CASE WHEN p_partkey % 5 = 0 THEN 'VIEW' WHEN p_partkey % 11 = 0 THEN 'EXTERNAL TABLE' "
+        "ELSE 'BASE TABLE' END AS table_type",
+        "CASE p_partkey % 4 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '' WHEN 2 THEN '  ' "
+        "ELSE p_name END AS comment",
+        "CASE WHEN p_partkey % 13 = 0 THEN CAST(NULL AS STRING) WHEN p_partkey % 17 = 0 "
+        "THEN 'APPLICATION' ELSE 'ROLE' END AS owner_role_type",
+        "CASE WHEN p_partkey % 9 = 0 THEN 'yes' ELSE 'no' END AS is_secure",
     )
 
 
 def contact_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact references (from ``customer``): several per purpose, deleted ones."""
-    c = read_table(spark, sf_dir, "customer")
-    seg = F.col("c_mktsegment")
-    return c.select(
-        F.col("c_name").alias("contact_name"),
-        F.lit("GOV").alias("contact_database"),
-        F.lit("PUBLIC").alias("contact_schema"),
-        F.when(seg == "BUILDING", "STEWARD").when(seg == "MACHINERY", "SUPPORT")
-         .when(seg == "HOUSEHOLD", "ACCESS_APPROVAL").otherwise("GENERAL").alias("contact_purpose"),
-        _tag("DB", F.col("c_custkey") % 100 % 3).alias("object_database"),
-        _tag("S", F.col("c_custkey") % 100 % 2).alias("object_schema"),
-        _tag("T", F.col("c_custkey") % 100).alias("object_name"),
-        F.when(F.col("c_acctbal") < 0, F.col("c_custkey")).alias("object_deleted"),
+    return read_table(spark, sf_dir, "customer").selectExpr(
+        "c_name AS contact_name", "'GOV' AS contact_database", "'PUBLIC' AS contact_schema",
+        "CASE c_mktsegment WHEN 'BUILDING' THEN 'STEWARD' WHEN 'MACHINERY' THEN 'SUPPORT' "
+        "WHEN 'HOUSEHOLD' THEN 'ACCESS_APPROVAL' ELSE 'GENERAL' END AS contact_purpose",
+        "concat('DB', CAST(c_custkey % 100 % 3 AS STRING)) AS object_database",
+        "concat('S', CAST(c_custkey % 100 % 2 AS STRING)) AS object_schema",
+        "concat('T', CAST(c_custkey % 100 AS STRING)) AS object_name",
+        "CASE WHEN c_acctbal < 0 THEN c_custkey END AS object_deleted",
     )
 
 
@@ -114,27 +98,19 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     Names carry the words the freshness heuristic looks for (and SENTIMENT, which holds
     TIME without being temporal); comments cover NULL, '', 'null' and blank.
     """
-    o = read_table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    kind = k % 7
-    prefix = (F.when(kind == 0, "AMOUNT_").when(kind == 1, "NAME_").when(kind == 2, "CREATED_AT_")
-              .when(kind == 3, "SHIP_DATE_").when(kind == 4, "IS_ACTIVE_")
-              .when(kind == 5, "UPDATED_TS_").otherwise("SENTIMENT_"))
-    dtype = (F.when(kind == 0, "NUMBER").when(kind == 1, "TEXT").when(kind == 2, "TIMESTAMP_NTZ")
-             .when(kind == 3, "DATE").when(kind == 4, "BOOLEAN")
-             .when(kind == 5, "TIMESTAMP_LTZ").otherwise("FLOAT"))
-    c5 = k % 5
-    comment = (F.when(c5 == 0, F.lit(None).cast("string")).when(c5 == 1, "")
-               .when(c5 == 2, "null").when(c5 == 3, " ")
-               .otherwise(F.concat(F.col("o_orderpriority"), F.lit(" order"))))
-    return o.select(
-        _tag("DB", F.col("o_custkey") % 3).alias("table_catalog"),
-        _tag("S", F.col("o_custkey") % 2).alias("table_schema"),
-        _tag("T", F.col("o_custkey")).alias("table_name"),
-        F.concat(prefix, k.cast("string")).alias("column_name"),
-        dtype.alias("data_type"),
-        comment.alias("comment"),
-        k.alias("ordinal_position"),
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "concat('DB', CAST(o_custkey % 3 AS STRING)) AS table_catalog",
+        "concat('S', CAST(o_custkey % 2 AS STRING)) AS table_schema",
+        "concat('T', CAST(o_custkey AS STRING)) AS table_name",
+        "concat(CASE o_orderkey % 7 WHEN 0 THEN 'AMOUNT_' WHEN 1 THEN 'NAME_' "
+        "WHEN 2 THEN 'CREATED_AT_' WHEN 3 THEN 'SHIP_DATE_' WHEN 4 THEN 'IS_ACTIVE_' "
+        "WHEN 5 THEN 'UPDATED_TS_' ELSE 'SENTIMENT_' END, CAST(o_orderkey AS STRING)) AS column_name",
+        "CASE o_orderkey % 7 WHEN 0 THEN 'NUMBER' WHEN 1 THEN 'TEXT' WHEN 2 THEN 'TIMESTAMP_NTZ' "
+        "WHEN 3 THEN 'DATE' WHEN 4 THEN 'BOOLEAN' WHEN 5 THEN 'TIMESTAMP_LTZ' ELSE 'FLOAT' END "
+        "AS data_type",
+        "CASE o_orderkey % 5 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '' WHEN 2 THEN 'null' "
+        "WHEN 3 THEN ' ' ELSE concat(o_orderpriority, ' order') END AS comment",
+        "o_orderkey AS ordinal_position",
     )
 
 
