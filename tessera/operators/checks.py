@@ -69,14 +69,20 @@ def expand_checks(columns: DataFrame, column_metrics=("NULL_COUNT", "DUPLICATE_C
     on every compatible column.
     """
     parts = []
-    tables = columns.select(*TABLE_KEYS).distinct()
-    if row_count:
-        parts.append(tables.select(*TABLE_KEYS, F.lit("ROW_COUNT").alias("metric_name"),
-                                   F.lit(None).cast("string").alias("column_name")))
-    if freshness:
-        first = (columns.filter(name_candidate(F.col("column_name"))).groupBy(*TABLE_KEYS)
-                 .agg(F.min_by("column_name", "ordinal_position").alias("column_name")))
-        parts.append(first.select(*TABLE_KEYS, F.lit("FRESHNESS").alias("metric_name"), "column_name"))
+    if row_count or freshness:
+        # one aggregate per table gives both the table rows and its freshness column
+        cand = name_candidate(F.col("column_name"))
+        per_table = columns.groupBy(*TABLE_KEYS).agg(
+            F.min(F.when(cand, F.struct("ordinal_position", "column_name"))).alias("_first"))
+        items = []
+        if row_count:
+            items.append(F.struct(F.lit("ROW_COUNT").alias("metric_name"),
+                                  F.lit(None).cast("string").alias("column_name")))
+        if freshness:
+            items.append(F.struct(F.lit("FRESHNESS").alias("metric_name"),
+                                  F.col("_first.column_name").alias("column_name")))
+        rows = per_table.select(*TABLE_KEYS, F.inline(F.array(*items)))
+        parts.append(rows.filter((F.col("metric_name") != "FRESHNESS") | F.col("column_name").isNotNull()))
     comp = compatible_metrics(columns, column_metrics)
     parts.append(comp.select(*TABLE_KEYS, "metric_name", "column_name"))
     out = reduce(lambda a, b: a.unionByName(b), parts)
