@@ -121,8 +121,10 @@ def table_prompts(objects: DataFrame, columns: DataFrame, samples: DataFrame | N
         F.lit(f"\n\n---SAMPLE DATA (LIMIT {TABLE_SAMPLE_ROWS} ROWS)---\n"),
         F.coalesce(F.col("sample_data"), F.lit(NO_SAMPLE)),
         F.lit("\n\n---TASK---\nDescribe the "), F.lower(kind), F.lit(" "), F.col("table_name"), F.lit("."))
+    keep = ["current_description"] if "current_description" in objects.columns else []
     return df.select(*OBJ_KEYS, kind.alias("object_type"), F.coalesce("n_columns", F.lit(0)).alias("n_columns"),
-                     F.coalesce("column_list", F.lit("")).alias("column_list"), prompt.alias("prompt"))
+                     F.coalesce("column_list", F.lit("")).alias("column_list"), prompt.alias("prompt"),
+                     *keep)
 
 
 def column_prompts(columns: DataFrame, samples: DataFrame | None = None) -> DataFrame:
@@ -144,7 +146,8 @@ def column_prompts(columns: DataFrame, samples: DataFrame | None = None) -> Data
         F.lit(f"\n\n---SAMPLE DATA (LIMIT {COLUMN_SAMPLE_VALUES} ROWS)---\n"),
         F.coalesce(F.col("sample_data"), F.lit(NO_SAMPLE)),
         F.lit("\n\n---TASK---\nDescribe the column "), F.col("column_name"), F.lit("."))
-    return df.select(*OBJ_KEYS, "column_name", "data_type", prompt.alias("prompt"))
+    keep = ["current_description"] if "current_description" in columns.columns else []
+    return df.select(*OBJ_KEYS, "column_name", "data_type", prompt.alias("prompt"), *keep)
 
 
 # ---------------------------------------------------------------- completion
@@ -266,25 +269,24 @@ def generate_descriptions(objects: DataFrame, columns: DataFrame, generation_typ
     if gt not in GENERATION_TYPES:
         raise ValueError(validate_request("x", "x", None, gt))
     parts = []
+    # the current description rides along with each prompt (no join back to the listing)
     if gt in ("TABLE", "BOTH"):
-        tp = table_prompts(objects.select(*OBJ_KEYS, "object_type"), columns, table_samples)
+        tp = table_prompts(objects.select(*OBJ_KEYS, "object_type", "current_description"),
+                           columns, table_samples)
         tp = (complete_with(tp, completer) if completer else
               tp.withColumn("description", template_table_description(tp))
                 .withColumn("error", F.lit(None).cast("string")))
-        cur = objects.select(*OBJ_KEYS, F.col("current_description").alias("before_description"))
-        parts.append(clean(tp).join(cur, OBJ_KEYS, "left").select(
+        parts.append(clean(tp).select(
             F.col("object_type").alias("kind"), *OBJ_KEYS, F.lit(None).cast("string").alias("column_name"),
-            "before_description", "description", "error"))
+            F.col("current_description").alias("before_description"), "description", "error"))
     if gt in ("COLUMN", "BOTH"):
         cp = column_prompts(columns, column_samples_df)
         cp = (complete_with(cp, completer) if completer else
               cp.withColumn("description", template_column_description())
                 .withColumn("error", F.lit(None).cast("string")))
-        cur = columns.select(*OBJ_KEYS, "column_name",
-                             F.col("current_description").alias("before_description"))
-        parts.append(clean(cp).join(cur, OBJ_KEYS + ["column_name"], "left").select(
-            F.lit("COLUMN").alias("kind"), *OBJ_KEYS, "column_name", "before_description",
-            "description", "error"))
+        parts.append(clean(cp).select(
+            F.lit("COLUMN").alias("kind"), *OBJ_KEYS, "column_name",
+            F.col("current_description").alias("before_description"), "description", "error"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
