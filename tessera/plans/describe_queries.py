@@ -13,8 +13,7 @@ from tessera.operators.metrics import measure_checks
 from tessera.operators.catalog import columns_listing
 from tessera.operators.history import description_change_rows
 from tessera.plans.base import AS_OF, register
-from tessera.plans.history_queries import _comment_sql
-from tessera.plans.oracle_sql import checks_sql
+from tessera.plans.oracle_sql import checks_sql, comment_statement_sql
 from tessera.sinks.tables import append_and_read
 from tessera.plans.catalog_queries import COL_LISTING_SQL, OBJ_LISTING_SQL, listing
 from tessera.plans.fixture_sql import with_ctes
@@ -323,7 +322,7 @@ def unresolved_selection(spark, sf_dir):
 @register("describe_and_log", with_ctes(f"""
 SELECT database_name, schema_name, object_type, table_name AS object_name, column_name,
   nullif(before_description, '') AS before_description, nullif(description, '') AS after_description,
-  {_comment_sql('object_type', 'database_name', 'schema_name', 'table_name', 'column_name', 'description')}
+  {comment_statement_sql('object_type', 'database_name', 'schema_name', 'table_name', 'column_name', 'description')}
     AS sql_executed,
   'tessera' AS updated_by, CAST(TIMESTAMP '{AS_OF}' AS TIMESTAMP) AS updated_at
 FROM (SELECT *, CASE kind WHEN 'COLUMN' THEN 'COLUMN' WHEN 'VIEW' THEN 'VIEW' ELSE 'TABLE' END AS object_type

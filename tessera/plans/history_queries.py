@@ -14,7 +14,7 @@ from tessera.plans.base import AS_OF, register
 from tessera.plans.fixture_sql import THRESH, with_ctes
 from tessera.plans.metric_queries import SUITE, plan_sql, run_plan
 from tessera.plans.monitor_queries import MONITOR_SQL, monitors
-from tessera.plans.oracle_sql import sql_fq, sql_quote
+from tessera.plans.oracle_sql import comment_statement_sql, sql_fq, sql_quote
 from tessera.session import scratch_path, unique_name
 from tessera.sinks.tables import append_and_read, export_csv, read_csv, with_hash_id
 from tessera.sources.fixtures import audit_log, contact_refs, measurement_log, thresholds
@@ -58,21 +58,13 @@ _OUT = ("database_name, schema_name, object_type, object_name, column_name, befo
         "after_description, sql_executed, updated_by, updated_at")
 
 
-def _comment_sql(ot, db, sc, tb, col, text):
-    body = f"' IS ''' || coalesce(replace({text}, '''', ''''''), '') || ''';'"
-    return (f"CASE WHEN {ot} = 'TABLE' THEN 'COMMENT ON TABLE ' || {sql_fq(db, sc, tb)} || {body} "
-            f"WHEN {ot} = 'COLUMN' AND {col} IS NOT NULL AND {col} <> '' THEN 'COMMENT ON COLUMN ' || "
-            f"{sql_fq(db, sc, tb)} || '.' || {sql_quote(col)} || {body} "
-            f"ELSE '-- ' || {ot} || ' description update' END")
-
-
 @register("history_append_descriptions", with_ctes(f"""
 SELECT {_OUT} FROM (
   SELECT database_name, schema_name, object_type, object_name,
     CASE WHEN object_type = 'COLUMN' THEN column_name END AS column_name,
     nullif(before_description, '') AS before_description,
     nullif(after_description, '') AS after_description,
-    {_comment_sql('object_type', 'database_name', 'schema_name', 'object_name',
+    {comment_statement_sql('object_type', 'database_name', 'schema_name', 'object_name',
                   "CASE WHEN object_type = 'COLUMN' THEN column_name END", 'after_description')}
       AS sql_executed,
     'tessera' AS updated_by, CAST(TIMESTAMP '{AS_OF}' AS TIMESTAMP) AS updated_at

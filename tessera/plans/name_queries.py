@@ -9,8 +9,7 @@ from tessera.functions import names as N
 from tessera.functions import text as X
 from tessera.plans.base import register
 from tessera.plans.fixture_sql import with_ctes
-from tessera.plans.history_queries import _comment_sql
-from tessera.plans.oracle_sql import sql_fq, sql_quote
+from tessera.plans.oracle_sql import comment_statement_sql, sql_fq, sql_quote
 from tessera.sources.fixtures import audit_log, measurement_log
 from tessera.sources.tables import read_table
 
@@ -69,7 +68,7 @@ _DESC_TYPES = "('TABLE', 'VIEW', 'COLUMN')"
 
 
 @register("render_comment_sql", with_ctes(f"""
-SELECT history_id, {_comment_sql('object_type', 'database_name', 'schema_name', 'object_name',
+SELECT history_id, {comment_statement_sql('object_type', 'database_name', 'schema_name', 'object_name',
                                  'column_name', 'txt')} AS sql_executed
 FROM (SELECT *, CASE WHEN history_id % 4 = 0 THEN after_description || ' it''s ''quoted'''
                      ELSE after_description END AS txt

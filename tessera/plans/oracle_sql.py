@@ -77,3 +77,12 @@ def sql_quote(e: str) -> str:
 
 def sql_fq(db: str, schema: str, table: str) -> str:
     return f"({sql_quote(db)} || '.' || {sql_quote(schema)} || '.' || {sql_quote(table)})"
+
+
+def comment_statement_sql(ot, db, sc, tb, col, text):
+    """DuckDB CASE rendering the COMMENT statement recorded with a description change."""
+    body = f"' IS ''' || coalesce(replace({text}, '''', ''''''), '') || ''';'"
+    return (f"CASE WHEN {ot} = 'TABLE' THEN 'COMMENT ON TABLE ' || {sql_fq(db, sc, tb)} || {body} "
+            f"WHEN {ot} = 'COLUMN' AND {col} IS NOT NULL AND {col} <> '' THEN 'COMMENT ON COLUMN ' || "
+            f"{sql_fq(db, sc, tb)} || '.' || {sql_quote(col)} || {body} "
+            f"ELSE '-- ' || {ot} || ' description update' END")
