@@ -78,7 +78,7 @@ def column_samples(df: DataFrame, table: str, key: str, columns=None,
                      *[F.col("`%s`" % c).cast("string").alias(f"_c{i}") for i, c in enumerate(cols)])
            .orderBy("_h").limit(n))
     from pyspark.sql import Window
-    ranked = top.withColumn("sample_rank", F.row_number().over(Window.orderBy("_h")))
+    ranked = top.withColumn("sample_rank", F.row_number().over(Window.orderBy("_h")).cast("long"))
     return ranked.select(F.lit(table).alias("table_name"), "sample_rank", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias("value_text"))
         for i, c in enumerate(cols)]))).select("table_name", "column_name", "sample_rank", "value_text")
@@ -205,7 +205,7 @@ def length_violations(suggestions: DataFrame) -> DataFrame:
     limit = F.when(F.col("kind") == "COLUMN", F.lit(COLUMN_LIMIT)).otherwise(F.lit(TABLE_LIMIT))
     n = F.char_length("description")
     return (suggestions.filter(n > limit)
-            .withColumn("length", n).withColumn("limit", limit))
+            .withColumn("length", n.cast("long")).withColumn("limit", limit))
 
 
 # ---------------------------------------------------------------- merge, selection

@@ -190,7 +190,7 @@ SELECT event_id, kind, every, hr AS hour, mi AS minute FROM (
     CASE event_id % 4 WHEN 0 THEN 'minutes' WHEN 1 THEN 'hours' WHEN 2 THEN 'daily' ELSE 'changes' END AS kind,
     CASE event_id % 4 WHEN 0 THEN {_list(X.PERIODIC_MINUTES)}[user_id % {len(X.PERIODIC_MINUTES)} + 1]
          WHEN 1 THEN {_list(X.PERIODIC_HOURS)}[user_id % {len(X.PERIODIC_HOURS)} + 1] END AS every,
-    CASE WHEN event_id % 4 = 2 THEN hour(ts) END AS hr,
+    CASE WHEN event_id % 4 = 2 THEN CAST(hour(ts) AS INTEGER) END AS hr,
     CASE WHEN event_id % 4 = 2 THEN {_list(X.DAILY_MINUTES)}[user_id % {len(X.DAILY_MINUTES)} + 1] END AS mi
   FROM events) e""")
 def schedule_parse(spark, sf_dir):
