@@ -32,6 +32,10 @@ def column_comment_sql(table: str, column: str, text: str | None) -> str:
     return f"ALTER TABLE {_table_ident(table)} ALTER COLUMN {_ident(column)} COMMENT {_literal(text)}"
 
 
+def view_comment_sql(view: str, text: str | None) -> str:
+    return f"ALTER VIEW {_table_ident(view)} SET TBLPROPERTIES ('comment' = {_literal(text)})"
+
+
 @dataclass
 class ApplyReport:
     succeeded: int = 0
@@ -112,7 +116,10 @@ def apply_suggestions(spark: SparkSession, suggestions: DataFrame, name_col: str
             _run(spark, table_comment_sql(t, text), report)
     for v, cols in view_cols.items():
         try:
-            recreate_view(spark, v, cols, view_desc.get(v), report)
+            if not cols:            # description only: a property change, no re-creation
+                _run(spark, view_comment_sql(v, view_desc.get(v)), report)
+            else:
+                recreate_view(spark, v, cols, view_desc.get(v), report)
         except Exception as e:
             report.failed.append((v, str(e).splitlines()[0][:300]))
     return report

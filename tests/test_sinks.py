@@ -139,3 +139,17 @@ def test_measure_checks_on_catalog_tables(spark):
     assert got[("spark_catalog.default.missing_table", None, "ROW_COUNT")] is None
     jobs = list(measure_checks_in_jobs(spark, checks, tables_per_job=1))
     assert len(jobs) == 2 and sum(j.count() for j in jobs) == 4
+
+
+def test_view_description_only_is_a_property_change(spark):
+    spark.sql("DROP VIEW IF EXISTS tq_v2")
+    spark.sql("DROP TABLE IF EXISTS tq_base2")
+    spark.range(2).write.saveAsTable("tq_base2")
+    spark.sql("CREATE VIEW tq_v2 (id COMMENT 'kept') AS SELECT id FROM tq_base2")
+    sugg = spark.createDataFrame([("tq_v2", None, "just the view")],
+                                 "table_ident string, column_name string, description string")
+    rep = C.apply_suggestions(spark, sugg)
+    assert rep.failed == [] and rep.succeeded == 1
+    info = {r[0]: r[1] for r in spark.sql("DESCRIBE TABLE EXTENDED tq_v2").collect()}
+    assert info.get("Comment") == "just the view"
+    assert _comment(spark, "tq_v2", "id") == "kept"
