@@ -115,11 +115,26 @@ _DISTINCT_STATS = {
     "UNIQUE_COUNT": "count(v)",
     "DUPLICATE_COUNT": "coalesce(sum(CASE WHEN v IS NOT NULL THEN n END) - count(v), 0)",
     "DUPLICATE_VALUES": "count_if(v IS NOT NULL AND n > 1)",
+    # the value groups also carry the NULL group and the row total: NULL_COUNT,
+    # NULL_PERCENT and ROW_COUNT come free with a column's distinct metrics
+    "NULL_COUNT": "coalesce(sum(CASE WHEN v IS NULL THEN n END), 0)",
+    "ROWS": "coalesce(sum(n), 0)",
 }
+# metrics the group counts give exactly (same double operations as the scan builders)
+_FROM_GROUPS = {
+    "UNIQUE_COUNT": "CAST(UNIQUE_COUNT AS DOUBLE)",
+    "DUPLICATE_COUNT": "CAST(DUPLICATE_COUNT AS DOUBLE)",
+    "DUPLICATE_VALUES": "CAST(DUPLICATE_VALUES AS DOUBLE)",
+    "NULL_COUNT": "CAST(NULL_COUNT AS DOUBLE)",
+    "NULL_PERCENT": "CASE WHEN ROWS > 0 THEN CAST(100.0 AS DOUBLE) * NULL_COUNT / ROWS END",
+    "ROW_COUNT": "CAST(ROWS AS DOUBLE)",
+}
+DERIVED_FROM_GROUPS = ("NULL_COUNT", "NULL_PERCENT", "ROW_COUNT")
 
 
 def _distinct_stats(df: DataFrame, cid: int, column: str) -> DataFrame:
-    """One row (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES) for one column."""
+    """One stats row (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES, NULL_COUNT,
+    ROWS) for one column."""
     groups = df.groupBy(col_ref(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.expr(f"{cid} AS cid"),
                       *[F.expr(f"{e} AS {m}") for m, e in _DISTINCT_STATS.items()])
@@ -151,17 +166,19 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]]) -> DataFr
         on = f"cid = {cid} AND present"
         aggs += [F.expr(f"count_if({on}) AS u{cid}"),
                  F.expr(f"coalesce(sum(CASE WHEN {on} THEN n END), 0) - count_if({on}) AS s{cid}"),
-                 F.expr(f"count_if({on} AND n > 1) AS r{cid}")]
-    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}" for cid, _ in batch)
+                 F.expr(f"count_if({on} AND n > 1) AS r{cid}"),
+                 F.expr(f"coalesce(sum(CASE WHEN cid = {cid} AND NOT present THEN n END), 0) AS z{cid}"),
+                 F.expr(f"coalesce(sum(CASE WHEN cid = {cid} THEN n END), 0) AS t{cid}")]
+    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}, z{cid}, t{cid}" for cid, _ in batch)
     return groups.agg(*aggs).selectExpr(
-        f"stack({len(batch)}, {rows}) AS (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES)")
+        f"stack({len(batch)}, {rows}) AS (cid, {', '.join(_DISTINCT_STATS)})")
 
 
 def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
                    batch: int = 1) -> DataFrame:
-    """All distinct metrics of a table: stats rows per column (``batch`` columns per scan),
-    unioned, then one long shaping step that keeps only the requested (column, metric)
-    pairs."""
+    """All group-count metrics of a table: stats rows per column (``batch`` columns per
+    scan), unioned, then one long shaping step that keeps only the requested (column,
+    metric) pairs. ROW_COUNT, when asked for, is taken from the first column's groups."""
     cols = list(by_column)
     if batch <= 1:
         frames = [_distinct_stats(df, i, c) for i, c in enumerate(cols)]
@@ -170,13 +187,15 @@ def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
         frames = [_distinct_stats_batch(df, ids[k:k + batch]) for k in range(0, len(ids), batch)]
     stats = reduce(lambda a, b: a.union(b), [f.select("cid", *_DISTINCT_STATS) for f in frames])
     names = "array(" + ", ".join(sql_literal(c) for c in cols) + ")"
-    metrics = ", ".join(f"{sql_literal(m)}, CAST({m} AS DOUBLE)" for m in _DISTINCT_STATS)
+    metrics = ", ".join(f"{sql_literal(m)}, {e}" for m, e in _FROM_GROUPS.items())
     wanted = ", ".join(sql_literal(f"{i}:{m}") for i, c in enumerate(cols) for m in by_column[c])
     return (stats.selectExpr(f"{sql_literal(table)} AS table_name",
                              f"element_at({names}, cid + 1) AS column_name", "cid",
-                             f"stack({len(_DISTINCT_STATS)}, {metrics}) AS (metric_name, value)")
+                             f"stack({len(_FROM_GROUPS)}, {metrics}) AS (metric_name, value)")
             .where(f"concat(cid, ':', metric_name) IN ({wanted})")
-            .select("table_name", "column_name", "metric_name", "value"))
+            .selectExpr("table_name",
+                        "CASE WHEN metric_name = 'ROW_COUNT' THEN CAST(NULL AS STRING) "
+                        "ELSE column_name END AS column_name", "metric_name", "value"))
 
 
 # ACCEPTED_VALUES with more values than this is evaluated as an anti-join against the
@@ -233,6 +252,19 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
             scan.append((ch, m))
         else:
             by_column.setdefault(ch.column, []).append(m.name)
+    if by_column:
+        # NULL_COUNT / NULL_PERCENT of a column that is grouped anyway, and ROW_COUNT, come
+        # from the group counts: no second read of those columns
+        first = next(iter(by_column))
+        rest = []
+        for ch, m in scan:
+            if m.name in ("NULL_COUNT", "NULL_PERCENT") and ch.column in by_column:
+                by_column[ch.column].append(m.name)
+            elif m.name == "ROW_COUNT":
+                by_column[first].append("ROW_COUNT")
+            else:
+                rest.append((ch, m))
+        scan = rest
 
     if materialize and (len(by_column) + len(domain) + (1 if scan else 0)) > 1:
         from tessera.session import checkpoint_root
