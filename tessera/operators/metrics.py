@@ -259,7 +259,7 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
         first = next(iter(by_column))
         rest = []
         for ch, m in scan:
-            if m.name in ("NULL_COUNT", "NULL_PERCENT") and ch.column in by_column:
+            if m.name in DERIVED_FROM_GROUPS and m.level == "column" and ch.column in by_column:
                 by_column[ch.column].append(m.name)
             elif m.name == "ROW_COUNT":
                 by_column[first].append("ROW_COUNT")
