@@ -2,6 +2,7 @@
 = ROW_COUNT, UNIQUE + DUPLICATE = count(c), union form = Expand form = a plain Python
 count, and invariance under row order and partitioning."""
 
+import datetime as dt
 from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
@@ -53,3 +54,26 @@ def test_hot_value_is_counted_whole(spark, n_hot, n_cold):
     got = _vals(measure(df, [Check("UNIQUE_COUNT", "x"), Check("DUPLICATE_COUNT", "x")], "t"))
     assert got[("x", "UNIQUE_COUNT")] == 1 + n_cold
     assert got[("x", "DUPLICATE_COUNT")] == n_hot - 1
+
+
+mixed = st.lists(st.tuples(
+    st.one_of(st.none(), st.integers(-2, 2)),
+    st.one_of(st.none(), st.sampled_from(["x", "y", ""])),
+    st.one_of(st.none(), st.sampled_from([0.0, -0.0, 1.5, float("nan")])),
+    st.one_of(st.none(), st.sampled_from([dt.date(2024, 1, 1), dt.date(2024, 1, 2)]))),
+    min_size=0, max_size=30)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=mixed)
+def test_batched_plan_equals_per_column_on_mixed_types(spark, rows):
+    df = spark.createDataFrame(rows, "i int, s string, d double, t date")
+    checks = [Check("ROW_COUNT")] + [Check(m, c) for c in ("i", "s", "d", "t") for m in
+                                     ("NULL_COUNT", "NULL_PERCENT", "UNIQUE_COUNT",
+                                      "DUPLICATE_COUNT", "DUPLICATE_VALUES")]
+    per_column = _vals(measure(df, checks, "t", distinct_batch=1))
+    batched = _vals(measure(df, checks, "t", distinct_batch=4))
+    assert per_column == batched
+    # and both equal the plain scan aggregates for the NULL / ROW metrics
+    scan = _vals(measure(df, [c for c in checks if c.metric in ("ROW_COUNT", "NULL_COUNT", "NULL_PERCENT")], "t"))
+    assert {k: v for k, v in batched.items() if k in scan} == scan
