@@ -16,7 +16,8 @@ from tessera.functions.text import (column_description, has_description, object_
 
 # System databases/schemas left out of listings, the listed object types,
 # and the flag spellings that mark a secure view.
-SYSTEM_DATABASES = ("SNOWFLAKE", "INFORMATION_SCHEMA")
+WAREHOUSE_DATABASE = "SNOWFLAKE"          # the warehouse's own system database
+SYSTEM_DATABASES = (WAREHOUSE_DATABASE, "INFORMATION_SCHEMA")
 SYSTEM_SCHEMAS = ("INFORMATION_SCHEMA",)
 LISTED_TYPES = ("BASE TABLE", "VIEW")
 SECURE_FLAGS = ("YES", "TRUE", "Y", "1")

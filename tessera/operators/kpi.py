@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank
-from tessera.operators.catalog import SYSTEM_DATABASES, databases, schemas
+from tessera.operators.catalog import SYSTEM_DATABASES, WAREHOUSE_DATABASE, databases, schemas
 from tessera.operators.scalars import combine
 
 SCHEMA_SAMPLE_DATABASES = 3
@@ -19,7 +19,7 @@ SCHEMA_SAMPLE_DATABASES = 3
 def kpi_tables(account_tables: DataFrame) -> DataFrame:
     """Account tables the documentation KPI counts (NULL role types drop out of ``<>``)."""
     return account_tables.filter(
-        ~F.col("table_catalog").isin("SNOWFLAKE") & F.col("table_catalog").isNotNull()
+        ~F.col("table_catalog").isin(WAREHOUSE_DATABASE) & F.col("table_catalog").isNotNull()
         & F.col("table_type").ilike("%table%") & (F.col("owner_role_type") != "APPLICATION"))
 
 

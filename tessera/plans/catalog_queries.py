@@ -10,6 +10,7 @@ from tessera.plans.base import register
 from tessera.plans.fixture_sql import with_ctes
 from tessera.sources.fixtures import account_objects, catalog_columns
 
+_SYSTEM_DBS = ", ".join(f"'{d}'" for d in C.SYSTEM_DATABASES)
 NONBLANK = "regexp_matches({c}, '[^ \\t\\n\\x0B\\f\\r]')"
 
 
@@ -42,9 +43,9 @@ def col_listing(spark, sf_dir, sort=True):
     return C.columns_listing(catalog_columns(spark, sf_dir), sort=sort)
 
 
-@register("inventory_databases", with_ctes("""
+@register("inventory_databases", with_ctes(f"""
 SELECT DISTINCT table_catalog AS database_name FROM objs
-WHERE table_catalog IS NOT NULL AND table_catalog NOT IN ('SNOWFLAKE', 'INFORMATION_SCHEMA')""", "objs"))
+WHERE table_catalog IS NOT NULL AND table_catalog NOT IN ({_SYSTEM_DBS})""", "objs"))
 def inventory_databases(spark, sf_dir):
     return C.databases(account_objects(spark, sf_dir))
 

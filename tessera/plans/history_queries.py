@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.names import metric_statement
+from tessera.functions.names import METRIC_NAMESPACE, metric_statement
 from tessera.operators import history as H
 from tessera.operators import monitor as M
 from tessera.operators.contacts import contact_change_requests, contact_path
@@ -195,7 +195,7 @@ SELECT {_RESULTS_OUT} FROM (
          ELSE 'FAIL' END AS status,
     CAST(TIMESTAMP '{AS_OF}' AS TIMESTAMP) AS measurement_time,
     'ALTER TABLE ' || {sql_fq("'TESTDATA'", "'PUBLIC'", 'm.table_name')} ||
-      ' ADD DATA METRIC FUNCTION SNOWFLAKE.CORE.' || m.metric_name || ' ON (' ||
+      ' ADD DATA METRIC FUNCTION {METRIC_NAMESPACE}.' || m.metric_name || ' ON (' ||
       coalesce({sql_quote('m.column_name')}, '') || ');' AS sql_executed
   FROM m LEFT JOIN thresh t ON m.metric_name = t.metric_name) s""")
 def results_append(spark, sf_dir):

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import kpi as KP
+from tessera.operators.catalog import SYSTEM_DATABASES, WAREHOUSE_DATABASE
 from tessera.operators.contacts import live
 from tessera.plans.base import register
 from tessera.plans.fixture_sql import with_ctes
 from tessera.plans.monitor_queries import results
 from tessera.sources.fixtures import account_objects, contact_refs, measurement_log
 
-_KPI_WHERE = ("table_catalog NOT IN ('SNOWFLAKE') AND table_catalog IS NOT NULL "
+_SYSTEM_DBS = ", ".join(f"'{d}'" for d in SYSTEM_DATABASES)
+_KPI_WHERE = (f"table_catalog NOT IN ('{WAREHOUSE_DATABASE}') AND table_catalog IS NOT NULL "
               "AND table_type ILIKE '%table%' AND owner_role_type <> 'APPLICATION'")
 _NONBLANK = "regexp_matches(comment, '[^ \\t\\n\\x0B\\f\\r]')"
 _DOC = f"""
@@ -42,7 +44,7 @@ def kpi_monitors_exact(spark, sf_dir):
 
 _SCH = "(SELECT DISTINCT table_catalog AS d, table_schema AS s FROM objs WHERE table_schema NOT IN ('INFORMATION_SCHEMA'))"
 _DBS = ("(SELECT DISTINCT table_catalog AS d FROM objs WHERE table_catalog IS NOT NULL "
-        "AND table_catalog NOT IN ('SNOWFLAKE', 'INFORMATION_SCHEMA'))")
+        f"AND table_catalog NOT IN ({_SYSTEM_DBS}))")
 _FIRST = f"(SELECT d FROM {_DBS} x ORDER BY d LIMIT 3)"
 _EST = f"""CAST(CASE WHEN (SELECT count(*) FROM {_FIRST} f) > 0
   THEN floor((SELECT count(*) FROM {_SCH} s WHERE d IN (SELECT d FROM {_FIRST} f2))

@@ -136,9 +136,10 @@ def test_quote_identifier(spark):
 
 
 def test_parse_statement(spark):
-    stmts = ['ALTER TABLE DB.S.T ADD DATA METRIC FUNCTION SNOWFLAKE.CORE.ROW_COUNT ON ();',
-             'alter table db.s."my t" add data metric function snowflake.core.null_count ON ("c 1");',
-             "ALTER TABLE T ADD DATA METRIC FUNCTION SNOWFLAKE.CORE.UNIQUE_COUNT ON ( 'c' );",
+    ns = N.METRIC_NAMESPACE
+    stmts = [f'ALTER TABLE DB.S.T ADD DATA METRIC FUNCTION {ns}.ROW_COUNT ON ();',
+             f'alter table db.s."my t" add data metric function {ns.lower()}.null_count ON ("c 1");',
+             f"ALTER TABLE T ADD DATA METRIC FUNCTION {ns}.UNIQUE_COUNT ON ( 'c' );",
              "something else"]
     out = _one(spark, N.parse_metric_statement, stmts)
     assert tuple(out[0]) == ("T", "ROW_COUNT", None)
