@@ -167,31 +167,42 @@ def template_column_description() -> Column:
 
 
 def complete_with(prompts: DataFrame, completer: Callable[[pd.Series], pd.Series],
-                  prompt_col: str = "prompt", out_col: str = "description") -> DataFrame:
-    """Run a Python completer over the prompts, one Arrow batch at a time per partition.
+                  prompt_col: str = "prompt", out_col: str = "description",
+                  batch_size: int = 64) -> DataFrame:
+    """Run a Python completer over the prompts: per partition, Arrow batches cut into
+    chunks of ``batch_size`` prompts (one completer call each -- e.g. one model request).
 
-    A batch that raises is retried row by row; a failing row gets a NULL description and
-    its error text (the job goes on, as the reference continues after a failed item)."""
+    A chunk that raises is retried item by item; a failing item gets a NULL description
+    and its error text (the job goes on, as the reference continues after a failed item)."""
     schema = T.StructType(prompts.schema.fields + [
         T.StructField(out_col, T.StringType()), T.StructField("error", T.StringType())])
 
+    def complete_chunk(chunk: pd.Series) -> tuple[list, list]:
+        try:
+            out = list(pd.Series(completer(chunk)).astype(object))
+            if len(out) != len(chunk):
+                raise ValueError(f"completer returned {len(out)} texts for {len(chunk)} prompts")
+            return out, [None] * len(chunk)
+        except Exception:
+            vals, errs = [], []
+            for p in chunk:
+                try:
+                    vals.append(pd.Series(completer(pd.Series([p]))).iloc[0])
+                    errs.append(None)
+                except Exception as e:  # isolate the failing item
+                    vals.append(None)
+                    errs.append(str(e)[:500])
+            return vals, errs
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            try:
-                out = pd.Series(completer(pdf[prompt_col]), index=pdf.index).astype(object)
-                err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            except Exception:
-                vals, errs = [], []
-                for p in pdf[prompt_col]:
-                    try:
-                        vals.append(completer(pd.Series([p])).iloc[0])
-                        errs.append(None)
-                    except Exception as e:  # isolate the failing item
-                        vals.append(None)
-                        errs.append(str(e)[:500])
-                out = pd.Series(vals, index=pdf.index, dtype=object)
-                err = pd.Series(errs, index=pdf.index, dtype=object)
-            yield pdf.assign(**{out_col: out, "error": err})
+            vals, errs = [], []
+            for k in range(0, len(pdf), batch_size):
+                v, e = complete_chunk(pdf[prompt_col].iloc[k:k + batch_size].reset_index(drop=True))
+                vals += v
+                errs += e
+            yield pdf.assign(**{out_col: pd.Series(vals, index=pdf.index, dtype=object),
+                                "error": pd.Series(errs, index=pdf.index, dtype=object)})
 
     return prompts.mapInPandas(run, schema)
 

@@ -351,3 +351,15 @@ def test_name_filters_are_case_insensitive(spark):
                                  "table_type string, comment string, is_secure string")
     assert C.objects_listing(objs, "MYDB", "sales").count() == 1
     assert C.schemas(objs, "mydb").count() == 1
+
+
+def test_completer_sees_bounded_chunks(spark):
+    prompts = spark.createDataFrame([(f"p{i}",) for i in range(25)], "prompt string").coalesce(1)
+
+    def completer(s: pd.Series) -> pd.Series:
+        assert len(s) <= 10
+        return "d:" + s
+
+    rows = D.complete_with(prompts, completer, batch_size=10).collect()
+    assert sorted(r.description for r in rows) == sorted(f"d:p{i}" for i in range(25))
+    assert all(r.error is None for r in rows)
