@@ -309,7 +309,7 @@ def measure_expand(df: DataFrame, checks, table_name: str, *, as_of=None) -> Dat
 
     Distinct metrics become ``count(DISTINCT c)`` which Catalyst plans as Expand x (k+1)
     plus two aggregates. Kept for sources that cannot be re-scanned cheaply (a
-    micro-batch frame) and as the benchmark counterpart of the union form.
+    micro-batch frame) and as the benchmark counterpart of the batched plan.
     """
     ok, failed = validate_checks(df, checks)
     aggs, items = [], []

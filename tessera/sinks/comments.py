@@ -90,7 +90,8 @@ def recreate_view(spark: SparkSession, view: str, column_comments: dict[str, str
 
 def apply_suggestions(spark: SparkSession, suggestions: DataFrame, name_col: str = "table_ident") -> ApplyReport:
     """Apply (``table_ident``, ``column_name`` or NULL, ``description``) rows: tables get
-    COMMENT / ALTER COLUMN statements; views are re-created once with all their comments."""
+    COMMENT / ALTER COLUMN statements; a view with column comments is re-created once with
+    all of them, a view with only a new description gets a property update."""
     report = ApplyReport()
     view_cols: dict[str, dict[str, str | None]] = {}
     view_desc: dict[str, str | None] = {}
