@@ -77,9 +77,10 @@ def column_samples(df: DataFrame, table: str, key: str, columns=None,
     top = (df.select(F.md5(F.col(key).cast("string")).alias("_h"),
                      *[F.col("`%s`" % c).cast("string").alias(f"_c{i}") for i, c in enumerate(cols)])
            .orderBy("_h").limit(n))
-    from pyspark.sql import Window
-    ranked = top.withColumn("sample_rank", F.row_number().over(Window.orderBy("_h")).cast("long"))
-    return ranked.select(F.lit(table).alias("table_name"), "sample_rank", F.inline(F.array(*[
+    # rank within the n sampled rows (the window only ever sees the top-n of one table)
+    ranked = (top.withColumn("table_name", F.lit(table))
+              .withColumn("sample_rank", F.row_number().over(_w_order("table_name", "_h")).cast("long")))
+    return ranked.select("table_name", "sample_rank", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias("value_text"))
         for i, c in enumerate(cols)]))).select("table_name", "column_name", "sample_rank", "value_text")
 
