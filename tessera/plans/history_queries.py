@@ -16,7 +16,7 @@ from tessera.plans.metric_queries import SUITE, plan_sql, run_plan
 from tessera.plans.monitor_queries import MONITOR_SQL, monitors
 from tessera.plans.oracle_sql import comment_statement_sql, sql_fq, sql_quote
 from tessera.session import scratch_path, unique_name
-from tessera.sinks.tables import append_and_read, export_csv, read_csv, with_hash_id
+from tessera.sinks.tables import append_and_read, export_csv, read_csv, with_hash_id, write_run
 from tessera.sources.fixtures import audit_log, contact_refs, measurement_log, thresholds
 
 _HCOLS = ("history_id, database_name, schema_name, object_type, object_name, column_name, "
@@ -216,8 +216,13 @@ def results_append(spark, sf_dir):
     res = with_hash_id(res, "result_id", ["monitor_name", "database_name", "schema_name", "table_name",
                                           "column_name", "measurement_time"])
     res = res.withColumn("record_inserted_at", F.col("measurement_time"))
-    # results are bounded by the number of checks: one task (one file) per date partition
-    res = res.withColumn("measurement_date", F.to_date("measurement_time")).repartition("measurement_date")
-    out = append_and_read(res, "quality_results", partition_by=["measurement_date"])
+    # results are bounded by the number of checks: one task (one file) per run partition;
+    # the run (date + run id) is written idempotently, so a re-run replaces, not duplicates
+    res = (res.withColumn("measurement_date", F.to_date("measurement_time"))
+              .withColumn("run_id", F.date_format("measurement_time", "yyyyMMddHHmmss"))
+              .repartition("measurement_date", "run_id"))
+    path = scratch_path(spark, "quality_results", unique_name("quality_results"))
+    write_run(res, path, ["measurement_date", "run_id"])
+    out = spark.read.parquet(path)
     return out.select(*[c.strip() for c in _RESULTS_OUT.split(",")])
 

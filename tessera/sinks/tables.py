@@ -22,6 +22,15 @@ def append_table(df: DataFrame, path: str, partition_by=None) -> str:
     return path
 
 
+def write_run(df: DataFrame, path: str, partition_by) -> str:
+    """Idempotent write of one run: dynamic partition overwrite, so a re-run of the same
+    run (same partition values, e.g. measurement date + run id) replaces its partitions
+    instead of appending a second copy; other runs' partitions are untouched."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*partition_by).parquet(path))
+    return path
+
+
 def append_and_read(df: DataFrame, kind: str, partition_by=None) -> DataFrame:
     """Append into a fresh log location under the shared root and read it back."""
     spark = df.sparkSession

@@ -153,3 +153,15 @@ def test_view_description_only_is_a_property_change(spark):
     info = {r[0]: r[1] for r in spark.sql("DESCRIBE TABLE EXTENDED tq_v2").collect()}
     assert info.get("Comment") == "just the view"
     assert _comment(spark, "tq_v2", "id") == "kept"
+
+
+def test_rerun_of_a_run_replaces_its_partition(spark):
+    from tessera.sinks.tables import write_run
+    path = scratch_path(spark, "results", unique_name("rerun"))
+    run1 = spark.createDataFrame([("2024-01-01", "r1", 1.0), ("2024-01-01", "r1", 2.0)],
+                                 "measurement_date string, run_id string, v double")
+    run2 = spark.createDataFrame([("2024-01-02", "r2", 3.0)], "measurement_date string, run_id string, v double")
+    write_run(run1, path, ["measurement_date", "run_id"])
+    write_run(run2, path, ["measurement_date", "run_id"])
+    write_run(run1, path, ["measurement_date", "run_id"])          # re-run after a failure
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 3.0]
