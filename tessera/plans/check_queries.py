@@ -1,4 +1,5 @@
-"""Registered check-configuration queries."""
+"""Registered check-configuration queries (M13-M15, A15) and the configuration audit flow
+(K2 via X4: statements parsed back)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,5 @@
-"""Registered description queries."""
+"""Registered description queries (S10, S11, D2-D6, J2, J3, U3, A16), the documentation flow
+into the audit log (K1) and configured measurement of the real tables (M11)."""
 
 from __future__ import annotations
 

@@ -1,7 +1,7 @@
 """Oracle-side (DuckDB) definitions of the derived inputs in ``tessera.sources.fixtures``.
 
-Written independently in SQL; the Spark side builds the same tables with the DataFrame
-API. Each constant is the body of a CTE.
+Written separately in DuckDB SQL; the Spark side builds the same tables with its own
+Spark SQL projections. Each constant is the body of a CTE.
 """
 
 QR = """

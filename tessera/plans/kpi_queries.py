@@ -1,4 +1,4 @@
-"""Registered KPI queries."""
+"""Registered KPI queries (A9-A14) and dashboard number formatting."""
 
 from __future__ import annotations
 
