@@ -120,6 +120,8 @@ _DISTINCT_STATS = {
     # NULL_PERCENT and ROW_COUNT come free with a column's distinct metrics
     "NULL_COUNT": "coalesce(sum(CASE WHEN v IS NULL THEN n END), 0)",
     "ROWS": "coalesce(sum(n), 0)",
+    # typed extremes over the value groups (NULL when the column's type has none)
+    "MIN_D": None, "MAX_D": None, "FRESH": None,
 }
 # metrics the group counts give exactly (same double operations as the scan builders)
 _FROM_GROUPS = {
@@ -129,19 +131,36 @@ _FROM_GROUPS = {
     "NULL_COUNT": "CAST(NULL_COUNT AS DOUBLE)",
     "NULL_PERCENT": "CASE WHEN ROWS > 0 THEN CAST(100.0 AS DOUBLE) * NULL_COUNT / ROWS END",
     "ROW_COUNT": "CAST(ROWS AS DOUBLE)",
+    "MIN": "MIN_D",
+    "MAX": "MAX_D",
+    "FRESHNESS": "FRESH",
 }
-DERIVED_FROM_GROUPS = ("NULL_COUNT", "NULL_PERCENT", "ROW_COUNT")
+DERIVED_FROM_GROUPS = ("NULL_COUNT", "NULL_PERCENT", "ROW_COUNT", "MIN", "MAX", "FRESHNESS")
 
 
-def _distinct_stats(df: DataFrame, cid: int, column: str) -> DataFrame:
+def _extremes(dtype: T.DataType, value: str, as_of) -> dict[str, str]:
+    """SQL for MIN_D / MAX_D / FRESH over ``value`` (the same results as the scan builders:
+    extremes of the distinct values are the extremes of the rows)."""
+    none = "CAST(NULL AS DOUBLE)"
+    if isinstance(dtype, T.NumericType):
+        return {"MIN_D": f"CAST(min({value}) AS DOUBLE)", "MAX_D": f"CAST(max({value}) AS DOUBLE)",
+                "FRESH": none}
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        clock = "current_timestamp()" if as_of is None else f"to_timestamp({sql_literal(str(as_of))})"
+        return {"MIN_D": none, "MAX_D": none,
+                "FRESH": f"CAST(unix_timestamp({clock}) - unix_timestamp(max({value})) AS DOUBLE)"}
+    return {"MIN_D": none, "MAX_D": none, "FRESH": none}
+
+
+def _distinct_stats(df: DataFrame, cid: int, column: str, as_of=None) -> DataFrame:
     """One stats row (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES, NULL_COUNT,
-    ROWS) for one column."""
+    ROWS, MIN_D, MAX_D, FRESH) for one column."""
+    exprs = {**_DISTINCT_STATS, **_extremes(_field_types(df)[column], "v", as_of)}
     groups = df.groupBy(col_ref(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.expr(f"{cid} AS cid"),
-                      *[F.expr(f"{e} AS {m}") for m, e in _DISTINCT_STATS.items()])
+    return groups.agg(F.expr(f"{cid} AS cid"), *[F.expr(f"{e} AS {m}") for m, e in exprs.items()])
 
 
-def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]]) -> DataFrame:
+def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=None) -> DataFrame:
     """Stats rows for several columns from ONE scan: every row becomes one typed entry per
     column -- struct(cid, one field per distinct type, only the column's own field set) --
     so values keep their type (no string casts) and one group-by serves the batch."""
@@ -160,32 +179,37 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]]) -> DataFr
     isnull = " AND ".join(f"{f} IS NULL" for f in fcols)
     groups = (df.selectExpr(f"inline(array({', '.join(entries)}))")
               .groupBy("cid", *fcols).agg(F.count(F.lit(1)).alias("n"))
-              .selectExpr("cid", f"NOT ({isnull}) AS present", "n"))
+              .selectExpr("cid", *fcols, f"NOT ({isnull}) AS present", "n"))
     # one global aggregate (always one row, also for an empty table), then one row per column
+    types = _field_types(df)
     aggs = []
-    for cid, _ in batch:
+    for cid, c in batch:
         on = f"cid = {cid} AND present"
+        ext = _extremes(types[c], f"CASE WHEN cid = {cid} THEN f{slots[dtypes[c]]} END", as_of)
         aggs += [F.expr(f"count_if({on}) AS u{cid}"),
                  F.expr(f"coalesce(sum(CASE WHEN {on} THEN n END), 0) - count_if({on}) AS s{cid}"),
                  F.expr(f"count_if({on} AND n > 1) AS r{cid}"),
                  F.expr(f"coalesce(sum(CASE WHEN cid = {cid} AND NOT present THEN n END), 0) AS z{cid}"),
-                 F.expr(f"coalesce(sum(CASE WHEN cid = {cid} THEN n END), 0) AS t{cid}")]
-    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}, z{cid}, t{cid}" for cid, _ in batch)
+                 F.expr(f"coalesce(sum(CASE WHEN cid = {cid} THEN n END), 0) AS t{cid}"),
+                 F.expr(f"{ext['MIN_D']} AS lo{cid}"), F.expr(f"{ext['MAX_D']} AS hi{cid}"),
+                 F.expr(f"{ext['FRESH']} AS fr{cid}")]
+    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}, z{cid}, t{cid}, lo{cid}, hi{cid}, fr{cid}"
+                     for cid, _ in batch)
     return groups.agg(*aggs).selectExpr(
         f"stack({len(batch)}, {rows}) AS (cid, {', '.join(_DISTINCT_STATS)})")
 
 
 def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
-                   batch: int = 1) -> DataFrame:
+                   batch: int = 1, as_of=None) -> DataFrame:
     """All group-count metrics of a table: stats rows per column (``batch`` columns per
     scan), unioned, then one long shaping step that keeps only the requested (column,
     metric) pairs. ROW_COUNT, when asked for, is taken from the first column's groups."""
     cols = list(by_column)
     if batch <= 1:
-        frames = [_distinct_stats(df, i, c) for i, c in enumerate(cols)]
+        frames = [_distinct_stats(df, i, c, as_of) for i, c in enumerate(cols)]
     else:
         ids = list(enumerate(cols))
-        frames = [_distinct_stats_batch(df, ids[k:k + batch]) for k in range(0, len(ids), batch)]
+        frames = [_distinct_stats_batch(df, ids[k:k + batch], as_of) for k in range(0, len(ids), batch)]
     stats = reduce(lambda a, b: a.union(b), [f.select("cid", *_DISTINCT_STATS) for f in frames])
     names = "array(" + ", ".join(sql_literal(c) for c in cols) + ")"
     metrics = ", ".join(f"{sql_literal(m)}, {e}" for m, e in _FROM_GROUPS.items())
@@ -259,7 +283,8 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
         first = next(iter(by_column))
         rest = []
         for ch, m in scan:
-            if m.name in DERIVED_FROM_GROUPS and m.level == "column" and ch.column in by_column:
+            if (m.name in DERIVED_FROM_GROUPS and m.level == "column" and ch.column in by_column
+                    and not ch.params):
                 by_column[ch.column].append(m.name)
             elif m.name == "ROW_COUNT":
                 by_column[first].append("ROW_COUNT")
@@ -290,7 +315,7 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
         parts.append(df.agg(*aggs).selectExpr(_stack(table_name, items)))
 
     if by_column:
-        parts.append(_distinct_part(df, table_name, by_column, distinct_batch))
+        parts.append(_distinct_part(df, table_name, by_column, distinct_batch, as_of))
 
     for ch in domain:
         parts.append(_domain_branch(df, table_name, ch))
