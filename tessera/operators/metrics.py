@@ -11,8 +11,8 @@ Plan shape, per table:
   Batches are unioned into the same job; Parquet pruning reads only a batch's columns.
   This avoids the Expand x (k+1) row multiplication Catalyst uses for k ``countDistinct``
   in one ``agg``, and keeps the number of scan tasks at (splits x batches), not
-  (splits x columns). The same group counts give NULL_COUNT, NULL_PERCENT and ROW_COUNT,
-  so a column with distinct metrics is read exactly once.
+  (splits x columns). The same value groups give NULL_COUNT, NULL_PERCENT, ROW_COUNT,
+  MIN, MAX and FRESHNESS, so a column with distinct metrics is read exactly once.
 
 Results come back long: ``table_name, column_name, metric_name, value`` (value is double).
 """
