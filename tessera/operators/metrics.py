@@ -112,7 +112,7 @@ def _stack(table: str, items: list[tuple[str | None, str, str]]) -> str:
 # the task count by the number of columns.
 DISTINCT_BATCH = 4
 
-_DISTINCT_STATS = {
+_COUNT_STATS = {
     "UNIQUE_COUNT": "count(v)",
     "DUPLICATE_COUNT": "coalesce(sum(CASE WHEN v IS NOT NULL THEN n END) - count(v), 0)",
     "DUPLICATE_VALUES": "count_if(v IS NOT NULL AND n > 1)",
@@ -120,9 +120,9 @@ _DISTINCT_STATS = {
     # NULL_PERCENT and ROW_COUNT come free with a column's distinct metrics
     "NULL_COUNT": "coalesce(sum(CASE WHEN v IS NULL THEN n END), 0)",
     "ROWS": "coalesce(sum(n), 0)",
-    # typed extremes over the value groups (NULL when the column's type has none)
-    "MIN_D": None, "MAX_D": None, "FRESH": None,
 }
+# one stats row per column: the counts plus typed extremes (see _extremes)
+_STATS_COLUMNS = [*_COUNT_STATS, "MIN_D", "MAX_D", "FRESH"]
 # metrics the group counts give exactly (same double operations as the scan builders)
 _FROM_GROUPS = {
     "UNIQUE_COUNT": "CAST(UNIQUE_COUNT AS DOUBLE)",
@@ -155,7 +155,7 @@ def _extremes(dtype: T.DataType, value: str, as_of) -> dict[str, str]:
 def _distinct_stats(df: DataFrame, cid: int, column: str, as_of=None) -> DataFrame:
     """One stats row (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES, NULL_COUNT,
     ROWS, MIN_D, MAX_D, FRESH) for one column."""
-    exprs = {**_DISTINCT_STATS, **_extremes(_field_types(df)[column], "v", as_of)}
+    exprs = {**_COUNT_STATS, **_extremes(_field_types(df)[column], "v", as_of)}
     groups = df.groupBy(col_ref(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.expr(f"{cid} AS cid"), *[F.expr(f"{e} AS {m}") for m, e in exprs.items()])
 
@@ -196,7 +196,7 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=Non
     rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}, z{cid}, t{cid}, lo{cid}, hi{cid}, fr{cid}"
                      for cid, _ in batch)
     return groups.agg(*aggs).selectExpr(
-        f"stack({len(batch)}, {rows}) AS (cid, {', '.join(_DISTINCT_STATS)})")
+        f"stack({len(batch)}, {rows}) AS (cid, {', '.join(_STATS_COLUMNS)})")
 
 
 def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
@@ -210,7 +210,7 @@ def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
     else:
         ids = list(enumerate(cols))
         frames = [_distinct_stats_batch(df, ids[k:k + batch], as_of) for k in range(0, len(ids), batch)]
-    stats = reduce(lambda a, b: a.union(b), [f.select("cid", *_DISTINCT_STATS) for f in frames])
+    stats = reduce(lambda a, b: a.union(b), [f.select("cid", *_STATS_COLUMNS) for f in frames])
     names = "array(" + ", ".join(sql_literal(c) for c in cols) + ")"
     metrics = ", ".join(f"{sql_literal(m)}, {e}" for m, e in _FROM_GROUPS.items())
     wanted = ", ".join(sql_literal(f"{i}:{m}") for i, c in enumerate(cols) for m in by_column[c])
