@@ -363,3 +363,15 @@ def test_completer_sees_bounded_chunks(spark):
     rows = D.complete_with(prompts, completer, batch_size=10).collect()
     assert sorted(r.description for r in rows) == sorted(f"d:p{i}" for i in range(25))
     assert all(r.error is None for r in rows)
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, None, 3.0)], ["a b", "x.y", "we`ird"])
+    checks = [Check("ROW_COUNT")] + [Check(m, c) for c in ("a b", "x.y", "we`ird")
+                                     for m in ("NULL_COUNT", "UNIQUE_COUNT", "DUPLICATE_COUNT")]
+    checks += [Check("MAX", "we`ird"), Check("MIN", "a b")]
+    for b in (1, 4):
+        v = _vals(measure(df, checks, "t", distinct_batch=b))
+        assert v[(None, "ROW_COUNT")] == 2
+        assert v[("a b", "DUPLICATE_COUNT")] == 1 and v[("x.y", "NULL_COUNT")] == 1
+        assert v[("we`ird", "MAX")] == 3.0 and v[("a b", "MIN")] == 1.0
