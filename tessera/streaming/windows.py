@@ -102,23 +102,41 @@ def stream_distinct_counts(stream: DataFrame, ts: str, key: str, duration: str,
                              "unique_count", "duplicate_count")
 
 
-def run_available(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def _start_with_state_partitions(spark: SparkSession, writer, state_partitions: int | None):
+    """Start a query with a deliberate number of state partitions: a stateful stream keeps
+    the shuffle partition count of its first start for its whole life (it is stored in
+    the checkpoint), so it is sized here -- by default to the cluster's parallelism."""
+    n = state_partitions or spark.sparkContext.defaultParallelism
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, prev)
+
+
+def run_available(df: DataFrame, name: str, output_mode: str = "append",
+                  state_partitions: int | None = None) -> DataFrame:
     """Run a streaming frame over everything available into a Parquet table under the
     shared root (exactly-once file sink + checkpoint), then return the table."""
     spark = df.sparkSession
     out = scratch_path(spark, "streams", unique_name(name))
-    q = (df.writeStream.format("parquet").outputMode(output_mode)
+    w = (df.writeStream.format("parquet").outputMode(output_mode)
          .option("checkpointLocation", out + "/_checkpoint").option("path", out + "/data")
-         .trigger(availableNow=True).start())
+         .trigger(availableNow=True))
+    q = _start_with_state_partitions(spark, w, state_partitions)
     q.awaitTermination()
     return spark.read.parquet(out + "/data")
 
 
-def start_periodic(df: DataFrame, path: str, checkpoint: str, every: str = "30 minutes"):
+def start_periodic(df: DataFrame, path: str, checkpoint: str, every: str = "30 minutes",
+                   state_partitions: int | None = None):
     """A periodic schedule ('Every N minutes/hours'): a processing-time trigger."""
-    return (df.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", checkpoint).option("path", path)
-            .trigger(processingTime=every).start())
+    w = (df.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint).option("path", path)
+         .trigger(processingTime=every))
+    return _start_with_state_partitions(df.sparkSession, w, state_partitions)
 
 
 def on_change(stream: DataFrame, checks, table_name: str, name: str = "on_change",
