@@ -1,5 +1,7 @@
 """Catalog comment sinks (K5, K6), readable-view probe (F12), log appends and exports."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tessera.sinks import comments as C
@@ -165,3 +167,22 @@ def test_rerun_of_a_run_replaces_its_partition(spark):
     write_run(run2, path, ["measurement_date", "run_id"])
     write_run(run1, path, ["measurement_date", "run_id"])          # re-run after a failure
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 3.0]
+
+
+def test_python_workers_need_no_installed_package(tmp_path):
+    """From another working directory, a mapInPandas completer still runs: package code is
+    pickled by value to the Python workers."""
+    import subprocess
+    import sys as _sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.queries()['describe_columns_pandas'](spark, '/root/testdata/sf0.001').count())\n"
+    ) % root
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([_sys.executable, "-c", script], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "ROWS " in out.stdout, out.stderr[-2000:]
