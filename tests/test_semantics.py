@@ -375,3 +375,24 @@ def test_odd_column_names(spark):
         assert v[(None, "ROW_COUNT")] == 2
         assert v[("a b", "DUPLICATE_COUNT")] == 1 and v[("x.y", "NULL_COUNT")] == 1
         assert v[("we`ird", "MAX")] == 3.0 and v[("a b", "MIN")] == 1.0
+
+
+def test_measure_checks_in_jobs_equals_one_union(spark, sf_dir):
+    from tessera.operators import checks as CK
+    from tessera.operators.metrics import measure_checks, measure_checks_in_jobs
+    from tessera.sources.catalog import schemas_columns
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region", "supplier")}
+    checks = CK.expand_checks(schemas_columns(frames, "", ""))
+    resolver = lambda db, schema, table: frames[table]
+    key = lambda t: tuple("" if x is None else str(x) for x in t)
+    one = sorted((tuple(r) for r in measure_checks(spark, checks, resolver=resolver).collect()), key=key)
+    parts = [tuple(r) for df in measure_checks_in_jobs(spark, checks, 1, resolver=resolver)
+             for r in df.collect()]
+    assert one == sorted(parts, key=key) and len(one) > 10
+
+
+def test_distinct_counts_on_empty_frame(spark):
+    from tessera.operators.scalars import distinct_counts
+    df = spark.createDataFrame([], "a string, b string")
+    row = distinct_counts(df, {"ua": "a", "ub": "b"}, total="n").collect()[0]
+    assert (row.n, row.ua, row.ub) == (0, 0, 0)
