@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,13 +46,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, stream checkpoints and written intermediates.
 
-    Read from ``spark.checkpoint.dir`` (a cluster names a shared folder there). Only
-    when it is unset -- local tests -- a private temporary folder is created and set.
+    Read from ``spark.checkpoint.dir`` (a cluster names a shared folder there). Only on a
+    ``local`` master, where driver and executors are one machine, an unset value falls back
+    to a private temporary folder; anywhere else an unset value is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset on master {master}: "
+                             "name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -61,22 +66,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint root (never a machine-local folder)."""
+    """A path under the shared checkpoint root."""
     return "/".join([checkpoint_root(spark), "tessera", *parts])
 
 
 def unique_name(prefix: str) -> str:
-    return f"{prefix}_{os.getpid()}_{next(_counter)}"
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    """A folder name no other run, driver or process has used."""
+    return f"{prefix}_{uuid.uuid4().hex}"
 
 
 def size_shuffle_partitions(spark: SparkSession, total_input_bytes: int,
