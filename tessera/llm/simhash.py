@@ -118,8 +118,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
                        for t, m in enumerate(masks)])
     rows = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    multi = (rows.groupBy("t", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-             .where("a != b").select("t", "key"))
+    # written, so that the join below is between two plain shuffles and a hot bucket splits
+    multi = materialize(rows.groupBy("t", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+                        .where("a != b").select("t", "key"), "simhash_buckets")
     flips = F.array(*[F.array(*[F.lit(_signed(f)) for f in _flips(m, radius)]) for m in masks])
     near = rows.join(multi, ["t", "key"]).select(
         "fp", "t", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
