@@ -310,7 +310,9 @@ def remove_repeats(docs: DataFrame, units: Units, compare: Compare) -> DataFrame
     texts = materialize(texts, "repeat_texts")
     runs = (rows.join(texts.select("rid"), "rid", "left_semi")
             .select("rid", F.explode("runs").alias("r")).select("rid", "r.key", "r.start", "r.n"))
-    several = runs.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    # written, so that the join below is between two plain shuffles and a hot minimiser splits
+    several = materialize(runs.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"),
+                          "repeat_keys")
     candidates = (runs.join(several, "key").groupBy("rid")
                   .agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")))
     chosen = candidates.join(texts.select("rid", "digest", "first_id"), "rid")
