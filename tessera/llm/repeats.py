@@ -335,7 +335,8 @@ def remove_repeats(docs: DataFrame, units: Units, compare: Compare) -> DataFrame
     marks = same_string.unionByName(
         _compare_chunks(_packed(held, pieces.join(met, "key", "left_semi").select(columns), units), units, compare)
     ).unionByName(_count_windows(_packed(held, pieces.join(crowded, "key", "left_semi").select(columns), units), units))
-    marks = marks.groupBy("piece").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+    # written for the same reason: a string that very many texts share
+    marks = materialize(marks.groupBy("piece").agg(F.collect_list(F.struct("s", "e")).alias("marks")), "repeat_marks")
     spans = (found.select("rid", "start", "piece").join(marks, "piece")
              .select("rid", F.explode("marks").alias("m"), "start")
              .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
