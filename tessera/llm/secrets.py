@@ -89,7 +89,8 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame
 
     Only pairs of blob and rule version that the ledger lacks are scanned, each once however
     many paths have it; findings then go back to all paths of the blob. Null counts as the
-    empty text, without findings. Repeated rows each get the findings. Other columns are
+    empty text, without findings. Repeated rows (same id and text) each get the findings;
+    where they stand for their blob they are scanned and entered side by side. Other columns are
     ignored; no rows in, no rows out.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
