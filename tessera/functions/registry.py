@@ -58,7 +58,8 @@ def _null_percent(c: Column, p: dict) -> Column:
 
 
 def _accepted(c: Column, p: dict) -> Column:
-    values = list(p.get("values") or [])
+    # a NULL in the list accepts nothing: NULLs of the column are never counted anyway
+    values = [v for v in p.get("values") or [] if v is not None]
     return F.count_if(c.isNotNull() & ~c.isin(values)).cast("double")
 
 

@@ -63,10 +63,9 @@ def objects_listing(objects: DataFrame, database: str | None = None,
             object_description(F.col("comment")).alias("current_description"),
             has_description(F.col("comment")).alias("has_description"))
 
-    tables = df.filter(F.col("table_type") == "BASE TABLE")
     secure = F.upper(F.coalesce(F.col("is_secure").cast("string"), F.lit(""))).isin(*SECURE_FLAGS)
-    views = df.filter((F.col("table_type") == "VIEW") & ~secure)
-    out = (shape(tables).unionByName(shape(views))
+    listed = (F.col("table_type") == "BASE TABLE") | (F.col("table_type") == "VIEW") & ~secure
+    out = (shape(df.filter(listed))
            .filter(F.col("object_name").isNotNull() & (F.col("object_name") != "")))
     return out.orderBy("database_name", "schema_name", "object_name") if sort else out
 

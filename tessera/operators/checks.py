@@ -64,16 +64,18 @@ def expand_checks(columns: DataFrame, column_metrics=("NULL_COUNT", "DUPLICATE_C
                   row_count: bool = True, freshness: bool = True) -> DataFrame:
     """Configuration -> one row per (table, metric, column) with its statement text.
 
-    ROW_COUNT once per table; FRESHNESS once per table on its first name candidate (by
-    ordinal) -- added once even though it is also column-compatible; the column metrics
+    ROW_COUNT once per table; FRESHNESS once per table on a column of a temporal type, one
+    with a time word in its name first, then by ordinal -- added once even though it is also column-compatible; the column metrics
     on every compatible column.
     """
     parts = []
     if row_count or freshness:
         # one aggregate per table gives both the table rows and its freshness column
-        cand = name_candidate(F.col("column_name"))
+        cand = type_matches("FRESHNESS", F.col("data_type"))
+        by_name = name_candidate(F.col("column_name"))
         per_table = columns.groupBy(*TABLE_KEYS).agg(
-            F.min(F.when(cand, F.struct("ordinal_position", "column_name"))).alias("_first"))
+            F.min(F.when(cand, F.struct((~by_name).alias("other_name"), "ordinal_position", "column_name")))
+            .alias("_first"))
         items = []
         if row_count:
             items.append(F.struct(F.lit("ROW_COUNT").alias("metric_name"),

@@ -24,19 +24,20 @@ COLUMN_SAMPLE_VALUES = 10
 TABLE_LIMIT = 150       # characters asked for in table prompts
 COLUMN_LIMIT = 100      # characters asked for in column prompts
 GENERATION_TYPES = ("TABLE", "COLUMN", "BOTH")
-NO_COLUMNS = "No columns found"
-NO_SAMPLE = "Unable to sample data"
+NO_COLUMNS = "(none listed)"
+NO_SAMPLE = "(none at hand)"
 OBJ_KEYS = ["database_name", "schema_name", "table_name"]
 
-_INSTRUCTION = (
-    "Write a short business description for a {what} of an enterprise data warehouse, "
-    "useful to business and technical analysts alike. Use the metadata and sample data "
-    "below; say what the data is for, what it holds and any notable context. Reply with "
-    "the description only, at most {limit} characters.")
+# what is asked for, after the facts
+TABLE_ASK = (f"Tell someone new to this data, in one plain sentence of up to {TABLE_LIMIT} characters, "
+             "what one row stands for and which question it answers.")
+COLUMN_ASK = (f"Tell someone new to this data, in one plain phrase of up to {COLUMN_LIMIT} characters, "
+              "what a value of this field says about its row.")
 
 
 def _render(df: DataFrame) -> Column:
-    return F.concat_ws(" | ", *[F.col("`%s`" % c).cast("string") for c in df.columns])
+    # a NULL cell keeps its place
+    return F.concat_ws(" | ", *[F.coalesce(F.col("`%s`" % c).cast("string"), F.lit("NULL")) for c in df.columns])
 
 
 # ---------------------------------------------------------------- samples
@@ -113,15 +114,10 @@ def table_prompts(objects: DataFrame, columns: DataFrame, samples: DataFrame | N
     else:
         df = df.withColumn("sample_data", F.lit(None).cast("string"))
     kind = F.coalesce(F.col("object_type"), F.lit("TABLE"))
-    what = F.when(kind == "VIEW", F.lit("view")).otherwise(F.lit("table"))
     prompt = F.concat(
-        F.replace(F.lit(_INSTRUCTION.format(what="{what}", limit=TABLE_LIMIT)), F.lit("{what}"), what),
-        F.lit("\n\n---METADATA---\n"), kind, F.lit(" Name: "), F.col("table_name"),
-        F.lit("\nSchema: "), F.col("schema_name"), F.lit("\nDatabase: "), F.col("database_name"),
-        F.lit("\nColumns:\n"), F.coalesce(F.col("columns_text"), F.lit(NO_COLUMNS)),
-        F.lit(f"\n\n---SAMPLE DATA (LIMIT {TABLE_SAMPLE_ROWS} ROWS)---\n"),
-        F.coalesce(F.col("sample_data"), F.lit(NO_SAMPLE)),
-        F.lit("\n\n---TASK---\nDescribe the "), F.lower(kind), F.lit(" "), F.col("table_name"), F.lit("."))
+        F.lower(kind), F.lit(" "), F.col("table_name"), F.lit(" in "), F.col("database_name"), F.lit("."),
+        F.col("schema_name"), F.lit("\nfields:\n"), F.coalesce(F.col("columns_text"), F.lit(NO_COLUMNS)),
+        F.lit("\nexample rows:\n"), F.coalesce(F.col("sample_data"), F.lit(NO_SAMPLE)), F.lit("\n" + TABLE_ASK))
     keep = ["current_description"] if "current_description" in objects.columns else []
     return df.select(*OBJ_KEYS, kind.alias("object_type"), F.coalesce("n_columns", F.lit(0)).alias("n_columns"),
                      F.coalesce("column_list", F.lit("")).alias("column_list"), prompt.alias("prompt"),
@@ -129,24 +125,23 @@ def table_prompts(objects: DataFrame, columns: DataFrame, samples: DataFrame | N
 
 
 def column_prompts(columns: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """One prompt per column; ``samples``: table/column keys + sample_rank, value_text."""
+    """One prompt per column; ``samples``: object keys, column_name, sample_rank, value_text.
+
+    Samples of one database and schema may leave those two keys out."""
     df = columns
     if samples is not None:
-        txt = samples.groupBy("table_name", "column_name").agg(
+        keys = [*(k for k in OBJ_KEYS if k in samples.columns), "column_name"]
+        txt = samples.groupBy(*keys).agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_rank", "value_text"))),
                                      lambda s: F.coalesce(s["value_text"], F.lit("NULL"))), "\n")
             .alias("sample_data"))
-        df = df.join(txt, ["table_name", "column_name"], "left")
+        df = df.join(txt, keys, "left")
     else:
         df = df.withColumn("sample_data", F.lit(None).cast("string"))
     prompt = F.concat(
-        F.lit(_INSTRUCTION.format(what="column", limit=COLUMN_LIMIT)),
-        F.lit("\n\n---METADATA---\nColumn Name: "), F.col("column_name"),
-        F.lit("\nTable Name: "), F.col("table_name"), F.lit("\nSchema: "), F.col("schema_name"),
-        F.lit("\nDatabase: "), F.col("database_name"), F.lit("\nData Type: "), F.col("data_type"),
-        F.lit(f"\n\n---SAMPLE DATA (LIMIT {COLUMN_SAMPLE_VALUES} ROWS)---\n"),
-        F.coalesce(F.col("sample_data"), F.lit(NO_SAMPLE)),
-        F.lit("\n\n---TASK---\nDescribe the column "), F.col("column_name"), F.lit("."))
+        F.lit("field "), F.col("column_name"), F.lit("\nof "), F.col("table_name"), F.lit("\nin "),
+        F.col("database_name"), F.lit("."), F.col("schema_name"), F.lit("\ntype "), F.col("data_type"),
+        F.lit("\nexample values:\n"), F.coalesce(F.col("sample_data"), F.lit(NO_SAMPLE)), F.lit("\n" + COLUMN_ASK))
     keep = ["current_description"] if "current_description" in columns.columns else []
     return df.select(*OBJ_KEYS, "column_name", "data_type", prompt.alias("prompt"), *keep)
 
@@ -192,7 +187,7 @@ def complete_with(prompts: DataFrame, completer: Callable[[pd.Series], pd.Series
                     errs.append(None)
                 except Exception as e:  # isolate the failing item
                     vals.append(None)
-                    errs.append(str(e)[:500])
+                    errs.append(str(e))
             return vals, errs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,13 +250,13 @@ def unresolved_selection(listing: DataFrame, selection: DataFrame) -> DataFrame:
 def validate_request(database: str, schema: str, tables, generation_type: str) -> str | None:
     """The batch job's four input rules; returns the error text or None."""
     if not database:
-        return "ERROR: Database name cannot be empty"
+        return "no database given"
     if not schema:
-        return "ERROR: Schema name cannot be empty"
+        return "no schema given"
     if tables is not None and len(tables) == 0:
-        return "ERROR: Table names array cannot be empty"
+        return "the list of tables has no entry"
     if (generation_type or "").upper() not in GENERATION_TYPES:
-        return "ERROR: GENERATE_TYPE must be TABLE, COLUMN, or BOTH"
+        return f"generation type is none of {', '.join(GENERATION_TYPES)}"
     return None
 
 
@@ -312,7 +307,7 @@ def run_summary(suggestions: DataFrame) -> DataFrame:
         F.count_if(is_col & ok).alias("column_descriptions"),
         F.count_if(~ok).alias("failed"))
     return s.withColumn("message", F.format_string(
-        "Processed %d table(s). Generated %d table description(s) and %d column description(s); %d failed.",
+        "%d objects: %d table texts, %d column texts, %d failures",
         "tables_processed", "table_descriptions", "column_descriptions", "failed"))
 
 

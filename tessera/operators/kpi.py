@@ -93,12 +93,12 @@ def coverage(account_tables: DataFrame, monitored_keys: DataFrame, contact_keys:
 
 
 def overview(account_tables: DataFrame, objects: DataFrame, log: DataFrame, refs: DataFrame) -> DataFrame:
-    """The dashboard record: databases, schemas (estimate), tables, documented tables and
+    """The dashboard record: databases, schemas, tables, documented tables and
     percentage, metric count and contact count, with the parity guesses min(count, tables)."""
     doc = documentation_kpi(account_tables)
     row = combine({
         "databases": databases(objects, sort=False).agg(F.count(F.lit(1)).alias("value")),
-        "schemas": schemas_estimate(objects).select(F.col("schemas_estimate").alias("value")),
+        "schemas": schemas_exact(objects).select(F.col("schemas").alias("value")),
         "tables": doc.select(F.col("tables").alias("value")),
         "tables_with_descriptions": doc.select(F.col("tables_with_descriptions").alias("value")),
         "description_percentage": doc.select(F.col("description_percentage").alias("value")),

@@ -66,8 +66,13 @@ def validate_checks(df: DataFrame, checks) -> tuple[list[Check], list[tuple[Chec
     continues after a failed statement and counts successes and errors).
     """
     types = _field_types(df)
+    spelled = {}
+    for name in types:                # a column is found in any case, an exact match first
+        spelled.setdefault(name.upper(), name)
     ok, failed, seen = [], [], set()
     for ch in checks:
+        if ch.column is not None and ch.column not in types:
+            ch = Check(ch.metric, spelled.get(ch.column.upper(), ch.column), ch.params)
         key = (ch.metric.upper(), ch.column, ch.params)
         if key in seen:               # e.g. FRESHNESS added at table and column level
             continue
@@ -223,32 +228,20 @@ def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
                         "ELSE column_name END AS column_name", "metric_name", "value"))
 
 
-# ACCEPTED_VALUES with more values than this is evaluated as an anti-join against the
-# domain (broadcast while the domain is bounded) instead of an IN list in the scan.
-ACCEPTED_INLINE_MAX = 1000
-
-
 def _domain_branch(df: DataFrame, table: str, ch: Check) -> DataFrame:
-    p = ch.param_dict()
-    v = col_ref(ch.column)
-    dom = p.get("domain")
-    if dom is None:
-        from tessera.sources.config import config_frame
-        dtype = dict((f.name, f.dataType) for f in df.schema.fields)[ch.column]
-        dom = config_frame(df.sparkSession, [(x,) for x in p["values"]],
-                           T.StructType([T.StructField("_v", dtype)]))
-    else:
-        dom = dom.select(F.col(dom.columns[0]).alias("_v"))
-    outside = (df.select(v.alias("_v")).filter(F.col("_v").isNotNull())
-               .join(dom.distinct(), "_v", "left_anti"))
-    return outside.agg(F.count(F.lit(1)).alias("n")).selectExpr(
+    """ACCEPTED_VALUES against a domain table: values are grouped first, so a hot value is
+    one row of the anti-join, and the group counts are summed."""
+    dom = ch.param_dict()["domain"]
+    dom = dom.select(F.col(dom.columns[0]).alias("_v"))
+    groups = (df.select(col_ref(ch.column).alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy("_v").agg(F.count(F.lit(1)).alias("_n")))
+    outside = groups.join(dom.distinct(), "_v", "left_anti")
+    return outside.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).selectExpr(
         _stack(table, [(ch.column, "ACCEPTED_VALUES", "n")]))
 
 
 def _needs_domain_join(ch: Check) -> bool:
-    p = ch.param_dict()
-    return ch.metric.upper() == "ACCEPTED_VALUES" and (
-        "domain" in p or len(p.get("values") or ()) > ACCEPTED_INLINE_MAX)
+    return ch.metric.upper() == "ACCEPTED_VALUES" and "domain" in ch.param_dict()
 
 
 def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
@@ -275,8 +268,10 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
             domain.append(ch)
         elif m.kind == "scan" or (distinct == "approx" and m.name == "UNIQUE_COUNT"):
             scan.append((ch, m))
-        else:
+        elif m.name in _FROM_GROUPS:
             by_column.setdefault(ch.column, []).append(m.name)
+        else:
+            raise ValueError(f"distinct metric {m.name} has no form over value groups; register it as a scan metric")
     if by_column:
         # NULL_COUNT / NULL_PERCENT of a column that is grouped anyway, and ROW_COUNT, come
         # from the group counts: no second read of those columns

@@ -65,6 +65,8 @@ def threshold_status(results: DataFrame, thresholds: DataFrame,
     if "metric_name" in th.columns and "monitor_name" in keys and "monitor_name" not in th.columns:
         th = th.withColumnRenamed("metric_name", "monitor_name")
     th = th.select(*keys, F.col("threshold_min").alias("_lo"), F.col("threshold_max").alias("_hi"))
+    # one policy per key: of several, the tightest bounds hold
+    th = th.groupBy(*keys).agg(F.max("_lo").alias("_lo"), F.min("_hi").alias("_hi"))
     base = results.drop("threshold_min", "threshold_max", "status")
     j = base.join(th, keys, "left")
     return (j.withColumn("threshold_min", F.col("_lo"))
@@ -73,26 +75,20 @@ def threshold_status(results: DataFrame, thresholds: DataFrame,
              .drop("_lo", "_hi"))
 
 
-SCOPE_OR_MAX = 50   # beyond this many (database, schema) pairs: a semi-join, not an OR chain
-
-
 def scope_filter(df: DataFrame, databases=(), schemas=(), db_col="database_name",
                  schema_col="schema_name") -> DataFrame:
     """database IN (...) AND ((db, schema) OR (db, schema) ...); ``schemas`` as 'db.schema'.
 
-    A long pair list becomes a semi-join against a (bounded, broadcast) pair frame."""
+    The pairs are one set test per database, whatever their number."""
     conds = []
     if databases:
         conds.append(F.col(db_col).isin(list(databases)))
-    pairs = [s.split(".", 1) for s in schemas]
-    if pairs and len(pairs) <= SCOPE_OR_MAX:
-        conds.append(reduce(or_, [(F.col(db_col) == d) & (F.col(schema_col) == s) for d, s in pairs]))
-    out = df.filter(reduce(and_, conds)) if conds else df
-    if len(pairs) > SCOPE_OR_MAX:
-        from tessera.sources.config import config_frame
-        pf = config_frame(df.sparkSession, [tuple(p) for p in pairs], f"{db_col} string, {schema_col} string")
-        out = out.join(pf.distinct(), [db_col, schema_col], "left_semi")
-    return out
+    by_database: dict[str, list[str]] = {}
+    for d, s in (x.split(".", 1) for x in schemas):
+        by_database.setdefault(d, []).append(s)
+    if by_database:
+        conds.append(reduce(or_, [(F.col(db_col) == d) & F.col(schema_col).isin(s) for d, s in by_database.items()]))
+    return df.filter(reduce(and_, conds)) if conds else df
 
 
 def time_range(df: DataFrame, range_key: str = "7d", as_of=None,

@@ -57,8 +57,8 @@ SELECT {_KEYS}, metric_name, column_name,
 FROM (
   SELECT DISTINCT {_KEYS}, 'ROW_COUNT' AS metric_name, CAST(NULL AS VARCHAR) AS column_name FROM cols
   UNION ALL
-  SELECT {_KEYS}, 'FRESHNESS', arg_min(column_name, ordinal_position) FROM cols
-  WHERE {_BY_NAME} GROUP BY {_KEYS}
+  SELECT {_KEYS}, 'FRESHNESS', first(column_name ORDER BY CASE WHEN {_BY_NAME} THEN 0 ELSE 1 END, ordinal_position)
+  FROM cols WHERE {_TEMPORAL} GROUP BY {_KEYS}
   UNION ALL
   SELECT {_KEYS}, metric_name, column_name FROM ({_compat_sql(["NULL_COUNT", "DUPLICATE_COUNT", "UNIQUE_COUNT"])}) c
 ) x"""

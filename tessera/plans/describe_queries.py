@@ -55,7 +55,7 @@ def _table_samples(spark, sf_dir):
 
 def _row_sql(t: str) -> str:
     key, cols = SAMPLED[t]
-    render = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    render = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NULL')" for c in cols)
     return (f"SELECT * FROM (SELECT '{t}' AS table_name, {key} AS k, concat_ws(' | ', {render}) AS row_text "
             f"FROM {t} ORDER BY {key} LIMIT 5)")
 
@@ -116,18 +116,13 @@ _REAL_COLS = f"""
 SELECT table_name, ordinal_position, column_name, {_TYPE_MAP} AS data_type
 FROM information_schema.columns WHERE table_name IN ({_IN_TABLES})"""
 
-_TABLE_INSTR = D._INSTRUCTION.format(what="table", limit=D.TABLE_LIMIT)
-_COLUMN_INSTR = D._INSTRUCTION.format(what="column", limit=D.COLUMN_LIMIT)
-
 
 @register("table_prompts", f"""
 SELECT '{DB}' AS database_name, '{SCHEMA}' AS schema_name, c.table_name, 'TABLE' AS object_type,
   c.n_columns, c.column_list,
-  {_nl(_TABLE_INSTR)} || chr(10) || chr(10) || '---METADATA---' || chr(10) || 'TABLE Name: ' || c.table_name
-  || chr(10) || 'Schema: {SCHEMA}' || chr(10) || 'Database: {DB}' || chr(10) || 'Columns:' || chr(10)
-  || c.columns_text || chr(10) || chr(10) || '---SAMPLE DATA (LIMIT 5 ROWS)---' || chr(10)
-  || coalesce(s.sample_data, '{D.NO_SAMPLE}') || chr(10) || chr(10) || '---TASK---' || chr(10)
-  || 'Describe the table ' || c.table_name || '.' AS prompt
+  'table ' || c.table_name || ' in {DB}.{SCHEMA}' || chr(10) || 'fields:' || chr(10) || c.columns_text
+  || chr(10) || 'example rows:' || chr(10) || coalesce(s.sample_data, '{D.NO_SAMPLE}')
+  || chr(10) || {_nl(D.TABLE_ASK)} AS prompt
 FROM (SELECT table_name, count(*) AS n_columns,
         string_agg('- ' || column_name || ' (' || data_type || ')', chr(10) ORDER BY ordinal_position)
           AS columns_text,
@@ -143,12 +138,9 @@ def table_prompts(spark, sf_dir):
 
 @register("column_prompts", f"""
 SELECT '{DB}' AS database_name, '{SCHEMA}' AS schema_name, c.table_name, c.column_name, c.data_type,
-  {_nl(_COLUMN_INSTR)} || chr(10) || chr(10) || '---METADATA---' || chr(10) || 'Column Name: '
-  || c.column_name || chr(10) || 'Table Name: ' || c.table_name || chr(10) || 'Schema: {SCHEMA}'
-  || chr(10) || 'Database: {DB}' || chr(10) || 'Data Type: ' || c.data_type || chr(10) || chr(10)
-  || '---SAMPLE DATA (LIMIT 10 ROWS)---' || chr(10) || coalesce(s.sample_data, '{D.NO_SAMPLE}')
-  || chr(10) || chr(10) || '---TASK---' || chr(10) || 'Describe the column ' || c.column_name || '.'
-  AS prompt
+  'field ' || c.column_name || chr(10) || 'of ' || c.table_name || chr(10) || 'in {DB}.{SCHEMA}'
+  || chr(10) || 'type ' || c.data_type || chr(10) || 'example values:' || chr(10)
+  || coalesce(s.sample_data, '{D.NO_SAMPLE}') || chr(10) || {_nl(D.COLUMN_ASK)} AS prompt
 FROM ({_REAL_COLS}) c
 LEFT JOIN (SELECT table_name, column_name,
              string_agg(coalesce(value_text, 'NULL'), chr(10) ORDER BY sample_rank) AS sample_data
@@ -220,8 +212,7 @@ def describe_columns(spark, sf_dir):
 
 def python_template(prompts: pd.Series) -> pd.Series:
     """The column template as a Python completer (exercises the Arrow/mapInPandas path)."""
-    f = prompts.str.extract(r"Column Name: (?P<c>[^\n]*)\nTable Name: (?P<t>[^\n]*)\n"
-                            r"(?:.*\n)*?Data Type: (?P<d>[^\n]*)")
+    f = prompts.str.extract(r"\Afield (?P<c>[^\n]*)\nof (?P<t>[^\n]*)\nin [^\n]*\ntype (?P<d>[^\n]*)")
     return "Column " + f["c"] + " of " + f["t"] + " (" + f["d"].str.lower() + ")"
 
 
@@ -258,7 +249,7 @@ SELECT count(DISTINCT (database_name, schema_name, table_name)) AS tables_proces
   count(*) FILTER (WHERE kind <> 'COLUMN' AND description IS NOT NULL AND description <> '') AS table_descriptions,
   count(*) FILTER (WHERE kind = 'COLUMN' AND description IS NOT NULL AND description <> '') AS column_descriptions,
   count(*) FILTER (WHERE NOT (description IS NOT NULL AND description <> '')) AS failed,
-  printf('Processed %d table(s). Generated %d table description(s) and %d column description(s); %d failed.',
+  printf('%d objects: %d table texts, %d column texts, %d failures',
     count(DISTINCT (database_name, schema_name, table_name)),
     count(*) FILTER (WHERE kind <> 'COLUMN' AND description IS NOT NULL AND description <> ''),
     count(*) FILTER (WHERE kind = 'COLUMN' AND description IS NOT NULL AND description <> ''),
@@ -342,9 +333,9 @@ def _configured_checks():
     plan = {}
     for t, (_, cols) in SAMPLED.items():
         checks = [Check("ROW_COUNT")]
-        fresh = [c for c in cols if any(w in c.upper() for w in CK.FRESHNESS_NAME_WORDS)]
+        fresh = {"orders": "o_orderdate", "events": "ts"}.get(t)     # their temporal columns
         if fresh:
-            checks.append(Check("FRESHNESS", fresh[0]))
+            checks.append(Check("FRESHNESS", fresh))
         checks += [Check(m, c) for c in cols for m in ("NULL_COUNT", "DUPLICATE_COUNT", "UNIQUE_COUNT")]
         plan[t] = checks
     return plan
@@ -357,7 +348,7 @@ _CONFIGURED_SQL = "\nUNION ALL\n".join(
 @register("measure_configured", _CONFIGURED_SQL)
 def measure_configured(spark, sf_dir):
     """Catalog -> configuration -> measurement: the real tables' schemas are expanded into
-    checks (ROW_COUNT, FRESHNESS on the first date/time-named column, NULL / DUPLICATE /
+    checks (ROW_COUNT, FRESHNESS on a temporal column, NULL / DUPLICATE /
     UNIQUE on every column), then the checks frame is measured table by table."""
     checks = CK.expand_checks(schemas_columns({t: read_table(spark, sf_dir, t) for t in SAMPLED},
                                               DB, SCHEMA))

@@ -84,7 +84,7 @@ def kpi_coverage(spark, sf_dir):
 SELECT databases, schemas, tables, tables_with_descriptions, dmf_count, contacts_count,
   description_percentage, least(dmf_count, tables) AS tables_with_dmfs,
   least(contacts_count, tables) AS tables_with_contacts
-FROM (SELECT (SELECT count(*) FROM {_DBS} a) AS databases, {_EST} AS schemas,
+FROM (SELECT (SELECT count(*) FROM {_DBS} a) AS databases, (SELECT count(*) FROM {_SCH} s) AS schemas,
         d.tables, d.tables_with_descriptions, d.description_percentage,
         (SELECT count(DISTINCT table_database || table_schema || metric_name) FROM qr) AS dmf_count,
         (SELECT count(*) FROM (SELECT DISTINCT contact_database, contact_schema, contact_name FROM refs) c)

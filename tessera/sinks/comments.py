@@ -47,20 +47,28 @@ def _run(spark: SparkSession, sql: str, report: ApplyReport) -> None:
         spark.sql(sql)
         report.succeeded += 1
     except Exception as e:  # keep going; the report says what failed
-        report.failed.append((sql, str(e).splitlines()[0][:300]))
+        report.failed.append((sql, str(e)))
 
 
 def is_view(spark: SparkSession, table: str) -> bool:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {_table_ident(table)}").collect()
-    return any(r[0] == "Type" and str(r[1]).upper() == "VIEW" for r in rows)
+    return str(_details(spark, table).get("Type", "")).upper() == "VIEW"
+
+
+def _details(spark: SparkSession, table: str) -> dict[str, str]:
+    """The detail section of a table's description; the column rows before it are left out,
+    so a column may be called like a detail."""
+    rows = [(r[0], r[1]) for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_table_ident(table)}").collect()]
+    names = [k for k, _ in rows]
+    at = max((i for i, k in enumerate(names) if k.startswith("# Detailed Table")), default=-1)
+    return dict(reversed(rows[at + 1:]))
 
 
 def view_text(spark: SparkSession, view: str) -> str:
     """The stored SELECT of a view, from the catalog (no DDL text parsing)."""
-    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_table_ident(view)}").collect():
-        if r[0] == "View Text":
-            return r[1]
-    raise ValueError(f"{view} has no view text")
+    text = _details(spark, view).get("View Text")
+    if text is None:
+        raise ValueError(f"{view} has no view text")
+    return text
 
 
 def recreate_view(spark: SparkSession, view: str, column_comments: dict[str, str | None],
@@ -80,9 +88,7 @@ def recreate_view(spark: SparkSession, view: str, column_comments: dict[str, str
             c = old if old and old.strip() else None
         defs.append(_ident(f.name) + (f" COMMENT {_literal(c)}" if c else ""))
     if view_comment is None:
-        for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_table_ident(view)}").collect():
-            if r[0] == "Comment":
-                view_comment = r[1]
+        view_comment = _details(spark, view).get("Comment")
     vc = f" COMMENT {_literal(view_comment)}" if view_comment else ""
     _run(spark, f"CREATE OR REPLACE VIEW {_table_ident(view)} ({', '.join(defs)}){vc} AS {text}", report)
     return report
@@ -91,7 +97,9 @@ def recreate_view(spark: SparkSession, view: str, column_comments: dict[str, str
 def apply_suggestions(spark: SparkSession, suggestions: DataFrame, name_col: str = "table_ident") -> ApplyReport:
     """Apply (``table_ident``, ``column_name`` or NULL, ``description``) rows: tables get
     COMMENT / ALTER COLUMN statements; a view with column comments is re-created once with
-    all of them, a view with only a new description gets a property update."""
+    all of them, a view with only a new description gets a property update. A NULL
+    description (a failed completion) is reported as failed and changes nothing; so is a
+    blank one, except that an empty text clears the comment of a view's column."""
     report = ApplyReport()
     view_cols: dict[str, dict[str, str | None]] = {}
     view_desc: dict[str, str | None] = {}
@@ -102,9 +110,13 @@ def apply_suggestions(spark: SparkSession, suggestions: DataFrame, name_col: str
             try:
                 kinds[t] = is_view(spark, t)
             except Exception as e:
-                report.failed.append((t, str(e).splitlines()[0][:300]))
+                report.failed.append((t, str(e)))
                 kinds[t] = False
                 continue
+        # a failed completion must not erase a comment; an empty text clears a view's column
+        if text is None or not text.strip() and not (kinds[t] and col):
+            report.failed.append((f"{t}.{col}" if col else t, "no description"))
+            continue
         if kinds[t]:
             if col:
                 view_cols.setdefault(t, {})[col] = text
@@ -122,5 +134,5 @@ def apply_suggestions(spark: SparkSession, suggestions: DataFrame, name_col: str
             else:
                 recreate_view(spark, v, cols, view_desc.get(v), report)
         except Exception as e:
-            report.failed.append((v, str(e).splitlines()[0][:300]))
+            report.failed.append((v, str(e)))
     return report

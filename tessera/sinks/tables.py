@@ -51,6 +51,11 @@ CSV_TIME_FORMATS = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
                     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
 
+# quotes are doubled (RFC 4180), texts may hold newlines, '' and NULL stay apart
+CSV_TEXT = {"escape": '"', "quoteAll": True, "nullValue": "\\N", "emptyValue": "",
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_name(prefix: str, now=None) -> str:
     """``<prefix>_YYYYmmdd_HHMMSS.csv`` (UTC), the export file naming."""
     import datetime as dt
@@ -61,9 +66,10 @@ def export_name(prefix: str, now=None) -> str:
 def export_csv(df: DataFrame, path: str) -> str:
     """CSV with a header row, one directory of part files (``coalesce`` is not used:
     the export stays parallel at any size)."""
-    (df.write.mode("overwrite").option("header", True).options(**CSV_TIME_FORMATS).csv(path))
+    (df.write.mode("overwrite").option("header", True).options(**CSV_TIME_FORMATS, **CSV_TEXT).csv(path))
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.option("header", True).options(**CSV_TIME_FORMATS).schema(schema).csv(path)
+    return (spark.read.option("header", True).option("multiLine", True)
+            .options(**CSV_TIME_FORMATS, **CSV_TEXT).schema(schema).csv(path))

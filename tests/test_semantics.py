@@ -248,11 +248,11 @@ def test_merge_column_comments(spark):
 
 
 def test_validate_request():
-    assert D.validate_request("", "s", ["t"], "TABLE").startswith("ERROR: Database")
-    assert D.validate_request("d", "", ["t"], "TABLE").startswith("ERROR: Schema")
-    assert D.validate_request("d", "s", [], "TABLE").startswith("ERROR: Table names")
+    assert D.validate_request("", "s", ["t"], "TABLE") == "no database given"
+    assert D.validate_request("d", "", ["t"], "TABLE") == "no schema given"
+    assert D.validate_request("d", "s", [], "TABLE") == "the list of tables has no entry"
     assert D.validate_request("d", "s", ["t"], "both") is None
-    assert "GENERATE_TYPE" in D.validate_request("d", "s", ["t"], "ALL")
+    assert "TABLE, COLUMN, BOTH" in D.validate_request("d", "s", ["t"], "ALL")
 
 
 def test_merged_partials_equal_direct(spark, sf_dir):
@@ -271,7 +271,7 @@ def test_merged_partials_equal_direct(spark, sf_dir):
 def test_accepted_values_domain_join_equals_in_list(spark, sf_dir):
     from tessera.operators import metrics as MM
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    vals = [str(i) for i in range(MM.ACCEPTED_INLINE_MAX + 5)] + ["R"]
+    vals = [str(i) for i in range(1005)] + ["R"]
     big = _vals(measure(df, [Check("ACCEPTED_VALUES", "l_returnflag", (("values", tuple(vals)),))], "l"))
     small = _vals(measure(df, [Check("ACCEPTED_VALUES", "l_returnflag", (("values", ("R",)),))], "l"))
     assert big == small
@@ -314,15 +314,59 @@ def test_stream_approx_distinct_close(spark, sf_dir):
         assert abs(r.unique_count - e) <= max(2, 0.1 * e)
 
 
-def test_scope_filter_long_pair_list_uses_semi_join(spark):
+def test_scope_filter_long_pair_list(spark):
     df = spark.createDataFrame([("D1", "S1", 1), ("D1", "S2", 2), ("D2", "S1", 3)],
                                "database_name string, schema_name string, v int")
-    pairs = ["D1.S1"] + [f"X{i}.Y" for i in range(M.SCOPE_OR_MAX + 5)]
+    pairs = ["D1.S1"] + [f"X{i}.Y" for i in range(55)]
     out = M.scope_filter(df, ["D1", "D2"], pairs)
     assert [r.v for r in out.collect()] == [1]
     assert [r.v for r in M.scope_filter(df, [], ["D1.S2", "D2.S1"]).orderBy("v").collect()] == [2, 3]
 
 
+def test_null_in_accepted_list_changes_nothing(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "v string")
+    dom = spark.createDataFrame([("a",), (None,)], "x string")
+    for p in (("values", ("a", None)), ("values", ("a", None, *map(str, range(2000)))), ("domain", dom)):
+        assert _vals(measure(df, [Check("ACCEPTED_VALUES", "V", (p,))], "t")) == {("v", "ACCEPTED_VALUES"): 2.0}
+
+
+def test_unknown_distinct_metric_is_refused(spark):
+    import pytest
+
+    from tessera.functions import registry as R
+    R.register_metric(R.Metric("MODE_SHARE", "column", ("ALL",), "distinct"))
+    try:
+        with pytest.raises(ValueError, match="MODE_SHARE"):
+            measure(spark.createDataFrame([(1,)], "v int"), [Check("MODE_SHARE", "v")], "t")
+    finally:
+        R._REGISTRY.pop("MODE_SHARE")
+
+
+def test_two_policies_for_one_monitor_give_one_row(spark):
+    res = spark.createDataFrame([("m", 5.0)], "monitor_name string, metric_value double")
+    th = spark.createDataFrame([("m", 0.0, 10.0), ("m", 1.0, 4.0)],
+                               "monitor_name string, threshold_min double, threshold_max double")
+    out = M.threshold_status(res, th).collect()
+    assert [(r.threshold_min, r.threshold_max, r.status) for r in out] == [(1.0, 4.0, "FAIL")]
+
+
+def test_sampled_null_cell_keeps_its_place(spark):
+    df = spark.createDataFrame([(1, None, "x")], "a int, b string, c string")
+    assert D.sample_rows(df, "t", "a").first().row_text == "1 | NULL | x"
+
+
+def test_column_samples_stay_in_their_schema(spark):
+    cols = spark.createDataFrame([("D", s, "T", "C", "INT", None) for s in ("S1", "S2")],
+                                 "database_name string, schema_name string, table_name string, column_name string, "
+                                 "data_type string, current_description string")
+    vals = spark.createDataFrame([("D", "S1", "T", "C", 1, "first!"), ("D", "S2", "T", "C", 1, "second!")],
+                                 "database_name string, schema_name string, table_name string, column_name string, "
+                                 "sample_rank long, value_text string")
+    got = {r.schema_name: r.prompt for r in D.column_prompts(cols, vals).collect()}
+    assert "first!" in got["S1"] and "second!" not in got["S1"]
+    assert "second!" in got["S2"] and "first!" not in got["S2"]
+
+
 def test_export_name():
     from tessera.sinks.tables import export_name
     assert export_name("quality_monitors", dt.datetime(2024, 1, 2, 3, 4, 5)) == \

@@ -7,6 +7,33 @@ from pyspark.sql import functions as F
 from tessera.sinks import comments as C
 from tessera.sinks.tables import append_and_read, export_csv, read_csv, with_hash_id
 from tessera.session import scratch_path, unique_name
+
+
+def test_failed_suggestion_erases_nothing(spark):
+    from tessera.sinks.comments import apply_suggestions
+    spark.sql("CREATE TABLE keep_comment (a INT COMMENT 'old a') USING parquet COMMENT 'old t'")
+    rows = spark.createDataFrame([("keep_comment", None, None), ("keep_comment", "a", " "), ("keep_comment", None, "new t")],
+                                 "table_ident string, column_name string, description string")
+    report = apply_suggestions(spark, rows)
+    assert (report.succeeded, len(report.failed)) == (1, 2)
+    assert spark.table("keep_comment").schema["a"].metadata["comment"] == "old a"
+    assert spark.catalog.getTable("keep_comment").description == "new t"
+
+
+def test_view_column_may_be_called_comment(spark):
+    from tessera.sinks.comments import recreate_view
+    spark.sql("CREATE TABLE base_for_view (Comment STRING, Type STRING) USING parquet")
+    spark.sql("CREATE VIEW view_with_comment (Comment, Type) COMMENT 'kept' AS SELECT * FROM base_for_view")
+    recreate_view(spark, "view_with_comment", {"Type": "kind"})
+    assert spark.catalog.getTable("view_with_comment").description == "kept"
+
+
+def test_csv_keeps_texts(spark):
+    from tessera.sinks.tables import export_csv, read_csv
+    texts = ['a "quoted" text', "two\nlines, one comma", "", None, " spaces "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    path = export_csv(df, scratch_path(spark, "exports", unique_name("texts")))
+    assert [r.t for r in read_csv(spark, path, df.schema).orderBy("id").collect()] == texts
 from tessera.sources.catalog import readable, schema_columns, session_columns, session_objects
 
 
