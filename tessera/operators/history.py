@@ -88,6 +88,20 @@ def contact_change_rows(changes: DataFrame, updated_by="tessera", updated_at=Non
     )
 
 
+ID_PARTS = ("database_name", "schema_name", "object_type", "object_name", "column_name", "before_description",
+            "after_description", "updated_by", "updated_at")
+
+
+def with_history_id(rows: DataFrame) -> DataFrame:
+    """Change rows with their ``history_id``: SHA-256 of the row's parts, each marked as NULL
+    or with its length, so no two different rows spell alike. A change logged again by a
+    retried job keeps its id."""
+    def part(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.lit("V"), F.char_length(text).cast("string"), F.lit(":"), text), F.lit("N"))
+    return rows.withColumn("history_id", F.sha2(F.concat(*[part(c) for c in ID_PARTS]), 256))
+
+
 def description_history(history: DataFrame) -> DataFrame:
     """Description changes only (no DMF_ / CONTACT_ rows; ``_`` is a LIKE wildcard)."""
     t = F.col("object_type")

@@ -157,11 +157,24 @@ def _extremes(dtype: T.DataType, value: str, as_of) -> dict[str, str]:
     return {"MIN_D": none, "MAX_D": none, "FRESH": none}
 
 
+def _group_key(dtype: T.DataType, column: str) -> str:
+    """What a column is grouped by: the value, or the digest of a long string or binary, so
+    that texts don't cross the network whole. Kept values are shorter than any digest, so
+    the two never meet."""
+    c = f"`{column.replace('`', '``')}`"
+    if isinstance(dtype, T.StringType):
+        return f"CASE WHEN octet_length({c}) < 64 THEN {c} ELSE sha2({c}, 256) END"
+    if isinstance(dtype, T.BinaryType):
+        return f"CASE WHEN octet_length({c}) < 32 THEN {c} ELSE unhex(sha2({c}, 256)) END"
+    return c
+
+
 def _distinct_stats(df: DataFrame, cid: int, column: str, as_of=None) -> DataFrame:
     """One stats row (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES, NULL_COUNT,
     ROWS, MIN_D, MAX_D, FRESH) for one column."""
     exprs = {**_COUNT_STATS, **_extremes(_field_types(df)[column], "v", as_of)}
-    groups = df.groupBy(col_ref(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    key = F.expr(_group_key(_field_types(df)[column], column))
+    groups = df.groupBy(key.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.expr(f"{cid} AS cid"), *[F.expr(f"{e} AS {m}") for m, e in exprs.items()])
 
 
@@ -170,6 +183,7 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=Non
     column -- struct(cid, one field per distinct type, only the column's own field set) --
     so values keep their type (no string casts) and one group-by serves the batch."""
     dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    own_type = _field_types(df)
     slots: dict[str, int] = {}
     for _, c in batch:
         slots.setdefault(dtypes[c], len(slots))
@@ -177,7 +191,7 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=Non
     for cid, c in batch:
         own = slots[dtypes[c]]
         fields = [f"'cid', {cid}"] + [
-            f"'f{j}', " + (f"`{c.replace('`', '``')}`" if j == own else f"CAST(NULL AS {t})")
+            f"'f{j}', " + (_group_key(own_type[c], c) if j == own else f"CAST(NULL AS {t})")
             for t, j in slots.items()]
         entries.append(f"named_struct({', '.join(fields)})")
     fcols = [f"f{j}" for j in slots.values()]

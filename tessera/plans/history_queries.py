@@ -16,7 +16,7 @@ from tessera.plans.metric_queries import SUITE, plan_sql, run_plan
 from tessera.plans.monitor_queries import MONITOR_SQL, monitors
 from tessera.plans.oracle_sql import comment_statement_sql, sql_fq, sql_quote
 from tessera.session import scratch_path, unique_name
-from tessera.sinks.tables import append_and_read, export_csv, read_csv, with_hash_id, write_run
+from tessera.sinks.tables import append_and_read, export_csv, log_run, read_csv, with_hash_id, write_run
 from tessera.sources.fixtures import audit_log, contact_refs, measurement_log, thresholds
 
 _HCOLS = ("history_id, database_name, schema_name, object_type, object_name, column_name, "
@@ -86,6 +86,35 @@ _MON = """SELECT DISTINCT table_database AS database_name, table_schema AS schem
     metric_name, CASE WHEN arg_type = 'COLUMN' THEN arg_name END AS column_name FROM qr"""
 
 
+_ID_SQL = " || ".join(
+    f"coalesce('V' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in H.ID_PARTS)
+
+
+@register("history_roundtrip", with_ctes(f"""
+SELECT sha256({_ID_SQL}) AS history_id, database_name, schema_name, object_type, object_name, column_name,
+  before_description, after_description, updated_by, updated_at
+FROM (SELECT database_name, schema_name, object_type, object_name,
+        CASE WHEN object_type = 'COLUMN' THEN column_name END AS column_name,
+        nullif(before_description, '') AS before_description, nullif(after_description, '') AS after_description,
+        'tessera' AS updated_by, CAST(TIMESTAMP '{AS_OF}' AS TIMESTAMP) AS updated_at
+      FROM hist WHERE object_type IN ('TABLE', 'VIEW', 'COLUMN')) s
+ORDER BY updated_at DESC, history_id DESC LIMIT 1000""", "hist"))
+def history_roundtrip(spark, sf_dir):
+    """The newest changes of a log this engine wrote itself; the run is logged twice, as a
+    retried job would, and counts once."""
+    h = audit_log(spark, sf_dir).filter(F.col("object_type").isin("TABLE", "VIEW", "COLUMN"))
+    changes = h.select(
+        "database_name", "schema_name", "object_type",
+        F.when(F.col("object_type") == "COLUMN",
+               F.concat_ws(".", "object_name", "column_name")).otherwise(F.col("object_name")).alias("object_name"),
+        "before_description", "after_description")
+    rows = H.with_history_id(H.description_change_rows(changes, updated_by="tessera", updated_at=AS_OF))
+    path = scratch_path(spark, "history", unique_name("history_roundtrip"))
+    for _ in range(2):
+        log_run(rows, path, "run-1")
+    return H.newest_changes(H.description_history(spark.read.parquet(path)), 1000)
+
+
 @register("history_append_metrics", with_ctes(f"""
 SELECT database_name, schema_name,
   'DMF_' || metric_name || CASE WHEN column_name IS NOT NULL AND column_name <> '' THEN '_COLUMN' ELSE '' END

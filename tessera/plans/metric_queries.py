@@ -123,3 +123,17 @@ _CUSTOM_PLAN = {
 }
 _define("metric_custom_expr", _CUSTOM_PLAN)
 
+
+@register("metric_accepted_values_domain", """
+SELECT 'orders' AS table_name, 'o_orderpriority' AS column_name, 'ACCEPTED_VALUES' AS metric_name,
+  CAST(count(*) AS DOUBLE) AS value
+FROM orders WHERE o_orderpriority IS NOT NULL
+  AND o_orderpriority NOT IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus = 'F'
+                              AND o_orderpriority < '3')""")
+def metric_accepted_values_domain(spark, sf_dir):
+    """Accepted values that come from a table, with a NULL among them."""
+    orders = read_table(spark, sf_dir, "orders")
+    domain = (orders.where("o_orderkey % 7 = 0 AND o_orderstatus = 'F' AND o_orderpriority < '3'")
+              .select("o_orderpriority").unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS o_orderpriority")))
+    check = Check("ACCEPTED_VALUES", "O_ORDERPRIORITY", (("domain", domain),))
+    return measure(orders, [check], "orders")

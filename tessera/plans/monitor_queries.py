@@ -52,6 +52,18 @@ def results_scope_filter(spark, sf_dir):
     return df.select("result_id", "database_name", "schema_name", "table_name", "monitor_name")
 
 
+_MANY = [f"DB{i % 3}.S{i}" for i in range(200)]
+
+
+@register("results_scope_many", with_ctes(f"""
+SELECT result_id, database_name, schema_name, table_name, monitor_name, status FROM qres
+WHERE database_name || '.' || schema_name IN ({", ".join(f"'{x}'" for x in _MANY)})""", "qres"))
+def results_scope_many(spark, sf_dir):
+    """Many pairs: the same columns in the same order as with few."""
+    df = M.scope_filter(results(spark, sf_dir), (), _MANY)
+    return df.select("result_id", "database_name", "schema_name", "table_name", "monitor_name", "status")
+
+
 def _range_query(key: str, interval: str):
     sql = with_ctes(f"""
 SELECT result_id, monitor_name, table_name, status, measurement_time FROM qres

@@ -31,6 +31,11 @@ def write_run(df: DataFrame, path: str, partition_by) -> str:
     return path
 
 
+def log_run(df: DataFrame, path: str, run_id: str) -> str:
+    """Add one run's rows to a log: a retry of the run replaces its own rows."""
+    return write_run(df.withColumn("run_id", F.lit(run_id)), path, ["run_id"])
+
+
 def append_and_read(df: DataFrame, kind: str, partition_by=None) -> DataFrame:
     """Append into a fresh log location under the shared root and read it back."""
     spark = df.sparkSession
