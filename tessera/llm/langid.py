@@ -15,6 +15,8 @@ from tessera.llm.common import same, text_steps
 DIM, VECTOR_SEED = 1024, 7
 #: Text bytes and rows worked on at a time.
 STEP_TEXT, STEP_ROWS = 1 << 20, 512
+#: Characters of a long text, and distinct trigrams, worked on at a time.
+PIECE, GRAM_BLOCK = 1 << 20, 1 << 14
 UNKNOWN = "und"
 
 
@@ -31,8 +33,9 @@ def _letter_vectors(points: np.ndarray, dim: int, seed: int) -> np.ndarray:
     return out
 
 
-def _ngram_counts(texts: list, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct letters, distinct trigrams (three letter numbers each), counts by text.
+def _ngrams(texts: list, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct letters, distinct trigrams (three letter numbers each), and for every
+    occurrence its text and trigram.
 
     Letters are lower case; whatever stands between words counts as one boundary sign (0),
     also at both ends. Trigrams with a boundary in the middle are left out.
@@ -66,26 +69,58 @@ def _ngram_counts(texts: list, letters: np.ndarray) -> tuple[np.ndarray, np.ndar
         gram = place[code]
     else:
         grams, gram = np.unique(code, return_inverse=True)
-    counts = np.bincount(owner * max(len(grams), 1) + gram, minlength=len(texts) * max(len(grams), 1))
-    triples = np.stack([grams // (n * n), grams // n % n, grams % n], 1) if len(code) else np.zeros((0, 3), np.int64)
-    counts = counts.reshape(len(texts), -1)[:, :len(triples)]
-    return used, triples, counts
+    triples = np.stack([grams // (n * n), grams // n % n, grams % n], 1)[:len(grams) if len(code) else 0]
+    return used, triples, owner, gram
 
 
-def _bundles(texts: list, letters: np.ndarray, dim: int, seed: int, groups: np.ndarray | None = None,
-             n_groups: int = 0) -> np.ndarray:
-    """The bundle of each text's trigram vectors, or of each group of texts.
+def _bundles(texts: list, letters: np.ndarray, dim: int, seed: int, groups: np.ndarray,
+             n_groups: int) -> np.ndarray:
+    """The bundle of the trigram vectors of each group of texts.
 
-    A trigram binds its letters by product after shifting the first twice and the second once.
+    A trigram binds its letters by product after shifting the first twice and the second
+    once. Trigrams are worked on in blocks, so memory does not follow their variety.
     """
-    used, triples, counts = _ngram_counts(texts, letters)
+    used, triples, owner, gram = _ngrams(texts, letters)
     base = _letter_vectors(used, dim, seed)
-    grams = (np.roll(base, 2, 1)[triples[:, 0]] * np.roll(base, 1, 1)[triples[:, 1]] * base[triples[:, 2]])
-    if groups is not None:
-        merged = np.zeros((n_groups, counts.shape[1]), np.float64)
-        np.add.at(merged, groups, counts)
-        return merged @ grams.astype(np.float64)
-    return counts.astype(np.float32) @ grams.astype(np.float32)
+    once, twice = np.roll(base, 1, 1), np.roll(base, 2, 1)
+    out = np.zeros((n_groups, dim), np.float64)
+    group = groups[owner]
+    for a in range(0, len(triples), GRAM_BLOCK):
+        block = triples[a:a + GRAM_BLOCK]
+        inside = slice(None) if len(triples) <= GRAM_BLOCK else (gram >= a) & (gram < a + len(block))
+        counts = np.bincount(group[inside] * len(block) + gram[inside] - a, minlength=n_groups * len(block))
+        vectors = twice[block[:, 0]] * once[block[:, 1]] * base[block[:, 2]]
+        out += counts.reshape(n_groups, -1).astype(np.float32) @ vectors.astype(np.float32)
+    return out
+
+
+def _pieces(texts: list) -> Iterator[tuple[list, list]]:
+    """Runs of texts with their numbers. A text longer than ``PIECE`` characters is cut at
+    spaces, which changes no trigram: a space is a boundary, and so are both ends."""
+    run, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        text, at = text or "", 0
+        while at < len(text):
+            to = len(text)
+            if to - at > PIECE:
+                to = text.rfind(" ", at, at + PIECE) + 1 or text.find(" ", at + PIECE) + 1 or to
+            if size + to - at > PIECE and run:
+                yield run, owners
+                run, owners, size = [], [], 0
+            run.append(text[at:to])
+            owners.append(i)
+            size += to - at
+            at = to
+    if run:
+        yield run, owners
+
+
+def _grouped(texts: list, letters: np.ndarray, dim: int, seed: int, groups: list, n_groups: int) -> np.ndarray:
+    """The bundle of each group of texts, a piece at a time."""
+    out = np.zeros((n_groups, dim), np.float64)
+    for run, owners in _pieces(texts):
+        out += _bundles(run, letters, dim, seed, np.array([groups[i] for i in owners], np.int64), n_groups)
+    return out
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +140,8 @@ def learn_profiles(labelled: DataFrame, dim: int = DIM, seed: int = VECTOR_SEED)
         for part in _steps(batches):
             langs = part.column("lang").to_pylist()
             names = sorted(set(langs))
-            groups = np.array([names.index(x) for x in langs], np.int64)
-            for name, v in zip(names, _bundles(part.column("text").to_pylist(), letters, dim, seed, groups, len(names))):
+            groups = [names.index(x) for x in langs]
+            for name, v in zip(names, _grouped(part.column("text").to_pylist(), letters, dim, seed, groups, len(names))):
                 sums[name] = sums.get(name, 0) + v
         if sums:
             yield pa.RecordBatch.from_arrays(
@@ -139,7 +174,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], seed: int = VECTO
         for part in _steps(batches):
             pred, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
             if names:
-                own = _bundles(part.column("text").to_pylist(), letters, dim, seed)
+                own = _grouped(part.column("text").to_pylist(), letters, dim, seed, range(part.num_rows), part.num_rows)
                 length = np.linalg.norm(own, axis=1)
                 cos = own @ matrix.T / np.where(length > 0, length, 1)[:, None]
                 best = cos.argmax(1)

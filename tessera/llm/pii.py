@@ -29,17 +29,17 @@ GIVEN = {n: "m" for n in GIVEN_M.split()} | {n: "f" for n in GIVEN_F.split()}
 #: Texts that cannot hold an entity are told by this pattern inside the scan.
 MAY_HOLD = (r"@|[0-9]{3}|[0-9]\.[0-9]|(?i)\b(" + "|".join(sorted(TITLES)) + r")\b|\b(" + "|".join(sorted(GIVEN)) + r")\b")
 
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NAME = r"[^\W\d_][^\W\d_'’-]+(?:-[^\W\d_]+)?"
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")),
-    ("card", re.compile(r"(?<![\w.])(?:[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?!\w)")),
-    ("ip", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\w)"
-                         r"|(?<![\w+])\+\d{10,15}(?!\w)"
-                         r"|(?<![\w+])\+[2-9]\d{0,2}(?:[ -]\(?\d{1,8}\)?){2,5}(?!\w|\.\d)")),
-    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")),
+    ("card", re.compile(r"(?<![\w.])(?:[2-6][0-9]{3}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?!\w)")),
+    ("ip", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])")),
+    ("phone", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?!\w)"
+                         r"|(?<![\w+])\+[0-9]{10,15}(?!\w)"
+                         r"|(?<![\w+])\+[2-9][0-9]{0,2}(?:[ -]\(?[0-9]{1,8}\)?){2,5}(?!\w|\.[0-9])")),
+    ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
 )
 TITLED = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.?[ ]({_NAME}(?: {_NAME}){{0,2}})",
                     re.I)
@@ -65,6 +65,11 @@ def _script(word: str) -> str:
     return first if first in ("CYRILLIC", "GREEK") else "LATIN"
 
 
+def _plain_case(word: str) -> str:
+    """Lower case, with the letters that a pattern without case takes for ``i``, ``k`` and ``s``."""
+    return word.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -85,7 +90,7 @@ def _name_parts(text: str, start: int, given_gender: str | None, title_gender: s
         if i == len(words) - 1 and not (given_gender is not None and len(words) == 1):
             kind, shape = "surname", _script(w)
         else:
-            gender = GIVEN.get(w.lower(), title_gender or given_gender or "")
+            gender = GIVEN.get(_plain_case(w), title_gender or given_gender or "")
             kind, shape = "given", f"{gender}:{_script(w)}"
         out.append(Entity(start + a, start + b, kind, w.lower(), shape))
     return out
@@ -114,10 +119,10 @@ def detect(text: str) -> list[Entity]:
             found.append(Entity(m.start(), m.end(), kind, canonical, shape))
     for m in TITLED.finditer(text):
         if m.group(2)[0].isupper() and m.group(1)[0].isupper():
-            found += _name_parts(m.group(2), m.start(2), None, TITLES[m.group(1).lower()])
+            found += _name_parts(m.group(2), m.start(2), None, TITLES.get(_plain_case(m.group(1)), ""))
     for m in FULL.finditer(text):
         if m.group(1)[0].isupper() and m.group(2)[0].isupper():
-            found += _name_parts(m.group(), m.start(), GIVEN[m.group(1).lower()], "")
+            found += _name_parts(m.group(), m.start(), GIVEN.get(_plain_case(m.group(1)), ""), "")
     order = {k: i for i, (k, _) in enumerate(PATTERNS)}
     taken, upto = [], []
     for e in sorted(found, key=lambda e: (order.get(e.kind, len(order)), e.start, e.end)):

@@ -285,6 +285,17 @@ def test_language_profiles(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id IN (0, 1, 2)").count() == 0
 
 
+def test_bundles_in_pieces_are_equal(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc d中国人民 é") for _ in range(n)) for n in (0, 1, 7, 400, 3000)] + [None, "x" * 900]
+    letters = langid._letter_table()
+    whole = langid._grouped(texts, letters, 64, 1, range(len(texts)), len(texts))
+    monkeypatch.setattr(langid, "PIECE", 100)
+    monkeypatch.setattr(langid, "GRAM_BLOCK", 9)
+    assert (langid._grouped(texts, letters, 64, 1, range(len(texts)), len(texts)) == whole).all()
+    assert whole[4].any() and not whole[5].any()
+
+
 def test_language_accuracy(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
     got = langid.language_of(frame).join(frame.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
@@ -351,6 +362,14 @@ def test_surrogates(spark, empty):
     assert other[1] != got[1]["text"]
 
 
+def test_entities_with_odd_letters_and_digits():
+    for text in ("DAVİD Smith", "Mıss Smith", "Mrſ Smith", "٠١٢-٣٤-٥٦٧٨", "+٤٩ 30 1234567", "١.2.3.4 x", "4٠00 0000 0000 0000"):
+        for e in pii.detect(text):
+            new = pii.surrogate(b"k", e.kind, e.canonical, e.shape)
+            assert pii.dress(text[e.start:e.end], e.kind, new)
+    assert [e.shape for e in pii.detect("Mıss SİBEL Smith")] == ["f:LATIN", "LATIN"]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [("ip", f"{a}.{b}.{c}.1", "") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10)]
     got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string, shape string"), b"k").collect()
