@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_blank
-from tessera.operators.catalog import SYSTEM_DATABASES, WAREHOUSE_DATABASE, databases, schemas
-from tessera.operators.scalars import combine
+from tessera.operators.catalog import (SYSTEM_DATABASES, SYSTEM_SCHEMAS, WAREHOUSE_DATABASE, databases,
+                                       schemas)
+from tessera.operators.scalars import combine, combine_rows
 
 SCHEMA_SAMPLE_DATABASES = 3
 
@@ -92,19 +93,24 @@ def coverage(account_tables: DataFrame, monitored_keys: DataFrame, contact_keys:
     }).select(*[F.col(c).cast("long").alias(c) for c in ("tables_with_monitors", "tables_with_contacts")])
 
 
+def inventory_counts(objects: DataFrame) -> DataFrame:
+    """One row (databases, schemas) from one scan: the distinct pairs, then per database."""
+    db, schema = F.col("table_catalog"), F.col("table_schema")
+    pairs = objects.select(db, schema).distinct()
+    per_db = pairs.groupBy("table_catalog").agg(F.count_if(~schema.isin(*SYSTEM_SCHEMAS)).alias("n"))
+    return per_db.agg(F.count_if(~db.isin(*SYSTEM_DATABASES)).alias("databases"),
+                      F.coalesce(F.sum("n"), F.lit(0)).alias("schemas"))
+
+
 def overview(account_tables: DataFrame, objects: DataFrame, log: DataFrame, refs: DataFrame) -> DataFrame:
     """The dashboard record: databases, schemas, tables, documented tables and
-    percentage, metric count and contact count, with the parity guesses min(count, tables)."""
-    doc = documentation_kpi(account_tables)
-    row = combine({
-        "databases": databases(objects, sort=False).agg(F.count(F.lit(1)).alias("value")),
-        "schemas": schemas_exact(objects).select(F.col("schemas").alias("value")),
-        "tables": doc.select(F.col("tables").alias("value")),
-        "tables_with_descriptions": doc.select(F.col("tables_with_descriptions").alias("value")),
-        "description_percentage": doc.select(F.col("description_percentage").alias("value")),
-        "dmf_count": monitors_kpi(log).select(F.col("dmf_count").alias("value")),
-        "contacts_count": contacts_count(refs).select(F.col("contacts").alias("value")),
-    })
+    percentage, metric count and contact count, with the parity guesses min(count, tables).
+    Each source is read once."""
+    row = combine_rows([
+        inventory_counts(objects),
+        documentation_kpi(account_tables).drop("tables_with_nonblank_descriptions"),
+        monitors_kpi(log),
+        contacts_count(refs).withColumnRenamed("contacts", "contacts_count")])
     longs = ["databases", "schemas", "tables", "tables_with_descriptions", "dmf_count", "contacts_count"]
     return row.select(
         *[F.col(c).cast("long").alias(c) for c in longs],

@@ -12,16 +12,20 @@ Plan shape, per table:
   This avoids the Expand x (k+1) row multiplication Catalyst uses for k ``countDistinct``
   in one ``agg``, and keeps the number of scan tasks at (splits x batches), not
   (splits x columns). The same value groups give NULL_COUNT, NULL_PERCENT, ROW_COUNT,
-  MIN, MAX and FRESHNESS, so a column with distinct metrics is read exactly once.
+  MIN, MAX, FRESHNESS and ACCEPTED_VALUES of texts; AVG, STDDEV and custom metrics of such a
+  column share the table's one scan aggregate.
 
 Results come back long: ``table_name, column_name, metric_name, value`` (value is double).
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,7 +131,7 @@ _COUNT_STATS = {
     "ROWS": "coalesce(sum(n), 0)",
 }
 # one stats row per column: the counts plus typed extremes (see _extremes)
-_STATS_COLUMNS = [*_COUNT_STATS, "MIN_D", "MAX_D", "FRESH"]
+_STATS_COLUMNS = [*_COUNT_STATS, "MIN_D", "MAX_D", "FRESH", "OUTSIDE"]
 # metrics the group counts give exactly (same double operations as the scan builders)
 _FROM_GROUPS = {
     "UNIQUE_COUNT": "CAST(UNIQUE_COUNT AS DOUBLE)",
@@ -139,8 +143,10 @@ _FROM_GROUPS = {
     "MIN": "MIN_D",
     "MAX": "MAX_D",
     "FRESHNESS": "FRESH",
+    "ACCEPTED_VALUES": "CAST(OUTSIDE AS DOUBLE)",
 }
-DERIVED_FROM_GROUPS = ("NULL_COUNT", "NULL_PERCENT", "ROW_COUNT", "MIN", "MAX", "FRESHNESS")
+DERIVED_FROM_GROUPS = ("NULL_COUNT", "NULL_PERCENT", "ROW_COUNT", "MIN", "MAX", "FRESHNESS", "ACCEPTED_VALUES")
+_BUILT_IN = {name: get_metric(name) for name in DERIVED_FROM_GROUPS}
 
 
 def _extremes(dtype: T.DataType, value: str, as_of) -> dict[str, str]:
@@ -169,16 +175,34 @@ def _group_key(dtype: T.DataType, column: str) -> str:
     return c
 
 
-def _distinct_stats(df: DataFrame, cid: int, column: str, as_of=None) -> DataFrame:
-    """One stats row (cid, UNIQUE_COUNT, DUPLICATE_COUNT, DUPLICATE_VALUES, NULL_COUNT,
-    ROWS, MIN_D, MAX_D, FRESH) for one column."""
-    exprs = {**_COUNT_STATS, **_extremes(_field_types(df)[column], "v", as_of)}
+def _accepted_list(dtype: T.DataType, ch: Check) -> list[str] | None:
+    """The accepted values of a text column as group keys; None when the groups can't tell."""
+    values = ch.param_dict().get("values")
+    if not isinstance(dtype, T.StringType) or values is None or set(ch.param_dict()) != {"values"}:
+        return None
+    texts = [v for v in values if v is not None]
+    if not texts or not all(isinstance(v, str) for v in texts):
+        return None
+    return [v if len(v.encode()) < 64 else hashlib.sha256(v.encode()).hexdigest() for v in texts]
+
+
+def _outside(value: str, n: str, accepted: list[str] | None) -> str:
+    """SQL for the rows whose (grouped) value is not accepted."""
+    if accepted is None:
+        return "CAST(NULL AS BIGINT)"
+    return f"coalesce(sum(CASE WHEN {value} NOT IN ({', '.join(map(sql_literal, accepted))}) THEN {n} END), 0)"
+
+
+def _distinct_stats(df: DataFrame, cid: int, column: str, as_of=None, accepted=None) -> DataFrame:
+    """One stats row (cid and ``_STATS_COLUMNS``) for one column."""
+    exprs = {**_COUNT_STATS, **_extremes(_field_types(df)[column], "v", as_of),
+             "OUTSIDE": _outside("v", "n", (accepted or {}).get(column))}
     key = F.expr(_group_key(_field_types(df)[column], column))
     groups = df.groupBy(key.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.expr(f"{cid} AS cid"), *[F.expr(f"{e} AS {m}") for m, e in exprs.items()])
 
 
-def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=None) -> DataFrame:
+def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=None, accepted=None) -> DataFrame:
     """Stats rows for several columns from ONE scan: every row becomes one typed entry per
     column -- struct(cid, one field per distinct type, only the column's own field set) --
     so values keep their type (no string casts) and one group-by serves the batch."""
@@ -211,24 +235,27 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=Non
                  F.expr(f"coalesce(sum(CASE WHEN cid = {cid} AND NOT present THEN n END), 0) AS z{cid}"),
                  F.expr(f"coalesce(sum(CASE WHEN cid = {cid} THEN n END), 0) AS t{cid}"),
                  F.expr(f"{ext['MIN_D']} AS lo{cid}"), F.expr(f"{ext['MAX_D']} AS hi{cid}"),
-                 F.expr(f"{ext['FRESH']} AS fr{cid}")]
-    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}, z{cid}, t{cid}, lo{cid}, hi{cid}, fr{cid}"
+                 F.expr(f"{ext['FRESH']} AS fr{cid}"),
+                 F.expr(_outside(f"CASE WHEN cid = {cid} THEN f{slots[dtypes[c]]} END", "n",
+                                 (accepted or {}).get(c)) + f" AS ou{cid}")]
+    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}, z{cid}, t{cid}, lo{cid}, hi{cid}, fr{cid}, ou{cid}"
                      for cid, _ in batch)
     return groups.agg(*aggs).selectExpr(
         f"stack({len(batch)}, {rows}) AS (cid, {', '.join(_STATS_COLUMNS)})")
 
 
 def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
-                   batch: int = 1, as_of=None) -> DataFrame:
+                   batch: int = 1, as_of=None, accepted=None) -> DataFrame:
     """All group-count metrics of a table: stats rows per column (``batch`` columns per
     scan), unioned, then one long shaping step that keeps only the requested (column,
     metric) pairs. ROW_COUNT, when asked for, is taken from the first column's groups."""
     cols = list(by_column)
     if batch <= 1:
-        frames = [_distinct_stats(df, i, c, as_of) for i, c in enumerate(cols)]
+        frames = [_distinct_stats(df, i, c, as_of, accepted) for i, c in enumerate(cols)]
     else:
         ids = list(enumerate(cols))
-        frames = [_distinct_stats_batch(df, ids[k:k + batch], as_of) for k in range(0, len(ids), batch)]
+        frames = [_distinct_stats_batch(df, ids[k:k + batch], as_of, accepted)
+                  for k in range(0, len(ids), batch)]
     stats = reduce(lambda a, b: a.union(b), [f.select("cid", *_STATS_COLUMNS) for f in frames])
     names = "array(" + ", ".join(sql_literal(c) for c in cols) + ")"
     metrics = ", ".join(f"{sql_literal(m)}, {e}" for m, e in _FROM_GROUPS.items())
@@ -260,9 +287,13 @@ def _needs_domain_join(ch: Check) -> bool:
 
 def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
             distinct: str = "exact", materialize: bool = False,
-            distinct_batch: int = DISTINCT_BATCH) -> DataFrame:
+            distinct_batch: int = DISTINCT_BATCH, one_read: bool = False,
+            reasons: bool = False) -> DataFrame:
     """Evaluate ``checks`` on ``df``; one long row per check.
 
+    A check that cannot run (unknown metric or column, unsuitable type, an expression that
+    does not resolve) gives a NULL; ``reasons=True`` adds its ``error`` text.
+
     ``as_of`` is the measurement clock for FRESHNESS (default: current timestamp).
     ``distinct="approx"`` computes UNIQUE_COUNT with HyperLogLog++ inside the scan
     aggregate instead of a group-by (duplicate counts stay exact).
@@ -270,9 +301,13 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
     say) once -- a checkpoint of the needed columns in the shared checkpoint folder --
     so the per-column branches do not each recompute it. Plain scans need no such step:
     each branch reads only its own column.
+    ``one_read=True`` suits a derived source without a written cut: every column whose
+    metrics the value groups can give is grouped, and all of them share one batch, so the
+    source runs once (once more if other metrics remain).
     """
     spark = df.sparkSession
     ok, failed = validate_checks(df, checks)
+    types = _field_types(df)
     parts: list[DataFrame] = []
 
     scan, by_column, domain = [], {}, []
@@ -286,16 +321,37 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
             by_column.setdefault(ch.column, []).append(m.name)
         else:
             raise ValueError(f"distinct metric {m.name} has no form over value groups; register it as a scan metric")
+    accepted: dict[str, list[str]] = {}
+
+    def from_groups(ch: Check, m) -> bool:
+        """Whether the value groups of its column give this check (the built-in form only)."""
+        if m is not _BUILT_IN.get(m.name) or m.level != "column":
+            return False
+        if m.name != "ACCEPTED_VALUES":
+            return not ch.params
+        return ch.column not in accepted and _accepted_list(types[ch.column], ch) is not None
+
+    if one_read and by_column:
+        by_name: dict[str, list] = {}
+        for ch, m in scan:
+            if ch.column:
+                by_name.setdefault(ch.column, []).append((ch, m))
+        for c, own in by_name.items():
+            if c not in by_column and all(from_groups(ch, m) for ch, m in own) \
+                    and sum(m.name == "ACCEPTED_VALUES" for _, m in own) < 2:
+                by_column[c] = []
+        distinct_batch = max(distinct_batch, len(by_column))
     if by_column:
         # NULL_COUNT / NULL_PERCENT of a column that is grouped anyway, and ROW_COUNT, come
         # from the group counts: no second read of those columns
         first = next(iter(by_column))
         rest = []
         for ch, m in scan:
-            if (m.name in DERIVED_FROM_GROUPS and m.level == "column" and ch.column in by_column
-                    and not ch.params):
+            if ch.column in by_column and from_groups(ch, m):
                 by_column[ch.column].append(m.name)
-            elif m.name == "ROW_COUNT":
+                if m.name == "ACCEPTED_VALUES":
+                    accepted[ch.column] = _accepted_list(types[ch.column], ch)
+            elif m is _BUILT_IN["ROW_COUNT"]:
                 by_column[first].append("ROW_COUNT")
             else:
                 rest.append((ch, m))
@@ -309,35 +365,55 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
         df = df.checkpoint(eager=True)
 
     if scan:
-        aggs, items = [], []
-        for i, (ch, m) in enumerate(scan):
+        built = []
+        for ch, m in scan:
             c = col_ref(ch.column) if ch.column else None
-            if m.name == "UNIQUE_COUNT":
-                expr = F.approx_count_distinct(c).cast("double")
-            else:
-                params = {"as_of": as_of, **ch.param_dict()}
-                if ch.column:
-                    params["column_sql"] = "`" + ch.column.replace("`", "``") + "`"
-                expr = m.build(c, params)
-            aggs.append(expr.alias(f"_m{i}"))
-            items.append((ch.column, m.name, f"_m{i}"))
-        parts.append(df.agg(*aggs).selectExpr(_stack(table_name, items)))
+            params = {"as_of": as_of, **ch.param_dict()}
+            if ch.column:
+                params["column_sql"] = "`" + ch.column.replace("`", "``") + "`"
+            try:
+                built.append((ch, m, F.approx_count_distinct(c).cast("double") if m.name == "UNIQUE_COUNT"
+                              else m.build(c, params)))
+            except Exception as e:
+                failed.append((ch, str(e)))
+
+        def scanned(part) -> DataFrame:
+            aggs = [expr.alias(f"_m{i}") for i, (_, _, expr) in enumerate(part)]
+            return df.agg(*aggs).selectExpr(_stack(table_name, [
+                (ch.column, m.name, f"_m{i}") for i, (ch, m, _) in enumerate(part)]))
+
+        try:
+            parts += [scanned(built)] if built else []
+        except AnalysisException:       # some expression does not resolve: find out which
+            sound = []
+            for one in built:
+                try:
+                    scanned([one])
+                    sound.append(one)
+                except AnalysisException as e:
+                    failed.append((one[0], str(e)))
+            parts += [scanned(sound)] if sound else []
 
     if by_column:
-        parts.append(_distinct_part(df, table_name, by_column, distinct_batch, as_of))
+        parts.append(_distinct_part(df, table_name, by_column, distinct_batch, as_of, accepted))
 
     for ch in domain:
         parts.append(_domain_branch(df, table_name, ch))
 
-    if failed:
-        rows = [(table_name, ch.column, ch.metric.upper(), None) for ch, _ in failed]
-        parts.append(spark.createDataFrame(rows, RESULT_SCHEMA))
-
-    if not parts:
-        return spark.createDataFrame([], RESULT_SCHEMA)
+    if reasons:
+        parts = [x.withColumn("error", F.lit(None).cast("string")) for x in parts]
+    if failed or not parts:
+        parts.append(_failed_rows(spark, [(table_name, ch, why) for ch, why in failed], reasons))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _failed_rows(spark: SparkSession, failed, reasons: bool) -> DataFrame:
+    """NULL results of checks that could not run: (table name, check, reason)."""
+    schema = T.StructType([*RESULT_SCHEMA.fields, T.StructField("error", T.StringType())])
+    out = spark.createDataFrame([(t, ch.column, ch.metric.upper(), None, why) for t, ch, why in failed], schema)
+    return out if reasons else out.drop("error")
+
+
 def measure_expand(df: DataFrame, checks, table_name: str, *, as_of=None) -> DataFrame:
     """Same results as :func:`measure` with every metric in ONE aggregate.
 
@@ -371,11 +447,12 @@ def measure_expand(df: DataFrame, checks, table_name: str, *, as_of=None) -> Dat
 
 
 def measure_suite(suite: dict[str, tuple[DataFrame, list]], *, as_of=None,
-                  distinct: str = "exact", materialize=()) -> DataFrame:
+                  distinct: str = "exact", materialize=(), one_read=()) -> DataFrame:
     """Measure several tables; one union of the per-table plans (one job when collected).
-    ``materialize`` names the tables whose (derived) source is checkpointed once."""
+    ``materialize`` names the tables whose (derived) source is checkpointed once,
+    ``one_read`` those whose columns share one batch."""
     parts = [measure(df, checks, name, as_of=as_of, distinct=distinct,
-                     materialize=name in materialize)
+                     materialize=name in materialize, one_read=name in one_read)
              for name, (df, checks) in suite.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -398,51 +475,115 @@ def empty_results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RESULT_SCHEMA)
 
 
-def _checks_by_table(checks: DataFrame) -> dict[tuple, list[Check]]:
-    # the configuration is bounded by the catalog's schemas, not by data: one collect
-    by_table: dict[tuple, list[Check]] = {}
-    for r in checks.select("table_catalog", "table_schema", "table_name", "metric_name",
-                           "column_name").collect():
-        by_table.setdefault((r[0], r[1], r[2]), []).append(Check(r[3], r[4]))
-    return by_table
+TABLE_KEYS = ("table_catalog", "table_schema", "table_name")
+
+
+def _check_of(row) -> Check:
+    values = row["accepted_values"] if "accepted_values" in row else None
+    return Check(row["metric_name"], row["column_name"], () if values is None else (("values", tuple(values)),))
+
+
+def _checks_by_table(checks: DataFrame) -> Iterator[tuple[tuple, list[Check]]]:
+    """(table, its checks), table after table: the configuration streams through the driver
+    in order and only one table's checks are held."""
+    wanted = [*TABLE_KEYS, "metric_name", "column_name",
+              *(["accepted_values"] if "accepted_values" in checks.columns else [])]
+    table, own = None, []
+    for r in checks.select(*wanted).orderBy(*TABLE_KEYS).toLocalIterator():
+        if tuple(r[:3]) != table:
+            if own:
+                yield table, own
+            table, own = tuple(r[:3]), []
+        own.append(_check_of(r))
+    if own:
+        yield table, own
 
 
-def _measure_tables(spark: SparkSession, items, as_of, resolver, distinct) -> DataFrame:
-    if resolver is None:
-        def resolver(db, schema, table):
-            parts = [p for p in (db, schema, table) if p]
-            return spark.table(".".join("`" + p.replace("`", "``") + "`" for p in parts))
-    parts = []
-    for (db, schema, table), chs in items:
-        name = ".".join(p for p in (db, schema, table) if p)
+def _by_name(spark: SparkSession):
+    def resolve(db, schema, table):
+        return spark.table(".".join("`" + p.replace("`", "``") + "`" for p in (db, schema, table) if p))
+    return resolve
+
+
+def _measure_tables(spark: SparkSession, items, as_of, resolver, distinct, reasons=False) -> DataFrame:
+    resolver = resolver or _by_name(spark)
+    parts, unread = [], []
+    for key, chs in items:
+        name = ".".join(p for p in key if p)
         try:
-            df = resolver(db, schema, table)
-        except Exception:           # unreadable table: its checks become NULL results
-            rows = [(name, c.column, c.metric.upper(), None) for c in chs]
-            parts.append(spark.createDataFrame(rows, RESULT_SCHEMA))
+            df = resolver(*key)
+        except Exception as e:      # unreadable table: its checks become NULL results
+            unread += [(name, c, str(e)) for c in chs]
             continue
-        parts.append(measure(df, chs, name, as_of=as_of, distinct=distinct))
-    if not parts:
-        return empty_results(spark)
+        parts.append(measure(df, chs, name, as_of=as_of, distinct=distinct, reasons=reasons))
+    if unread or not parts:
+        parts.append(_failed_rows(spark, unread, reasons))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def measure_checks(spark: SparkSession, checks: DataFrame, *, as_of=None, resolver=None,
                    distinct: str = "exact") -> DataFrame:
     """Measure a checks configuration (rows: table_catalog, table_schema, table_name,
-    metric_name, column_name -- the shape of ``checks.expand_checks``) as one union.
+    metric_name, column_name -- the shape of ``checks.expand_checks`` -- and, if there,
+    ``accepted_values``, an array of texts) as one union.
 
     The configuration is read on the driver (it is bounded by schemas, not data) to build
     one plan per table; tables are resolved with ``resolver(db, schema, table)`` (default:
     ``spark.table`` on the qualified name). ``table_name`` in the result is the qualified
     name. For account-wide configurations use :func:`measure_checks_in_jobs`."""
-    return _measure_tables(spark, _checks_by_table(checks).items(), as_of, resolver, distinct)
+    return _measure_tables(spark, _checks_by_table(checks), as_of, resolver, distinct)
+
+
+def _groups_of(items, n: int) -> Iterator[list]:
+    group = []
+    for item in items:
+        group.append(item)
+        if len(group) == n:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
 def measure_checks_in_jobs(spark: SparkSession, checks: DataFrame, tables_per_job: int = 200, *,
                            as_of=None, resolver=None, distinct: str = "exact"):
     """Like :func:`measure_checks`, but yields one result frame per group of tables, so a
     configuration over many thousands of tables never becomes one giant plan."""
-    items = list(_checks_by_table(checks).items())
-    for k in range(0, len(items), tables_per_job):
-        yield _measure_tables(spark, items[k:k + tables_per_job], as_of, resolver, distinct)
+    for group in _groups_of(_checks_by_table(checks), tables_per_job):
+        yield _measure_tables(spark, group, as_of, resolver, distinct)
+
+
+def measure_checks_to(spark: SparkSession, checks: DataFrame, path: str, tables_per_job: int = 50, *,
+                      as_of=None, resolver=None, distinct: str = "exact") -> DataFrame:
+    """Measure a configuration into a results table at ``path`` and read it back, with an
+    ``error`` column. What fails while running fails alone: a group of tables whose job
+    fails is run again table by table, and a failing table check by check; a check that
+    fails on its own becomes a NULL with the whole error text. Failed jobs leave no rows
+    (file commit protocol); ``path`` should be new for each run.
+    """
+    def run(items) -> None:
+        try:
+            _measure_tables(spark, items, as_of, resolver, distinct, True).write.mode("append").parquet(path)
+        except Exception as e:
+            if len(items) > 1:
+                for one in items:
+                    run([one])
+                return
+            (key, chs), = items
+            if len(chs) > 1:
+                for ch in chs:
+                    run([(key, [ch])])
+                return
+            name = ".".join(p for p in key if p)
+            _failed_rows(spark, [(name, chs[0], str(e))], True).write.mode("append").parquet(path)
+
+    _failed_rows(spark, [], True).write.mode("append").parquet(path)
+    for group in _groups_of(_checks_by_table(checks), tables_per_job):
+        run(group)
+    return spark.read.parquet(path)
+
+
+def outcome_counts(results: DataFrame) -> DataFrame:
+    """One row: checks measured and checks failed (rows with an ``error``)."""
+    return results.agg(F.count_if(F.col("error").isNull()).alias("measured"),
+                       F.count_if(F.col("error").isNotNull()).alias("failed"))

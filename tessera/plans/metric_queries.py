@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.registry import sql_metric
-from tessera.operators.metrics import Check, measure, measure_suite
+from tessera.operators.metrics import Check, measure, measure_checks_to, measure_suite
 from tessera.plans.base import AS_OF, ROUND_DIGITS, register
 from tessera.plans.fixture_sql import with_ctes
 from tessera.plans.oracle_sql import checks_sql
+from tessera.session import scratch_path, unique_name
+from tessera.sources.config import config_frame
 from tessera.sources.fixtures import labeled_documents
 from tessera.sources.tables import TABLES, read_table
 
@@ -30,7 +32,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_plan(spark, sf_dir, plan: dict[str, list[Check]], rounded=False) -> DataFrame:
     suite = {t: (source(spark, sf_dir, t), checks) for t, checks in plan.items()}
-    out = measure_suite(suite, as_of=AS_OF)
+    out = measure_suite(suite, as_of=AS_OF, one_read=("docs_l",))
     if rounded:
         out = out.withColumn("value", F.round("value", ROUND_DIGITS))
     return out
@@ -137,3 +139,39 @@ def metric_accepted_values_domain(spark, sf_dir):
               .select("o_orderpriority").unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS o_orderpriority")))
     check = Check("ACCEPTED_VALUES", "O_ORDERPRIORITY", (("domain", domain),))
     return measure(orders, [check], "orders")
+
+
+# What fails fails alone
+sql_metric("PER_IMPOSSIBLE", "count(*) / count_if({col} IS NULL AND {col} IS NOT NULL)")
+_FAILING = [("orders", "ROW_COUNT", None, None), ("orders", "AVG", "o_orderstatus", None),
+            ("orders", "PER_IMPOSSIBLE", "o_totalprice", None), ("orders", "NULL_COUNT", "O_CUSTKEY", None),
+            ("orders", "UNIQUE_COUNT", "o_custkey", None), ("orders", "NEGATIVE_COUNT", "no_such_column", None),
+            ("orders", "ACCEPTED_VALUES", "o_orderstatus", ["O", None, "F"]),
+            ("events", "UNIQUE_COUNT", "user_id", None), ("events", "NO_SUCH_METRIC", "user_id", None),
+            ("no_such_table", "ROW_COUNT", None, None)]
+
+
+def failing_run(spark, sf_dir) -> DataFrame:
+    checks = config_frame(spark, [("", "", *r) for r in _FAILING],
+                          "table_catalog string, table_schema string, table_name string, metric_name string, "
+                          "column_name string, accepted_values array<string>")
+    return measure_checks_to(spark, checks, scratch_path(spark, "results", unique_name("isolated")), as_of=AS_OF,
+                             resolver=lambda db, schema, table: read_table(spark, sf_dir, table))
+
+
+@register("measure_with_failures", """
+SELECT 'orders' AS table_name, CAST(NULL AS VARCHAR) AS column_name, 'ROW_COUNT' AS metric_name,
+  CAST(count(*) AS DOUBLE) AS value, false AS failed FROM orders
+UNION ALL SELECT 'orders', 'o_custkey', 'NULL_COUNT', CAST(count(*) - count(o_custkey) AS DOUBLE), false FROM orders
+UNION ALL SELECT 'orders', 'o_custkey', 'UNIQUE_COUNT', CAST(count(DISTINCT o_custkey) AS DOUBLE), false FROM orders
+UNION ALL SELECT 'orders', 'o_orderstatus', 'ACCEPTED_VALUES',
+  CAST(count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) AS DOUBLE), false FROM orders
+UNION ALL SELECT 'events', 'user_id', 'UNIQUE_COUNT', CAST(count(DISTINCT user_id) AS DOUBLE), false FROM events
+UNION ALL SELECT * FROM (VALUES ('orders', 'o_orderstatus', 'AVG', CAST(NULL AS DOUBLE), true),
+  ('orders', 'o_totalprice', 'PER_IMPOSSIBLE', NULL, true), ('orders', 'no_such_column', 'NEGATIVE_COUNT', NULL, true),
+  ('events', 'user_id', 'NO_SUCH_METRIC', NULL, true), ('no_such_table', NULL, 'ROW_COUNT', NULL, true)) v""")
+def measure_with_failures(spark, sf_dir):
+    """A configuration with an unsuitable type, a missing column and table, an unknown metric
+    and a division by zero: each of them fails alone."""
+    return failing_run(spark, sf_dir).select("table_name", "column_name", "metric_name", "value",
+                                              F.col("error").isNotNull().alias("failed"))

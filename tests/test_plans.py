@@ -60,3 +60,13 @@ def test_semi_and_anti_joins_use_distinct_keys(spark, sf_dir):
 
 def test_history_counters_avoid_expand(spark, sf_dir):
     assert "Expand" not in _plan(Q["history_summary"](spark, sf_dir))
+
+
+def test_suite_runs_the_joined_source_once(spark, sf_dir):
+    p = _plan(Q["metric_suite"](spark, sf_dir))
+    assert p.count("documents.parquet") == 1 and p.count("labels.parquet") == 1
+
+
+def test_overview_reads_each_source_once(spark, sf_dir):
+    assert _plan(Q["kpi_overview"](spark, sf_dir)).count("FileScan parquet") == 4
+    assert _plan(Q["history_summary"](spark, sf_dir)).count("FileScan parquet") == 1

@@ -440,3 +440,40 @@ def test_distinct_counts_on_empty_frame(spark):
     df = spark.createDataFrame([], "a string, b string")
     row = distinct_counts(df, {"ua": "a", "ub": "b"}, total="n").collect()[0]
     assert (row.n, row.ua, row.ub) == (0, 0, 0)
+
+
+def test_failures_have_reasons_and_counts(spark, sf_dir):
+    from tessera.operators.metrics import outcome_counts
+    from tessera.plans.metric_queries import failing_run
+    res = failing_run(spark, sf_dir)
+    assert tuple(outcome_counts(res).first()) == (5, 5)
+    why = {(r["column_name"], r["metric_name"]): r["error"] for r in res.where("error IS NOT NULL").collect()}
+    assert "DIVIDE_BY_ZERO" in why["o_totalprice", "PER_IMPOSSIBLE"]
+    assert "no column" in why["no_such_column", "NEGATIVE_COUNT"]
+    assert "unknown metric" in why["user_id", "NO_SUCH_METRIC"]
+
+
+def test_replaced_metric_is_not_derived_from_groups(spark):
+    from tessera.functions.registry import Metric, get_metric, register_metric
+    from tessera.operators.metrics import Check, measure
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("a",), ("",), (None,)], "s string")
+    old = get_metric("NULL_COUNT")
+    register_metric(Metric("NULL_COUNT", "column", ("ALL",), "scan",
+                           lambda c, p: F.count_if(c.isNull() | (c == "")).cast("double")))
+    try:
+        got = {r["metric_name"]: r["value"] for r in
+               measure(df, [Check("NULL_COUNT", "s"), Check("UNIQUE_COUNT", "s")], "t").collect()}
+    finally:
+        register_metric(old)
+    assert got == {"NULL_COUNT": 2.0, "UNIQUE_COUNT": 2.0}
+
+
+def test_accepted_values_from_groups_equal_the_scan(spark):
+    from tessera.operators.metrics import Check, measure
+    long = "x" * 80
+    df = spark.createDataFrame([("a",), ("b",), (long,), (long + "y",), (None,), ("b",)], "s string")
+    check = Check("ACCEPTED_VALUES", "s", (("values", ("a", None, long)),))
+    alone = measure(df, [check], "t").first()["value"]
+    both = measure(df, [check, Check("UNIQUE_COUNT", "s")], "t").where("metric_name = 'ACCEPTED_VALUES'").first()["value"]
+    assert alone == both == 3.0
