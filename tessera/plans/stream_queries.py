@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tessera.operators.metrics import Check
 from tessera.plans.base import ROUND_DIGITS, register
 from tessera.plans.fixture_sql import with_ctes
+from tessera.session import scratch_path, unique_name
 from tessera.sinks.tables import append_and_read
 from tessera.sources.fixtures import measurement_log
+from tessera.sources.tables import read_table
 from tessera.streaming import windows as W
 
 DELAY = "1 hour"
@@ -85,6 +87,55 @@ def stream_on_change(spark, sf_dir):
     return W.on_change(s, checks, "events")
 
 
+_ARRIVAL_CHECKS = [Check("ROW_COUNT"), Check("NULL_COUNT", "value"), Check("NULL_PERCENT", "value"),
+                   Check("UNIQUE_COUNT", "user_id"), Check("DUPLICATE_COUNT", "user_id"),
+                   Check("DUPLICATE_VALUES", "event_type"), Check("MAX", "value")]
+
+
+def arrivals(spark, sf_dir, location: str):
+    """Events arrive in two lots of several files (the second with the odd users); after
+    each the schedule runs, and once more without news. Returns all results."""
+    events = read_table(spark, sf_dir, "events")
+    place = location + "/table"
+    out = None
+    for lot in (F.col("user_id") % 2 == 0, F.col("user_id") % 2 != 0, None):
+        if lot is not None:
+            events.where(lot).repartition(3, "event_id").write.mode("append").parquet(place)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
+        out = W.on_change(stream, _ARRIVAL_CHECKS, "events", location=location + "/run",
+                          table=lambda: spark.read.parquet(place))
+    return out
+
+
+@register("stream_arrivals", """
+SELECT 'events' AS table_name, CAST(NULL AS VARCHAR) AS column_name, 'ROW_COUNT' AS metric_name,
+  CAST(count(*) AS DOUBLE) AS value FROM events
+UNION ALL SELECT 'events', 'value', 'NULL_COUNT', CAST(count(*) - count(value) AS DOUBLE) FROM events
+UNION ALL SELECT 'events', 'value', 'NULL_PERCENT', CAST(100 AS DOUBLE) * (count(*) - count(value)) / count(*) FROM events
+UNION ALL SELECT 'events', 'user_id', 'UNIQUE_COUNT', CAST(count(DISTINCT user_id) AS DOUBLE) FROM events
+UNION ALL SELECT 'events', 'user_id', 'DUPLICATE_COUNT', CAST(count(user_id) - count(DISTINCT user_id) AS DOUBLE) FROM events
+UNION ALL SELECT 'events', 'event_type', 'DUPLICATE_VALUES',
+  CAST((SELECT count(*) FROM (SELECT event_type FROM events WHERE event_type IS NOT NULL GROUP BY 1 HAVING count(*) > 1) g)
+    AS DOUBLE)
+UNION ALL SELECT 'events', 'value', 'MAX', CAST(max(value) AS DOUBLE) FROM events""")
+def stream_arrivals(spark, sf_dir):
+    """The last results of a schedule that resumed twice: about the whole table."""
+    res = arrivals(spark, sf_dir, scratch_path(spark, "streams", unique_name("arrivals")))
+    last = res.agg(F.max("batch_id").alias("batch_id"))
+    return res.join(last, "batch_id", "left_semi").select("table_name", "column_name", "metric_name", "value")
+
+
+@register("stream_windows_closed", f"""
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+  time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, {_METRICS_SQL.format(v='value')}
+FROM events GROUP BY 1, 2""")
+def stream_windows_closed(spark, sf_dir):
+    """Every day window of the stream: those emitted, and the open ones at its end."""
+    s = W.file_stream(spark, sf_dir, "events")
+    out = W.run_available(W.stream_window_metrics(s, "ts", "value", "1 day", DELAY), "windows_closed")
+    return _rounded(W.with_open_windows(out, read_table(spark, sf_dir, "events"), "ts", "value", "1 day"))
+
+
 @register("metrics_merge_partials", with_ctes("""
 SELECT metric_name, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS nulls,
   round(sum(value), 6) AS value_sum, min(value) AS value_min, max(value) AS value_max
