@@ -42,48 +42,74 @@ def _render(df: DataFrame) -> Column:
 
 # ---------------------------------------------------------------- samples
 
-def sample_rows(df: DataFrame, table: str, key: str, n: int = TABLE_SAMPLE_ROWS) -> DataFrame:
-    """First ``n`` rows by ``key`` rendered as text: (table_name, rn, row_text).
+def _first_rows(df: DataFrame, keys: list[str], order, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``, an order of the key columns alone: a top-n over the
+    keys, then the other columns of those rows only, by a pushed-down key filter. Of rows
+    with equal keys, the least as text come first."""
+    firsts = df.select(*keys, order.alias("_o")).orderBy("_o").limit(n).collect()   # n rows of keys
+    lead = [r[0] for r in firsts]
+    mine = F.col(f"`{keys[0]}`").isin([v for v in lead if v is not None])
+    if None in lead:
+        mine = mine | F.col(f"`{keys[0]}`").isNull()
+    return df.where(mine).withColumn("_o", order).withColumn("_t", _render(df)).orderBy("_o", "_t").limit(n)
 
-    ``orderBy().limit()`` plans as TakeOrderedAndProject: a top-n per partition, no sort
-    of the table."""
-    top = df.orderBy(key).limit(n)
-    return top.select(F.lit(table).alias("table_name"), F.col(key).alias("_k"),
-                      _render(df).alias("row_text")) \
-        .withColumn("rn", F.row_number().over(_w_order("table_name", "_k"))) \
-        .select("table_name", "rn", "row_text")
 
+def _place(df: DataFrame, names: dict) -> DataFrame:
+    for k, v in names.items():
+        df = df.withColumn(k, F.lit(v))
+    return df
 
-def _w_order(part: str, order: str):
+
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _names(table: str, database: str | None, schema: str | None) -> dict:
+    """The object keys of a sample; database and schema only if given."""
+    given = {"database_name": database, "schema_name": schema}
+    return {k: v for k, v in given.items() if v is not None} | {"table_name": table}
+
+
+def sample_rows(df: DataFrame, table: str, key, n: int = TABLE_SAMPLE_ROWS, database: str | None = None,
+                schema: str | None = None) -> DataFrame:
+    """First ``n`` rows by ``key`` (a column or several) rendered as text: object keys, rn,
+    row_text."""
+    keys = _keys(key)
+    top = _first_rows(df, keys, F.struct(*[F.col(f"`{k}`") for k in keys]), n)
+    names = _names(table, database, schema)
+    return (_place(top.withColumnRenamed("_t", "row_text"), names)
+            .withColumn("rn", F.row_number().over(_w_order("table_name", "_o", "row_text")))
+            .select(*names, "rn", "row_text"))
+
+
+def _w_order(part: str, *order: str):
     from pyspark.sql import Window
-    return Window.partitionBy(part).orderBy(order)
+    return Window.partitionBy(part).orderBy(*order)
 
 
 def sample_text(rows: DataFrame) -> DataFrame:
-    """(table_name, rn, row_text) -> (table_name, sample_data): rows joined by newlines
-    (at most the sample size per table)."""
-    agg = rows.groupBy("table_name").agg(
+    """Sampled rows -> object keys and sample_data: rows joined by newlines (at most the
+    sample size per table)."""
+    keys = [k for k in OBJ_KEYS if k in rows.columns]
+    return rows.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "row_text"))),
                                  lambda s: s["row_text"]), "\n").alias("sample_data"))
-    return agg
 
 
-def column_samples(df: DataFrame, table: str, key: str, columns=None,
-                   n: int = COLUMN_SAMPLE_VALUES) -> DataFrame:
+def column_samples(df: DataFrame, table: str, key, columns=None, n: int = COLUMN_SAMPLE_VALUES,
+                   database: str | None = None, schema: str | None = None) -> DataFrame:
     """``n`` values per column, the same pseudo-random rows for every column: ordered by
-    md5 of the key (a stable order any engine reproduces): one top-n per table, unpivoted.
-    Output: (table_name, column_name, sample_rank, value_text)."""
-    cols = columns or df.columns
-    # the sampled rows are the same for every column: ONE top-n per table, then unpivot
-    top = (df.select(F.md5(F.col(key).cast("string")).alias("_h"),
-                     *[F.col("`%s`" % c).cast("string").alias(f"_c{i}") for i, c in enumerate(cols)])
-           .orderBy("_h").limit(n))
+    md5 of the key (a stable order any engine reproduces).
+    Output: object keys, column_name, sample_rank, value_text."""
+    cols, keys = columns or df.columns, _keys(key)
+    top = _first_rows(df, keys, F.md5(F.concat_ws(" ", *[F.col(f"`{k}`").cast("string") for k in keys])), n)
+    names = _names(table, database, schema)
     # rank within the n sampled rows (the window only ever sees the top-n of one table)
-    ranked = (top.withColumn("table_name", F.lit(table))
-              .withColumn("sample_rank", F.row_number().over(_w_order("table_name", "_h")).cast("long")))
-    return ranked.select("table_name", "sample_rank", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias("value_text"))
-        for i, c in enumerate(cols)]))).select("table_name", "column_name", "sample_rank", "value_text")
+    ranked = _place(top, names).withColumn(
+        "sample_rank", F.row_number().over(_w_order("table_name", "_o", "_t")).cast("long"))
+    return ranked.select(*names, "sample_rank", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value_text"))
+        for c in cols]))).select(*names, "column_name", "sample_rank", "value_text")
 
 
 # ---------------------------------------------------------------- prompts

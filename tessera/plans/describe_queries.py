@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import checks as CK
 from tessera.operators import describe as D
+from tessera.operators.documentation import document_schema
 from tessera.operators.metrics import measure_checks
 from tessera.operators.catalog import columns_listing
 from tessera.operators.history import description_change_rows
@@ -18,10 +19,11 @@ from tessera.plans.oracle_sql import checks_sql, comment_statement_sql
 from tessera.sinks.tables import append_and_read
 from tessera.plans.catalog_queries import COL_LISTING_SQL, OBJ_LISTING_SQL, listing
 from tessera.plans.fixture_sql import with_ctes
-from tessera.sources.catalog import schemas_columns
+from tessera.session import scratch_path, unique_name
+from tessera.sources.catalog import schemas_columns, session_columns, session_objects
 from tessera.sources.config import config_frame
 from tessera.sources.fixtures import catalog_columns, contact_refs
-from tessera.sources.tables import read_table
+from tessera.sources.tables import read_table, table_path
 
 # tables described from their real schema and data: (sample key, columns in order)
 SAMPLED = {
@@ -33,10 +35,23 @@ SAMPLED = {
     "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                               "o_orderdate", "o_orderpriority"]),
     "events": ("event_id", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
+    "lineitem": (("l_orderkey", "l_linenumber"), [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate"]),
+    "documents": ("doc_id", ["doc_id", "text", "lang", "source", "n_chars"]),
+    "labels": ("doc_id", ["doc_id", "quality", "toxic"]),
+    "benchmark": ("item_id", ["item_id", "text"]),
+    "pages": ("page_id", ["page_id", "url", "html"]),
+    "conversations": (("conv_id", "turn"), ["conv_id", "turn", "role", "text"]),
 }
 DB, SCHEMA = "TESTDATA", "PUBLIC"
 
 
+def _order(t: str) -> list[str]:
+    key = SAMPLED[t][0]
+    return [key] if isinstance(key, str) else list(key)
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -48,16 +63,20 @@ def _nl(s: str) -> str:
 
 # ---------------------------------------------------------------- samples
 
-def _table_samples(spark, sf_dir):
+def _table_samples(spark, sf_dir, **place):
     return reduce(lambda a, b: a.unionByName(b), [
-        D.sample_rows(read_table(spark, sf_dir, t), t, key) for t, (key, _) in SAMPLED.items()])
+        D.sample_rows(read_table(spark, sf_dir, t), t, key, **place) for t, (key, _) in SAMPLED.items()])
+
+
+def _render_sql(t: str) -> str:
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NULL')" for c in SAMPLED[t][1])
+    return f"concat_ws(' | ', {cells})"
 
 
 def _row_sql(t: str) -> str:
-    key, cols = SAMPLED[t]
-    render = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NULL')" for c in cols)
-    return (f"SELECT * FROM (SELECT '{t}' AS table_name, {key} AS k, concat_ws(' | ', {render}) AS row_text "
-            f"FROM {t} ORDER BY {key} LIMIT 5)")
+    order = ", ".join([*_order(t), _render_sql(t)])
+    return (f"SELECT * FROM (SELECT '{t}' AS table_name, row_number() OVER (ORDER BY {order}) AS k, "
+            f"{_render_sql(t)} AS row_text FROM {t} ORDER BY {order} LIMIT 5)")
 
 
 _ROWS_SQL = " UNION ALL ".join(_row_sql(t) for t in SAMPLED)
@@ -70,24 +89,25 @@ def sample_table_rows(spark, sf_dir):
     return _table_samples(spark, sf_dir)
 
 
-def _column_samples(spark, sf_dir):
+def _column_samples(spark, sf_dir, **place):
     return reduce(lambda a, b: a.unionByName(b), [
-        D.column_samples(read_table(spark, sf_dir, t), t, key) for t, (key, _) in SAMPLED.items()])
+        D.column_samples(read_table(spark, sf_dir, t), t, key, **place) for t, (key, _) in SAMPLED.items()])
 
 
 def _val_sql() -> str:
     parts = []
-    for t, (key, cols) in SAMPLED.items():
+    for t, (_, cols) in SAMPLED.items():
         for c in cols:
             parts.append(f"SELECT * FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, "
-                         f"md5(CAST({key} AS VARCHAR)) AS h, CAST({c} AS VARCHAR) AS value_text "
-                         f"FROM {t} ORDER BY h LIMIT 10)")
+                         f"md5(concat_ws(' ', {', '.join(f'CAST({k} AS VARCHAR)' for k in _order(t))})) AS h, "
+                         f"{_render_sql(t)} AS whole, CAST({c} AS VARCHAR) AS value_text "
+                         f"FROM {t} ORDER BY h, whole LIMIT 10)")
     return " UNION ALL ".join(parts)
 
 
 _VALS_SQL = f"""
 SELECT table_name, column_name, value_text,
-  row_number() OVER (PARTITION BY table_name, column_name ORDER BY h) AS sample_rank
+  row_number() OVER (PARTITION BY table_name, column_name ORDER BY h, whole) AS sample_rank
 FROM ({_val_sql()}) v"""
 
 
@@ -131,8 +151,7 @@ FROM (SELECT table_name, count(*) AS n_columns,
 LEFT JOIN (SELECT table_name, string_agg(row_text, chr(10) ORDER BY k) AS sample_data
            FROM ({_ROWS_SQL}) r GROUP BY table_name) s ON c.table_name = s.table_name""")
 def table_prompts(spark, sf_dir):
-    samples = D.sample_text(_table_samples(spark, sf_dir)).select(
-        F.lit(DB).alias("database_name"), F.lit(SCHEMA).alias("schema_name"), "table_name", "sample_data")
+    samples = D.sample_text(_table_samples(spark, sf_dir, database=DB, schema=SCHEMA))
     return D.table_prompts(_real_objects(spark), _real_columns(spark, sf_dir), samples)
 
 
@@ -147,7 +166,7 @@ LEFT JOIN (SELECT table_name, column_name,
            FROM ({_VALS_SQL}) v GROUP BY table_name, column_name) s
   ON c.table_name = s.table_name AND c.column_name = s.column_name""")
 def column_prompts(spark, sf_dir):
-    return D.column_prompts(_real_columns(spark, sf_dir), _column_samples(spark, sf_dir)).select(
+    return D.column_prompts(_real_columns(spark, sf_dir), _column_samples(spark, sf_dir, database=DB, schema=SCHEMA)).select(
         "database_name", "schema_name", "table_name", "column_name", "data_type", "prompt")
 
 
@@ -333,7 +352,7 @@ def _configured_checks():
     plan = {}
     for t, (_, cols) in SAMPLED.items():
         checks = [Check("ROW_COUNT")]
-        fresh = {"orders": "o_orderdate", "events": "ts"}.get(t)     # their temporal columns
+        fresh = {"orders": "o_orderdate", "events": "ts", "lineitem": "l_shipdate"}.get(t)     # their temporal columns
         if fresh:
             checks.append(Check("FRESHNESS", fresh))
         checks += [Check(m, c) for c in cols for m in ("NULL_COUNT", "DUPLICATE_COUNT", "UNIQUE_COUNT")]
@@ -354,3 +373,71 @@ def measure_configured(spark, sf_dir):
                                               DB, SCHEMA))
     return measure_checks(spark, checks, as_of=AS_OF,
                           resolver=lambda db, schema, table: read_table(spark, sf_dir, table))
+
+
+# ---------------------------------------------------------------- comments in the session catalog
+
+DOCUMENTED = ("customer", "nation", "orders")
+REFUSED = "o_totalprice"      # the completer below fails on this column
+
+
+def partly_failing(prompts: pd.Series) -> pd.Series:
+    """A completer that knows fields and objects, and fails on one column and on views."""
+    if prompts.str.contains(rf"\Afield {REFUSED}\n").any():
+        raise ValueError("refused")
+    field = prompts.str.extract(r"\Afield (?P<c>[^\n]*)\nof (?P<t>[^\n]*)\n")
+    thing = prompts.str.extract(r"\Abase table (?P<t>\S+) in ")
+    return ("Field " + field["c"] + " of " + field["t"]).where(field["c"].notna(), "Rows of " + thing["t"])
+
+
+def documented(spark, sf_dir):
+    """The given tables, a view with a column called Comment and a broken view in a schema
+    of their own, documented and read back: (stored suggestions, catalog rows, report)."""
+    db = unique_name("described")
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{scratch_path(spark, 'catalog', db)}'")
+    try:
+        for t in DOCUMENTED:
+            spark.sql(f"CREATE TABLE {db}.{t} USING parquet LOCATION '{table_path(sf_dir, t)}'")
+        spark.sql(f"ALTER TABLE {db}.orders ALTER COLUMN {REFUSED} COMMENT 'kept'")
+        spark.sql(f"CREATE VIEW {db}.late_orders (o_orderkey, Comment) COMMENT 'the old view text' AS "
+                  f"SELECT o_orderkey, o_orderpriority FROM {db}.orders")
+        spark.sql(f"CREATE TABLE {db}.gone (x INT) USING parquet")
+        spark.sql(f"CREATE VIEW {db}.broken AS SELECT x FROM {db}.gone")
+        spark.sql(f"DROP TABLE {db}.gone")
+        run = document_schema(spark, db, completer=partly_failing, updated_by="tessera", updated_at=AS_OF)
+        rows = [(r["table_name"], None, r["comment"]) for r in session_objects(spark, db).collect()]
+        for t in [r[0] for r in rows]:
+            rows += [(t, r["column_name"], r["comment"]) for r in session_columns(spark, db, t).collect()]
+    finally:
+        spark.sql(f"DROP DATABASE {db} CASCADE")
+    back = config_frame(spark, rows, "table_name string, column_name string, comment string")
+    return run, back
+
+
+_DOCUMENTED_IN = ", ".join(f"'{t}'" for t in DOCUMENTED)
+
+
+@register("comments_applied", f"""
+SELECT DISTINCT table_name, CAST(NULL AS VARCHAR) AS column_name, 'Rows of ' || table_name AS comment
+FROM information_schema.columns WHERE table_name IN ({_DOCUMENTED_IN})
+UNION ALL SELECT table_name, column_name,
+  CASE WHEN column_name = '{REFUSED}' THEN 'kept' ELSE 'Field ' || column_name || ' of ' || table_name END
+FROM information_schema.columns WHERE table_name IN ({_DOCUMENTED_IN})
+UNION ALL SELECT * FROM (VALUES ('late_orders', NULL, 'the old view text'),
+  ('late_orders', 'o_orderkey', 'Field o_orderkey of late_orders'),
+  ('late_orders', 'Comment', 'Field Comment of late_orders')) v""")
+def comments_applied(spark, sf_dir):
+    """Comments written to the session catalog and read back: failed completions (one column,
+    the view's own text) keep the old comment, the broken view is left out."""
+    return documented(spark, sf_dir)[1]
+
+
+@register("documentation_summary", f"""
+SELECT count(DISTINCT table_name) + 1 AS tables_processed, count(DISTINCT table_name) AS table_descriptions,
+  count(*) + 1 AS column_descriptions, 2 AS failed,
+  printf('%d objects: %d table texts, %d column texts, %d failures', count(DISTINCT table_name) + 1,
+    count(DISTINCT table_name), count(*) + 1, 2) AS message
+FROM information_schema.columns WHERE table_name IN ({_DOCUMENTED_IN})""")
+def documentation_summary(spark, sf_dir):
+    """Counts of the same run, two completions of which failed."""
+    return D.run_summary(documented(spark, sf_dir)[0].suggestions)

@@ -16,8 +16,9 @@ def _ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _table_ident(table: str) -> str:
-    return ".".join(_ident(p) for p in table.split("."))
+def _table_ident(table) -> str:
+    """A dotted name, or its parts (which may hold dots)."""
+    return ".".join(_ident(p) for p in (table.split(".") if isinstance(table, str) else table))
 
 
 def _literal(text: str | None) -> str:
@@ -77,7 +78,7 @@ def recreate_view(spark: SparkSession, view: str, column_comments: dict[str, str
     when non-empty; other columns keep a non-blank old comment."""
     report = report or ApplyReport()
     text = view_text(spark, view)
-    cols = spark.table(view).schema.fields
+    cols = spark.table(_table_ident(view)).schema.fields
     new = {k.upper(): v for k, v in column_comments.items()}
     defs = []
     for f in cols:
@@ -95,7 +96,8 @@ def recreate_view(spark: SparkSession, view: str, column_comments: dict[str, str
 
 
 def apply_suggestions(spark: SparkSession, suggestions: DataFrame, name_col: str = "table_ident") -> ApplyReport:
-    """Apply (``table_ident``, ``column_name`` or NULL, ``description``) rows: tables get
+    """Apply (``table_ident`` -- a dotted name or an array of its parts --, ``column_name`` or
+    NULL, ``description``) rows: tables get
     COMMENT / ALTER COLUMN statements; a view with column comments is re-created once with
     all of them, a view with only a new description gets a property update. A NULL
     description (a failed completion) is reported as failed and changes nothing; so is a
@@ -105,17 +107,18 @@ def apply_suggestions(spark: SparkSession, suggestions: DataFrame, name_col: str
     view_desc: dict[str, str | None] = {}
     kinds: dict[str, bool] = {}
     for r in suggestions.select(name_col, "column_name", "description").toLocalIterator():
-        t, col, text = r[0], r[1], r[2]
+        t, col, text = r[0] if isinstance(r[0], str) else tuple(r[0]), r[1], r[2]
+        label = t if isinstance(t, str) else ".".join(t)
         if t not in kinds:
             try:
                 kinds[t] = is_view(spark, t)
             except Exception as e:
-                report.failed.append((t, str(e)))
+                report.failed.append((label, str(e)))
                 kinds[t] = False
                 continue
         # a failed completion must not erase a comment; an empty text clears a view's column
         if text is None or not text.strip() and not (kinds[t] and col):
-            report.failed.append((f"{t}.{col}" if col else t, "no description"))
+            report.failed.append((f"{label}.{col}" if col else label, "no description"))
             continue
         if kinds[t]:
             if col:

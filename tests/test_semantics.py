@@ -477,3 +477,57 @@ def test_accepted_values_from_groups_equal_the_scan(spark):
     alone = measure(df, [check], "t").first()["value"]
     both = measure(df, [check, Check("UNIQUE_COUNT", "s")], "t").where("metric_name = 'ACCEPTED_VALUES'").first()["value"]
     assert alone == both == 3.0
+
+
+def test_samples_of_two_schemas_stay_apart(spark):
+    from tessera.operators import describe as D
+    from tessera.sources.catalog import schema_columns
+    from tessera.operators.catalog import columns_listing
+    a = spark.createDataFrame([(1, "left")], "k long, v string")
+    b = spark.createDataFrame([(1, "right"), (1, "also"), (None, "none")], "k long, v string")
+    samples = (D.column_samples(a, "t", "k", database="d", schema="s1")
+               .unionByName(D.column_samples(b, "t", "k", database="d", schema="s2")))
+    cols = columns_listing(schema_columns(a, "t", "d", "s1").unionByName(schema_columns(b, "t", "d", "s2")), sort=False)
+    got = {(r["schema_name"], r["column_name"]): r["prompt"] for r in D.column_prompts(cols, samples).collect()}
+    assert "left" in got["s1", "v"] and "right" not in got["s1", "v"]
+    assert all(w in got["s2", "v"] for w in ("right", "also", "none")) and "left" not in got["s2", "v"]
+    rows = D.sample_rows(b, "t", "k", 2).orderBy("rn").collect()
+    assert [r["row_text"] for r in rows] == ["NULL | none", "1 | also"]
+
+
+def test_documentation_is_written_once_and_retried_runs_replace(spark, sf_dir, tmp_path):
+    import pandas as pd
+    from tessera.operators.documentation import document_schema
+    calls = str(tmp_path / "calls")
+
+    def counting(prompts: pd.Series) -> pd.Series:
+        with open(calls, "a") as f:
+            f.write("x" * len(prompts))
+        return pd.Series(["text %d" % i for i in range(len(prompts))])
+
+    spark.sql("CREATE DATABASE doc_once")
+    try:
+        spark.sql("CREATE TABLE doc_once.`Ab` (x INT, y STRING) USING parquet")
+        place = str(tmp_path / "log")
+        for _ in range(2):
+            run = document_schema(spark, "doc_once", tables=["AB"], completer=counting, updated_by="u",
+                                  updated_at="2024-01-01 00:00:00", location=place, run_id="r1")
+        assert run.report.succeeded == 3 and not run.report.failed
+        said = {r["column_name"]: r["description"] for r in run.suggestions.collect()}
+        log = {r["column_name"]: r["after_description"] for r in spark.read.parquet(run.log_path).collect()}
+        assert log == said and len(open(calls).read()) == 6
+        kept = {c.name: c.description for c in spark.catalog.listColumns("doc_once.ab")}
+        assert kept == {c: said[c] for c in ("x", "y")}
+        for bad in (dict(schema=""), dict(schema="doc_once", tables=[]), dict(schema="doc_once", generation_type="ALL")):
+            with __import__("pytest").raises(ValueError):
+                document_schema(spark, **bad)
+    finally:
+        spark.sql("DROP DATABASE doc_once CASCADE")
+
+
+def test_schedule_resumes(spark, sf_dir, tmp_path):
+    from tessera.plans.stream_queries import arrivals
+    res = arrivals(spark, sf_dir, str(tmp_path / "arrivals"))
+    counts = [r["value"] for r in res.where("metric_name = 'ROW_COUNT'").orderBy("batch_id").collect()]
+    total = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert len(counts) == 6 and counts == sorted(counts) and counts[-1] == total
