@@ -14,19 +14,20 @@ from pyspark.sql import functions as F
 from tessera.functions.text import (column_description, has_description, object_description,
                                     search_match)
 
-# System databases/schemas left out of listings, the listed object types,
-# and the flag spellings that mark a secure view.
-WAREHOUSE_DATABASE = "SNOWFLAKE"          # the warehouse's own system database
+# Databases that belong to the platform; catalogs with others name them as a parameter.
+WAREHOUSE_DATABASE = "SYSTEM"
 SYSTEM_DATABASES = (WAREHOUSE_DATABASE, "INFORMATION_SCHEMA")
+# System schemas left out of listings, the listed object types, and the flag
+# spellings that mark a secure view.
 SYSTEM_SCHEMAS = ("INFORMATION_SCHEMA",)
 LISTED_TYPES = ("BASE TABLE", "VIEW")
 SECURE_FLAGS = ("YES", "TRUE", "Y", "1")
 
 
-def databases(objects: DataFrame, sort: bool = True) -> DataFrame:
+def databases(objects: DataFrame, sort: bool = True, system=SYSTEM_DATABASES) -> DataFrame:
     """Distinct non-system databases, sorted."""
     db = F.col("table_catalog")
-    out = (objects.filter(db.isNotNull() & ~db.isin(*SYSTEM_DATABASES))
+    out = (objects.filter(db.isNotNull() & ~db.isin(*system))
            .select(db.alias("database_name")).distinct())
     return out.orderBy("database_name") if sort else out
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import comment_statement, split_last_dot
 from tessera.functions.text import metric_action_sentence, metric_object_type
 from tessera.operators.scalars import distinct_counts
+from tessera.sinks.tables import with_hash_id
 
 HISTORY_COLUMNS = ["database_name", "schema_name", "object_type", "object_name", "column_name",
                    "before_description", "after_description", "sql_executed", "updated_by",
@@ -93,13 +94,9 @@ ID_PARTS = ("database_name", "schema_name", "object_type", "object_name", "colum
 
 
 def with_history_id(rows: DataFrame) -> DataFrame:
-    """Change rows with their ``history_id``: SHA-256 of the row's parts, each marked as NULL
-    or with its length, so no two different rows spell alike. A change logged again by a
-    retried job keeps its id."""
-    def part(c: str) -> Column:
-        text = F.col(c).cast("string")
-        return F.coalesce(F.concat(F.lit("V"), F.char_length(text).cast("string"), F.lit(":"), text), F.lit("N"))
-    return rows.withColumn("history_id", F.sha2(F.concat(*[part(c) for c in ID_PARTS]), 256))
+    """Change rows with their ``history_id``; a change logged again by a retried job keeps its
+    id."""
+    return with_hash_id(rows, "history_id", ID_PARTS)
 
 
 def description_history(history: DataFrame) -> DataFrame:

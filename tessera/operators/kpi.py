@@ -17,10 +17,10 @@ from tessera.operators.scalars import combine, combine_rows
 SCHEMA_SAMPLE_DATABASES = 3
 
 
-def kpi_tables(account_tables: DataFrame) -> DataFrame:
+def kpi_tables(account_tables: DataFrame, system=(WAREHOUSE_DATABASE,)) -> DataFrame:
     """Account tables the documentation KPI counts (NULL role types drop out of ``<>``)."""
     return account_tables.filter(
-        ~F.col("table_catalog").isin(WAREHOUSE_DATABASE) & F.col("table_catalog").isNotNull()
+        ~F.col("table_catalog").isin(*system) & F.col("table_catalog").isNotNull()
         & F.col("table_type").ilike("%table%") & (F.col("owner_role_type") != "APPLICATION"))
 
 

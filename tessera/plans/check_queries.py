@@ -79,7 +79,7 @@ def check_counts(spark, sf_dir):
 
 
 _PARSE_T = "regexp_extract(upper(statement), '{p}', 1)".format(p=N.TABLE_PATTERN)
-_PARSE_M = "regexp_extract(upper(statement), '{p}', 1)".format(p=N.METRIC_PATTERN)
+_PARSE_M = "regexp_extract(upper(statement), '{p}', 1)".format(p=N.metric_pattern())
 _PARSE_C = "regexp_replace(regexp_extract(statement, '{p}', 1), '^\\s+|\\s+$', '', 'g')".format(
     p=N.COLUMN_PATTERN)
 

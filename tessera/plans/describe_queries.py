@@ -308,16 +308,16 @@ def merge_column_comments(spark, sf_dir):
 def _selection(spark, sf_dir):
     return contact_refs(spark, sf_dir).select(
         F.col("object_database").alias("database_name"), F.col("object_schema").alias("schema_name"),
-        "object_name").distinct()
+        F.lower("object_name").alias("object_name")).distinct()
 
 
-_SEL = "(SELECT DISTINCT object_database AS database_name, object_schema AS schema_name, object_name FROM refs)"
+_SEL = "(SELECT DISTINCT object_database AS database_name, object_schema AS schema_name, lower(object_name) AS object_name FROM refs)"
 
 
 @register("resolve_selection", with_ctes(f"""
-SELECT s.database_name, s.schema_name, s.object_name, l.object_type, l.current_description, l.has_description
+SELECT s.database_name, s.schema_name, l.object_name, l.object_type, l.current_description, l.has_description
 FROM {_SEL} s JOIN ({OBJ_LISTING_SQL}) l ON s.database_name = l.database_name
-  AND s.schema_name = l.schema_name AND s.object_name = l.object_name""", "objs", "refs"))
+  AND s.schema_name = l.schema_name AND upper(s.object_name) = upper(l.object_name)""", "objs", "refs"))
 def resolve_selection(spark, sf_dir):
     return D.resolve_selection(listing(spark, sf_dir, sort=False), _selection(spark, sf_dir))
 
@@ -325,7 +325,7 @@ def resolve_selection(spark, sf_dir):
 @register("unresolved_selection", with_ctes(f"""
 SELECT * FROM {_SEL} s WHERE NOT EXISTS (SELECT 1 FROM ({OBJ_LISTING_SQL}) l
   WHERE s.database_name = l.database_name AND s.schema_name = l.schema_name
-    AND s.object_name = l.object_name)""", "objs", "refs"))
+    AND upper(s.object_name) = upper(l.object_name))""", "objs", "refs"))
 def unresolved_selection(spark, sf_dir):
     return D.unresolved_selection(listing(spark, sf_dir, sort=False), _selection(spark, sf_dir))
 

@@ -38,8 +38,10 @@ FROM events
 """
 
 OBJS = """
-SELECT concat('DB', CAST(p_partkey % 3 AS VARCHAR)) AS table_catalog,
-  concat('S', CAST(p_partkey % 2 AS VARCHAR)) AS table_schema,
+SELECT CASE WHEN p_partkey % 23 = 0 THEN 'SYSTEM' WHEN p_partkey % 29 = 0 THEN concat('X', CAST(p_partkey % 4 AS VARCHAR))
+       ELSE concat('DB', CAST(p_partkey % 3 AS VARCHAR)) END AS table_catalog,
+  CASE WHEN p_partkey % 31 = 0 THEN 'INFORMATION_SCHEMA'
+       ELSE concat('S', CAST(p_partkey % 2 AS VARCHAR)) END AS table_schema,
   concat('T', CAST(p_partkey AS VARCHAR)) AS table_name,
   CASE WHEN p_partkey % 5 = 0 THEN 'VIEW' WHEN p_partkey % 11 = 0 THEN 'EXTERNAL TABLE'
        ELSE 'BASE TABLE' END AS table_type,
@@ -51,7 +53,7 @@ FROM part
 """
 
 REFS = """
-SELECT c_name AS contact_name, 'GOV' AS contact_database, 'PUBLIC' AS contact_schema,
+SELECT CASE WHEN c_custkey % 37 <> 0 THEN c_name END AS contact_name, 'GOV' AS contact_database, 'PUBLIC' AS contact_schema,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'STEWARD' WHEN 'MACHINERY' THEN 'SUPPORT'
        WHEN 'HOUSEHOLD' THEN 'ACCESS_APPROVAL' ELSE 'GENERAL' END AS contact_purpose,
   concat('DB', CAST(c_custkey % 100 % 3 AS VARCHAR)) AS object_database,

@@ -245,11 +245,10 @@ def results_append(spark, sf_dir):
     res = with_hash_id(res, "result_id", ["monitor_name", "database_name", "schema_name", "table_name",
                                           "column_name", "measurement_time"])
     res = res.withColumn("record_inserted_at", F.col("measurement_time"))
-    # results are bounded by the number of checks: one task (one file) per run partition;
-    # the run (date + run id) is written idempotently, so a re-run replaces, not duplicates
+    # a run's results are spread over several tasks by table; the run (date + run id) is written idempotently, so a re-run replaces, not duplicates
     res = (res.withColumn("measurement_date", F.to_date("measurement_time"))
               .withColumn("run_id", F.date_format("measurement_time", "yyyyMMddHHmmss"))
-              .repartition("measurement_date", "run_id"))
+              .repartition("measurement_date", "run_id", F.pmod(F.xxhash64("table_name"), F.lit(16))))
     path = scratch_path(spark, "quality_results", unique_name("quality_results"))
     write_run(res, path, ["measurement_date", "run_id"])
     out = spark.read.parquet(path)

@@ -114,7 +114,7 @@ _TRIM = "regexp_replace(regexp_extract(statement, '{p}', 1), '^\\s+|\\s+$', '',
 SELECT result_id, statement,
   regexp_replace(coalesce(nullif(regexp_extract(upper(statement), '{N.TABLE_PATTERN}', 1), ''),
                           '{N.UNKNOWN_TABLE}'), '^"+|"+$', '', 'g') AS table_name,
-  coalesce(nullif(regexp_extract(upper(statement), '{N.METRIC_PATTERN}', 1), ''),
+  coalesce(nullif(regexp_extract(upper(statement), '{N.metric_pattern()}', 1), ''),
            '{N.UNKNOWN_METRIC}') AS metric_name,
   CASE WHEN {_TRIM} <> '' THEN
     regexp_replace(regexp_replace({_TRIM}, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') END

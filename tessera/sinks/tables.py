@@ -46,9 +46,13 @@ def append_and_read(df: DataFrame, kind: str, partition_by=None) -> DataFrame:
 
 
 def with_hash_id(df: DataFrame, id_col: str, cols) -> DataFrame:
-    """Deterministic 64-bit key from the row's content (no global ordering, no
-    autoincrement; the same change logged twice gets the same key)."""
-    return df.withColumn(id_col, F.xxhash64(*[F.col(c) for c in cols]))
+    """Key from the row's content (no global ordering, no autoincrement; the same change
+    logged twice gets the same key): SHA-256 of its parts, each marked as NULL or with its
+    length, so no two different rows spell alike."""
+    def part(c: str):
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.lit("V"), F.char_length(text).cast("string"), F.lit(":"), text), F.lit("N"))
+    return df.withColumn(id_col, F.sha2(F.concat(*[part(c) for c in cols]), 256))
 
 
 # microsecond precision survives the round trip (the CSV default keeps milliseconds)

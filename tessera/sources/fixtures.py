@@ -58,8 +58,11 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def account_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog objects / account tables (from ``part``): blank, empty and NULL comments."""
     return read_table(spark, sf_dir, "part").selectExpr(
-        "concat('DB', CAST(p_partkey % 3 AS STRING)) AS table_catalog",
-        "concat('S', CAST(p_partkey % 2 AS STRING)) AS table_schema",
+        "CASE WHEN p_partkey % 23 = 0 THEN 'SYSTEM' WHEN p_partkey % 29 = 0 "
+        "THEN concat('X', CAST(p_partkey % 4 AS STRING)) "
+        "ELSE concat('DB', CAST(p_partkey % 3 AS STRING)) END AS table_catalog",
+        "CASE WHEN p_partkey % 31 = 0 THEN 'INFORMATION_SCHEMA' "
+        "ELSE concat('S', CAST(p_partkey % 2 AS STRING)) END AS table_schema",
         "concat('T', CAST(p_partkey AS STRING)) AS table_name",
         "CASE WHEN p_partkey % 5 = 0 THEN 'VIEW' WHEN p_partkey % 11 = 0 THEN 'EXTERNAL TABLE' "
         "ELSE 'BASE TABLE' END AS table_type",
@@ -74,7 +77,7 @@ def account_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contact_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact references (from ``customer``): several per purpose, deleted ones."""
     return read_table(spark, sf_dir, "customer").selectExpr(
-        "c_name AS contact_name", "'GOV' AS contact_database", "'PUBLIC' AS contact_schema",
+        "CASE WHEN c_custkey % 37 <> 0 THEN c_name END AS contact_name", "'GOV' AS contact_database", "'PUBLIC' AS contact_schema",
         "CASE c_mktsegment WHEN 'BUILDING' THEN 'STEWARD' WHEN 'MACHINERY' THEN 'SUPPORT' "
         "WHEN 'HOUSEHOLD' THEN 'ACCESS_APPROVAL' ELSE 'GENERAL' END AS contact_purpose",
         "concat('DB', CAST(c_custkey % 100 % 3 AS STRING)) AS object_database",
