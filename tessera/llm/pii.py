@@ -41,9 +41,11 @@ PATTERNS = (
                          r"|(?<![\w+])\+[2-9][0-9]{0,2}(?:[ -]\(?[0-9]{1,8}\)?){2,5}(?!\w|\.[0-9])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
 )
-TITLED = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.?[ ]({_NAME}(?: {_NAME}){{0,2}})",
-                    re.I)
-FULL = re.compile(r"(?<!\w)(" + "|".join(sorted(GIVEN, key=len, reverse=True)) + rf") ({_NAME}(?: {_NAME})?)", re.I)
+PLAIN = str.maketrans("ıſᲀᲁᲂᲃᲄᲅ", "isвдостт")
+# words that may open a name: those not starting with a small ASCII letter
+HEAD = re.compile(r"(?<!\w)[^\W\d_a-z]\w*")
+AFTER_TITLE = re.compile(rf"\.?[ ]({_NAME})")
+NEXT_WORD = re.compile(rf" ({_NAME})")
 
 
 @dataclass(frozen=True)
@@ -66,8 +68,8 @@ def _script(word: str) -> str:
 
 
 def _plain_case(word: str) -> str:
-    """Lower case, with the letters that a pattern without case takes for ``i``, ``k`` and ``s``."""
-    return word.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
+    """Lower case, with the letters that a pattern without case takes for others (as ``ſ`` for ``s``)."""
+    return word.lower() if word.isascii() else word.replace("İ", "i").lower().translate(PLAIN)
 
 
 def _luhn(digits: str) -> bool:
@@ -82,20 +84,52 @@ def _iban_rest(code: str) -> int:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
 
 
-def _name_parts(text: str, start: int, given_gender: str | None, title_gender: str) -> list[Entity]:
+def _words_on(text: str, first: re.Pattern, at: int, most: int) -> list[tuple[str, int, int]]:
+    """Up to ``most`` capitalised words from ``at`` on, with their places. A form of address
+    that a capitalised word follows starts another name and ends this one; ``don`` is a given
+    name as well and does not."""
+    out = []
+    m = first.match(text, at)
+    while m and len(out) < most and m.group(1)[0].isupper():
+        if _plain_case(m.group(1)) in TITLES.keys() - {"don"}:
+            then = AFTER_TITLE.match(text, m.end())
+            if then and then.group(1)[0].isupper():
+                break
+        out.append((m.group(1), m.start(1), m.end(1)))
+        m = NEXT_WORD.match(text, m.end())
+    return out
+
+
+def _name_parts(words: list[tuple[str, int, int]], given_gender: str | None, title_gender: str) -> list[Entity]:
     """One entity per word of a name: given names carry a gender, the last word is the surname."""
-    out, words = [], [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-    words = words[:next((i for i, (w, *_) in enumerate(words) if not w[0].isupper()), len(words))]
+    out = []
     for i, (w, a, b) in enumerate(words):
         if i == len(words) - 1 and not (given_gender is not None and len(words) == 1):
             kind, shape = "surname", _script(w)
         else:
             gender = GIVEN.get(_plain_case(w), title_gender or given_gender or "")
             kind, shape = "given", f"{gender}:{_script(w)}"
-        out.append(Entity(start + a, start + b, kind, w.lower(), shape))
+        out.append(Entity(a, b, kind, w.lower(), shape))
     return out
 
 
+def _names(text: str) -> list[Entity]:
+    """The words of all names. Each form of address and each given name is looked at, also
+    inside or right behind another name, so none is hidden by the one before it."""
+    titled, full = [], []
+    for m in HEAD.finditer(text):
+        head = _plain_case(m.group())
+        if not m.group()[0].isupper():
+            continue
+        if head in TITLES:
+            titled += _name_parts(_words_on(text, AFTER_TITLE, m.end(), 3), None, TITLES[head])
+        if head in GIVEN:
+            more = _words_on(text, NEXT_WORD, m.end(), 2)
+            if more:
+                full += _name_parts([(m.group(), m.start(), m.end()), *more], GIVEN[head], "")
+    return titled + full
+
+
 def detect(text: str) -> list[Entity]:
     """The entities of a text, left to right, without overlap (earlier patterns win)."""
     found: list[Entity] = []
@@ -117,12 +151,7 @@ def detect(text: str) -> list[Entity]:
                 canonical = plain
             shape = re.split(r"[ .(-]", raw)[0] if kind == "phone" and raw[0] == "+" and len(plain) < len(raw) - 1 else ""
             found.append(Entity(m.start(), m.end(), kind, canonical, shape))
-    for m in TITLED.finditer(text):
-        if m.group(2)[0].isupper() and m.group(1)[0].isupper():
-            found += _name_parts(m.group(2), m.start(2), None, TITLES.get(_plain_case(m.group(1)), ""))
-    for m in FULL.finditer(text):
-        if m.group(1)[0].isupper() and m.group(2)[0].isupper():
-            found += _name_parts(m.group(), m.start(), GIVEN.get(_plain_case(m.group(1)), ""), "")
+    found += _names(text)
     order = {k: i for i, (k, _) in enumerate(PATTERNS)}
     taken, upto = [], []
     for e in sorted(found, key=lambda e: (order.get(e.kind, len(order)), e.start, e.end)):

@@ -370,6 +370,15 @@ def test_entities_with_odd_letters_and_digits():
     assert [e.shape for e in pii.detect("Mıss SİBEL Smith")] == ["f:LATIN", "LATIN"]
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Mr Smith and Mrs Jones left", "Smith Jones"), ("Mr. Smith met Mrs. Jones", "Smith Jones"),
+    ("Mr. and Mrs. Smith", "Smith"), ("We miss Dr Jones", "Jones"), ("John and Mary Smith", "Mary Smith"),
+    ("Robert met Mary Jones", "Mary Jones"), ("Herr Dr. Schmidt kam", "Schmidt"), ("Mr Don Jones", "Don Jones"),
+    ("John Smith Mrs Jones", "John Smith Jones"), ("John Thomas Mary Smith", "John Thomas Mary Smith")])
+def test_names_close_together(text, names):
+    assert " ".join(text[e.start:e.end] for e in pii.detect(text)) == names
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [("ip", f"{a}.{b}.{c}.1", "") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10)]
     got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string, shape string"), b"k").collect()
