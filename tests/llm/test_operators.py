@@ -379,6 +379,26 @@ def test_names_close_together(text, names):
     assert " ".join(text[e.start:e.end] for e in pii.detect(text)) == names
 
 
+ALONE = ["+33 6 12 34 56 78", "+33612345678", "(212) 555-0199", "Господин Иванов", "Мария Петрова", "FRANÇOIS Petit",
+         "SEÑORA Lopez", "Mr Smith", "John Smith", "a.b@example.com", "DE89 3704 0044 0532 0130 00",
+         "4565410125667261", "1.2.3.4", "123-45-6789"]
+
+
+def test_every_kind_alone_in_a_text(spark):
+    frame = spark.createDataFrame([(i, f"« {t} »") for i, t in enumerate(ALONE)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_personal_data(frame, b"k").collect()}
+    for i, t in enumerate(ALONE):
+        assert got[i]["n_found"] > 0 and got[i]["text"] != f"« {t} »", t
+
+
+def test_hints_hold_in_every_match():
+    rng = random.Random(9)
+    for _ in range(20000):
+        text = "".join(rng.choice("+1234567890 .-()A@a") for _ in range(rng.randint(8, 24)))
+        for kind, pattern in pii.PATTERNS:
+            assert not pattern.search(text) or pii.HOLDS[kind].search(text)
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [("ip", f"{a}.{b}.{c}.1", "") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10)]
     got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string, shape string"), b"k").collect()
