@@ -42,6 +42,20 @@ BOILER_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "br
                 "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "social",
                 "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
+# Elements of the head, and pairs of a start tag and the open elements it ends, up to a border.
+HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+        "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+        "thead": ({"tr", "thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"tr", "thead", "tbody", "tfoot"}, {"table"}),
+        "tfoot": ({"tr", "thead", "tbody", "tfoot"}, {"table"})}
+# Of the elements without running text, those that run to the page's end if nothing ends them.
+TO_THE_END = {"script", "style", "title", "noscript", "iframe", "textarea", "xmp", "noembed", "noframes"}
+# Those that never hold another: with a second one first, the end tag is missing.
+ENDED_BY_NEXT = {"button", "select", "audio", "video"}
+OPTION_END = re.compile(r"</option\b[^>]*>|(?=</?(?:option|optgroup|datalist|select)\b)", re.I)
+RAW_END = {n: re.compile(rf"</{n}\b[^>]*>" + (rf"|(?=<{n}\b)" if n in ENDED_BY_NEXT else ""), re.I)
+           for n in RAW - {"option"}} | {"option": OPTION_END}
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
                    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -71,7 +85,9 @@ class Block:
 
 
 def _zone(name: str, attributes: str, inside_main: bool) -> str:
-    """What an element does to the text in it: ``boiler``, ``main`` or nothing."""
+    """What an element does to the text in it: ``boiler``, ``named`` (boiler by a name part,
+    unless it holds the article), ``main`` or nothing."""
+    named = False
     if attributes.strip():
         for key, value in ATTRIBUTE.findall(attributes):
             key = key.lower()
@@ -81,10 +97,24 @@ def _zone(name: str, attributes: str, inside_main: bool) -> str:
                 return "boiler"
             if key in ("class", "id", "role") and BOILER_NAMES.intersection(NAME_PART.findall(value.lower())):
                 if name not in ("body", "html", "main") and not (name == "article" and key != "class"):
-                    return "boiler"
+                    named = True
     if name in BOILER or name == "header" and not inside_main:
         return "boiler"
-    return "main" if name in MAIN else ""
+    return "named" if named else "main" if name in MAIN else ""
+
+
+def _zone_of(stack: list[tuple[str, str]]) -> str:
+    """The zone of text inside the open elements. ``held`` is an article inside an element
+    with a boilerplate name; a ``main`` is never boilerplate for the names around it."""
+    zones = [z for _, z in stack if z]
+    if "boiler" in zones:
+        return "boiler"
+    if "named" not in zones:
+        return "main" if zones else ""
+    name, zone = next((n, z) for n, z in reversed(stack) if z)
+    if zone == "named":
+        return "boiler"
+    return "main" if ("main", "main") in stack[max(i for i, x in enumerate(stack) if x[1] == "named"):] else "held"
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -92,25 +122,36 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked, breaks, at, heading, links = 0, 0, 0, False, 0
-    boiler = main = 0
+    linked, breaks, at, heading = 0, 0, 0, False
 
     def close() -> None:
         nonlocal linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, "boiler" if boiler else "main" if main else "", heading))
+            out.append(Block(text, linked, _zone_of([x for x in stack if x[0] == "a" or x[0] in BLOCK]), heading))
         parts.clear()
         linked, heading = 0, False
 
+    def end(names: set, border: set) -> None:
+        """End the innermost open elements of ``names`` inside ``border``."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in border:
+                return
+            if stack[i][0] in names:
+                del stack[i:]
+
     def add(raw: str) -> None:
         nonlocal linked, breaks
         if raw:
             text = html.unescape(raw)
+            if text.strip() and stack and stack[-1][0] == "head":
+                stack.pop()
+            if any(z in ("boiler", "named") for n, z in stack if n != "a" and n not in BLOCK):
+                return  # an inline element of that kind: its words alone go
             parts.append(text)
             if text.strip():
                 breaks = 0
-                if links:
+                if any(n == "a" for n, _ in stack):
                     linked += len(" ".join(text.split()))
 
     while True:
@@ -126,19 +167,24 @@ def blocks_of(page: str) -> list[Block]:
         if m.group(1):
             if name in BLOCK:
                 close()
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, z = stack.pop()
-                    boiler -= z == "boiler"
-                    main -= z == "main"
-                    links -= n == "a"
-                    if n == name:
-                        break
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    del stack[i:]
+                    break
+                if stack[i][0] in BLOCK and name not in BLOCK and name != "a":
+                    break  # an inline end tag ends nothing outside its block
             continue
+        if stack and stack[-1][0] == "head" and name not in HEAD:
+            stack.pop()
         if name in RAW:
             if not m.group(3).rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                stop = RAW_END[name].search(page, at)
+                if stop and (stop.group() or name not in ENDED_BY_NEXT):
+                    at = stop.end()
+                elif name in TO_THE_END:
+                    at = len(page)
+                elif name == "option":
+                    at = max(at, page.find("<", at)) if "<" in page[at:] else len(page)
             parts.append(" ")
             continue
         if name == "br":
@@ -149,19 +195,24 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             close()
+            while stack and stack[-1][0] not in BLOCK and stack[-1][0] != "a":
+                stack.pop()  # inline elements reach to the end of their block
+            end({"p"}, BLOCK - {"p"})
+            if name in ENDS:
+                end(*ENDS[name])
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name in VOID:
             parts.append(" " if name != "wbr" else "")
-        elif name == "a" or name in BLOCK and name not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+        else:
             if name == "a":  # links don't nest: a new one ends the one before
-                links -= sum(n == "a" for n, _ in stack)
-                stack = [x for x in stack if x[0] != "a"]
-                links += 1
-            zone = _zone(name, m.group(3), main > 0)
-            stack.append((name, zone))
-            boiler += zone == "boiler"
-            main += zone == "main"
+                stack[:] = [x for x in stack if x[0] != "a"]
+            if name in BLOCK or not m.group(3).rstrip().endswith("/"):
+                stack.append((name, _zone(name, m.group(3), any(z == "main" for _, z in stack))))
     close()
+    real = any(b.zone == "main" for b in out)
+    for b in out:
+        if b.zone == "held":  # teasers beside an article, or the article itself
+            b.zone = "boiler" if real else "main"
     return out
 
 

@@ -426,3 +426,19 @@ def test_main_text(spark):
     assert got[5]["text"] == f"Title\n{clean}\nYes.\n{clean}"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_text.extract_main_text(frame.limit(0)).count() == 0
+
+
+PROSE = ("The cat is on the mat and it was not in the house with her dog. " * 5).strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><body><p>{}", "<head><title>x</title><p>{}", "<datalist><option value=a></datalist><p>{}",
+    "<audio src=x><p>{}", "<div><a class=share href=x>s <a href=y>t</a><p>{}</p></div>",
+    "<div class='content social'><article><p>{}</p></article></div>", "<div class=banner><main><p>{}</p></main></div>",
+    "<article><p>{}</p></article><div class=related><article><p>Teaser</p></article></div>"])
+def test_optional_end_tags_and_wrappers(page):
+    assert html_text.main_text(page.format(PROSE)) == PROSE
+
+
+def test_unclosed_button_keeps_what_follows():
+    assert PROSE in html_text.main_text(f"<button>x<p>{PROSE}</p><button>B</button>").split("\n")
