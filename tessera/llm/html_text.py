@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,8 +69,9 @@ class Rules:
 
     short: int = 70
     long: int = 200
-    stop_low: float = 0.30
-    stop_high: float = 0.32
+    stop_low: float = 0.10
+    stop_high: float = 0.20
+    stop_fit: float = 0.15
     link_share: float = 0.2
     main_link_share: float = 0.8
     heading_reach: int = 200
@@ -217,47 +219,61 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _stop_share(text: str, lists: list[frozenset]) -> float:
-    words = text.lower().split()
-    bare = [w.strip(".,;:!?\"'()") for w in words]
-    return max(sum(w in s for w in bare) for s in lists) / len(words)
+    return max(_stop_shares(text, lists))
+
+
+def _stop_shares(text: str, lists: list[frozenset]) -> list[float]:
+    """The share of the text's words that each list holds."""
+    words = Counter(text.lower().split())
+    bare = Counter()
+    for w, n in words.items():
+        bare[w.strip(".,;:!?\"'()«»“”„’…")] += n
+    total = max(words.total(), 1)
+    return [sum(bare[w] for w in s.intersection(bare)) / total for s in lists]
 
 
 def main_text(page: str | None, rules: Rules = Rules(), stop_words: dict[str, str] | None = None) -> str:
     """The article text of a page: its kept blocks, one line each.
 
-    First pass: a block in a menu, footer, form, advert or the like is bad for good. Where
-    the page marks its article, other blocks outside it are bad too, and blocks inside are
-    good if they are long enough or have enough function words; the rest stays open. Without
-    a marked article, link share, length and the share of function words decide: bad, good,
-    or open when short or in between. Second pass: an open block takes the label of its
-    nearest decided neighbours; between a good and a bad one a near-good block and a heading
-    shortly before good text stay, and a short one goes. Inside a marked article an open
-    block follows decided blocks of the article only, and stays if there are none.
+    First pass: a block in a menu, footer, form, advert or the like is bad for good, and
+    where the page marks its article, so are other blocks outside it. For the rest link
+    share, length and the share of function words decide: bad, good, or open when short or
+    in between. A marked article is a prior: more link text is allowed there, and a linked
+    heading is no link list. Function words count only if one of the lists fits the page's
+    running text; else length and link share decide alone. Few function words make a block
+    bad only together with links. Second pass: an open block takes the label of its nearest
+    decided neighbours; between a good and a bad one a near-good block and a heading shortly
+    before good text stay, and a short one goes; near-good ones stay where the page has no good block. Inside a
+    marked article an open block goes only between two bad ones.
     """
     blocks = blocks_of(page or "")
     lists = [frozenset(v.split()) for v in (stop_words or STOP_WORDS).values()]
     marked = any(b.zone == "main" for b in blocks)
     body = [b for b in blocks if b.zone != "boiler" and (b.zone == "main" or not marked)]
+    running = " ".join(b.text for b in body if len(b.text) >= rules.short
+                       and b.linked <= rules.link_share * len(b.text))
+    fitting = [s for s, share in zip(lists, _stop_shares(running, lists)) if share >= rules.stop_fit]
+    fits = bool(fitting)
     for b in body:
-        share = b.linked / len(b.text)
-        if marked:
-            if share >= rules.main_link_share:
-                b.label = "near"
-            elif len(b.text) >= rules.short or _stop_share(b.text, lists) >= rules.stop_low:
-                b.label = "good"
-            else:
-                b.label = "near"
-            continue
-        if share > rules.link_share or "\xa9" in b.text:
+        share, stops = b.linked / len(b.text), _stop_share(b.text, fitting or lists)
+        sparse = fits and stops < rules.stop_low
+        if "\xa9" in b.text and len(b.text) < rules.long:
             b.label = "bad"
+        elif marked and b.heading:
+            b.label = "near"
+        elif share >= rules.main_link_share or share > rules.link_share and (sparse or not marked):
+            b.label = "bad"
+        elif share > rules.link_share:
+            b.label = "near"
         elif len(b.text) < rules.short:
-            b.label = "bad" if b.linked else "short"
-        else:
-            stops = _stop_share(b.text, lists)
-            if stops >= rules.stop_high:
-                b.label = "good" if len(b.text) > rules.long else "near"
+            if marked:
+                b.label = "good" if stops >= rules.stop_high else "near"
             else:
-                b.label = "near" if stops >= rules.stop_low else "bad"
+                b.label = "bad" if b.linked else "short"
+        elif not fits or stops >= rules.stop_high and (marked or len(b.text) > rules.long):
+            b.label = "good"
+        else:
+            b.label = "bad" if sparse and b.linked else "near"
     decided = [b.label if b.label in ("good", "bad") else "" for b in body]
     before, last = [], ""
     for d in decided:
@@ -272,6 +288,10 @@ def main_text(page: str | None, rules: Rules = Rules(), stop_words: dict[str, st
         near = {before[i], after[i]} - {""}
         if decided[i]:
             stays = b.label == "good"
+        elif marked:
+            stays = not before[i] == after[i] == "bad"
+        elif "good" not in decided and b.label == "near":
+            stays = True
         elif not near:
             stays = b.label == "near" or not any(decided)
         elif len(near) == 1:

@@ -442,3 +442,12 @@ def test_optional_end_tags_and_wrappers(page):
 
 def test_unclosed_button_keeps_what_follows():
     assert PROSE in html_text.main_text(f"<button>x<p>{PROSE}</p><button>B</button>").split("\n")
+
+
+@pytest.mark.parametrize("junk", [
+    "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", "<div>Deal: <a href=x>cheap shoes</a></div>",
+    "<p>" + "<a href=x>Something else worth reading elsewhere</a> " * 4 + "</p>",
+    "<ul><li><a href=x>One</a></li><li>Short</li><li><a href=y>Two</a></li></ul>"])
+def test_links_and_adverts_inside_an_article(junk):
+    page = f"<article><h1><a href=t>Title</a></h1><p>{PROSE}</p>{junk}<p>{PROSE}</p></article>"
+    assert html_text.main_text(page) == f"Title\n{PROSE}\n{PROSE}"
