@@ -16,14 +16,49 @@ from tessera.llm.common import text_steps
 
 # Frequent function words by language.
 STOP_WORDS = {
-    "en": "a an and are as at be been but by for from had has have he her his i in is it its not of on or "
-          "she that the their they this to was we were which will with you",
-    "de": "aber als am an auch auf aus bei das dass dem den der des die ein eine einem einen einer es für hat "
-          "ich im in ist mit nach nicht noch oder sich sie sind so über um und von war wie wird zu zum zur",
-    "fr": "à au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou où "
-          "par pas plus pour qu que qui sa se ses son sont sur un une vous",
-    "es": "a al como con de del el ella en entre es esta este ha han la las lo los más no o para pero por que "
-          "se sin sobre son su sus también un una y ya",
+    "en": "a about after again against all also although among an and another any are around as at be because been "
+          "before being between both but by can could did do does down during each either even ever every few for from "
+          "further had has have he her here him his how i if in into is it its just last least less like made make "
+          "many may me might more most much must my no nor not now of off on once one only or other our out over own "
+          "per said same she should since so some still such than that the their them then there these they this "
+          "those though through to too two under until up upon us very was we were what when where which while who "
+          "whom whose why will with within without would year years yet you your",
+    "de": "ab aber alle allem allen aller alles als also am an andere anderen auch auf aus bei beim bereits bis da damit "
+          "dann das dass dem den denn der des dessen die dies diese diesem diesen dieser dieses doch dort du durch ein "
+          "eine einem einen einer eines er erst es etwa für gegen habe haben hat hatte hatten hier ich ihm ihn ihr ihre "
+          "ihrem ihren ihrer im immer in ins ist ja jede jeder jedoch jetzt kann kein keine können man mehr mein mit "
+          "muss nach nicht noch nun nur ob oder ohne schon sehr sei sein seine seinem seinen seiner seit sich sie sind "
+          "so sollen sondern über um und uns unter vom von vor war waren was weil wenn werden wie wieder will wir wird "
+          "wo worden wurde wurden zu zum zur zwischen",
+    "fr": "à ai ainsi alors après au aucun aussi autre autres aux avaient avait avant avec avoir c ce cela celle celui "
+          "ces cet cette ceux chez comme contre d dans de depuis des deux dont du elle elles en encore entre est et "
+          "étaient était été être eu eux fait faire faut il ils j je jusqu l la le les leur leurs lors lui m ma mais "
+          "même moins mon n ne ni nos notre nous on ont ou où par pas pendant peu peut plus pour qu quand que qui s sa "
+          "sans se sera ses si son sont sous sur tous tout toute toutes très trois un une vers vous y",
+    "es": "a al algo además ahora ante antes aquí así aunque cada casi como con contra cual cuando de del desde después "
+          "donde dos durante e el él ella ellas ellos en entre era eran es esa ese eso esta está están este esto estos "
+          "fue fueron ha había han hasta hay la las le les lo los más me mi mientras mismo muy ni no nos o otra otro "
+          "otros para pero poco por porque que qué quien se sea ser si sí sido sin sobre son su sus también tan tanto "
+          "tiene todo todos tras tu un una uno unos y ya yo",
+    "it": "a ad agli ai al alla alle allo anche ancora avere c che chi ci come con contro cui da dal dalla dalle degli dei "
+          "del dell della delle dello di dopo dove due e è ed era erano fra gli ha hanno i il in io l la le lei lo loro "
+          "lui ma mentre molto nei nel nell nella nelle non nostro o ogni per perché però più poi prima quando quanto "
+          "quella quello questa questo se senza si sia sono stata stato su sua sue sugli sul sulla suo tra tutti un una uno",
+    "pt": "a à ainda ao aos após as às até com como contra da das de depois do dos e é ela ele eles em entre era essa esse "
+          "esta está este eu foi foram há isso já lhe mais mas mesmo muito na nas não nem no nos o os ou para pela pelas "
+          "pelo pelos por porque quando que quem se sem ser seu seus sobre sua suas também tem um uma",
+    "nl": "aan al alle als bij daar dan dat de den der deze die dit door een en er ge haar had heb heeft het hij hoe hun ik "
+          "in is je kan maar meer met mijn na naar niet nog nu of om omdat onder ook op over te tegen toen tot uit van "
+          "veel voor want was wat we wel werd werden wie wordt zal ze zich zij zijn zo zou",
+    "pl": "a ale bardzo być był była było były co czy dla do dla gdy go i ich ile im inne jak jako je jednak jego jej jest "
+          "już kiedy która które którego której który którzy ma może na nad nie nich niż o od oraz po pod podczas ponad "
+          "przed przez przy roku są się tak także tego tej ten to tylko tym u w we więc z za zaś ze że",
+    "ru": "а без более был была были было быть в вам вас во вот все всех вы где да для до его ее если есть еще же за и из "
+          "или им их к как когда которая которые который ли мы на над не него нет но ну о об он она они от по под после "
+          "при про с со так также там то только у уже что чтобы это этого этой этот я",
+    "sv": "af alla att av bara blev blir då de dem den denna där det detta dig din du efter ej eller en ett för från ha hade "
+          "han har hon hos hur i icke in inte jag kan kom kunde man med mellan men mig min mot mycket när ni nu och om "
+          "oss på så sig sin ska som till under upp ut var vi vid vill än är över",
 }
 # Elements whose content is no running text, and elements without content.
 RAW = {"script", "style", "title", "noscript", "template", "iframe", "textarea", "svg", "math", "canvas",

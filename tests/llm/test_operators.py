@@ -451,3 +451,22 @@ def test_unclosed_button_keeps_what_follows():
 def test_links_and_adverts_inside_an_article(junk):
     page = f"<article><h1><a href=t>Title</a></h1><p>{PROSE}</p>{junk}<p>{PROSE}</p></article>"
     assert html_text.main_text(page) == f"Title\n{PROSE}\n{PROSE}"
+
+
+NEWS = ["The company reported quarterly revenue of $4.2bn on Tuesday, beating analyst estimates amid strong cloud demand.",
+        "Apple, Google, Microsoft, Amazon shares fell sharply Monday amid renewed tariff fears, Wall Street analysts said.",
+        "Die Regierung kündigte am Dienstag neue Investitionen in Schulen, Straßen und Brücken an, berichteten Zeitungen.",
+        "Il governo ha annunciato martedì nuovi investimenti per scuole, strade e ponti in tutte le regioni italiane.",
+        "Rząd ogłosił we wtorek nowe inwestycje w szkoły, drogi oraz mosty, poinformowały największe krajowe dzienniki.",
+        "Правительство объявило во вторник новые инвестиции в школы, дороги и мосты, сообщили крупнейшие газеты страны.",
+        "政府は火曜日に新しい投資計画を発表し、学校や道路や橋の整備を進めると述べた。" * 3]
+
+
+@pytest.mark.parametrize("text", NEWS)
+def test_news_without_a_marked_article(text):
+    menu = "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>"
+    assert html_text.main_text(f"<body>{menu}<p>{text}</p><p>{text}</p>{menu}</body>").split("\n") == [text, text]
+
+
+def test_copyright_sign_in_a_long_paragraph():
+    assert html_text.main_text(f"<p>{PROSE} \xa9 someone</p><p>\xa9 all rights</p>") == f"{PROSE} \xa9 someone"
