@@ -40,6 +40,17 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_key() -> Column:
+    """A document, never null: the digest of its text (null counts as empty), then its id."""
+    return F.concat(F.sha2(text_of("text"), 256), F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose :func:`row_key` is not in ``gone`` (``key``)."""
+    key = "__row_key"
+    return docs.withColumn(key, row_key()).join(gone.select(F.col("key").alias(key)).distinct(), key, "left_anti").drop(key)
+
+
 def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
     """Null-safe equality on ``columns``: rows with a null key meet their own kind."""
     cond = None

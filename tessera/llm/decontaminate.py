@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat_text, materialize, same, text_steps
+from tessera.llm.common import flat_text, materialize, row_key, text_steps, without
 
 #: Words of a window in the registered query.
 WINDOW = 10
@@ -253,5 +253,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark phrase occurs."""
-    gone = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, same(docs, gone, "doc_id"), "left_anti")
+    found = contamination(docs.select(row_key().alias("doc_id"), "text"), benchmark, **options)
+    return without(docs, found.where("contaminated").select(F.col("doc_id").alias("key")))

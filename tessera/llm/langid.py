@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import same, text_steps
+from tessera.llm.common import row_key, text_steps, without
 
 #: Width of the vectors and seed of the letter vectors.
 DIM, VECTOR_SEED = 1024, 7
@@ -199,16 +199,17 @@ def language_of(docs: DataFrame, held_out_fold: int = 2, dim: int = DIM) -> Data
     held-out fold; predictions use the text alone. Every text is read whole. Repeated rows
     get equal answers; no rows in, no rows out; other columns are ignored.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"),
-                       F.col("lang").cast("string").alias("lang"),
-                       (fold() == held_out_fold).alias("held_out"))
-    profiles = learn_profiles(rows.where("NOT held_out").select("text", "lang"), dim)
-    return identify(rows.drop("lang"), profiles)
+    rows = docs.select("doc_id", "text", (fold() == held_out_fold).alias("held_out"))
+    return identify(rows, _profiles_of(docs, held_out_fold, dim))
+
+
+def _profiles_of(docs: DataFrame, held_out_fold: int = 2, dim: int = DIM) -> dict[str, np.ndarray]:
+    return learn_profiles(docs.where(fold() != held_out_fold).select("text", "lang"), dim)
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose text has a language: letters, and a score above
     ``least_score``."""
-    gone = (language_of(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") <= least_score))
-            .select("doc_id").distinct())
-    return docs.join(gone, same(docs, gone, "doc_id"), "left_anti")
+    found = identify(docs.select(row_key().alias("doc_id"), "text"), _profiles_of(docs))
+    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") <= least_score))
+    return without(docs, gone.select(F.col("doc_id").alias("key")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, IS_SPACE, flat_text, materialize, same, text_steps, word_spans
+from tessera.llm.common import LOWER, IS_SPACE, flat_text, materialize, row_key, text_steps, word_spans
 
 #: Words of a shingle, hash seed and linking distance of the registered query.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -189,7 +189,11 @@ def _hex(column: str) -> Column:
 
 
 def keep_one_of_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` stands for its near-duplicate group."""
-    found = near_duplicates(docs, **options)
-    gone = found.where("NOT doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(gone, same(docs, gone, "doc_id"), "left_anti")
+    """One row of ``docs`` for each near-duplicate group: the one with the smallest
+    ``doc_id`` (null is last); among equal ids the text digest decides, and a repeated row
+    (same ``doc_id`` and text) stays once."""
+    key = "__row_key"
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row_key().alias("key"))
+    found = near_duplicates(docs.select(place.alias("doc_id"), "text"), **options)
+    gone = found.where("doc_id != component_id").select(F.col("doc_id.key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(gone, key, "left_anti").dropDuplicates([key]).drop(key)

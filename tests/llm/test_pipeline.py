@@ -45,3 +45,23 @@ def test_empty_documents_run_through(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_null_and_repeated_ids_keep_their_clean_documents(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    a, b, leak = " ".join(words[:60]), " ".join(words[60:120]), " ".join(words[120:180])
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+
+    def left(stage, *rows):
+        frame = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+        return sorted((r["doc_id"] or 0, r["text"]) for r in stage(frame).collect())
+
+    profile = (1, a)
+    assert left(langid.keep_identified, profile, (None, b), (None, "12 34"), (7, b), (7, "..."), (None, None)) == [
+        (0, b), (1, a), (7, b)]
+    assert left(exact_dedup.keep_one_copy, (None, a), (None, b), (7, a), (7, leak)) == [(0, b), (7, a), (7, leak)]
+    assert left(simhash.keep_one_of_group, (1, a), (None, a), (None, b), (1, leak)) == [(0, b), (1, a), (1, leak)]
+    assert left(simhash.keep_one_of_group, (None, a), (None, a.upper()), (None, a)) in ([(0, a)], [(0, a.upper())])
+    assert left(simhash.keep_one_of_group, (3, b), (3, b), (3, b.upper())) in ([(3, b)], [(3, b.upper())])
+    assert left(lambda d: decontaminate.keep_clean(d, bench), (None, a), (None, leak), (7, b), (7, leak)) == [
+        (0, a), (7, b)]
