@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tessera.llm import (
-    decontaminate, exact_dedup, html_text, langid, mixing, pii, secrets, simhash, substring_dedup, suffix_dedup,
+    centroids, decontaminate, exact_dedup, html_text, langid, mixing, pii, secrets, simhash, substring_dedup, suffix_dedup,
 )
 
 #: Key of the registered surrogate query; real runs pass their own.
@@ -62,6 +62,10 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -131,14 +135,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)
 """
 
+
+def _op13_sql() -> str:
+    """Ten rounds of assignment and exact floor means over (vector, component) rows."""
+    def assigned(i: int) -> str:
+        return (f"a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM ("
+                f"SELECT r, c, CAST(sum((p.x - m.x) * (p.x - m.x)) AS BIGINT) AS d FROM points p JOIN m{i} m USING (i) GROUP BY r, c) "
+                f"GROUP BY r)")
+
+    def moved(i: int) -> str:
+        return (f"m{i + 1} AS MATERIALIZED (SELECT m.c, m.i, coalesce(t.x, m.x) AS x FROM m{i} m LEFT JOIN ("
+                f"SELECT c, i, (s - ((s % n) + n) % n) // n AS x FROM (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n "
+                f"FROM points JOIN a{i} USING (r) GROUP BY c, i)) t ON t.c = m.c AND t.i = m.i)")
+
+    rounds = ",\n".join(f"{assigned(i)},\n{moved(i)}" for i in range(10))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+points AS MATERIALIZED (SELECT r, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, embedding, unnest(range(1, 65)) AS i FROM kept)),
+seeds AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8),
+m0 AS MATERIALIZED (SELECT c, i, x FROM points JOIN seeds USING (r)),
+{rounds},
+{assigned(10)},
+named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM m10 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN kept USING (r) JOIN named USING (c)
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_html_main_text, op3_pii_surrogates, op4_exact_dedup, op5_secret_ledger, op6_suffix_dedup,
-        op7_benchmark_index, op8_substring_dedup, op9_language_profiles, op10_simhash_covering)
+        op7_benchmark_index, op8_substring_dedup, op9_language_profiles, op10_simhash_covering, op13_centroid_threshold)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_benchmark_index": OP7_SQL,
-           "op8_substring_dedup": OP8_SQL}
+           "op8_substring_dedup": OP8_SQL, "op13_centroid_threshold": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
