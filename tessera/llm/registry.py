@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import (
-    centroids, decontaminate, exact_dedup, html_text, langid, mixing, pii, secrets, simhash, substring_dedup, suffix_dedup,
+    centroids, decontaminate, exact_dedup, hard_negatives, html_text, langid, mixing, pii, secrets, simhash, substring_dedup, suffix_dedup,
 )
 
 #: Key of the registered surrogate query; real runs pass their own.
@@ -62,6 +63,11 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.expr("vec_id % 7 = 0"), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", shifted))
+
+
 def op13_centroid_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -136,6 +142,29 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+OP11_SQL = """
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+    CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, embedding FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (SELECT r, i, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+scores AS MATERIALIZED (
+  SELECT a.r AS a, c.r AS c, CAST(sum(a.x * c.x) AS BIGINT) AS score
+  FROM cells a JOIN kept k ON k.r = a.r AND k.vec_id % 50 = 0 JOIN cells c USING (i) GROUP BY a.r, c.r),
+pairs AS (SELECT a, k.vec_id AS anchor_id, k.label AS anchor_label, o.vec_id, o.label, score
+  FROM scores JOIN kept k ON k.r = a JOIN kept o ON o.r = c),
+positives AS (SELECT * FROM (SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS p
+  FROM pairs WHERE label = anchor_label AND vec_id IS DISTINCT FROM anchor_id) WHERE p <= 5),
+ranked AS (SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN pairs n ON n.a = p.a AND n.label <> n.anchor_label
+    AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 3
+"""
+
+
 def _op13_sql() -> str:
     """Ten rounds of assignment and exact floor means over (vector, component) rows."""
     def assigned(i: int) -> str:
@@ -170,11 +199,12 @@ OP13_SQL = _op13_sql()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_html_main_text, op3_pii_surrogates, op4_exact_dedup, op5_secret_ledger, op6_suffix_dedup,
-        op7_benchmark_index, op8_substring_dedup, op9_language_profiles, op10_simhash_covering, op13_centroid_threshold)
+        op7_benchmark_index, op8_substring_dedup, op9_language_profiles, op10_simhash_covering, op11_hard_negatives, op13_centroid_threshold)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_benchmark_index": OP7_SQL,
-           "op8_substring_dedup": OP8_SQL, "op13_centroid_threshold": OP13_SQL}
+           "op8_substring_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL,
+           "op13_centroid_threshold": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
