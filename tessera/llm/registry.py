@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import (
     centroids, decontaminate, exact_dedup, hard_negatives, html_text, langid, mixing, pii, secrets, simhash, substring_dedup, suffix_dedup,
+    warc,
 )
 
 #: Key of the registered surrogate query; real runs pass their own.
@@ -68,6 +69,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", shifted))
 
 
+def op12_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op13_centroid_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -165,6 +170,16 @@ FROM ranked WHERE rank <= 3
 """
 
 
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT payload, max(page_id) AS newest FROM p WHERE strlen(payload) >= 1000 GROUP BY payload HAVING count(*) > 1)
+SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM newest AND newest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM newest THEN newest END AS refers_to
+FROM p LEFT JOIN g USING (payload)
+"""
+
+
 def _op13_sql() -> str:
     """Ten rounds of assignment and exact floor means over (vector, component) rows."""
     def assigned(i: int) -> str:
@@ -199,11 +214,12 @@ OP13_SQL = _op13_sql()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_html_main_text, op3_pii_surrogates, op4_exact_dedup, op5_secret_ledger, op6_suffix_dedup,
-        op7_benchmark_index, op8_substring_dedup, op9_language_profiles, op10_simhash_covering, op11_hard_negatives, op13_centroid_threshold)
+        op7_benchmark_index, op8_substring_dedup, op9_language_profiles, op10_simhash_covering, op11_hard_negatives, op12_warc_packages,
+        op13_centroid_threshold)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_benchmark_index": OP7_SQL,
-           "op8_substring_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL,
+           "op8_substring_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_warc_packages": OP12_SQL,
            "op13_centroid_threshold": OP13_SQL}
 
 
