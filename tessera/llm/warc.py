@@ -29,6 +29,8 @@ PACKAGE_BYTES, PACKAGE_RECORDS = 64 << 20, 100_000
 STRETCH = 16 << 20
 #: One range read takes neighbouring records up to so many bytes, over gaps up to so many.
 SPAN_BYTES, SPAN_GAP = 8 << 20, 64 << 10
+#: Record bytes that a reading task gets, about (as long as every core has a task).
+TASK_BYTES = 256 << 20
 
 # Fixed values of the formats: member names, index suffix, versions, profile of revisits.
 ARCHIVE_MEMBER, INDEX_MEMBER, ARCHIVES, INDEX_SUFFIX = "archive/data.warc.gz", "indexes/index.cdxj", "archive/", ".cdxj"
@@ -281,7 +283,8 @@ def read_records(located: DataFrame, payloads: bool = True) -> DataFrame:
     ``payloads`` those stay null.
 
     Records spread over tasks by stretches of their package, so a large package is read by
-    many tasks; neighbours share a range read, and nothing else of the package is read.
+    many tasks; neighbours share a range read, and nothing else of the package is read. The
+    number of tasks follows the bytes to read, which the narrow rows here don't show.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RECORD.split(", ")]
@@ -301,8 +304,10 @@ def read_records(located: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(list(zip(*pages)) or [()] * len(names), types)], names=names)
 
+    total = located.agg(F.sum("length")).first()[0] or 0
+    parts = max(located.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     stretch = F.floor(F.col("start") / STRETCH)
-    return located.repartition("path", stretch).sortWithinPartitions("path", "start").mapInArrow(work, RECORD)
+    return located.repartition(parts, "path", stretch).sortWithinPartitions("path", "start").mapInArrow(work, RECORD)
 
 
 # -- operator -------------------------------------------------------------------------
