@@ -70,6 +70,12 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_root(spark), "tessera", *parts])
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path as that system's object."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def unique_name(prefix: str) -> str:
     """A folder name no other run, driver or process has used."""
     return f"{prefix}_{uuid.uuid4().hex}"

@@ -13,14 +13,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.operators.metrics import Check, col_ref, measure, validate_checks
-from tessera.session import scratch_path, unique_name
+from tessera.session import file_system, scratch_path, unique_name
 from tessera.sources.tables import read_table, table_path
 
 
@@ -59,16 +55,15 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | No
     r = spark.readStream.format("parquet").schema(read_table(spark, sf_dir, name).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if _is_folder(spark, path):
+    if is_folder(spark, path):
         return r.load(path)
     return r.option("pathGlobFilter", f"{name}.parquet").load(sf_dir)
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
+def is_folder(spark: SparkSession, path: str) -> bool:
     """One status call on whatever file system holds the path."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    files, place = file_system(spark, path)
+    return files.getFileStatus(place).isDirectory()
 
 
 def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -100,7 +95,13 @@ def stream_distinct_counts(stream: DataFrame, ts: str, key: str, duration: str,
             (F.count(k) - F.approx_count_distinct(k)).alias("duplicate_count"))
         return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                           "unique_count", "duplicate_count")
-    per_value = s.groupBy(F.window(ts, duration).alias("w"), F.col(key).alias("v")).agg(
+    return window_distinct_counts(s, ts, key, duration)
+
+
+def window_distinct_counts(df: DataFrame, ts: str, key: str, duration: str) -> DataFrame:
+    """UNIQUE / DUPLICATE per tumbling window, of a table or a stream: rows by window and
+    value, then by window."""
+    per_value = df.groupBy(F.window(ts, duration).alias("w"), F.col(key).alias("v")).agg(
         F.count(F.lit(1)).alias("n"))
     per_window = per_value.groupBy("w").agg(
         F.count("v").alias("unique_count"),
@@ -142,14 +143,17 @@ def run_available(df: DataFrame, name: str, output_mode: str = "append",
     return spark.read.parquet(out + "/data")
 
 
-def with_open_windows(closed: DataFrame, source: DataFrame, ts: str, value: str, duration: str) -> DataFrame:
+def with_open_windows(closed: DataFrame, source: DataFrame, ts: str, value: str, duration: str,
+                      distinct: bool = False) -> DataFrame:
     """Emitted windows plus those still open, measured from the table behind the stream:
     the closing step of a schedule, or a look at today. Only rows after the last emitted
-    window are read."""
+    window are read. ``distinct`` says that the windows are those of
+    :func:`stream_distinct_counts` over ``value``, and not of :func:`stream_window_metrics`."""
     last = closed.agg(F.max("window_end")).first()[0]
     stamped = source.withColumn(ts, F.col(ts).cast("timestamp"))
     rest = stamped if last is None else stamped.where(F.col(ts) >= F.lit(last))
-    return closed.unionByName(window_metrics(rest, ts, value, duration).select(*closed.columns))
+    of_open = (window_distinct_counts if distinct else window_metrics)(rest, ts, value, duration)
+    return closed.unionByName(of_open.select(*closed.columns))
 
 
 def start_periodic(df: DataFrame, path: str, checkpoint: str, every: str = "30 minutes",
@@ -161,85 +165,6 @@ def start_periodic(df: DataFrame, path: str, checkpoint: str, every: str = "30 m
     return _start_with_state_partitions(df.sparkSession, w, state_partitions)
 
 
-#: Metrics of a whole table that merge from the value groups of its arrivals.
-MERGED = ("ROW_COUNT", "NULL_COUNT", "NULL_PERCENT", "UNIQUE_COUNT", "DUPLICATE_COUNT", "DUPLICATE_VALUES")
-
-
-def _value_groups(batch: DataFrame, columns: list[str]) -> DataFrame:
-    """``column_name, v, n``: rows of an arrival by value, as text or as the digest of a long one."""
-    def key(c: str) -> Column:
-        t = col_ref(c)
-        if isinstance(batch.schema[c].dataType, (T.FloatType, T.DoubleType)):
-            t = t + F.lit(0).cast(batch.schema[c].dataType)      # -0.0 and 0.0 are one value
-        t = F.base64(t) if isinstance(batch.schema[c].dataType, T.BinaryType) else t.cast("string")
-        return F.when(F.octet_length(t) < 64, t).otherwise(F.sha2(t, 256))
-    entries = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), key(c).alias("v")) for c in columns]))
-    return batch.select(entries).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _merged_metrics(groups: DataFrame, wanted: list[Check], table_name: str) -> DataFrame:
-    """Results of the whole table from the stored groups of all its arrivals."""
-    v, n = F.col("v"), F.col("n")
-    whole = groups.groupBy("column_name", "v").agg(F.sum("n").alias("n"))
-    per = whole.groupBy("column_name").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("nulls"),
-        F.count("v").alias("u"), F.count_if(v.isNotNull() & (n > 1)).alias("dv"))
-    value = {"ROW_COUNT": F.col("rows"), "NULL_COUNT": F.col("nulls"), "UNIQUE_COUNT": F.col("u"),
-             "DUPLICATE_COUNT": F.col("rows") - F.col("nulls") - F.col("u"), "DUPLICATE_VALUES": F.col("dv"),
-             "NULL_PERCENT": F.lit(100.0) * F.col("nulls") / F.col("rows")}
-    first = next((c.column for c in wanted if c.column), ROWS_ONLY)
-    asked = F.inline(F.array(*[F.struct(
-        F.lit(c.column or first).alias("source"), F.lit(c.column).alias("checked"),
-        F.lit(c.metric).alias("metric_name"), value[c.metric].cast("double").alias("value")) for c in wanted]))
-    return (per.select("column_name", asked).where(F.col("column_name") == F.col("source"))
-            .select(F.lit(table_name).alias("table_name"), F.col("checked").cast("string").alias("column_name"),
-                    "metric_name", "value"))
-
-
-#: Group column of a configuration that only counts rows.
-ROWS_ONLY = ""
-
-
-def on_change(stream: DataFrame, checks, table_name: str, name: str = "on_change", as_of=None,
-              location: str | None = None, table=None) -> DataFrame:
-    """Measure the table whenever data arrives: one result set per arrival (``batch_id``),
-    each about the whole table so far.
-
-    Counts by value (``MERGED``) never read old data again: an arrival adds its value
-    groups to the stored ones. Other metrics are measured on ``table()``, the table behind
-    the stream. ``location`` is a shared folder with results, groups and checkpoint; a call
-    with it resumes and processes only what is new. Every arrival has its own partition,
-    written with overwrite, so one replayed after a failure replaces its output.
-    """
-    spark = stream.sparkSession
-    out = location or scratch_path(spark, "streams", unique_name(name))
-    ok, failed = validate_checks(stream, checks)
-    merged = [c for c in ok if c.metric in MERGED and not c.params]
-    other = [c for c in ok if c not in merged] + [c for c, _ in failed]
-    if other and table is None:
-        raise ValueError("these metrics need the table behind the stream: "
-                         + ", ".join(sorted({c.metric for c in other})))
-    columns = sorted({c.column for c in merged if c.column})
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        parts = []
-        if merged:
-            groups = (_value_groups(batch, columns) if columns else
-                      batch.agg(F.lit(ROWS_ONLY).alias("column_name"), F.lit(None).cast("string").alias("v"),
-                                F.count(F.lit(1)).alias("n")))
-            groups.write.mode("overwrite").parquet(f"{out}/groups/batch_id={batch_id}")
-            stored = batch.sparkSession.read.parquet(f"{out}/groups").where(F.col("batch_id") <= batch_id)
-            parts.append(_merged_metrics(stored, merged, table_name))
-        if other:
-            parts.append(measure(table(), other, table_name, as_of=as_of))
-        reduce(lambda a, b: a.unionByName(b), parts).write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
-
-    q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", out + "/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out + "/data")
-
-
 # ---------------------------------------------------------------- mergeable partials
 
 def partials(df: DataFrame, ts: str, value: str, keys=(), sketch_col: str | None = None,
