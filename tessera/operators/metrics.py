@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.canonical import canonical_text, is_nested
 from tessera.functions.registry import get_metric
 
 # unit recorded with each result (others: 'count')
@@ -107,12 +108,17 @@ def sql_literal(s: str | None) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _stack(table: str, items: list[tuple[str | None, str, str]]) -> str:
+#: Metrics whose value is a whole number; MIN and MAX have the type of their column.
+WHOLE = ("ROW_COUNT", "FRESHNESS", "NULL_COUNT", "UNIQUE_COUNT", "DUPLICATE_COUNT", "DUPLICATE_VALUES", "ACCEPTED_VALUES")
+
+
+def _stack(table: str, items: list[tuple[str | None, str, str, str | None]]) -> str:
     """One SQL ``stack`` turning named aggregate columns into long rows: building the
-    long shape as one expression string keeps driver work flat in the number of checks."""
+    long shape as one expression string keeps driver work flat in the number of checks.
+    ``items``: column, metric, value and, if there is one, the exact text (expressions)."""
     rows = ", ".join(f"{sql_literal(table)}, {sql_literal(col)}, {sql_literal(metric)}, "
-                     f"CAST(`{val}` AS DOUBLE)" for col, metric, val in items)
-    return f"stack({len(items)}, {rows}) AS (table_name, column_name, metric_name, value)"
+                     f"CAST({val} AS DOUBLE), CAST({text or 'NULL'} AS STRING)" for col, metric, val, text in items)
+    return f"stack({len(items)}, {rows}) AS (table_name, column_name, metric_name, value, value_text)"
 
 
 # Columns whose distinct metrics share one scan. 1 = one scan + shuffle per column (least
@@ -131,7 +137,7 @@ _COUNT_STATS = {
     "ROWS": "coalesce(sum(n), 0)",
 }
 # one stats row per column: the counts plus typed extremes (see _extremes)
-_STATS_COLUMNS = [*_COUNT_STATS, "MIN_D", "MAX_D", "FRESH", "OUTSIDE"]
+_STATS_COLUMNS = [*_COUNT_STATS, "MIN_D", "MAX_D", "FRESH", "MIN_T", "MAX_T", "OUTSIDE"]
 # metrics the group counts give exactly (same double operations as the scan builders)
 _FROM_GROUPS = {
     "UNIQUE_COUNT": "CAST(UNIQUE_COUNT AS DOUBLE)",
@@ -145,29 +151,44 @@ _FROM_GROUPS = {
     "FRESHNESS": "FRESH",
     "ACCEPTED_VALUES": "CAST(OUTSIDE AS DOUBLE)",
 }
+# their exact texts; what is missing here has none beyond its double
+_TEXT_FROM_GROUPS = {
+    "UNIQUE_COUNT": "UNIQUE_COUNT", "DUPLICATE_COUNT": "DUPLICATE_COUNT", "DUPLICATE_VALUES": "DUPLICATE_VALUES",
+    "NULL_COUNT": "NULL_COUNT", "ROW_COUNT": "ROWS", "MIN": "MIN_T", "MAX": "MAX_T",
+    "FRESHNESS": "CAST(FRESH AS BIGINT)", "ACCEPTED_VALUES": "OUTSIDE",
+}
 DERIVED_FROM_GROUPS = ("NULL_COUNT", "NULL_PERCENT", "ROW_COUNT", "MIN", "MAX", "FRESHNESS", "ACCEPTED_VALUES")
 _BUILT_IN = {name: get_metric(name) for name in DERIVED_FROM_GROUPS}
 
 
 def _extremes(dtype: T.DataType, value: str, as_of) -> dict[str, str]:
-    """SQL for MIN_D / MAX_D / FRESH over ``value`` (the same results as the scan builders:
-    extremes of the distinct values are the extremes of the rows)."""
+    """SQL for MIN_D / MAX_D / FRESH and the texts MIN_T / MAX_T over ``value`` (the same
+    results as the scan builders: extremes of the distinct values are the extremes of the
+    rows)."""
     none = "CAST(NULL AS DOUBLE)"
+    texts = {"MIN_T": "CAST(NULL AS STRING)", "MAX_T": "CAST(NULL AS STRING)"}
     if isinstance(dtype, T.NumericType):
         return {"MIN_D": f"CAST(min({value}) AS DOUBLE)", "MAX_D": f"CAST(max({value}) AS DOUBLE)",
-                "FRESH": none}
+                "FRESH": none, "MIN_T": f"CAST(min({value}) AS STRING)", "MAX_T": f"CAST(max({value}) AS STRING)"}
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         clock = "current_timestamp()" if as_of is None else f"to_timestamp({sql_literal(str(as_of))})"
         return {"MIN_D": none, "MAX_D": none,
-                "FRESH": f"CAST(unix_timestamp({clock}) - unix_timestamp(max({value})) AS DOUBLE)"}
-    return {"MIN_D": none, "MAX_D": none, "FRESH": none}
+                "FRESH": f"CAST(unix_timestamp({clock}) - unix_timestamp(max({value})) AS DOUBLE)", **texts}
+    return {"MIN_D": none, "MAX_D": none, "FRESH": none, **texts}
+
+
+def _group_type(dtype: T.DataType) -> str:
+    """The type of :func:`_group_key`."""
+    return "string" if is_nested(dtype) else dtype.simpleString()
 
 
 def _group_key(dtype: T.DataType, column: str) -> str:
-    """What a column is grouped by: the value, or the digest of a long string or binary, so
-    that texts don't cross the network whole. Kept values are shorter than any digest, so
-    the two never meet."""
+    """What a column is grouped by: the value, or the digest of a long string or binary or of
+    any nested value, so that texts and vectors don't cross the network whole. Kept values
+    are shorter than any digest, so the two never meet."""
     c = f"`{column.replace('`', '``')}`"
+    if is_nested(dtype):
+        return f"sha2({canonical_text(dtype, c)}, 256)"
     if isinstance(dtype, T.StringType):
         return f"CASE WHEN octet_length({c}) < 64 THEN {c} ELSE sha2({c}, 256) END"
     if isinstance(dtype, T.BinaryType):
@@ -206,8 +227,8 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=Non
     """Stats rows for several columns from ONE scan: every row becomes one typed entry per
     column -- struct(cid, one field per distinct type, only the column's own field set) --
     so values keep their type (no string casts) and one group-by serves the batch."""
-    dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     own_type = _field_types(df)
+    dtypes = {c: _group_type(t) for c, t in own_type.items()}
     slots: dict[str, int] = {}
     for _, c in batch:
         slots.setdefault(dtypes[c], len(slots))
@@ -224,11 +245,10 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=Non
               .groupBy("cid", *fcols).agg(F.count(F.lit(1)).alias("n"))
               .selectExpr("cid", *fcols, f"NOT ({isnull}) AS present", "n"))
     # one global aggregate (always one row, also for an empty table), then one row per column
-    types = _field_types(df)
     aggs = []
     for cid, c in batch:
         on = f"cid = {cid} AND present"
-        ext = _extremes(types[c], f"CASE WHEN cid = {cid} THEN f{slots[dtypes[c]]} END", as_of)
+        ext = _extremes(own_type[c], f"CASE WHEN cid = {cid} THEN f{slots[dtypes[c]]} END", as_of)
         aggs += [F.expr(f"count_if({on}) AS u{cid}"),
                  F.expr(f"coalesce(sum(CASE WHEN {on} THEN n END), 0) - count_if({on}) AS s{cid}"),
                  F.expr(f"count_if({on} AND n > 1) AS r{cid}"),
@@ -236,9 +256,10 @@ def _distinct_stats_batch(df: DataFrame, batch: list[tuple[int, str]], as_of=Non
                  F.expr(f"coalesce(sum(CASE WHEN cid = {cid} THEN n END), 0) AS t{cid}"),
                  F.expr(f"{ext['MIN_D']} AS lo{cid}"), F.expr(f"{ext['MAX_D']} AS hi{cid}"),
                  F.expr(f"{ext['FRESH']} AS fr{cid}"),
+                 F.expr(f"{ext['MIN_T']} AS lt{cid}"), F.expr(f"{ext['MAX_T']} AS ht{cid}"),
                  F.expr(_outside(f"CASE WHEN cid = {cid} THEN f{slots[dtypes[c]]} END", "n",
                                  (accepted or {}).get(c)) + f" AS ou{cid}")]
-    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}, z{cid}, t{cid}, lo{cid}, hi{cid}, fr{cid}, ou{cid}"
+    rows = ", ".join(f"{cid}, u{cid}, s{cid}, r{cid}, z{cid}, t{cid}, lo{cid}, hi{cid}, fr{cid}, lt{cid}, ht{cid}, ou{cid}"
                      for cid, _ in batch)
     return groups.agg(*aggs).selectExpr(
         f"stack({len(batch)}, {rows}) AS (cid, {', '.join(_STATS_COLUMNS)})")
@@ -258,15 +279,16 @@ def _distinct_part(df: DataFrame, table: str, by_column: dict[str, list[str]],
                   for k in range(0, len(ids), batch)]
     stats = reduce(lambda a, b: a.union(b), [f.select("cid", *_STATS_COLUMNS) for f in frames])
     names = "array(" + ", ".join(sql_literal(c) for c in cols) + ")"
-    metrics = ", ".join(f"{sql_literal(m)}, {e}" for m, e in _FROM_GROUPS.items())
+    metrics = ", ".join(f"{sql_literal(m)}, {e}, CAST({_TEXT_FROM_GROUPS.get(m, 'NULL')} AS STRING)"
+                        for m, e in _FROM_GROUPS.items())
     wanted = ", ".join(sql_literal(f"{i}:{m}") for i, c in enumerate(cols) for m in by_column[c])
     return (stats.selectExpr(f"{sql_literal(table)} AS table_name",
                              f"element_at({names}, cid + 1) AS column_name", "cid",
-                             f"stack({len(_FROM_GROUPS)}, {metrics}) AS (metric_name, value)")
+                             f"stack({len(_FROM_GROUPS)}, {metrics}) AS (metric_name, value, value_text)")
             .where(f"concat(cid, ':', metric_name) IN ({wanted})")
             .selectExpr("table_name",
                         "CASE WHEN metric_name = 'ROW_COUNT' THEN CAST(NULL AS STRING) "
-                        "ELSE column_name END AS column_name", "metric_name", "value"))
+                        "ELSE column_name END AS column_name", "metric_name", "value", "value_text"))
 
 
 def _domain_branch(df: DataFrame, table: str, ch: Check) -> DataFrame:
@@ -278,7 +300,7 @@ def _domain_branch(df: DataFrame, table: str, ch: Check) -> DataFrame:
               .groupBy("_v").agg(F.count(F.lit(1)).alias("_n")))
     outside = groups.join(dom.distinct(), "_v", "left_anti")
     return outside.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).selectExpr(
-        _stack(table, [(ch.column, "ACCEPTED_VALUES", "n")]))
+        _stack(table, [(ch.column, "ACCEPTED_VALUES", "n", "n")]))
 
 
 def _needs_domain_join(ch: Check) -> bool:
@@ -288,9 +310,13 @@ def _needs_domain_join(ch: Check) -> bool:
 def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
             distinct: str = "exact", materialize: bool = False,
             distinct_batch: int = DISTINCT_BATCH, one_read: bool = False,
-            reasons: bool = False) -> DataFrame:
+            reasons: bool = False, texts: bool = False) -> DataFrame:
     """Evaluate ``checks`` on ``df``; one long row per check.
 
+    ``texts=True`` adds ``value_text``, the exact value where the double may round it: MIN and
+    MAX in the type of their column, whole numbers in full (null for the other metrics).
+    Arrays, structs, maps and variants are counted by the digest of their canonical text.
+
     A check that cannot run (unknown metric or column, unsuitable type, an expression that
     does not resolve) gives a NULL; ``reasons=True`` adds its ``error`` text.
 
@@ -378,9 +404,7 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
                 failed.append((ch, str(e)))
 
         def scanned(part) -> DataFrame:
-            aggs = [expr.alias(f"_m{i}") for i, (_, _, expr) in enumerate(part)]
-            return df.agg(*aggs).selectExpr(_stack(table_name, [
-                (ch.column, m.name, f"_m{i}") for i, (ch, m, _) in enumerate(part)]))
+            return df.agg(*_scan_aggregates(part)).selectExpr(_stack(table_name, _scan_items(part)))
 
         try:
             parts += [scanned(built)] if built else []
@@ -394,24 +418,60 @@ def measure(df: DataFrame, checks, table_name: str, *, as_of=None,
                     failed.append((one[0], str(e)))
             parts += [scanned(sound)] if sound else []
 
+    def grouped(columns: dict) -> DataFrame:
+        return _distinct_part(df, table_name, columns, distinct_batch, as_of, accepted)
+
     if by_column:
-        parts.append(_distinct_part(df, table_name, by_column, distinct_batch, as_of, accepted))
+        try:
+            parts.append(grouped(by_column))
+        except AnalysisException:       # some column has no groups: find out which
+            sound_columns = {}
+            for c, names in by_column.items():
+                try:
+                    grouped({c: names})
+                    sound_columns[c] = names
+                except AnalysisException as e:
+                    failed += [(Check(m, None if m == "ROW_COUNT" else c), str(e)) for m in names]
+            parts += [grouped(sound_columns)] if sound_columns else []
 
     for ch in domain:
-        parts.append(_domain_branch(df, table_name, ch))
+        try:
+            parts.append(_domain_branch(df, table_name, ch))
+        except AnalysisException as e:
+            failed.append((ch, str(e)))
 
+    parts = [x if texts else x.drop("value_text") for x in parts]
     if reasons:
         parts = [x.withColumn("error", F.lit(None).cast("string")) for x in parts]
     if failed or not parts:
-        parts.append(_failed_rows(spark, [(table_name, ch, why) for ch, why in failed], reasons))
+        parts.append(_failed_rows(spark, [(table_name, ch, why) for ch, why in failed], reasons, texts))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _failed_rows(spark: SparkSession, failed, reasons: bool) -> DataFrame:
+def _scan_aggregates(part) -> list[Column]:
+    """The aggregates of scan metrics (check, metric, expression): ``_m0``, ``_m1``, ..., and
+    ``_t0``, ... for extremes, whose text is that of the column's own type."""
+    out = []
+    for i, (ch, m, expr) in enumerate(part):
+        out.append(expr.alias(f"_m{i}"))
+        if m is _BUILT_IN.get(m.name) and m.name in ("MIN", "MAX"):
+            extreme = F.min if m.name == "MIN" else F.max
+            out.append(extreme(col_ref(ch.column)).cast("string").alias(f"_t{i}"))
+    return out
+
+
+def _scan_items(part) -> list[tuple]:
+    return [(ch.column, m.name, f"_m{i}",
+             f"_t{i}" if m is _BUILT_IN.get(m.name) and m.name in ("MIN", "MAX") else
+             f"CAST(_m{i} AS BIGINT)" if m.name in WHOLE else None) for i, (ch, m, _) in enumerate(part)]
+
+
+def _failed_rows(spark: SparkSession, failed, reasons: bool, texts: bool = False) -> DataFrame:
     """NULL results of checks that could not run: (table name, check, reason)."""
-    schema = T.StructType([*RESULT_SCHEMA.fields, T.StructField("error", T.StringType())])
-    out = spark.createDataFrame([(t, ch.column, ch.metric.upper(), None, why) for t, ch, why in failed], schema)
-    return out if reasons else out.drop("error")
+    extra = [T.StructField("value_text", T.StringType()), T.StructField("error", T.StringType())]
+    schema = T.StructType([*RESULT_SCHEMA.fields, *extra])
+    out = spark.createDataFrame([(t, ch.column, ch.metric.upper(), None, None, why) for t, ch, why in failed], schema)
+    return out.drop(*(["error"] if not reasons else []), *(["value_text"] if not texts else []))
 
 
 def measure_expand(df: DataFrame, checks, table_name: str, *, as_of=None) -> DataFrame:
@@ -438,8 +498,8 @@ def measure_expand(df: DataFrame, checks, table_name: str, *, as_of=None) -> Dat
                 params["column_sql"] = "`" + ch.column.replace("`", "``") + "`"
             expr = m.build(c, params)
         aggs.append(expr.alias(f"_m{i}"))
-        items.append((ch.column, m.name, f"_m{i}"))
-    out = df.agg(*aggs).selectExpr(_stack(table_name, items))
+        items.append((ch.column, m.name, f"_m{i}", None))
+    out = df.agg(*aggs).selectExpr(_stack(table_name, items)).drop("value_text")
     if failed:
         rows = [(table_name, ch.column, ch.metric.upper(), None) for ch, _ in failed]
         out = out.unionByName(df.sparkSession.createDataFrame(rows, RESULT_SCHEMA))
@@ -556,28 +616,33 @@ def measure_checks_in_jobs(spark: SparkSession, checks: DataFrame, tables_per_jo
 def measure_checks_to(spark: SparkSession, checks: DataFrame, path: str, tables_per_job: int = 50, *,
                       as_of=None, resolver=None, distinct: str = "exact") -> DataFrame:
     """Measure a configuration into a results table at ``path`` and read it back, with an
-    ``error`` column. What fails while running fails alone: a group of tables whose job
-    fails is run again table by table, and a failing table check by check; a check that
-    fails on its own becomes a NULL with the whole error text. Failed jobs leave no rows
-    (file commit protocol); ``path`` should be new for each run.
+    ``error`` column. What fails while running fails alone: a job that fails is run again in
+    two halves, of its tables, then of a table's checks, so that one bad check of n costs
+    about 2 log2(n) further jobs and not n; a check that fails on its own becomes a NULL with
+    the whole error text. Failed jobs leave no rows (file commit protocol); ``path`` should
+    be new for each run.
     """
+    def store(frame: DataFrame) -> None:
+        frame.write.mode("append").parquet(path)
+
     def run(items) -> None:
         try:
-            _measure_tables(spark, items, as_of, resolver, distinct, True).write.mode("append").parquet(path)
+            store(_measure_tables(spark, items, as_of, resolver, distinct, True))
+            return
         except Exception as e:
-            if len(items) > 1:
-                for one in items:
-                    run([one])
+            if len(items) == 1 and len(items[0][1]) == 1:
+                (key, (ch,)), = items
+                store(_failed_rows(spark, [(".".join(p for p in key if p), ch, str(e))], True))
                 return
+        if len(items) == 1:
             (key, chs), = items
-            if len(chs) > 1:
-                for ch in chs:
-                    run([(key, [ch])])
-                return
-            name = ".".join(p for p in key if p)
-            _failed_rows(spark, [(name, chs[0], str(e))], True).write.mode("append").parquet(path)
+            halves = [[(key, chs[:len(chs) // 2])], [(key, chs[len(chs) // 2:])]]
+        else:
+            halves = [items[:len(items) // 2], items[len(items) // 2:]]
+        for half in halves:
+            run(half)
 
-    _failed_rows(spark, [], True).write.mode("append").parquet(path)
+    store(_failed_rows(spark, [], True))
     for group in _groups_of(_checks_by_table(checks), tables_per_job):
         run(group)
     return spark.read.parquet(path)

@@ -346,11 +346,15 @@ def describe_and_log(spark, sf_dir):
     return append_and_read(rows, "description_history")
 
 
+#: All given tables and their columns.
+MEASURED = {t: cols for t, (_, cols) in SAMPLED.items()} | {"embeddings": ["vec_id", "embedding", "label"]}
+
+
 def _configured_checks():
-    """The checks the config expansion gives for the sampled tables (static schemas)."""
+    """The checks the config expansion gives for the given tables (static schemas)."""
     from tessera.operators.metrics import Check
     plan = {}
-    for t, (_, cols) in SAMPLED.items():
+    for t, cols in MEASURED.items():
         checks = [Check("ROW_COUNT")]
         fresh = {"orders": "o_orderdate", "events": "ts", "lineitem": "l_shipdate"}.get(t)     # their temporal columns
         if fresh:
@@ -369,7 +373,7 @@ def measure_configured(spark, sf_dir):
     """Catalog -> configuration -> measurement: the real tables' schemas are expanded into
     checks (ROW_COUNT, FRESHNESS on a temporal column, NULL / DUPLICATE /
     UNIQUE on every column), then the checks frame is measured table by table."""
-    checks = CK.expand_checks(schemas_columns({t: read_table(spark, sf_dir, t) for t in SAMPLED},
+    checks = CK.expand_checks(schemas_columns({t: read_table(spark, sf_dir, t) for t in MEASURED},
                                               DB, SCHEMA))
     return measure_checks(spark, checks, as_of=AS_OF,
                           resolver=lambda db, schema, table: read_table(spark, sf_dir, table))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.registry import sql_metric
 from tessera.operators.metrics import Check, measure, measure_checks_to, measure_suite
+from tessera.operators.observed import write_measured
 from tessera.plans.base import AS_OF, ROUND_DIGITS, register
 from tessera.plans.fixture_sql import with_ctes
 from tessera.plans.oracle_sql import checks_sql
@@ -175,3 +176,83 @@ def measure_with_failures(spark, sf_dir):
     and a division by zero: each of them fails alone."""
     return failing_run(spark, sf_dir).select("table_name", "column_name", "metric_name", "value",
                                               F.col("error").isNotNull().alias("failed"))
+
+
+# M4/M5: nested values
+def nested_orders(spark, sf_dir) -> DataFrame:
+    """Orders with a struct, a map and an array of them, and null ones among each."""
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 6 <> 0 THEN named_struct('s', o_orderstatus, 'p', o_orderpriority) END AS pair",
+        "CASE WHEN o_orderkey % 4 <> 0 THEN map('status', o_orderstatus, 'priority', o_orderpriority) "
+        "WHEN o_orderkey % 8 = 0 THEN map('priority', o_orderpriority, 'status', o_orderstatus) END AS tags",
+        "array(o_custkey % 10, nullif(o_custkey % 3, 0)) AS codes")
+
+
+_NESTED = ("UNIQUE_COUNT", "DUPLICATE_COUNT", "DUPLICATE_VALUES", "NULL_COUNT")
+
+
+def _nested_sql(table: str, column: str, value: str, where: str, source: str) -> str:
+    src = f"(SELECT CASE WHEN {where} THEN {value} END AS v FROM {source})"
+    facts = {"UNIQUE_COUNT": f"count(DISTINCT v) FROM {src}", "DUPLICATE_COUNT": f"count(v) - count(DISTINCT v) FROM {src}",
+             "DUPLICATE_VALUES": f"count(*) FROM (SELECT v FROM {src} WHERE v IS NOT NULL GROUP BY v HAVING count(*) > 1)",
+             "NULL_COUNT": f"count(*) - count(v) FROM {src}"}
+    return " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{m}' AS metric_name, "
+                              f"CAST(x AS DOUBLE) AS value FROM (SELECT {e.replace(' FROM', ' AS x FROM', 1)})"
+                              for m, e in facts.items())
+
+
+@register("metric_nested_values", " UNION ALL ".join([
+    _nested_sql("orders", "pair", "coalesce(o_orderstatus, '~') || '|' || coalesce(o_orderpriority, '~')", "o_orderkey % 6 <> 0",
+                "orders"),
+    _nested_sql("orders", "tags", "coalesce(o_orderstatus, '~') || '|' || coalesce(o_orderpriority, '~')",
+                "o_orderkey % 4 <> 0 OR o_orderkey % 8 = 0", "orders"),
+    _nested_sql("orders", "codes", "(o_custkey % 10)::VARCHAR || '|' || coalesce(nullif(o_custkey % 3, 0)::VARCHAR, '~')", "true",
+                "orders"),
+    _nested_sql("embeddings", "embedding", "embedding", "true", "embeddings"),
+    _nested_sql("events", "props", "props", "true", "events")]))
+def metric_nested_values(spark, sf_dir):
+    """Counts by value of structs, maps (in any key order), arrays, vectors and variants."""
+    variants = read_table(spark, sf_dir, "events").selectExpr("parse_json(props) AS props")
+    frames = {"orders": nested_orders(spark, sf_dir), "embeddings": read_table(spark, sf_dir, "embeddings"), "events": variants}
+    columns = {"orders": ["pair", "tags", "codes"], "embeddings": ["embedding"], "events": ["props"]}
+    return measure_suite({t: (frames[t], [Check(m, c) for c in cs for m in _NESTED]) for t, cs in columns.items()})
+
+
+# M9: extremes beyond the integers of a double
+_BIG = 9007199254740993
+
+
+@register("metric_min_max_exact", f"""
+WITH t AS (SELECT {_BIG} - o_orderkey AS near, o_orderkey::HUGEINT * {_BIG} AS far, o_custkey FROM orders)
+SELECT 'orders' AS table_name, * FROM (
+  SELECT 'near' AS column_name, 'MIN' AS metric_name, min(near)::VARCHAR AS value_text FROM t
+  UNION ALL SELECT 'near', 'MAX', max(near)::VARCHAR FROM t
+  UNION ALL SELECT 'near', 'UNIQUE_COUNT', count(DISTINCT near)::VARCHAR FROM t
+  UNION ALL SELECT 'far', 'MIN', min(far)::VARCHAR FROM t
+  UNION ALL SELECT 'far', 'MAX', max(far)::VARCHAR FROM t
+  UNION ALL SELECT 'o_custkey', 'MAX', max(o_custkey)::VARCHAR FROM t
+  UNION ALL SELECT NULL, 'ROW_COUNT', count(*)::VARCHAR FROM t) r""")
+def metric_min_max_exact(spark, sf_dir):
+    """Extremes of large integers and decimals as text, from value groups and from the scan."""
+    orders = read_table(spark, sf_dir, "orders").selectExpr(
+        f"{_BIG} - o_orderkey AS near", f"CAST(o_orderkey AS DECIMAL(18,0)) * {_BIG} AS far", "o_custkey")
+    checks = [Check("ROW_COUNT"), Check("MIN", "near"), Check("MAX", "near"), Check("UNIQUE_COUNT", "near"), Check("MIN", "far"),
+              Check("MAX", "far"), Check("MAX", "o_custkey")]
+    return measure(orders, checks, "orders", texts=True).select("table_name", "column_name", "metric_name", "value_text")
+
+
+# Metrics of a table while it is written
+_WRITTEN = [Check("ROW_COUNT"), Check("FRESHNESS", "l_shipdate"), Check("NULL_COUNT", "l_partkey"), Check("AVG", "l_quantity"),
+            Check("MIN", "l_extendedprice"), Check("MAX", "l_extendedprice"), Check("STDDEV", "l_quantity"),
+            Check("ACCEPTED_VALUES", "l_returnflag", (("values", ("R", "A")),)), Check("UNIQUE_COUNT", "l_suppkey"),
+            Check("DUPLICATE_COUNT", "l_suppkey")]
+
+
+@register("metrics_while_writing", f"""
+SELECT table_name, column_name, metric_name, round(value, {ROUND_DIGITS}) AS value
+FROM ({checks_sql('lineitem', 'lineitem', _WRITTEN)}) r""")
+def metrics_while_writing(spark, sf_dir):
+    """Lineitem is written once, and its scan metrics come from that very job."""
+    path = scratch_path(spark, "written", unique_name("lineitem"))
+    out = write_measured(read_table(spark, sf_dir, "lineitem"), path, _WRITTEN, "lineitem", as_of=AS_OF)
+    return out.withColumn("value", F.round("value", ROUND_DIGITS))
