@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.canonical import canonical_text
 from tessera.functions.text import clean_generated, is_blank
+from tessera.operators.metrics import sql_literal
 
 TABLE_SAMPLE_ROWS = 5
 COLUMN_SAMPLE_VALUES = 10
@@ -35,29 +37,44 @@ COLUMN_ASK = (f"Tell someone new to this data, in one plain phrase of up to {COL
               "what a value of this field says about its row.")
 
 
-def _render(df: DataFrame) -> Column:
-    # a NULL cell keeps its place
-    return F.concat_ws(" | ", *[F.coalesce(F.col("`%s`" % c).cast("string"), F.lit("NULL")) for c in df.columns])
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _render(df: DataFrame) -> str:
+    """SQL for a row as text, as one string (few calls to build it, however wide the table). A
+    NULL cell keeps its place."""
+    return "concat_ws(' | ', %s)" % ", ".join(f"coalesce(CAST({_ident(c)} AS STRING), 'NULL')" for c in df.columns)
 
 
 # ---------------------------------------------------------------- samples
 
-def _first_rows(df: DataFrame, keys: list[str], order, n: int) -> DataFrame:
-    """The first ``n`` rows by ``order``, an order of the key columns alone: a top-n over the
-    keys, then the other columns of those rows only, by a pushed-down key filter. Of rows
-    with equal keys, the least as text come first."""
-    firsts = df.select(*keys, order.alias("_o")).orderBy("_o").limit(n).collect()   # n rows of keys
-    lead = [r[0] for r in firsts]
-    mine = F.col(f"`{keys[0]}`").isin([v for v in lead if v is not None])
-    if None in lead:
-        mine = mine | F.col(f"`{keys[0]}`").isNull()
-    return df.where(mine).withColumn("_o", order).withColumn("_t", _render(df)).orderBy("_o", "_t").limit(n)
+def _first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order`` (SQL; column ``_o``) and as text (``_t``): a bounded
+    top-n of one pass, run with whatever uses it. Of rows that tie, the least by their
+    columns come first."""
+    ties = [canonical_text(f.dataType, _ident(f.name)) if _without_order(f.dataType) else _ident(f.name)
+            for f in df.schema.fields]
+    return df.selectExpr("*", f"{order} AS _o").orderBy("_o", *[F.expr(t) for t in ties]).limit(n).selectExpr(
+        "*", f"{_render(df)} AS _t")
+
 
+def _without_order(dtype: T.DataType) -> bool:
+    """Whether values of the type have no order: maps and variants, and what holds them."""
+    if isinstance(dtype, T.ArrayType):
+        return _without_order(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_without_order(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.MapType, T.VariantType))
 
-def _place(df: DataFrame, names: dict) -> DataFrame:
-    for k, v in names.items():
-        df = df.withColumn(k, F.lit(v))
-    return df
+
+def _up_to_nth(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows whose ``key`` is among the first ``n`` (nulls first): the n-th is a subquery
+    over that column alone, and its value reaches the scan as a filter, so row groups beyond
+    it are not read."""
+    k = F.col(_ident(key))
+    nth = df.select(k.alias("k")).orderBy("k").limit(n).agg(F.max("k"))
+    return df.where(k.isNull() | (k <= nth.scalar()))
 
 
 def _keys(key) -> list[str]:
@@ -70,21 +87,18 @@ def _names(table: str, database: str | None, schema: str | None) -> dict:
     return {k: v for k, v in given.items() if v is not None} | {"table_name": table}
 
 
+def _placed(names: dict) -> list[str]:
+    return [f"{sql_literal(v)} AS {k}" for k, v in names.items()]
+
+
 def sample_rows(df: DataFrame, table: str, key, n: int = TABLE_SAMPLE_ROWS, database: str | None = None,
                 schema: str | None = None) -> DataFrame:
     """First ``n`` rows by ``key`` (a column or several) rendered as text: object keys, rn,
     row_text."""
     keys = _keys(key)
-    top = _first_rows(df, keys, F.struct(*[F.col(f"`{k}`") for k in keys]), n)
-    names = _names(table, database, schema)
-    return (_place(top.withColumnRenamed("_t", "row_text"), names)
-            .withColumn("rn", F.row_number().over(_w_order("table_name", "_o", "row_text")))
-            .select(*names, "rn", "row_text"))
-
-
-def _w_order(part: str, *order: str):
-    from pyspark.sql import Window
-    return Window.partitionBy(part).orderBy(*order)
+    top = _first_rows(_up_to_nth(df, keys[0], n), "struct(%s)" % ", ".join(map(_ident, keys)), n)
+    names = _placed(_names(table, database, schema))
+    return top.selectExpr(*names, f"row_number() OVER (PARTITION BY {sql_literal(table)} ORDER BY _o, _t) AS rn", "_t AS row_text")
 
 
 def sample_text(rows: DataFrame) -> DataFrame:
@@ -102,14 +116,15 @@ def column_samples(df: DataFrame, table: str, key, columns=None, n: int = COLUMN
     md5 of the key (a stable order any engine reproduces).
     Output: object keys, column_name, sample_rank, value_text."""
     cols, keys = columns or df.columns, _keys(key)
-    top = _first_rows(df, keys, F.md5(F.concat_ws(" ", *[F.col(f"`{k}`").cast("string") for k in keys])), n)
+    sampled = df.select(*[_ident(c) for c in dict.fromkeys([*keys, *cols])])
+    top = _first_rows(sampled, "md5(concat_ws(' ', %s))" % ", ".join(f"CAST({_ident(k)} AS STRING)" for k in keys), n)
     names = _names(table, database, schema)
+    cells = ", ".join(f"named_struct('column_name', {sql_literal(c)}, 'value_text', CAST({_ident(c)} AS STRING))" for c in cols)
     # rank within the n sampled rows (the window only ever sees the top-n of one table)
-    ranked = _place(top, names).withColumn(
-        "sample_rank", F.row_number().over(_w_order("table_name", "_o", "_t")).cast("long"))
-    return ranked.select(*names, "sample_rank", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value_text"))
-        for c in cols]))).select(*names, "column_name", "sample_rank", "value_text")
+    return top.selectExpr(
+        *_placed(names), f"CAST(row_number() OVER (PARTITION BY {sql_literal(table)} ORDER BY _o, _t) AS BIGINT) AS sample_rank",
+        f"array({cells}) AS cells").selectExpr(*names, "sample_rank", "inline(cells)").select(
+        *names, "column_name", "sample_rank", "value_text")
 
 
 # ---------------------------------------------------------------- prompts
@@ -332,11 +347,12 @@ def generate_descriptions(objects: DataFrame, columns: DataFrame, generation_typ
 
 
 def run_summary(suggestions: DataFrame) -> DataFrame:
-    """Objects processed, table/column descriptions generated, failures, and a message."""
+    """Objects processed, table/column descriptions generated, failures (selected names that
+    do not exist are failures, and no objects), and a message."""
     ok = F.col("description").isNotNull() & (F.col("description") != "")
     is_col = F.col("kind") == "COLUMN"
     s = suggestions.agg(
-        F.count_distinct(F.struct(*OBJ_KEYS)).alias("tables_processed"),
+        F.count_distinct(F.when(F.col("kind") != "MISSING", F.struct(*OBJ_KEYS))).alias("tables_processed"),
         F.count_if(~is_col & ok).alias("table_descriptions"),
         F.count_if(is_col & ok).alias("column_descriptions"),
         F.count_if(~ok).alias("failed"))

@@ -20,6 +20,7 @@ from tessera.sinks.tables import append_and_read
 from tessera.plans.catalog_queries import COL_LISTING_SQL, OBJ_LISTING_SQL, listing
 from tessera.plans.fixture_sql import with_ctes
 from tessera.session import scratch_path, unique_name
+from tessera.sinks.comments import apply_suggestions
 from tessera.sources.catalog import schemas_columns, session_columns, session_objects
 from tessera.sources.config import config_frame
 from tessera.sources.fixtures import catalog_columns, contact_refs
@@ -73,10 +74,15 @@ def _render_sql(t: str) -> str:
     return f"concat_ws(' | ', {cells})"
 
 
+def _ties(t: str) -> str:
+    """Rows that tie come in the order of their columns."""
+    return ", ".join(f"{c} NULLS FIRST" for c in SAMPLED[t][1])
+
+
 def _row_sql(t: str) -> str:
-    order = ", ".join([*_order(t), _render_sql(t)])
-    return (f"SELECT * FROM (SELECT '{t}' AS table_name, row_number() OVER (ORDER BY {order}) AS k, "
-            f"{_render_sql(t)} AS row_text FROM {t} ORDER BY {order} LIMIT 5)")
+    keys = ", ".join(_order(t))
+    return (f"SELECT * FROM (SELECT '{t}' AS table_name, row_number() OVER (ORDER BY {keys}, {_render_sql(t)}) AS k, row_text "
+            f"FROM (SELECT *, {_render_sql(t)} AS row_text FROM {t} ORDER BY {keys}, {_ties(t)} LIMIT 5))")
 
 
 _ROWS_SQL = " UNION ALL ".join(_row_sql(t) for t in SAMPLED)
@@ -101,7 +107,7 @@ def _val_sql() -> str:
             parts.append(f"SELECT * FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, "
                          f"md5(concat_ws(' ', {', '.join(f'CAST({k} AS VARCHAR)' for k in _order(t))})) AS h, "
                          f"{_render_sql(t)} AS whole, CAST({c} AS VARCHAR) AS value_text "
-                         f"FROM {t} ORDER BY h, whole LIMIT 10)")
+                         f"FROM {t} ORDER BY h, {_ties(t)} LIMIT 10)")
     return " UNION ALL ".join(parts)
 
 
@@ -445,3 +451,67 @@ FROM information_schema.columns WHERE table_name IN ({_DOCUMENTED_IN})""")
 def documentation_summary(spark, sf_dir):
     """Counts of the same run, two completions of which failed."""
     return D.run_summary(documented(spark, sf_dir)[0].suggestions)
+
+
+def documented_selection(spark, sf_dir):
+    """Two tables asked for in other cases, and a name that does not exist."""
+    db = unique_name("selected")
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{scratch_path(spark, 'catalog', db)}'")
+    try:
+        for t in DOCUMENTED:
+            spark.sql(f"CREATE TABLE {db}.{t} USING parquet LOCATION '{table_path(sf_dir, t)}'")
+        return document_schema(spark, db, tables=["CUSTOMER", "Nation", "no_such_table"], updated_by="tessera", updated_at=AS_OF)
+    finally:
+        spark.sql(f"DROP DATABASE {db} CASCADE")
+
+
+@register("documentation_selection", """
+SELECT count(DISTINCT table_name) AS tables_processed, count(DISTINCT table_name) AS table_descriptions,
+  count(*) AS column_descriptions, 1 AS failed,
+  printf('%d objects: %d table texts, %d column texts, %d failures', count(DISTINCT table_name), count(DISTINCT table_name),
+    count(*), 1) AS message
+FROM information_schema.columns WHERE table_name IN ('customer', 'nation')""")
+def documentation_selection(spark, sf_dir):
+    """A run over a selection, one name of which the schema lacks: it is counted as failed."""
+    return D.run_summary(documented_selection(spark, sf_dir).suggestions)
+
+
+# ---------------------------------------------------------------- views of another namespace (K6)
+
+def commented_view(spark, sf_dir):
+    """A view whose text names a table of its own schema, commented while another schema, with
+    a table of that name, is the current one: rows of (what, value) about it afterwards."""
+    mine, other = unique_name("views_of"), unique_name("views_by")
+    current = spark.catalog.currentDatabase()
+    for db in (mine, other):
+        spark.sql(f"CREATE DATABASE {db} LOCATION '{scratch_path(spark, 'catalog', db)}'")
+    try:
+        spark.sql(f"CREATE TABLE {mine}.t USING parquet LOCATION '{table_path(sf_dir, 'customer')}'")
+        spark.sql(f"CREATE TABLE {other}.t USING parquet LOCATION '{table_path(sf_dir, 'supplier')}'")
+        spark.sql(f"USE {mine}")
+        spark.sql("CREATE VIEW v (x, y) COMMENT 'kept' TBLPROPERTIES ('team' = \"the EU's\") AS "
+                  "SELECT c_custkey, c_acctbal FROM t")
+        spark.sql(f"USE {other}")
+        report = apply_suggestions(spark, config_frame(
+            spark, [(f"{mine}.v", "X", "the customer")], "table_ident string, column_name string, description string"))
+        properties = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {mine}.v").collect()}
+        comment = next(r["comment"] for r in session_objects(spark, mine).where("table_name = 'v'").collect())
+        n, total = spark.table(f"{mine}.v").agg(F.count("x"), F.sum("x")).first()
+        rows = [("rows", str(n)), ("sum", str(total)), ("property", properties.get("team")), ("comment", comment),
+                ("failed", str(len(report.failed))), ("current", str(spark.catalog.currentDatabase() == other).lower())]
+        rows += [(f"column {r['column_name']}", r["comment"]) for r in session_columns(spark, mine, "v").collect()]
+    finally:
+        spark.sql(f"USE `{current}`")
+        for db in (mine, other):
+            spark.sql(f"DROP DATABASE {db} CASCADE")
+    return config_frame(spark, rows, "what string, value string")
+
+
+@register("view_comments_other_namespace", """
+SELECT 'rows' AS what, CAST(count(c_custkey) AS VARCHAR) AS value FROM customer
+UNION ALL SELECT 'sum', CAST(sum(c_custkey) AS VARCHAR) FROM customer
+UNION ALL SELECT * FROM (VALUES ('property', 'the EU''s'), ('comment', 'kept'), ('failed', '0'), ('current', 'true'),
+  ('column x', 'the customer'), ('column y', NULL)) v""")
+def view_comments_other_namespace(spark, sf_dir):
+    """Comments on a view leave its rows, properties and text alone in any current schema."""
+    return commented_view(spark, sf_dir)

@@ -7,6 +7,8 @@ full collect). Every statement is isolated: a failure is reported and the rest g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,12 +74,56 @@ def view_text(spark: SparkSession, view: str) -> str:
     return text
 
 
+# The properties in which the catalog keeps what a view was created under.
+NAMESPACE_PARTS, NAMESPACE_PART = "view.catalogAndNamespace.numParts", "view.catalogAndNamespace.part.%d"
+SETTING, INTERNAL, SCHEMA_MODE = "view.sqlConfig.", "view.", "view.schemaMode"
+
+
+def _properties(spark: SparkSession, view) -> dict[str, str]:
+    """All properties of a view of the session catalog, the catalog's own among them (SQL
+    does not list those)."""
+    state = spark._jsparkSession.sessionState()
+    found = state.catalog().getTableMetadata(state.sqlParser().parseTableIdentifier(_table_ident(view))).properties().iterator()
+    out = {}
+    while found.hasNext():
+        pair = found.next()
+        out[pair._1()] = pair._2()
+    return out
+
+
+@contextmanager
+def created_under(spark: SparkSession, properties: dict[str, str]) -> Iterator[None]:
+    """The session as it was when a view was created: its text means the same tables there.
+    Catalog, namespace and settings are put back afterwards, whatever happens."""
+    parts = [properties[NAMESPACE_PART % i] for i in range(int(properties.get(NAMESPACE_PARTS, 0)))]
+    settings = {k.removeprefix(SETTING): v for k, v in properties.items() if k.startswith(SETTING)}
+    settings = {k: v for k, v in settings.items() if spark.conf.isModifiable(k)}
+    catalog, namespace = spark.catalog.currentCatalog(), spark.catalog.currentDatabase()
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        if parts:
+            spark.sql("USE " + _table_ident(tuple(parts)))
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+        spark.catalog.setCurrentCatalog(catalog)
+        spark.sql(f"USE {_table_ident(namespace)}")
+
+
 def recreate_view(spark: SparkSession, view: str, column_comments: dict[str, str | None],
                   view_comment: str | None = None, report: ApplyReport | None = None) -> ApplyReport:
     """Views take comments by re-creation. New comments match case-insensitively and win
-    when non-empty; other columns keep a non-blank old comment."""
+    when non-empty; other columns keep a non-blank old comment. The view is created again
+    under the catalog, namespace and settings it was created under, so that names in its
+    text stay those of the same tables; its own properties and schema mode stay."""
     report = report or ApplyReport()
-    text = view_text(spark, view)
+    text, properties = view_text(spark, view), _properties(spark, view)
     cols = spark.table(_table_ident(view)).schema.fields
     new = {k.upper(): v for k, v in column_comments.items()}
     defs = []
@@ -88,10 +134,19 @@ def recreate_view(spark: SparkSession, view: str, column_comments: dict[str, str
         else:
             c = old if old and old.strip() else None
         defs.append(_ident(f.name) + (f" COMMENT {_literal(c)}" if c else ""))
+    details = _details(spark, view)
     if view_comment is None:
-        view_comment = _details(spark, view).get("Comment")
+        view_comment = details.get("Comment")
     vc = f" COMMENT {_literal(view_comment)}" if view_comment else ""
-    _run(spark, f"CREATE OR REPLACE VIEW {_table_ident(view)} ({', '.join(defs)}){vc} AS {text}", report)
+    own = {k: v for k, v in properties.items() if not k.startswith(INTERNAL) and k not in ("comment", "transient_lastDdlTime")}
+    kept = f" TBLPROPERTIES ({', '.join(f'{_literal(k)} = {_literal(v)}' for k, v in sorted(own.items()))})" if own else ""
+    mode = properties.get(SCHEMA_MODE, "").replace("_", " ")
+    mode = f" WITH SCHEMA {mode}" if mode else ""
+    # the full name means the same in any current namespace
+    place = [details.get(k) for k in ("Catalog", "Database", "Table")]
+    name = _table_ident(tuple(p for p in place if p) if place[2] else view)
+    with created_under(spark, properties):
+        _run(spark, f"CREATE OR REPLACE VIEW {name} ({', '.join(defs)}){vc}{kept}{mode} AS {text}", report)
     return report
 
 

@@ -71,8 +71,11 @@ def session_objects(spark: SparkSession, database: str | None = None) -> DataFra
     return spark.createDataFrame(rows, OBJECT_SCHEMA)
 
 
-def session_columns(spark: SparkSession, database: str, table: str) -> DataFrame:
-    cols = spark.catalog.listColumns(f"`{database}`.`{table}`")
-    rows = [("spark_catalog", database, table, c.name, c.dataType.upper(), c.description, i + 1)
-            for i, c in enumerate(cols)]
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+def _catalog_fields(spark: SparkSession, database: str, table: str) -> list[tuple]:
+    return [("spark_catalog", database, table, c.name, c.dataType.upper(), c.description, i + 1)
+            for i, c in enumerate(spark.catalog.listColumns(f"`{database}`.`{table}`"))]
+
+
+def session_columns(spark: SparkSession, database: str, *tables: str) -> DataFrame:
+    """The columns of one or more tables of the session catalog, as one frame."""
+    return config_frame(spark, [r for t in tables for r in _catalog_fields(spark, database, t)], COLUMN_SCHEMA)
