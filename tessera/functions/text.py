@@ -101,6 +101,7 @@ def metric_action_sentence(action, metric, column) -> Column:
     """'Added X data quality metric[ to column C]' / '<ACTION> X ...[ on column C]'."""
     action, metric, column = _c(action), _c(metric), _c(column)
     has_col = column.isNotNull() & (column != "")
+    # fixed values: stored sentences must read alike to be matched and filtered
     added = F.concat(F.lit("Added "), metric, F.lit(" data quality metric"),
                      F.when(has_col, F.concat(F.lit(" to column "), column)).otherwise(F.lit("")))
     other = F.concat(action, F.lit(" "), metric, F.lit(" data quality metric"),
@@ -111,6 +112,7 @@ def metric_action_sentence(action, metric, column) -> Column:
 def metric_object_type(metric, column) -> Column:
     """``DMF_<metric>`` plus ``_COLUMN`` for column-level changes."""
     column = _c(column)
+    # fixed values: the prefix and suffix of stored object types
     return F.concat(F.lit("DMF_"), _c(metric),
                     F.when(column.isNotNull() & (column != ""), F.lit("_COLUMN")).otherwise(F.lit("")))
 

@@ -114,6 +114,22 @@ def metric_unique_count_approx(spark, sf_dir):
                    distinct="approx")
 
 
+#: How far an estimate may lie from the exact count: three times HLL++'s 5 % deviation.
+TOLERANCE = 0.15
+
+
+@register("metric_unique_count_tolerance", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) AS DOUBLE) AS exact, true AS within FROM lineitem" for c in LINEITEM_COLS))
+def metric_unique_count_tolerance(spark, sf_dir):
+    """The estimate of every column held against the exact count of the same engine."""
+    df = read_table(spark, sf_dir, "lineitem")
+    checks = [Check("UNIQUE_COUNT", c) for c in LINEITEM_COLS]
+    exact = measure(df, checks, "lineitem").select("column_name", F.col("value").alias("exact"))
+    near = measure(df, checks, "lineitem", distinct="approx").select("column_name", F.col("value").alias("near"))
+    return exact.join(near, "column_name").select(
+        "column_name", "exact", (F.abs(F.col("near") - F.col("exact")) <= TOLERANCE * F.col("exact")).alias("within"))
+
+
 # Custom metrics through the registry (SQL aggregate templates)
 CUSTOM = {"NEGATIVE_COUNT": "count_if({col} < 0)", "ZERO_COUNT": "count_if({col} = 0)"}
 for _name, _tmpl in CUSTOM.items():

@@ -280,3 +280,19 @@ def metrics_merge_sketch(spark, sf_dir):
                        sketch_col="table_name")
     stored = append_and_read(parts, "daily_sketches")
     return W.merge_partials(stored, ["metric_name"]).select("metric_name", "n", "distinct_estimate")
+
+
+#: How far a merged sketch may lie from the exact count: about five deviations at lg_k 12.
+SKETCH_TOLERANCE = 0.08
+
+
+@register("metrics_merge_sketch_tolerance", with_ctes("""
+SELECT metric_name, count(*) AS n, count(DISTINCT table_name) AS exact, true AS within FROM qr GROUP BY metric_name""", "qr"))
+def metrics_merge_sketch_tolerance(spark, sf_dir):
+    """The merged daily sketches held against the exact distinct tables of each metric."""
+    log = measurement_log(spark, sf_dir)
+    stored = append_and_read(W.partials(log, "measurement_time", "value", ["metric_name"], sketch_col="table_name"), "daily_sketches")
+    merged = W.merge_partials(stored, ["metric_name"]).select("metric_name", "n", "distinct_estimate")
+    exact = log.groupBy("metric_name", "table_name").count().groupBy("metric_name").agg(F.count("table_name").alias("exact"))
+    gap = F.abs(F.col("distinct_estimate") - F.col("exact"))
+    return merged.join(exact, "metric_name").select("metric_name", "n", "exact", (gap <= SKETCH_TOLERANCE * F.col("exact")).alias("within"))
