@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,7 +70,7 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
          "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search",
          "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "head"}
+BOILER = {"nav", "footer", "aside", "menu", "dialog", "search", "head"}
 MAIN = {"article", "main"}
 # Words in class, id or role that name such zones.
 BOILER_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment",
@@ -77,6 +78,9 @@ BOILER_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "br
                 "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination",
                 "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "social",
                 "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+# Those of them that also name the layout around an article.
+LAYOUT_NAMES = {"banner", "complementary", "contentinfo", "footer", "form", "menu", "nav", "navbar", "navigation", "notice",
+                "share", "sharing", "sidebar", "social", "toolbar", "widget"}
 
 # Elements of the head, and pairs of a start tag and the open elements it ends, up to a border.
 HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
@@ -88,12 +92,14 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 TO_THE_END = {"script", "style", "title", "noscript", "iframe", "textarea", "xmp", "noembed", "noframes"}
 # Those that never hold another: with a second one first, the end tag is missing.
 ENDED_BY_NEXT = {"button", "select", "audio", "video"}
-OPTION_END = re.compile(r"</option\b[^>]*>|(?=</?(?:option|optgroup|datalist|select)\b)", re.I)
-RAW_END = {n: re.compile(rf"</{n}\b[^>]*>" + (rf"|(?=<{n}\b)" if n in ENDED_BY_NEXT else ""), re.I)
+OPTION_END = re.compile(r"</option\b[^<>]*>|(?=</?(?:option|optgroup|datalist|select)\b)", re.I)
+RAW_END = {n: re.compile(rf"</{n}\b[^<>]*>" + (rf"|(?=<{n}\b)" if n in ENDED_BY_NEXT else ""), re.I)
            for n in RAW - {"option"}} | {"option": OPTION_END}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
-                   r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A tag ends before the next < outside quotes, and no attempt goes back: what is no tag costs no
+# more than its own length, however often < comes.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)"
+                   r"((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME_PART = re.compile(r"[a-z0-9]+")
 
@@ -110,6 +116,21 @@ class Rules:
     link_share: float = 0.2
     main_link_share: float = 0.8
     heading_reach: int = 200
+    layout_share: float = 0.25
+    article_share: float = 0.25
+
+
+@dataclass(eq=False)
+class Named:
+    """An element with a boilerplate name, or a form: whether its text goes shows when the
+    whole page is read. ``own`` is the running text in it, ``inside`` also that of named
+    elements in it."""
+
+    token: str
+    outer: Named | None
+    own: int = 0
+    inside: int = 0
+    gone: bool | None = None
 
 
 @dataclass
@@ -118,77 +139,149 @@ class Block:
     linked: int
     zone: str
     heading: bool
+    named: Named | None = None
     label: str = ""
 
+    def running(self, rules: Rules) -> int:
+        """Its characters, if it reads like running text."""
+        return len(self.text) if len(self.text) >= rules.short and self.linked <= rules.link_share * len(self.text) else 0
 
-def _zone(name: str, attributes: str, inside_main: bool) -> str:
-    """What an element does to the text in it: ``boiler``, ``named`` (boiler by a name part,
-    unless it holds the article), ``main`` or nothing."""
-    named = False
+
+def _zone(name: str, attributes: str, inside_main: bool) -> tuple[str, str]:
+    """What an element does to the text in it: ``boiler``, ``named`` (by the name part that
+    comes second), ``main`` or nothing."""
+    token = "form" if name == "form" else ""
     if attributes.strip():
         for key, value in ATTRIBUTE.findall(attributes):
             key = key.lower()
             if key == "hidden" or key == "aria-hidden" and "true" in value:
-                return "boiler"
+                return "boiler", ""
             if key == "style" and re.search(r"display\s*:\s*none", value):
-                return "boiler"
-            if key in ("class", "id", "role") and BOILER_NAMES.intersection(NAME_PART.findall(value.lower())):
-                if name not in ("body", "html", "main") and not (name == "article" and key != "class"):
-                    named = True
+                return "boiler", ""
+            if key in ("class", "id", "role") and name not in ("body", "html", "main") and not (name == "article" and key != "class"):
+                parts = BOILER_NAMES.intersection(NAME_PART.findall(value.lower()))
+                # a name of content counts before one of layout
+                if parts:
+                    token = min(parts, key=lambda t: (t in LAYOUT_NAMES, t)) if not token or token in LAYOUT_NAMES else token
     if name in BOILER or name == "header" and not inside_main:
-        return "boiler"
-    return "named" if named else "main" if name in MAIN else ""
-
-
-def _zone_of(stack: list[tuple[str, str]]) -> str:
-    """The zone of text inside the open elements. ``held`` is an article inside an element
-    with a boilerplate name; a ``main`` is never boilerplate for the names around it."""
-    zones = [z for _, z in stack if z]
-    if "boiler" in zones:
-        return "boiler"
-    if "named" not in zones:
-        return "main" if zones else ""
-    name, zone = next((n, z) for n, z in reversed(stack) if z)
-    if zone == "named":
-        return "boiler"
-    return "main" if ("main", "main") in stack[max(i for i, x in enumerate(stack) if x[1] == "named"):] else "held"
-
-
-def blocks_of(page: str) -> list[Block]:
+        return "boiler", ""
+    return ("named", token) if token else ("main", "") if name in MAIN else ("", "")
+
+
+class Open:
+    """The open elements of a page. Every question about them takes constant time, and what is
+    closed is closed once, so a page costs its length however deep it is."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.zones: list[str] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scopes = [0]                 # per open block element (and the page): its place, plus one
+        self.count = Counter()            # zones of links and blocks; ``inline`` for those of other elements
+        self.named: list[tuple[int, Named]] = []
+        self.zoned: list[int] = []        # places of links and blocks with a zone
+
+    def push(self, name: str, zone: str, token: str) -> None:
+        place = len(self.names)
+        self.names.append(name)
+        self.zones.append(zone)
+        self.places[name].append(place)
+        if name in BLOCK:
+            self.scopes.append(place + 1)
+        if zone and (name == "a" or name in BLOCK):
+            self.count[zone] += 1
+            self.zoned.append(place)
+            if zone == "named":
+                self.named.append((place, Named(token, self.named[-1][1] if self.named else None)))
+        elif zone in ("boiler", "named"):
+            self.count["inline"] += 1
+
+    def cut(self, place: int) -> None:
+        """Close all elements from ``place`` on."""
+        while len(self.names) > place:
+            at, name, zone = len(self.names) - 1, self.names.pop(), self.zones.pop()
+            if name:                      # a link that a later one ended has none
+                self.places[name].pop()
+            if name in BLOCK:
+                self.scopes.pop()
+            if self.zoned and self.zoned[-1] == at:
+                self.zoned.pop()
+                self.count[zone] -= 1
+                if zone == "named":
+                    self.named.pop()
+            elif zone in ("boiler", "named"):
+                self.count["inline"] -= 1
+
+    def end_link(self) -> None:
+        """Links don't nest: a new one ends the one before, and nothing else."""
+        if self.places["a"]:
+            place = self.places["a"].pop()
+            if zone := self.zones[place]:
+                del self.zoned[bisect_left(self.zoned, place)]
+                self.count[zone] -= 1
+                if zone == "named":
+                    del self.named[bisect_left(self.named, place, key=lambda n: n[0])]
+            self.names[place] = self.zones[place] = ""
+
+    def last(self, name: str) -> int:
+        return self.places[name][-1] if self.places[name] else -1
+
+    def end(self, names: set, border: set) -> None:
+        """End the open elements of ``names`` inside ``border``."""
+        if not any(self.places[n] for n in names):
+            return
+        edge = max((self.last(n) for n in border), default=-1)
+        inside = [self.places[n][i] for n in names if (i := bisect_right(self.places[n], edge)) < len(self.places[n])]
+        if inside:
+            self.cut(min(inside))
+
+    def end_tag(self, name: str) -> None:
+        place = self.last(name)
+        # an inline end tag ends nothing outside its block
+        if place >= 0 and (name in BLOCK or name == "a" or place >= self.scopes[-1]):
+            self.cut(place)
+
+    def zone(self) -> str:
+        """The zone of text here. ``held`` is an article inside a named element; a ``main`` is
+        never boilerplate for the names around it."""
+        if self.count["boiler"]:
+            return "boiler"
+        if not self.named:
+            return "main" if self.zoned else ""
+        if self.zones[self.zoned[-1]] == "named":
+            return "named"
+        return "main" if self.last("main") > self.named[-1][0] else "held"
+
+
+def blocks_of(page: str, rules: Rules = Rules()) -> list[Block]:
     """The text blocks of a page in order, with their zone and the characters inside links."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    open_ = Open()
     parts: list[str] = []
     linked, breaks, at, heading = 0, 0, 0, False
+    endless: set[str] = set()             # elements whose end tag does not come any more
 
     def close() -> None:
         nonlocal linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, _zone_of([x for x in stack if x[0] == "a" or x[0] in BLOCK]), heading))
+            zone = open_.zone()
+            out.append(Block(text, linked, zone, heading, open_.named[-1][1] if zone == "named" else None))
         parts.clear()
         linked, heading = 0, False
 
-    def end(names: set, border: set) -> None:
-        """End the innermost open elements of ``names`` inside ``border``."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in border:
-                return
-            if stack[i][0] in names:
-                del stack[i:]
-
     def add(raw: str) -> None:
         nonlocal linked, breaks
         if raw:
             text = html.unescape(raw)
-            if text.strip() and stack and stack[-1][0] == "head":
-                stack.pop()
-            if any(z in ("boiler", "named") for n, z in stack if n != "a" and n not in BLOCK):
+            if text.strip() and open_.names and open_.names[-1] == "head":
+                open_.cut(len(open_.names) - 1)
+            if open_.count["inline"]:
                 return  # an inline element of that kind: its words alone go
             parts.append(text)
             if text.strip():
                 breaks = 0
-                if any(n == "a" for n, _ in stack):
+                if open_.places["a"]:
                     linked += len(" ".join(text.split()))
 
     while True:
@@ -204,24 +297,22 @@ def blocks_of(page: str) -> list[Block]:
         if m.group(1):
             if name in BLOCK:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK and name not in BLOCK and name != "a":
-                    break  # an inline end tag ends nothing outside its block
+            open_.end_tag(name)
             continue
-        if stack and stack[-1][0] == "head" and name not in HEAD:
-            stack.pop()
+        if open_.names and open_.names[-1] == "head" and name not in HEAD:
+            open_.cut(len(open_.names) - 1)
         if name in RAW:
             if not m.group(3).rstrip().endswith("/"):
-                stop = RAW_END[name].search(page, at)
+                stop = None if name in endless else RAW_END[name].search(page, at)
+                if stop is None:
+                    endless.add(name)
                 if stop and (stop.group() or name not in ENDED_BY_NEXT):
                     at = stop.end()
                 elif name in TO_THE_END:
                     at = len(page)
                 elif name == "option":
-                    at = max(at, page.find("<", at)) if "<" in page[at:] else len(page)
+                    following = page.find("<", at)
+                    at = following if following >= 0 else len(page)
             parts.append(" ")
             continue
         if name == "br":
@@ -232,27 +323,91 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             close()
-            while stack and stack[-1][0] not in BLOCK and stack[-1][0] != "a":
-                stack.pop()  # inline elements reach to the end of their block
-            end({"p"}, BLOCK - {"p"})
+            # inline elements reach to the end of their block, links beyond it
+            while open_.names and open_.names[-1] not in BLOCK and open_.names[-1] != "a":
+                open_.cut(len(open_.names) - 1)
+            if open_.scopes[-1] and open_.names[open_.scopes[-1] - 1] == "p":
+                open_.cut(open_.scopes[-1] - 1)     # a paragraph holds no block
             if name in ENDS:
-                end(*ENDS[name])
+                open_.end(*ENDS[name])
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name in VOID:
             parts.append(" " if name != "wbr" else "")
         else:
-            if name == "a":  # links don't nest: a new one ends the one before
-                stack[:] = [x for x in stack if x[0] != "a"]
+            if name == "a":
+                open_.end_link()
             if name in BLOCK or not m.group(3).rstrip().endswith("/"):
-                stack.append((name, _zone(name, m.group(3), any(z == "main" for _, z in stack))))
+                open_.push(name, *_zone(name, m.group(3), open_.count["main"] > 0))
     close()
-    real = any(b.zone == "main" for b in out)
-    for b in out:
-        if b.zone == "held":  # teasers beside an article, or the article itself
-            b.zone = "boiler" if real else "main"
+    _settle(out, rules)
     return out
 
 
+def _settle(blocks: list[Block], rules: Rules) -> None:
+    """Give every block of a named element, and every held one, its zone.
+
+    A name condemns an element only if running text is left outside it: all text in an element
+    with a name of content goes, that of one with a name of layout goes if enough is left.
+    Where too little is left, the names are taken for those of wrappers: of the outermost
+    elements, those whose shared name holds most running text are opened, and what they hold
+    counts as outside the rest. (A name of content opens last, and for the length of an
+    article only.)
+    """
+    named: dict[Named, None] = {}
+    free = 0
+    for b in blocks:
+        n, own = b.named, b.running(rules)
+        if n is not None:
+            n.own += own
+        elif b.zone in ("", "main", "held"):
+            free += own
+        while n is not None and n not in named:
+            named[n] = None
+            n = n.outer
+    within: dict[Named | None, list[Named]] = defaultdict(list)
+    for n in named:
+        within[n.outer].append(n)
+    order, todo = [], list(within[None])
+    while todo:                           # outer ones first
+        order.append(n := todo.pop())
+        todo += within[n]
+    for n in reversed(order):
+        n.inside += n.own
+        if n.outer is not None:
+            n.outer.inside += n.inside
+    outer: dict[str, list[Named]] = defaultdict(list)
+    by_name = Counter()
+    found = within[None]
+    while True:
+        for n in found:
+            outer[n.token].append(n)
+            by_name[n.token] += n.inside
+        stays = {t for t, inside in by_name.items() if inside and (
+            free < rules.layout_share * inside if t in LAYOUT_NAMES else not free and inside >= rules.long)}
+        if not stays:
+            break
+        token = max(stays & LAYOUT_NAMES or stays, key=lambda t: (by_name[t], t))
+        opened, found = outer.pop(token), []
+        del by_name[token]
+        for n in opened:
+            n.gone = False
+            free += n.own
+            found += within[n]
+    for n in order:
+        n.gone = n.gone is None or n.outer is not None and n.outer.gone
+    real = any(b.zone == "main" for b in blocks)
+    for b in blocks:
+        if b.zone == "named":
+            b.zone = "boiler" if b.named.gone else ""
+        elif b.zone == "held":            # teasers beside an article, or the article itself
+            b.zone = "boiler" if real else "main"
+    # an article with little of the running text is a teaser: the marking says nothing
+    marked, rest = (sum(b.running(rules) for b in blocks if b.zone == z) for z in ("main", ""))
+    if marked < rules.article_share * rest:
+        for b in blocks:
+            b.zone = "" if b.zone == "main" else b.zone
+
+
 def _stop_share(text: str, lists: list[frozenset]) -> float:
     return max(_stop_shares(text, lists))
 
@@ -271,7 +426,9 @@ def main_text(page: str | None, rules: Rules = Rules(), stop_words: dict[str, st
     """The article text of a page: its kept blocks, one line each.
 
     First pass: a block in a menu, footer, form, advert or the like is bad for good, and
-    where the page marks its article, so are other blocks outside it. For the rest link
+    where the page marks its article, so are other blocks outside it (unless the marked part
+    is a small one: a teaser). An element that goes by its name only, or a form, is one of
+    those if the running text is outside it (:func:`_settle`). For the rest link
     share, length and the share of function words decide: bad, good, or open when short or
     in between. A marked article is a prior: more link text is allowed there, and a linked
     heading is no link list. Function words count only if one of the lists fits the page's
@@ -281,7 +438,7 @@ def main_text(page: str | None, rules: Rules = Rules(), stop_words: dict[str, st
     before good text stay, and a short one goes; near-good ones stay where the page has no good block. Inside a
     marked article an open block goes only between two bad ones.
     """
-    blocks = blocks_of(page or "")
+    blocks = blocks_of(page or "", rules)
     lists = [frozenset(v.split()) for v in (stop_words or STOP_WORDS).values()]
     marked = any(b.zone == "main" for b in blocks)
     body = [b for b in blocks if b.zone != "boiler" and (b.zone == "main" or not marked)]
@@ -318,6 +475,7 @@ def main_text(page: str | None, rules: Rules = Rules(), stop_words: dict[str, st
     for i in range(len(body) - 1, -1, -1):
         after[i] = last
         last = decided[i] or last
+    any_good, any_decided = "good" in decided, any(decided)
     kept = []
     for i, b in enumerate(body):
         near = {before[i], after[i]} - {""}
@@ -325,10 +483,10 @@ def main_text(page: str | None, rules: Rules = Rules(), stop_words: dict[str, st
             stays = b.label == "good"
         elif marked:
             stays = not before[i] == after[i] == "bad"
-        elif "good" not in decided and b.label == "near":
+        elif not any_good and b.label == "near":
             stays = True
         elif not near:
-            stays = b.label == "near" or not any(decided)
+            stays = b.label == "near" or not any_decided
         elif len(near) == 1:
             stays = "good" in near
         else:

@@ -4,6 +4,7 @@ empty tables, clashing columns, and brute-force versions of each result."""
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -470,3 +471,89 @@ def test_news_without_a_marked_article(text):
 
 def test_copyright_sign_in_a_long_paragraph():
     assert html_text.main_text(f"<p>{PROSE} \xa9 someone</p><p>\xa9 all rights</p>") == f"{PROSE} \xa9 someone"
+
+
+PARAGRAPHS = "".join(f"<p>{PROSE}</p>" for _ in range(4))
+ALL_OF_IT = "\n".join([PROSE] * 4)
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='site has-sidebar'>{}</div>", "<div id=content-sidebar-wrap>{}</div>", "<div class='page nav-fixed'>{}</div>",
+    "<section class=social-studies>{}</section>", "<form id=aspnetForm>{}</form>", "<form id=aspnetForm><article>{}</article></form>",
+    "<div class=post>{}</div><article><a href=x>Read on</a> and a few words of a teaser</article>", "<div class=comments-open>{}</div>",
+    "<div class=post>{}</div><div class=comments>" + PARAGRAPHS * 3 + "</div>",
+    "<div class=has-sidebar><div class=post>{}</div><div class=sidebar><p>" + PROSE[:130] + "</p></div></div>",
+    "<div class=has-sidebar><div class='page nav-top'><form>{}</form></div></div>",
+    "<div class=post>{}</div><form><p>" + PROSE + "</p></form>"])
+def test_names_of_wrappers_lose_no_page(page):
+    assert html_text.main_text(page.format(PARAGRAPHS)) == ALL_OF_IT
+
+
+def test_every_paragraph_in_a_widget_of_its_own():
+    page = "".join(f"<div class='elementor-widget x'><p>{PROSE}</p></div>" for _ in range(4))
+    assert html_text.main_text(page + f"<div class=sidebar><p>{PROSE[:130]}</p></div><div class=newsletter><p>{PROSE}</p></div>") == ALL_OF_IT
+    assert html_text.main_text("<div class=cookie-notice><p>We use cookies to make this site better for you and for all.</p></div>") == ""
+
+
+@pytest.mark.parametrize("junk", [
+    "<a ", "<div>", "<table><tr><td>", "<p>", "<a href=\"", "<div class=ad>x", "<svg>", "<li>", "<option>", "</svg ", "<i><b>",
+    "<a class=ad><div class=ad>", "<a 'x\"", "<ul><li><div>", "</i>", "<div class=widget><p>word word "])
+def test_long_pages_take_time_in_proportion(junk):
+    """Four times the page takes about four times as long, whatever it repeats."""
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text(junk * (n // len(junk)))
+        return time.process_time() - start
+    seconds(20_000)
+    assert seconds(240_000) < 10 * max(seconds(60_000), 0.02)
+
+
+def _block_rules(paragraphs, rules=html_text.Rules()):
+    """The two passes over a page of bare paragraphs (text, linked characters), spelled out."""
+    lists = [frozenset(v.split()) for v in html_text.STOP_WORDS.values()]
+    def stops(text, which):
+        words = [w.strip(".,;:!?\"'()«»“”„’…") for w in text.lower().split()]
+        return max(sum(w in s for w in words) / max(len(words), 1) for s in which)
+    running = " ".join(t for t, n in paragraphs if len(t) >= rules.short and n <= rules.link_share * len(t))
+    fitting = [s for s in lists if stops(running, [s]) >= rules.stop_fit]
+    labels = []
+    for t, n in paragraphs:
+        share, sw = n / len(t), stops(t, fitting or lists)
+        if "\xa9" in t and len(t) < rules.long or share > rules.link_share:
+            labels.append("bad")
+        elif len(t) < rules.short:
+            labels.append("bad" if n else "short")
+        elif not fitting or sw >= rules.stop_high and len(t) > rules.long:
+            labels.append("good")
+        else:
+            labels.append("bad" if fitting and sw < rules.stop_low and n else "near")
+    firm = [x if x in ("good", "bad") else None for x in labels]
+    def stays(i):
+        if firm[i]:
+            return firm[i] == "good"
+        left = next((x for x in firm[:i][::-1] if x), None)
+        right = next((x for x in firm[i + 1:] if x), None)
+        if "good" not in firm and labels[i] == "near":
+            return True
+        if left is None and right is None:
+            return labels[i] == "near" or not any(firm)
+        if left is None or right is None or left == right:
+            return "good" in (left, right)
+        return labels[i] == "near"
+    return "\n".join(t for i, (t, _) in enumerate(paragraphs) if stays(i))
+
+
+def test_main_text_equals_the_rules_spelled_out():
+    rnd = random.Random(11)
+    common = html_text.STOP_WORDS["en"].split()
+    for _ in range(400):
+        page, paragraphs = [], []
+        for _ in range(rnd.randint(1, 9)):
+            density, n = rnd.choice((0, 0.05, 0.15, 0.5)), rnd.choice((1, 3, 12, 30, 60))
+            words = [rnd.choice(common) if rnd.random() < density else f"w{rnd.randint(0, 99)}" for _ in range(n)]
+            words += ["\xa9"] * (rnd.random() < 0.1)
+            cut = rnd.choice((0, 0, 0, len(words) // 4, len(words)))
+            link = " ".join(words[:cut])
+            page.append("<p>" + (f"<a href=x>{link}</a> " if cut else "") + " ".join(words[cut:]) + "</p>")
+            paragraphs.append((" ".join(words), len(link)))
+        assert html_text.main_text("".join(page)) == _block_rules(paragraphs)
