@@ -103,9 +103,9 @@ JOIN extra e ON s.source IS NOT DISTINCT FROM e.source AND s.h = e.h
 """
 
 OP4_SQL = """
-WITH d AS (SELECT DISTINCT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
