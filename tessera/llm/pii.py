@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,35 +20,53 @@ from tessera.llm.common import materialize, text_steps
 # Forms of address and the gender they tell.
 TITLES = {"mr": "m", "mister": "m", "herr": "m", "herrn": "m", "monsieur": "m", "señor": "m", "don": "",
           "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "mademoiselle": "f",
-          "señora": "f", "señorita": "f", "dr": "", "prof": "", "господин": "m", "госпожа": "f"}
+          "señora": "f", "señorita": "f", "dr": "", "prof": "", "господин": "m", "госпожа": "f", "sir": "m", "dame": "f",
+          "lord": "m", "lady": "f", "rev": "", "capt": "", "sgt": "", "signor": "m", "signora": "f", "pan": "m", "pani": "f"}
+# Offices that follow a form of address, and words that make a name a place.
+OFFICES = {"president", "speaker", "chairman", "chairwoman", "chair", "secretary", "minister", "justice", "mayor", "ambassador"}
+PLACES = {"street", "road", "avenue", "lane", "square", "park", "airport", "university", "college", "hospital", "bridge", "station"}
 # Given names that start a full name without a form of address.
 GIVEN_M = ("james robert john michael david william richard joseph thomas charles peter paul hans klaus jürgen "
-           "wolfgang pierre jacques françois josé carlos miguel javier иван сергей дмитрий алексей")
+           "wolfgang pierre jacques françois josé carlos miguel javier иван сергей дмитрий алексей daniel matthew anthony "
+           "andrew joshua kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan "
+           "stephen benjamin samuel alexander patrick jack dennis tyler henry adam peter arjun rahul mohammed ahmed ali "
+           "omar hassan wei hiroshi kenji luca marco giovanni lars sven piotr tomasz")
 GIVEN_F = ("mary patricia jennifer linda elizabeth barbara susan jessica sarah margaret emily ursula monika petra "
-           "sabine françoise brigitte maría carmen lucía мария елена ольга татьяна")
+           "sabine françoise brigitte maría carmen lucía мария елена ольга татьяна jane anna ashley kimberly donna michelle "
+           "carol amanda melissa deborah stephanie rebecca laura helen sandra kathleen amy angela shirley ruth catherine "
+           "christine emma olivia sophia isabella charlotte alice julia priya anita fatima aisha mei yuki giulia chiara "
+           "ingrid astrid agnieszka katarzyna")
 GIVEN = {n: "m" for n in GIVEN_M.split()} | {n: "f" for n in GIVEN_F.split()}
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_NAME = r"[^\W\d_][^\W\d_'’-]+(?:-[^\W\d_]+)?"
+_NAME = r"(?:[^\W\d_]['’])?[^\W\d_][^\W\d_'’-]+(?:-[^\W\d_]+)?"
+_HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")),
     ("card", re.compile(r"(?<![\w.])(?:[2-6][0-9]{3}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?!\w)")),
     ("ip", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])")),
+    ("ip6", re.compile(rf"(?<![\w:.])(?:{_HEX}:){{2,7}}(?::?{_HEX}|:)(?::{_HEX}){{0,6}}(?![\w:])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?!\w)"
                          r"|(?<![\w+])\+[0-9]{10,15}(?!\w)"
-                         r"|(?<![\w+])\+[2-9][0-9]{0,2}(?:[ -]\(?[0-9]{1,8}\)?){2,5}(?!\w|\.[0-9])")),
+                         r"|(?<![\w+])\+[2-9][0-9]{0,2}(?:[ -]\(?[0-9]{1,8}\)?){2,5}(?!\w|\.[0-9])"
+                         # national: a leading zero, then groups of the usual sizes
+                         r"|(?<![\w+.,/-])0[0-9]{2,4}[ /-][0-9]{3,4}[ -][0-9]{3,4}(?![\w-]|[.,][0-9])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
 )
 # what every match of a pattern holds: cheap to look for before the pattern itself
 HOLDS = {"email": re.compile("@"), "iban": re.compile("[A-Z]{2}[0-9]{2}"), "card": re.compile("[0-9]{4}"),
-         "ip": re.compile(r"[0-9]\.[0-9]"), "phone": re.compile(r"[+0-9](?:(?<=\+)[0-9]|[0-9]{2}[ .-][0-9]{4})"),
+         "ip": re.compile(r"[0-9]\.[0-9]"), "ip6": re.compile(r":[0-9A-Fa-f]*:"),
+         "phone": re.compile(r"[+0-9](?:(?<=\+)[0-9]|[0-9]{2}[ .-][0-9]{4})|0[0-9]{2,4}[ /-][0-9]{3}"),
          "ssn": re.compile("[0-9]{3}-[0-9]{2}-")}
 PLAIN = str.maketrans("ıſᲀᲁᲂᲃᲄᲅ", "isвдостт")
 # words that may open a name: those not starting with a small ASCII letter
 HEAD = re.compile(r"(?<!\w)[^\W\d_a-z]\w*")
 AFTER_TITLE = re.compile(rf"\.?[ ]({_NAME})")
 NEXT_WORD = re.compile(rf" ({_NAME})")
+# words as names have them: those written small, and those that may be a bare mention
+SMALL = re.compile(rf"(?<!\w)(?=[^\W\d_A-Z]){_NAME}")
+WORD_WITH_CAPITAL = re.compile(rf"(?<!\w)(?=[^\W\d_a-z]){_NAME}(?!\w)")
 
 
 @dataclass(frozen=True)
@@ -85,6 +105,15 @@ def _iban_rest(code: str) -> int:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97
 
 
+def _address6(raw: str) -> str | None:
+    """An IPv6 address of one host in its full form, None for what is none (as a time of day)."""
+    try:
+        address = ipaddress.IPv6Address(raw)
+    except ValueError:
+        return None
+    return None if address.is_loopback or address.is_unspecified or address.is_multicast else address.exploded
+
+
 def _words_on(text: str, first: re.Pattern, at: int, most: int) -> list[tuple[str, int, int]]:
     """Up to ``most`` capitalised words from ``at`` on, with their places. A form of address
     that a capitalised word follows starts another name and ends this one; ``don`` is a given
@@ -116,21 +145,45 @@ def _name_parts(words: list[tuple[str, int, int]], given_gender: str | None, tit
 
 def _names(text: str) -> list[Entity]:
     """The words of all names. Each form of address and each given name is looked at, also
-    inside or right behind another name, so none is hidden by the one before it."""
+    inside or right behind another name, so none is hidden by the one before it. An office
+    after a form of address is no name, and a name before a word like Street is a place."""
     titled, full = [], []
     for m in HEAD.finditer(text):
         head = _plain_case(m.group())
         if not m.group()[0].isupper():
             continue
         if head in TITLES:
-            titled += _name_parts(_words_on(text, AFTER_TITLE, m.end(), 3), None, TITLES[head])
+            words = _words_on(text, AFTER_TITLE, m.end(), 3)
+            if words and _plain_case(words[0][0]) not in OFFICES:
+                titled += _name_parts(words, None, TITLES[head])
         if head in GIVEN:
             more = _words_on(text, NEXT_WORD, m.end(), 2)
-            if more:
+            then = NEXT_WORD.match(text, more[-1][2]) if more else None
+            place = [_plain_case(w) in PLACES for w, *_ in more] + [bool(then) and _plain_case(then.group(1)) in PLACES
+                                                                     and then.group(1)[0].isupper()]
+            if more and not any(place):
                 full += _name_parts([(m.group(), m.start(), m.end()), *more], GIVEN[head], "")
     return titled + full
 
 
+def _again(text: str, names: list[Entity]) -> list[Entity]:
+    """Bare mentions of names that the text gives in full elsewhere: the same word with a
+    capital. A word that the text also writes small is left alone, unless it is a name of
+    one of the lists."""
+    known: dict[str, Entity] = {}
+    for e in names:
+        known.setdefault(e.canonical, e)
+    if not known:
+        return []
+    small = {w for w in SMALL.findall(text) if w in known}
+    out = []
+    for m in WORD_WITH_CAPITAL.finditer(text):
+        e = known.get(m.group().lower())
+        if e is not None and (e.canonical not in small or e.canonical in GIVEN):
+            out.append(Entity(m.start(), m.end(), e.kind, e.canonical, e.shape))
+    return out
+
+
 def detect(text: str) -> list[Entity]:
     """The entities of a text, left to right, without overlap (earlier patterns win)."""
     found: list[Entity] = []
@@ -142,6 +195,10 @@ def detect(text: str) -> list[Entity]:
             plain = re.sub(r"[^A-Za-z0-9]", "", raw)
             if kind == "email" or kind == "ip":
                 canonical = raw.lower()
+            elif kind == "ip6":
+                canonical = _address6(raw)
+                if canonical is None:
+                    continue
             elif kind == "iban":
                 if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
                     continue
@@ -154,14 +211,19 @@ def detect(text: str) -> list[Entity]:
                 canonical = plain
             shape = re.split(r"[ .(-]", raw)[0] if kind == "phone" and raw[0] == "+" and len(plain) < len(raw) - 1 else ""
             found.append(Entity(m.start(), m.end(), kind, canonical, shape))
-    found += _names(text)
     order = {k: i for i, (k, _) in enumerate(PATTERNS)}
-    taken, upto = [], []
-    for e in sorted(found, key=lambda e: (order.get(e.kind, len(order)), e.start, e.end)):
-        if all(e.end <= a or b <= e.start for a, b in upto):
-            taken.append(e)
-            upto.append((e.start, e.end))
-    return sorted(taken, key=lambda e: e.start)
+    found.sort(key=lambda e: (order[e.kind], e.start, e.end))
+    names = _names(text)
+    # names in full come before bare mentions of them
+    found += sorted(names, key=lambda e: (e.start, e.end)) + _again(text, names)
+    starts: list[int] = []
+    taken: dict[int, Entity] = {}
+    for e in found:
+        i = bisect_right(starts, e.start)
+        if (not i or taken[starts[i - 1]].end <= e.start) and (i == len(starts) or e.end <= starts[i]):
+            starts.insert(i, e.start)
+            taken[e.start] = e
+    return [taken[a] for a in starts]
 
 
 # -- surrogates -----------------------------------------------------------------------
@@ -213,6 +275,10 @@ def surrogate(key: bytes, kind: str, canonical: str, shape: str, attempt: int =
             low, high = {1: (1, 9), 2: (10, 99), 3: (100, 255)}[len(x)] if attempt < ROOM else (1, 255)
             out.append(str(low + s.below(min(high, 223) - low + 1 if not out else high - low + 1)))
         return ".".join(out)
+    if kind == "ip6":
+        # the routing prefix of a registry stays, the rest is made up
+        rest = "".join(f"{s.below(16):x}" for _ in range(28))
+        return ":".join([canonical[:4], *(rest[i:i + 4] for i in range(0, 28, 4))])
     if kind == "card":
         new = canonical[0] + s.like(canonical[1:])
         valid = _luhn(canonical)
@@ -221,7 +287,7 @@ def surrogate(key: bytes, kind: str, canonical: str, shape: str, attempt: int =
         body = s.like(canonical[4:])
         return canonical[:2] + f"{98 - _iban_rest(canonical[:2] + '00' + body):02d}" + body
     if kind == "phone":
-        head = shape if shape and canonical.startswith(shape) else "+" if canonical[0] == "+" else ""
+        head = shape if shape and canonical.startswith(shape) else canonical[0] if canonical[0] in "+0" else ""
         rest = s.like(canonical[len(head):])
         return head + (str(2 + int(rest[0]) % 8) + rest[1:] if rest else "")
     if kind in ("given", "surname"):
@@ -238,7 +304,7 @@ def dress(surface: str, kind: str, new: str) -> str:
     """Put a surrogate into the written form of the mention: punctuation, spaces, case."""
     if kind in ("given", "surname"):
         return new.upper() if surface.isupper() and len(surface) > 1 else new[:1].upper() + new[1:]
-    if kind == "ip" or len(new) > len(surface):
+    if kind in ("ip", "ip6") or len(new) > len(surface):
         return new
     fill = iter([c for c in new if c.isalnum()])
     out = []
@@ -302,8 +368,8 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, n_found, kinds`` for every row of ``docs``: the whole text with every
     entity replaced, their number, and the kinds in order of appearance (comma-joined).
 
-    Kinds: email, iban, card, ip, phone, ssn, and the words of names after a form of address
-    or a known given name. Surrogates keep kind, length, punctuation, case, checksum state,
+    Kinds: email, iban, card, ip, ip6, phone, ssn, and the words of names after a form of
+    address or a known given name, and their bare mentions in the same text. Surrogates keep kind, length, punctuation, case, checksum state,
     country code, gender and script; equal entities get equal surrogates in the whole
     corpus, different ones different surrogates. Every text is searched; null stays null. Only entities whose first surrogate clashed
     travel back to their texts; the others are computed where they stand. Equal texts get

@@ -51,18 +51,30 @@ def _rows(docs):
 
 
 def test_exact_duplicates(docs, empty):
-    got = {(r["doc_id"], r["text_sha256"]): r for r in exact_dedup.exact_duplicates(docs).collect()}
-    pairs = set(_rows(docs))
-    assert len(got) == len(pairs)
-    for doc_id, text in pairs:
-        group = [d for d, t in pairs if t == text]
-        best = max((d for d in group if d is not None), default=None)
-        r = got[doc_id, hashlib.sha256(text.encode()).hexdigest()]
-        assert (r["keep_id"], r["group_size"], r["kept"]) == (best, len(group), doc_id == best)
-    assert exact_dedup.exact_duplicates(empty).count() == 0
-    left = exact_dedup.keep_one_copy(docs)
-    assert left.columns == docs.columns
-    assert sorted(t for _, t in _rows(left)) == sorted({t for _, t in pairs})
+    got = exact_dedup.exact_duplicates(docs).collect()
+    rows = _rows(docs)
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault(text, []).append(doc_id)
+    want = Counter()
+    for text, ids in groups.items():
+        best = max((d for d in ids if d is not None), default=None)
+        last = ids.index(best)
+        want.update((d, best, len(ids), i == last, hashlib.sha256(text.encode()).hexdigest()) for i, d in enumerate(ids))
+    assert Counter(map(tuple, got)) == want
+    assert len(got) == len(rows) > len(set(rows))
+
+
+def test_hot_texts_reach_no_exchange(spark):
+    """Of a table with one text in half its rows, the rows with other texts alone are shuffled."""
+    frame = spark.createDataFrame([(i, "hot" if i % 2 else f"t{i % 600}") for i in range(4000)], "doc_id long, text string")
+    found = exact_dedup.exact_duplicates(frame.repartition(4))
+    assert found.where("group_size = 2000").count() == 2000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Distinct" not in plan and "Deduplicate" not in plan
+    found.write.format("noop").mode("overwrite").save()
+    nodes = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in nodes
 
 
 def test_heavy_digest_is_mapped_not_shuffled(spark):
@@ -557,3 +569,59 @@ def test_main_text_equals_the_rules_spelled_out():
             page.append("<p>" + (f"<a href=x>{link}</a> " if cut else "") + " ".join(words[cut:]) + "</p>")
             paragraphs.append((" ".join(words), len(link)))
         assert html_text.main_text("".join(page)) == _block_rules(paragraphs)
+
+
+@pytest.mark.parametrize("text, names", [
+    ("Mary Smith left. Smith returned; Mary smiled.", "Mary Smith Smith Mary"), ("Jane Doe and Priya Patel", "Jane Doe Priya Patel"),
+    ("Ms O’Neill spoke", "O’Neill"), ("Sir Keir spoke", "Keir"), ("on James Bond Street", ""), ("Mr. President spoke", ""),
+    ("Robert Brown has brown hair. Brown eyes, too.", "Robert Brown"), ("SMITH wrote. Mr Smith too.", "SMITH Smith"),
+    ("Smith & Co. Then Mr Smith, Smithson, McSmith", "Smith Smith")])
+def test_repeat_mentions_and_what_is_no_name(text, names):
+    assert " ".join(text[e.start:e.end] for e in pii.detect(text)) == names
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("call 020 7946 0958 now", "phone"), ("0171 234 5678", "phone"), ("at 2001:db8:85a3::8a2e:370:7334.", "ip6"),
+    ("fe80:0:0:0:200:f8ff:fe21:67cf", "ip6"), ("at 12:30:45 or ::1", ""), ("std::vector a::b", ""), ("0.123 456 7890", ""),
+    ("2024-01-02 030 40", "")])
+def test_national_phones_and_addresses(text, kinds):
+    found = pii.detect(text)
+    assert ",".join(e.kind for e in found) == kinds
+    for e in found:
+        new = pii.dress(text[e.start:e.end], e.kind, pii.surrogate(b"k", e.kind, e.canonical, e.shape))
+        assert new != text[e.start:e.end] and [x.kind for x in pii.detect(new)] == [e.kind]
+
+
+def _overlap_free(found):
+    """Greedy choice, in order, spelled out."""
+    taken = []
+    for e in found:
+        if all(e.end <= t.start or t.end <= e.start for t in taken):
+            taken.append(e)
+    return sorted(taken, key=lambda e: e.start)
+
+
+def test_detection_equals_its_parts_spelled_out():
+    rng = random.Random(12)
+    bits = ["Mr", "Mrs.", "Smith", "Jones", "Mary", "John", "smith", "Mary-Ann", "O'Neil", "met", "a.b@example.com", "1.2.3.4",
+            "4565410125667261", "+49 30 1234567", "123-45-6789", "DE89 3704 0044 0532 0130 00", "and", "Street", ".", "2001:db8::1"]
+    for _ in range(1500):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(2, 14)))
+        names = pii._names(text)
+        patterns = []
+        for kind, pattern in pii.PATTERNS:
+            for m in pattern.finditer(text):
+                one = [e for e in pii.detect(m.group()) if e.kind == kind and (e.start, e.end) == (0, len(m.group()))]
+                patterns += [pii.Entity(m.start(), m.end(), kind, e.canonical, e.shape) for e in one]
+        want = _overlap_free([*patterns, *sorted(names, key=lambda e: (e.start, e.end)), *pii._again(text, names)])
+        assert pii.detect(text) == want, text
+
+
+@pytest.mark.parametrize("bit", ["Mary Smith met Mr Jones. ", "John ", "a@b.cd ", "1.2.3.4 ", "Mr ", "+49 30 1234567 ", "0171 234 ", "a:b:", "Smith-"])
+def test_long_texts_take_time_in_proportion(bit):
+    def seconds(n):
+        start = time.process_time()
+        pii.detect(bit * (n // len(bit)))
+        return time.process_time() - start
+    seconds(20_000)
+    assert seconds(240_000) < 12 * max(seconds(60_000), 0.02)
