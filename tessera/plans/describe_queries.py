@@ -64,9 +64,14 @@ def _nl(s: str) -> str:
 
 # ---------------------------------------------------------------- samples
 
-def _table_samples(spark, sf_dir, **place):
+def _frames(spark, sf_dir):
+    """The sampled tables: each is opened once for its schema and its samples."""
+    return {t: read_table(spark, sf_dir, t) for t in SAMPLED}
+
+
+def _table_samples(frames, **place):
     return reduce(lambda a, b: a.unionByName(b), [
-        D.sample_rows(read_table(spark, sf_dir, t), t, key, **place) for t, (key, _) in SAMPLED.items()])
+        D.sample_rows(frames[t], t, key, **place) for t, (key, _) in SAMPLED.items()])
 
 
 def _render_sql(t: str) -> str:
@@ -92,12 +97,12 @@ _ROWS_SQL = " UNION ALL ".join(_row_sql(t) for t in SAMPLED)
 SELECT table_name, row_number() OVER (PARTITION BY table_name ORDER BY k) AS rn, row_text
 FROM ({_ROWS_SQL}) r""")
 def sample_table_rows(spark, sf_dir):
-    return _table_samples(spark, sf_dir)
+    return _table_samples(_frames(spark, sf_dir))
 
 
-def _column_samples(spark, sf_dir, **place):
+def _column_samples(frames, **place):
     return reduce(lambda a, b: a.unionByName(b), [
-        D.column_samples(read_table(spark, sf_dir, t), t, key, **place) for t, (key, _) in SAMPLED.items()])
+        D.column_samples(frames[t], t, key, **place) for t, (key, _) in SAMPLED.items()])
 
 
 def _val_sql() -> str:
@@ -119,13 +124,12 @@ FROM ({_val_sql()}) v"""
 
 @register("sample_column_values", _VALS_SQL)
 def sample_column_values(spark, sf_dir):
-    return _column_samples(spark, sf_dir)
+    return _column_samples(_frames(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- prompts over real tables
 
-def _real_columns(spark, sf_dir):
-    frames = {t: read_table(spark, sf_dir, t) for t in SAMPLED}
+def _real_columns(frames):
     return columns_listing(schemas_columns(frames, DB, SCHEMA), sort=False)
 
 
@@ -157,8 +161,9 @@ FROM (SELECT table_name, count(*) AS n_columns,
 LEFT JOIN (SELECT table_name, string_agg(row_text, chr(10) ORDER BY k) AS sample_data
            FROM ({_ROWS_SQL}) r GROUP BY table_name) s ON c.table_name = s.table_name""")
 def table_prompts(spark, sf_dir):
-    samples = D.sample_text(_table_samples(spark, sf_dir, database=DB, schema=SCHEMA))
-    return D.table_prompts(_real_objects(spark), _real_columns(spark, sf_dir), samples)
+    frames = _frames(spark, sf_dir)
+    samples = D.sample_text(_table_samples(frames, database=DB, schema=SCHEMA))
+    return D.table_prompts(_real_objects(spark), _real_columns(frames), samples)
 
 
 @register("column_prompts", f"""
@@ -172,7 +177,8 @@ LEFT JOIN (SELECT table_name, column_name,
            FROM ({_VALS_SQL}) v GROUP BY table_name, column_name) s
   ON c.table_name = s.table_name AND c.column_name = s.column_name""")
 def column_prompts(spark, sf_dir):
-    return D.column_prompts(_real_columns(spark, sf_dir), _column_samples(spark, sf_dir, database=DB, schema=SCHEMA)).select(
+    frames = _frames(spark, sf_dir)
+    return D.column_prompts(_real_columns(frames), _column_samples(frames, database=DB, schema=SCHEMA)).select(
         "database_name", "schema_name", "table_name", "column_name", "data_type", "prompt")
 
 
