@@ -10,14 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat_text, materialize, row_key, text_steps, without
+from tessera.llm.common import flat_text, materialize, row_key, small, text_of, text_steps, without
 
 #: Words of a window in the registered query.
 WINDOW = 10
 #: Text bytes of an index shard (always whole documents).
 SHARD_BYTES = 2 << 20
-#: Phrases that go to the executors at a time: the bound of what is broadcast. Further
-#: phrases are asked in further blocks.
+#: Phrases that a task looks for at a time; further ones are further blocks.
 BLOCK_PHRASES = 20_000
 #: Phrase candidates checked at a time inside a task.
 STEP_CANDIDATES = 1 << 20
@@ -86,29 +85,61 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 # -- phrases --------------------------------------------------------------------------
 
-def phrase_blocks(items: DataFrame, window: int = WINDOW, block: int = BLOCK_PHRASES) -> Iterator[dict]:
-    """The distinct windows of ``items`` (``item_id, text``) with the items that have them,
-    ``block`` at a time. Items stream through the driver; only one block is held."""
-    held: dict[tuple, list] = {}
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"),
-                          F.col("text").cast("string").alias("text")).toLocalIterator():
-        words, _ = split_words(pa.array([r["text"]], pa.string()))
-        words = words.to_pylist()
-        for a in range(max(len(words) - window + 1, min(len(words), 1))):
-            owners = held.setdefault(tuple(words[a:a + window]), [])
-            if not owners or owners[-1] != r["item_id"]:
-                owners.append(r["item_id"])
-            if len(held) >= block:
-                yield held
-                held = {}
-    if held:
-        yield held
+def phrases_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows of ``items`` (``item_id, text``), numbered, and who has them.
+
+    Phrases are ``number, block, phrase`` (words joined by one space; a block is at most
+    ``BLOCK_PHRASES`` of them), owners ``number, item_id``. Both are written tables.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_steps(batches):
+            flat, counts = split_words(part.column("text"))
+            words, ends = flat.to_pylist(), np.cumsum(counts).tolist()
+            ids, found = [], []
+            for item, n, end in zip(part.column("item_id").to_pylist(), counts.tolist(), ends):
+                own = words[end - n:end]
+                windows = {" ".join(own[a:a + window]) for a in range(max(n - window + 1, min(n, 1)))}
+                found += windows
+                ids += [item] * len(windows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())],
+                                             names=["item_id", "phrase"])
+
+    owned = materialize(
+        items.select(text_of("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
+        .mapInArrow(work, "item_id string, phrase string").distinct(), "phrase_items")
+    # the numbers of a partition follow each other, so a range of numbers is a bounded block
+    phrases = materialize(owned.select("phrase").distinct().withColumn("number", F.monotonically_increasing_id())
+                          .select("number", F.expr(f"number DIV {BLOCK_PHRASES}").alias("block"), "phrase"), "phrases")
+    return phrases, materialize(owned.join(phrases, "phrase").select("number", "item_id"), "phrase_owners")
+
+
+def candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``shard, block, numbers``: the phrases to look for in each shard, by block.
+
+    A phrase is looked for where its rarest term is: the one with postings in the fewest
+    shards. Phrases with a term that no document has are looked for nowhere.
+    """
+    terms = materialize(phrases.select("number", "block", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term")),
+                        "phrase_terms")
+    wanted = small(terms.select("term").distinct())
+    postings = materialize(
+        index.select("shard", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+        .select("shard", F.col("t.terms").alias("term"), F.col("t.counts").alias("places"))
+        .join(wanted, "term"), "phrase_postings")
+    spread = postings.groupBy("term").agg(F.count(F.lit(1)).alias("shards"), F.sum("places").alias("places"))
+    rarest = (terms.join(spread, "term", "left").groupBy("number", "block")
+              .agg(F.min(F.struct(F.coalesce("shards", F.lit(0)), F.coalesce("places", F.lit(0)), "term"))["term"].alias("term")))
+    return materialize(rarest.join(postings, "term").groupBy("shard", "block")
+                       .agg(F.collect_list("number").alias("numbers")), "phrase_candidates")
 
 
 class Phrases:
     """A block of phrases as number arrays: a term number per place, -1 beyond the end."""
 
-    def __init__(self, phrases: list[tuple]):
+    def __init__(self, numbers: np.ndarray, phrases: list[str]):
+        order = np.argsort(numbers)
+        self.numbers = numbers[order]
+        phrases = [phrases[i].split(" ") for i in order.tolist()]
         self.size = np.array([len(p) for p in phrases], np.int64)
         self.vocabulary = sorted({w for p in phrases for w in p})
         number = {w: i for i, w in enumerate(self.vocabulary)}
@@ -116,9 +147,9 @@ class Phrases:
         for i, p in enumerate(phrases):
             self.terms[i, :len(p)] = [number[w] for w in p]
 
-    def search(self, terms: pa.Array, counts: np.ndarray, postings: np.ndarray,
+    def search(self, asked: np.ndarray, terms: pa.Array, counts: np.ndarray, postings: np.ndarray,
                slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Phrase numbers and start positions of all matches in one shard.
+        """Places in the block and start positions of all matches of the phrases ``asked`` in one shard.
 
         Each phrase starts from the postings of its rarest term in the shard, moved to the
         phrase's start, and keeps the starts that the next rarer term confirms, and so on.
@@ -130,7 +161,8 @@ class Phrases:
         have = np.zeros(len(self.vocabulary) + 1, np.int64)
         have[number[number >= 0]] = counts[number >= 0]
         have[-1] = np.iinfo(np.int64).max
-        alive = np.flatnonzero((have[self.terms] > 0).all(1))
+        alive = np.searchsorted(self.numbers, np.sort(asked))
+        alive = alive[(have[self.terms[alive]] > 0).all(1)]
         if not len(alive):
             return none, none
         # the postings of the block's terms: (term, position) ascending in one number
@@ -167,14 +199,19 @@ class Phrases:
         return np.concatenate(found_p), np.concatenate(found_s)
 
 
-def find_phrases(index: DataFrame, block: dict, slop: int = 0) -> DataFrame:
-    """``shard, row, spans, items`` of the documents in which phrases of the block occur.
+def find_phrases(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
+    """``shard, row, spans, numbers`` of the documents in which ``phrases`` occur, written.
 
-    Spans are merged word ranges (end exclusive); items are the owners of the phrases.
+    Shards meet the phrases to look for in them by joins on shard and block: what a task
+    holds is one shard and one block, however many there are. Spans are merged word ranges
+    (end exclusive); a document has one row per block of phrases found in it.
     """
-    phrases, owners = Phrases(list(block)), list(block.values())
+    blocks = phrases.groupBy("block").agg(F.collect_list(F.struct("number", "phrase")).alias("phrases"))
+    asked = (index.select("shard", "n_words", "terms", "counts", "postings")
+             .join(candidates(index, phrases), "shard").join(materialize(blocks, "phrase_blocks"), "block"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 terms = batch.column("terms")[r].values
@@ -182,33 +219,37 @@ def find_phrases(index: DataFrame, block: dict, slop: int = 0) -> DataFrame:
                 steps = np.frombuffer(batch.column("postings")[r].as_py(), "<i4").astype(np.int64)
                 if not len(steps):
                     continue
-                number, start = phrases.search(terms, counts, steps, slop)
-                if not len(number):
+                if batch.column("block")[r].as_py() != at:
+                    at, own = batch.column("block")[r].as_py(), batch.column("phrases")[r].values
+                    block = Phrases(own.field("number").to_numpy(zero_copy_only=False), own.field("phrase").to_pylist())
+                place, start = block.search(batch.column("numbers")[r].values.to_numpy(zero_copy_only=False),
+                                            terms, counts, steps, slop)
+                if not len(place):
                     continue
                 n_words = batch.column("n_words")[r].values.to_numpy(zero_copy_only=False).astype(np.int64)
                 base = np.cumsum(n_words + 1) - (n_words + 1)
                 start = np.maximum(start, 0)
                 row = np.searchsorted(base, start, "right") - 1
                 begin = start - base[row]
-                end = np.minimum(begin + phrases.size[number], n_words[row])
+                end = np.minimum(begin + block.size[place], n_words[row])
                 order = np.lexsort((begin, row))
                 out: dict[int, tuple[list, set]] = {}
                 for i in order.tolist():
-                    spans, items = out.setdefault(int(row[i]), ([], set()))
+                    spans, numbers = out.setdefault(int(row[i]), ([], set()))
                     if spans and begin[i] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], int(end[i]))
                     else:
                         spans.append([int(begin[i]), int(end[i])])
-                    items.update(owners[number[i]])
+                    numbers.add(int(block.numbers[place[i]]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column("shard")[r].as_py()] * len(out)), pa.array(list(out), pa.int32()),
                     pa.array([[{"s": s, "e": e} for s, e in v[0]] for v in out.values()],
                              pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
-                    pa.array([sorted(x or "" for x in v[1]) for v in out.values()], pa.list_(pa.string()))],
-                    names=["shard", "row", "spans", "items"])
+                    pa.array([sorted(v[1]) for v in out.values()], pa.list_(pa.int64()))],
+                    names=["shard", "row", "spans", "numbers"])
 
-    return index.select("shard", "n_words", "terms", "counts", "postings").mapInArrow(
-        work, "shard string, row int, spans array<struct<s:int,e:int>>, items array<string>")
+    return materialize(asked.mapInArrow(
+        work, "shard string, row int, spans array<struct<s:int,e:int>>, numbers array<bigint>"), "phrase_hits")
 
 
 # -- operator -------------------------------------------------------------------------
@@ -220,27 +261,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Words are lower-cased runs of digits, letters and non-ASCII characters. A phrase is
     ``window`` consecutive words of an item, or a shorter item as a whole; items without
     words (null too) have none. Words of a document inside an occurrence are hit. The
-    postings of all words of ``docs`` are written once; phrases go to the executors in
-    blocks of bounded size, each against the whole index. Null texts have no words; a null
+    postings of all words of ``docs`` are written once; each shard of them is searched for
+    the phrases whose rarest term it has, a block of bounded size at a time. Phrases and their
+    owners stay in tables, whatever the size of the benchmark. Null texts have no words; a null
     ``item_id`` reads as the empty string; repeated items count once; other columns are
     ignored. An empty benchmark hits nothing.
     """
     index = build_index(docs)
     rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("row", "d")).select(
         "shard", "row", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
-    hits = None
-    for block in phrase_blocks(benchmark, window):
-        one = materialize(find_phrases(index, block, slop), "phrase_hits")
-        hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        spans = F.array().cast("array<struct<s:int,e:int>>")
-        full = rows.withColumns({"spans": spans, "items": F.array().cast("array<string>")})
-    else:
-        by_doc = hits.groupBy("shard", "row").agg(
-            F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        full = rows.join(by_doc, ["shard", "row"], "left").withColumns({
-            "spans": F.coalesce("spans", F.array()), "items": F.coalesce("items", F.array())})
+    phrases, owners = phrases_of(benchmark, window)
+    hits = find_phrases(index, phrases, slop)
+    spans = hits.groupBy("shard", "row").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    items = (hits.select("shard", "row", F.explode("numbers").alias("number")).join(owners, "number")
+             .groupBy("shard", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    full = rows.join(spans.join(items, ["shard", "row"]), ["shard", "row"], "left").withColumns({
+        "spans": F.coalesce("spans", F.array()), "items": F.coalesce("items", F.array())})
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     union = F.aggregate("spans", zero, lambda acc, x: F.struct(
         (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["upto"], x["s"]))).alias("n"),

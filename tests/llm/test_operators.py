@@ -249,8 +249,7 @@ def _words(text):
 
 @pytest.mark.parametrize("block", [20_000, 3])
 def test_contamination(spark, docs, empty, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "phrase_blocks",
-                        lambda items, window, f=decontaminate.phrase_blocks: f(items, window, block))
+    monkeypatch.setattr(decontaminate, "BLOCK_PHRASES", block)
     texts = dict(_rows(docs))
     items = [(1, texts[12][:200]), (10, "ONE"), (2, None), (3, "..."), (4, texts[9][40:300].upper()), (4, "x y"),
              (None, " ".join(texts[7].split()[20:33]))]
