@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, same, small, text_of
@@ -53,27 +53,25 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], budget: float, ma
     """One row per source: its size, target, whole epochs and rest.
 
     The level at which the capped shares use up the budget is found over the sources in the
-    order in which they reach their caps.
+    order in which they reach their caps. Both orders run over ranges of sources, one task a
+    range; only the budget and the level go through the driver.
     """
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix_sources")
+    total = float(sources.agg(F.sum("source_size")).first()[0] or 0) * budget
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    caps = sources.select(
+    place = _running(sources, [F.col("source").asc_nulls_last()], {"place": F.lit(1).cast("long")})
+    caps = place.select(
         "source", "source_size", (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"),
-        F.element_at(cycle, (F.row_number().over(order) - 1) % len(weights) + 1).alias("w"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    steps = caps.select(
-        "*",
-        F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("full"),
-        F.sum("w").over(by_cap.rowsBetween(0, Window.unboundedFollowing)).alias("left_w"),
-        (F.sum("source_size").over(Window.partitionBy(F.lit(1))) * F.lit(float(budget))).alias("total"))
-    level = (F.col("total") - F.col("full")) / F.col("left_w")
-    first = F.min(F.when(level <= F.col("cap") / F.col("w"),
-                         F.struct((F.col("cap") / F.col("w")).alias("at"), level.alias("level")))
-                  ).over(Window.partitionBy(F.lit(1)))
-    target = F.when(first.isNull(), F.col("cap")).otherwise(
-        F.least(F.col("cap"), first["level"] * F.col("w")))
-    out = steps.select("source", "source_size", target.alias("target"))
+        F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")).alias("w"))
+    caps = materialize(caps.withColumn("ratio", F.col("cap") / F.col("w")), "mix_caps")
+    all_w = caps.agg(F.sum("w")).first()[0]
+    steps = _running(caps, [F.col("ratio"), F.col("source").asc_nulls_last()],
+                     {"upto_cap": F.col("cap"), "upto_w": F.col("w")})
+    level = ((F.lit(total) - (F.col("upto_cap") - F.col("cap")))
+             / (F.lit(all_w) - (F.col("upto_w") - F.col("w"))))
+    first = steps.where(level <= F.col("ratio")).agg(F.min(F.struct("ratio", level.alias("level")))).first()[0]
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first["level"]) * F.col("w"))
+    out = caps.select("source", "source_size", target.alias("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     return out.select("source", "source_size", "target", epochs.cast("long").alias("epochs"),
                       (F.col("target") - epochs * F.col("source_size")).alias("rest"),
@@ -81,6 +79,23 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], budget: float, ma
                       F.lit(0).cast("long").alias("last_words"))
 
 
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running ``sums`` (name -> summed column) over ``order``, own row included.
+
+    Rows are split into ranges of the order; the sums of whole ranges (one row a partition)
+    carry over to the next ones.
+    """
+    part = "__range"
+    ranged = materialize(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "mix_ranges")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    of_range = ranged.groupBy(part).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    carried = of_range.select(part, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    return (own.join(carried, part).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums})
+            .drop(part, *[f"__{n}" for n in sums]))
+
+
 def _refine(sized: DataFrame, state: DataFrame, level: int) -> DataFrame:
     """Split each source's boundary bucket once more and keep the part the rest ends in.
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import (
     decontaminate, exact_dedup, html_text, langid, mixing, pii, repeats, secrets, simhash, substring_dedup, suffix_dedup,
@@ -106,6 +107,24 @@ def test_mix(docs, empty):
     assert mixing.mix_to_weights(empty).count() == 0
 
 
+def test_running_sums_over_ranges(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, f"s{rnd.randint(0, 40)}"]), rnd.randint(0, 9)) for _ in range(300)]
+    rows = [(s, n, i) for i, (s, n) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "s string, n long, i long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # no merging: several ranges
+    try:
+        got = mixing._running(frame, [F.col("s").asc_nulls_last(), F.col("i")], {"upto": F.col("n")}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    want, total = {}, 0
+    for s, n, i in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[2])):
+        total += n
+        want[i] = total
+    assert {r["i"]: r["upto"] for r in got} == want
+
+
 @pytest.mark.parametrize("weights, budget", [((3, 1, 2), 1.5), ((1, 9), 0.5), ((5, 1, 1), 2.0)])
 def test_targets_share_by_weight(spark, weights, budget):
     sizes = {"a": 100, "b": 1000, "c": 10, None: 300}
