@@ -10,13 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat_text, materialize, row_key, small, text_of, text_steps, without
+from tessera.llm.common import flat_text, materialize, row_key, text_of, text_steps, without
+from tessera.session import scratch_path, unique_name
 
 #: Words of a window in the registered query.
 WINDOW = 10
 #: Text bytes of an index shard (always whole documents).
 SHARD_BYTES = 2 << 20
-#: Phrases that a task looks for at a time; further ones are further blocks.
+#: Phrases that go to the executors at a time: the bound of what is broadcast. Further
+#: phrases are asked in further blocks.
 BLOCK_PHRASES = 20_000
 #: Phrase candidates checked at a time inside a task.
 STEP_CANDIDATES = 1 << 20
@@ -88,8 +90,8 @@ def build_index(docs: DataFrame) -> DataFrame:
 def phrases_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The distinct windows of ``items`` (``item_id, text``), numbered, and who has them.
 
-    Phrases are ``number, block, phrase`` (words joined by one space; a block is at most
-    ``BLOCK_PHRASES`` of them), owners ``number, item_id``. Both are written tables.
+    Phrases are ``number, block, phrase`` (words joined by one space), dealt evenly to as few
+    blocks as hold about ``BLOCK_PHRASES`` each; owners are ``number, item_id``. Both are written tables.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_steps(batches):
@@ -107,39 +109,19 @@ def phrases_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataF
     owned = materialize(
         items.select(text_of("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
         .mapInArrow(work, "item_id string, phrase string").distinct(), "phrase_items")
-    # the numbers of a partition follow each other, so a range of numbers is a bounded block
-    phrases = materialize(owned.select("phrase").distinct().withColumn("number", F.monotonically_increasing_id())
-                          .select("number", F.expr(f"number DIV {BLOCK_PHRASES}").alias("block"), "phrase"), "phrases")
+    distinct = materialize(owned.select("phrase").distinct(), "distinct_phrases")
+    blocks = max(1, -(-distinct.count() // BLOCK_PHRASES))
+    phrases = materialize(distinct.repartition(blocks).select(
+        F.monotonically_increasing_id().alias("number"), F.spark_partition_id().alias("block"), "phrase"), "phrases")
     return phrases, materialize(owned.join(phrases, "phrase").select("number", "item_id"), "phrase_owners")
 
 
-def candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``shard, block, numbers``: the phrases to look for in each shard, by block.
-
-    A phrase is looked for where its rarest term is: the one with postings in the fewest
-    shards. Phrases with a term that no document has are looked for nowhere.
-    """
-    terms = materialize(phrases.select("number", "block", F.explode(F.array_distinct(F.split("phrase", " "))).alias("term")),
-                        "phrase_terms")
-    wanted = small(terms.select("term").distinct())
-    postings = materialize(
-        index.select("shard", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
-        .select("shard", F.col("t.terms").alias("term"), F.col("t.counts").alias("places"))
-        .join(wanted, "term"), "phrase_postings")
-    spread = postings.groupBy("term").agg(F.count(F.lit(1)).alias("shards"), F.sum("places").alias("places"))
-    rarest = (terms.join(spread, "term", "left").groupBy("number", "block")
-              .agg(F.min(F.struct(F.coalesce("shards", F.lit(0)), F.coalesce("places", F.lit(0)), "term"))["term"].alias("term")))
-    return materialize(rarest.join(postings, "term").groupBy("shard", "block")
-                       .agg(F.collect_list("number").alias("numbers")), "phrase_candidates")
-
-
 class Phrases:
     """A block of phrases as number arrays: a term number per place, -1 beyond the end."""
 
     def __init__(self, numbers: np.ndarray, phrases: list[str]):
-        order = np.argsort(numbers)
-        self.numbers = numbers[order]
-        phrases = [phrases[i].split(" ") for i in order.tolist()]
+        self.numbers = numbers
+        phrases = [p.split(" ") for p in phrases]
         self.size = np.array([len(p) for p in phrases], np.int64)
         self.vocabulary = sorted({w for p in phrases for w in p})
         number = {w: i for i, w in enumerate(self.vocabulary)}
@@ -147,9 +129,9 @@ class Phrases:
         for i, p in enumerate(phrases):
             self.terms[i, :len(p)] = [number[w] for w in p]
 
-    def search(self, asked: np.ndarray, terms: pa.Array, counts: np.ndarray, postings: np.ndarray,
+    def search(self, terms: pa.Array, counts: np.ndarray, postings: np.ndarray,
                slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the block and start positions of all matches of the phrases ``asked`` in one shard.
+        """Places in the block and start positions of all matches in one shard.
 
         Each phrase starts from the postings of its rarest term in the shard, moved to the
         phrase's start, and keeps the starts that the next rarer term confirms, and so on.
@@ -161,8 +143,7 @@ class Phrases:
         have = np.zeros(len(self.vocabulary) + 1, np.int64)
         have[number[number >= 0]] = counts[number >= 0]
         have[-1] = np.iinfo(np.int64).max
-        alive = np.searchsorted(self.numbers, np.sort(asked))
-        alive = alive[(have[self.terms[alive]] > 0).all(1)]
+        alive = np.flatnonzero((have[self.terms] > 0).all(1))
         if not len(alive):
             return none, none
         # the postings of the block's terms: (term, position) ascending in one number
@@ -199,19 +180,32 @@ class Phrases:
         return np.concatenate(found_p), np.concatenate(found_s)
 
 
+HITS = "shard string, row int, spans array<struct<s:int,e:int>>, numbers array<bigint>"
+
+
 def find_phrases(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     """``shard, row, spans, numbers`` of the documents in which ``phrases`` occur, written.
 
-    Shards meet the phrases to look for in them by joins on shard and block: what a task
-    holds is one shard and one block, however many there are. Spans are merged word ranges
-    (end exclusive); a document has one row per block of phrases found in it.
+    Every shard is asked for every phrase, a block at a time: a block is one broadcast row of
+    about ``BLOCK_PHRASES`` phrases, and postings stay where they are. Spans are merged
+    word ranges (end exclusive); a document has one row per block of phrases found in it.
     """
-    blocks = phrases.groupBy("block").agg(F.collect_list(F.struct("number", "phrase")).alias("phrases"))
-    asked = (index.select("shard", "n_words", "terms", "counts", "postings")
-             .join(candidates(index, phrases), "shard").join(materialize(blocks, "phrase_blocks"), "block"))
+    spark = index.sparkSession
+    path = scratch_path(spark, "llm", unique_name("phrase_hits"))
+    own = [r["block"] for r in phrases.select("block").distinct().collect()]  # names of blocks only
+    for block in own:
+        row = (phrases.where(F.col("block") == block).groupBy("block")
+               .agg(F.collect_list(F.struct("number", "phrase")).alias("phrases")))
+        _search(index, row, slop).write.parquet(f"{path}/block={block}")
+    return spark.read.schema(HITS).parquet(path) if own else spark.createDataFrame([], HITS)
+
+
+def _search(index: DataFrame, block: DataFrame, slop: int) -> DataFrame:
+    """Hits of the one row of ``block`` in all shards."""
+    asked = index.select("shard", "n_words", "terms", "counts", "postings").crossJoin(F.broadcast(block.select("phrases")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block = None, None
+        phrases = None
         for batch in batches:
             for r in range(batch.num_rows):
                 terms = batch.column("terms")[r].values
@@ -219,11 +213,10 @@ def find_phrases(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFra
                 steps = np.frombuffer(batch.column("postings")[r].as_py(), "<i4").astype(np.int64)
                 if not len(steps):
                     continue
-                if batch.column("block")[r].as_py() != at:
-                    at, own = batch.column("block")[r].as_py(), batch.column("phrases")[r].values
-                    block = Phrases(own.field("number").to_numpy(zero_copy_only=False), own.field("phrase").to_pylist())
-                place, start = block.search(batch.column("numbers")[r].values.to_numpy(zero_copy_only=False),
-                                            terms, counts, steps, slop)
+                if phrases is None:  # the same in every row
+                    own = batch.column("phrases")[r].values
+                    phrases = Phrases(own.field("number").to_numpy(zero_copy_only=False), own.field("phrase").to_pylist())
+                place, start = phrases.search(terms, counts, steps, slop)
                 if not len(place):
                     continue
                 n_words = batch.column("n_words")[r].values.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -231,7 +224,7 @@ def find_phrases(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFra
                 start = np.maximum(start, 0)
                 row = np.searchsorted(base, start, "right") - 1
                 begin = start - base[row]
-                end = np.minimum(begin + block.size[place], n_words[row])
+                end = np.minimum(begin + phrases.size[place], n_words[row])
                 order = np.lexsort((begin, row))
                 out: dict[int, tuple[list, set]] = {}
                 for i in order.tolist():
@@ -240,7 +233,7 @@ def find_phrases(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFra
                         spans[-1][1] = max(spans[-1][1], int(end[i]))
                     else:
                         spans.append([int(begin[i]), int(end[i])])
-                    numbers.add(int(block.numbers[place[i]]))
+                    numbers.add(int(phrases.numbers[place[i]]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column("shard")[r].as_py()] * len(out)), pa.array(list(out), pa.int32()),
                     pa.array([[{"s": s, "e": e} for s, e in v[0]] for v in out.values()],
@@ -248,8 +241,7 @@ def find_phrases(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFra
                     pa.array([sorted(v[1]) for v in out.values()], pa.list_(pa.int64()))],
                     names=["shard", "row", "spans", "numbers"])
 
-    return materialize(asked.mapInArrow(
-        work, "shard string, row int, spans array<struct<s:int,e:int>>, numbers array<bigint>"), "phrase_hits")
+    return asked.mapInArrow(work, HITS)
 
 
 # -- operator -------------------------------------------------------------------------
@@ -261,9 +253,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Words are lower-cased runs of digits, letters and non-ASCII characters. A phrase is
     ``window`` consecutive words of an item, or a shorter item as a whole; items without
     words (null too) have none. Words of a document inside an occurrence are hit. The
-    postings of all words of ``docs`` are written once; each shard of them is searched for
-    the phrases whose rarest term it has, a block of bounded size at a time. Phrases and their
-    owners stay in tables, whatever the size of the benchmark. Null texts have no words; a null
+    postings of all words of ``docs`` are written once; phrases are made and numbered in Spark
+    and go to the executors in blocks of bounded size, each against the whole index; their
+    owners are joined to the hits by number. Null texts have no words; a null
     ``item_id`` reads as the empty string; repeated items count once; other columns are
     ignored. An empty benchmark hits nothing.
     """
