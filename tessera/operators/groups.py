@@ -7,7 +7,10 @@ from stored groups, and old rows are never read again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +26,15 @@ MERGED = ("ROW_COUNT", "NULL_COUNT", "NULL_PERCENT", "UNIQUE_COUNT", "DUPLICATE_
 #: Group column of a configuration that only counts rows.
 ROWS_ONLY = ""
 
+#: Entries (a row has one per column) that a task groups at most, about: its memory does not
+#: grow with the files, row groups or splits of the input.
+ENTRIES_A_TASK = 1 << 19
+
+
+def tasks_for(entries: int) -> int:
+    """Tasks among which so many entries are dealt."""
+    return max(1, -(-entries // ENTRIES_A_TASK))
+
 
 def from_groups(check: Check, dtype: T.DataType | None) -> bool:
     """Whether the groups give this check."""
@@ -42,18 +54,50 @@ def _key(dtype: T.DataType, column: str) -> Column:
     return F.when(F.octet_length(text) < 64, text).otherwise(F.sha2(text, 256))
 
 
-def value_groups(df: DataFrame, columns: list[str], weight: Column | None = None, by=()) -> DataFrame:
-    """``*by, column_name, v, n``: the rows of ``df`` by value, ``weight`` each (default 1)."""
+def value_groups(df: DataFrame, columns: list[str], weight: Column | None = None, by=(), tasks: int = 1) -> DataFrame:
+    """``*by, column_name, v, n``: the rows of ``df`` by value, ``weight`` each (default 1).
+
+    With ``tasks`` above 1 the rows are first dealt evenly among so many tasks."""
     types = {f.name: f.dataType for f in df.schema.fields}
+    held = {c: f"__c{i}" for i, c in enumerate(columns or [ROWS_ONLY])}
     entries = [F.struct(F.lit(c).alias("column_name"),
-                        (F.lit(None).cast("string") if c == ROWS_ONLY else _key(types[c], c)).alias("v"))
-               for c in columns or [ROWS_ONLY]]
-    weighed = df.select(*by, (F.lit(1) if weight is None else weight).cast("long").alias("n"), F.inline(F.array(*entries)))
+                        (F.lit(None).cast("string") if c == ROWS_ONLY else _key(types[c], at)).alias("v"))
+               for c, at in held.items()]
+    rows = df.select(*by, (F.lit(1) if weight is None else weight).cast("long").alias("__n"),
+                     *(col_ref(c).alias(at) for c, at in held.items() if c != ROWS_ONLY))
+    if tasks > 1:
+        rows = rows.repartition(tasks)
+    weighed = rows.select(*by, F.col("__n").alias("n"), F.inline(F.array(*entries)))
     return weighed.groupBy(*by, "column_name", "v").agg(F.sum("n").alias("n"))
 
 
-def add_up(groups: DataFrame) -> DataFrame:
-    """One row per column and value; what came to nothing is gone."""
+@contextmanager
+def _shuffled_into(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """While this holds, shuffles have so many tasks, however well their bytes compress."""
+    conf = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def write_groups(groups: DataFrame, path: str, tasks: int, mode: str = "errorifexists") -> None:
+    """Write value groups as Parquet, added up in ``tasks`` tasks."""
+    with _shuffled_into(groups.sparkSession, tasks):
+        groups.write.mode(mode).parquet(path)
+
+
+def add_up(groups: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per column and value; what came to nothing is gone.
+
+    ``tasks`` suits stored groups, where few rows share a value: they are dealt by value among
+    so many tasks, and not first gathered in those that read them."""
+    if tasks:
+        groups = groups.repartition(tasks, "column_name", "v")
     return groups.groupBy("column_name", "v").agg(F.sum("n").alias("n")).where("n != 0")
 
 
@@ -85,13 +129,14 @@ def _expressions(check: Check, dtype: T.DataType | None, first: str, as_of) -> t
 
 
 def merged_metrics(groups: DataFrame, checks: list[Check], types: dict[str, T.DataType], table_name: str, as_of=None,
-                   texts: bool = False) -> DataFrame:
-    """Results of the table that the groups make up, one long row per check.
+                   texts: bool = False, tasks: int | None = None) -> DataFrame:
+    """Results of the table that the groups make up, one long row per check; ``tasks`` as in
+    :func:`add_up`.
 
     A value of which more rows were taken away than came so far counts as absent; the rows
     that are still due keep it in balance."""
     first = next((c.column for c in checks if c.column), ROWS_ONLY)
-    whole = add_up(groups).where("n > 0")
+    whole = add_up(groups, tasks).where("n > 0")
     aggs, items = [], []
     for i, c in enumerate(checks):
         value, text = _expressions(c, types.get(c.column), first, as_of)

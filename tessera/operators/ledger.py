@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.groups import GROUP_SCHEMA, from_groups, merged_metrics, value_groups
+from tessera.operators.groups import GROUP_SCHEMA, from_groups, merged_metrics, tasks_for, value_groups, write_groups
 from tessera.operators.metrics import validate_checks
 from tessera.session import file_system, unique_name
 
@@ -73,14 +73,16 @@ class FileLedger:
         if fresh:
             self._add(table, sorted({c.column for c in ok if c.column}), new)
         live = self.files().join(now.select("file"), "file", "left_semi")
-        groups = self._stored("groups", f"file string, run string, {GROUP_SCHEMA}").join(live, ["file", "run"], "left_semi")
-        return merged_metrics(groups, ok, types, self.table_name, as_of, texts)
+        stored = self._stored("groups", f"file string, run string, {GROUP_SCHEMA}")
+        groups = stored.join(live, ["file", "run"], "left_semi")
+        return merged_metrics(groups, ok, types, self.table_name, as_of, texts, tasks_for(stored.count()))
 
     def _add(self, table: DataFrame, columns: list[str], new: DataFrame) -> None:
         run = unique_name("run")
+        tasks = tasks_for(table.count() * max(1, len(columns)))
         keyed = table.select("*", _file_key().alias("__file"))
-        groups = value_groups(keyed, columns, by=("__file",)).withColumnRenamed("__file", "file")
-        groups.write.parquet(f"{self.location}/groups/run={run}")
+        groups = value_groups(keyed, columns, by=("__file",), tasks=tasks).withColumnRenamed("__file", "file")
+        write_groups(groups, f"{self.location}/groups/run={run}", tasks)
         new.select("file").write.parquet(f"{self.location}/files/run={run}")
 
     def vacuum(self, path: str) -> int:

@@ -172,6 +172,10 @@ def change_feed(orders):
             lot(after.where(F.col("o_orderkey") % 7 == 0), "delete")]
 
 
+#: Rows of a file, about, in the tables that these queries write.
+ROWS_A_FILE = 1 << 20
+
+
 def feed_results(spark, sf_dir, location: str, compact_every: int = 2):
     """Results after every arrival of the feed: each lot is several files, one an arrival."""
     place, out = location + "/feed", None
@@ -228,8 +232,9 @@ def ledger_runs(spark, sf_dir, location: str):
     events = read_table(spark, sf_dir, "events")
     table = location + "/table"
     ledger = FileLedger(spark, location + "/ledger", _LEDGER_CHECKS, "events")
+    files_a_lot = max(1, -(-events.count() // (4 * ROWS_A_FILE)))
     def add(lot):
-        events.where(F.col("event_id") % 4 == lot).coalesce(1).write.mode("append").parquet(table)
+        events.where(F.col("event_id") % 4 == lot).repartition(files_a_lot).write.mode("append").parquet(table)
     add(0)
     files, place = file_system(spark, table)
     first = [s.getPath() for s in files.listStatus(place) if s.getPath().getName().endswith(".parquet")]

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import groups as GR
 from tessera.operators import metrics as MT
 from tessera.operators.groups import MERGED, add_up, merged_metrics, value_groups
 from tessera.operators.ledger import FileLedger
@@ -143,6 +144,35 @@ def test_ledger_reads_new_files_only(spark, sf_dir, tmp_path):
         FileLedger(spark, str(tmp_path / "l2"), [Check("STDDEV", "value")], "events").refresh(table, schema)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _rows_of_files(place):
+    """Rows of every Parquet file under a folder."""
+    import pyarrow.parquet as pq
+    return [pq.ParquetFile(p).metadata.num_rows for p in sorted(place.rglob("*.parquet"))]
+
+
+def test_a_file_is_grouped_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """One file with one row group: no task groups all of it, none adds up all groups."""
+    monkeypatch.setattr(GR, "ENTRIES_A_TASK", 1000)
+    df = spark.range(4000).selectExpr("id", "id % 7 AS few", "cast(NULL AS string) AS none", "concat('f', id) AS file",
+                                      "if(id % 2 = 0, id, NULL) AS `__c0`")
+    df.coalesce(1).write.parquet(str(tmp_path / "t"))
+    checks = [Check("ROW_COUNT"), *column_checks(df, ["NULL_COUNT", "UNIQUE_COUNT", "DUPLICATE_VALUES", "MIN", "MAX"])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    got = FileLedger(spark, str(tmp_path / "l"), checks, "t").refresh(str(tmp_path / "t"))
+    assert {k: spark.conf.get(k) for k in before} == before
+    assert _results(got) == _results(measure(spark.read.parquet(str(tmp_path / "t")), checks, "t"))
+    stored = _rows_of_files(tmp_path / "l/groups")
+    assert sum(stored) == 4000 + 7 + 1 + 4000 + 2001 and max(stored) < 1000
+    assert "hashpartitioning(column_name" in _plan(got) and "REPARTITION_BY_NUM" in _plan(got)
+    dealt = value_groups(spark.read.parquet(str(tmp_path / "t")), ["id"], tasks=20)
+    assert "RoundRobinPartitioning(20)" in _plan(dealt)
+    assert sorted(dealt.collect()) == sorted(value_groups(df, ["id"]).collect())
+
+
 def test_metrics_while_writing(spark, sf_dir, odd, tmp_path):
     checks = [Check("ROW_COUNT"), *column_checks(odd, ["NULL_COUNT", "MIN", "MAX", "AVG", "FRESHNESS", "UNIQUE_COUNT"]),
               Check("AVG", "s"), Check("NEGATIVE_COUNT", "nope")]
