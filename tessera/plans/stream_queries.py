@@ -177,11 +177,13 @@ ROWS_A_FILE = 1 << 20
 
 
 def feed_results(spark, sf_dir, location: str, compact_every: int = 2):
-    """Results after every arrival of the feed: each lot is several files, one an arrival."""
+    """Results after every arrival of the feed: a lot comes in two arrivals, of one file or, if
+    large, of several."""
     place, out = location + "/feed", None
     for lot in change_feed(read_table(spark, sf_dir, "orders")):
-        lot.repartition(2, "o_orderkey").write.mode("append").parquet(place)
-        stream = spark.readStream.schema(lot.schema).option("maxFilesPerTrigger", 1).parquet(place)
+        files = max(1, -(-lot.count() // (2 * ROWS_A_FILE)))
+        lot.repartition(2 * files, "o_orderkey").write.mode("append").parquet(place)
+        stream = spark.readStream.schema(lot.schema).option("maxFilesPerTrigger", files).parquet(place)
         out = on_change(stream, _FEED_CHECKS, "orders", location=location + "/run", as_of=AS_OF, change_kind="change",
                         compact_every=compact_every)
     return out

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.groups import GROUP_SCHEMA, add_up, from_groups, merged_metrics, value_groups
+from tessera.operators.groups import GROUP_SCHEMA, add_up, from_groups, merged_metrics, tasks_for, value_groups, write_groups
 from tessera.operators.metrics import measure, validate_checks
 from tessera.session import file_system, scratch_path, unique_name
 
@@ -55,14 +55,16 @@ class GroupStore:
         deltas = {n: p for n, p in self._numbers("deltas").items() if upto < n <= batch_id}
         return ([snapshots[upto]] if snapshots else []) + [deltas[n] for n in sorted(deltas)]
 
-    def add(self, batch_id: int, groups: DataFrame) -> DataFrame:
-        """Store the groups of an arrival; returns those of the whole table so far."""
-        groups.write.mode("overwrite").parquet(f"{self.location}/deltas/batch_id={batch_id}")
+    def add(self, batch_id: int, groups: DataFrame, tasks: int = 1) -> DataFrame:
+        """Store the groups of an arrival, added up in ``tasks`` tasks; returns those of the
+        whole table so far."""
+        write_groups(groups, f"{self.location}/deltas/batch_id={batch_id}", tasks, "overwrite")
         runs = self.runs(batch_id)
         if len(runs) <= self.compact_every:
             return self._read(runs)
         place = f"{self.location}/snapshots/upto={batch_id}"
-        add_up(self._read(runs)).write.mode("overwrite").parquet(place)
+        gathered = self._read(runs)
+        add_up(gathered, tasks_for(gathered.count())).write.mode("overwrite").parquet(place)
         self._prune(batch_id)
         return self._read([place])
 
@@ -112,8 +114,9 @@ def on_change(stream: DataFrame, checks, table_name: str, name: str = "on_change
         parts = []
         if merged:
             weight = change_weight(change_kind) if change_kind else None
-            whole = store.add(batch_id, value_groups(batch, columns, weight))
-            parts.append(merged_metrics(whole, merged, types, table_name, as_of))
+            tasks = tasks_for(batch.count() * max(1, len(columns)))
+            whole = store.add(batch_id, value_groups(batch, columns, weight, tasks=tasks), tasks)
+            parts.append(merged_metrics(whole, merged, types, table_name, as_of, tasks=tasks_for(whole.count())))
         if other:
             parts.append(measure(table(), other, table_name, as_of=as_of))
         reduce(lambda a, b: a.unionByName(b), parts).write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")

@@ -173,6 +173,35 @@ def test_a_file_is_grouped_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch
     assert sorted(dealt.collect()) == sorted(value_groups(df, ["id"]).collect())
 
 
+def test_an_arrival_is_grouped_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """One large file of a feed: its delta, and the snapshot, are added up by several tasks."""
+    monkeypatch.setattr(GR, "ENTRIES_A_TASK", 1000)
+    place, kind = str(tmp_path / "feed"), "k int, v string, kind string"
+    for lot, change in ((4000, "insert"), (1500, "delete"), (500, "insert")):
+        spark.range(lot).selectExpr("cast(id AS int) AS k", "if(id % 3 = 0, NULL, concat('v', id)) AS v",
+                                    f"'{change}' AS kind").coalesce(1).write.mode("append").parquet(place)
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(place)
+        res = CH.on_change(stream, [Check("ROW_COUNT"), Check("UNIQUE_COUNT", "k"), Check("NULL_COUNT", "v"), Check("MIN", "k")], "t",
+                           location=str(tmp_path / "run"), change_kind="kind", compact_every=2)
+    last = {r["metric_name"]: r["value"] for r in res.collect() if r["batch_id"] == 2}
+    assert last == {"ROW_COUNT": 3000, "UNIQUE_COUNT": 3000, "NULL_COUNT": 1001, "MIN": 0}
+    delta = _rows_of_files(tmp_path / "run/groups/deltas/batch_id=0")
+    assert sum(delta) == 4000 + 2666 + 1 and max(delta) < 1000
+    snapshot = _rows_of_files(tmp_path / "run/groups/snapshots/upto=2")
+    assert sum(snapshot) == 3000 + 1999 + 1 and max(snapshot) < 1000
+
+
+def test_a_large_lot_of_the_feed_comes_in_several_files(spark, sf_dir, tmp_path, monkeypatch):
+    """Two arrivals a lot, however many files it has; results as of the table's last state."""
+    from tessera.plans import stream_queries as SQ
+    monkeypatch.setattr(SQ, "ROWS_A_FILE", 100)
+    res = SQ.feed_results(spark, sf_dir, str(tmp_path))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 <> 0")
+    last = res.where("batch_id = 5 AND metric_name = 'ROW_COUNT'").first()["value"]
+    assert res.agg(F.max("batch_id")).first()[0] == 5 and last == orders.count()
+    assert len(_rows_of_files(tmp_path / "feed")) > 12
+
+
 def test_metrics_while_writing(spark, sf_dir, odd, tmp_path):
     checks = [Check("ROW_COUNT"), *column_checks(odd, ["NULL_COUNT", "MIN", "MAX", "AVG", "FRESHNESS", "UNIQUE_COUNT"]),
               Check("AVG", "s"), Check("NEGATIVE_COUNT", "nope")]
