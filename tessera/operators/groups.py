@@ -36,6 +36,20 @@ def tasks_for(entries: int) -> int:
     return max(1, -(-entries // ENTRIES_A_TASK))
 
 
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """The rows, dealt evenly among so many tasks.
+
+    Spark deals straight into files among up to ``bypassMergeThreshold`` tasks, and beyond that
+    holds what a task has read. So rows for more tasks are first dealt among as many as that,
+    and by their number from there: no task holds a whole split, however many files it has."""
+    straight = int(rows.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if tasks <= max(1, straight):
+        return rows.repartition(tasks)
+    first = rows.withColumn("__i", F.monotonically_increasing_id()).repartition(max(1, straight))
+    # the hash between the two keeps them two: neighbours would be planned as one
+    return first.withColumn("__i", F.xxhash64("__i")).repartition(tasks, "__i").drop("__i")
+
+
 def from_groups(check: Check, dtype: T.DataType | None) -> bool:
     """Whether the groups give this check."""
     if check.metric == "ACCEPTED_VALUES":
@@ -66,15 +80,17 @@ def value_groups(df: DataFrame, columns: list[str], weight: Column | None = None
     rows = df.select(*by, (F.lit(1) if weight is None else weight).cast("long").alias("__n"),
                      *(col_ref(c).alias(at) for c, at in held.items() if c != ROWS_ONLY))
     if tasks > 1:
-        rows = rows.repartition(tasks)
+        rows = _dealt(rows, tasks)
     weighed = rows.select(*by, F.col("__n").alias("n"), F.inline(F.array(*entries)))
     return weighed.groupBy(*by, "column_name", "v").agg(F.sum("n").alias("n"))
 
 
 @contextmanager
 def _shuffled_into(spark: SparkSession, tasks: int) -> Iterator[None]:
-    """While this holds, shuffles have so many tasks, however well their bytes compress."""
-    conf = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    """While this holds, shuffles have so many tasks, however well their bytes compress, and rows
+    are dealt evenly in the order they are read: sorting them first would hold a whole split."""
+    conf = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.execution.sortBeforeRepartition": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():

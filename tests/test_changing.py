@@ -202,6 +202,36 @@ def test_a_large_lot_of_the_feed_comes_in_several_files(spark, sf_dir, tmp_path,
     assert len(_rows_of_files(tmp_path / "feed")) > 12
 
 
+def test_dealing_holds_no_split(spark, tmp_path):
+    """No task sorts or holds what it read, in one step up to 200 tasks or in two beyond."""
+    df = spark.range(0, 50_000, 1, 3).selectExpr("id", "id % 7 AS few", "if(id % 5 = 0, NULL, concat('v', id)) AS v")
+    df.coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    want = sorted(map(tuple, value_groups(df, df.columns).collect()), key=str)
+    steps = {20: ["RoundRobinPartitioning(20)"], 300: ["RoundRobinPartitioning(200)", "hashpartitioning(__i"]}
+    for tasks, dealt in steps.items():
+        rows = GR._dealt(table, tasks)
+        assert [p for p in ("RoundRobinPartitioning(20)", "RoundRobinPartitioning(200)", "hashpartitioning(__i") if p in _plan(rows)] == dealt
+        assert rows.columns == table.columns and rows.rdd.getNumPartitions() == tasks
+        with GR._shuffled_into(spark, tasks):
+            assert spark.conf.get("spark.sql.execution.sortBeforeRepartition") == "false"
+            sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == tasks and sum(sizes) == 50_000 and max(sizes) < 1.5 * 50_000 / tasks
+        GR.write_groups(value_groups(table, table.columns, tasks=tasks), str(tmp_path / f"g{tasks}"), tasks)
+        assert sorted(map(tuple, spark.read.parquet(str(tmp_path / f"g{tasks}")).collect()), key=str) == want
+    assert spark.conf.get("spark.sql.execution.sortBeforeRepartition") == "true"
+
+
+def test_lots_of_the_ledger_are_dealt_by_id(spark, sf_dir):
+    """All events come in one lot each, and no lot is sorted to be dealt."""
+    from tessera.plans import stream_queries as SQ
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lots = [SQ.event_lot(events, lot, 3) for lot in range(4)]
+    assert "hashpartitioning(event_id" in _plan(lots[0]) and "RoundRobin" not in _plan(lots[0])
+    got = lots[0].unionByName(lots[1]).unionByName(lots[2]).unionByName(lots[3])
+    assert got.exceptAll(events).count() == 0 and events.where("event_id IS NOT NULL").exceptAll(got).count() == 0
+
+
 def test_metrics_while_writing(spark, sf_dir, odd, tmp_path):
     checks = [Check("ROW_COUNT"), *column_checks(odd, ["NULL_COUNT", "MIN", "MAX", "AVG", "FRESHNESS", "UNIQUE_COUNT"]),
               Check("AVG", "s"), Check("NEGATIVE_COUNT", "nope")]
