@@ -10,18 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat_text, materialize, row_key, text_of, text_steps, without
+from tessera.llm.common import arrow_rows, flat_text, materialize, row_key, text_of, text_steps, without
 from tessera.session import scratch_path, unique_name
 
 #: Words of a window in the registered query.
 WINDOW = 10
 #: Text bytes of an index shard (always whole documents).
 SHARD_BYTES = 2 << 20
+#: Shards in a row group and in an Arrow batch of the index: what a task writes or reads of it at a time.
+GROUP_SHARDS = 8
 #: Phrases that go to the executors at a time: the bound of what is broadcast. Further
 #: phrases are asked in further blocks.
 BLOCK_PHRASES = 20_000
 #: Phrase candidates checked at a time inside a task.
-STEP_CANDIDATES = 1 << 20
+STEP_CANDIDATES = 1 << 18
 
 #: Word bytes: digits, letters (A-Z become a-z) and everything outside ASCII.
 TO_WORD = np.full(256, 32, np.uint8)
@@ -82,7 +84,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     schema = (f"shard string, doc_ids array<{kind}>, n_words array<int>, terms array<string>, "
               "counts array<int>, postings binary")
     return materialize(docs.select("doc_id", F.col("text").cast("string").alias("text"))
-                       .mapInArrow(work, schema), "positional_index")
+                       .mapInArrow(work, schema), "positional_index", GROUP_SHARDS)
 
 
 # -- phrases --------------------------------------------------------------------------
@@ -196,7 +198,8 @@ def find_phrases(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFra
     for block in own:
         row = (phrases.where(F.col("block") == block).groupBy("block")
                .agg(F.collect_list(F.struct("number", "phrase")).alias("phrases")))
-        _search(index, row, slop).write.parquet(f"{path}/block={block}")
+        with arrow_rows(spark, GROUP_SHARDS):
+            _search(index, row, slop).write.parquet(f"{path}/block={block}")
     return spark.read.schema(HITS).parquet(path) if own else spark.createDataFrame([], HITS)
 
 

@@ -7,13 +7,17 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from tessera.llm import (
     decontaminate, exact_dedup, html_text, langid, mixing, pii, repeats, secrets, simhash, substring_dedup, suffix_dedup,
 )
+from tessera.llm.common import arrow_rows
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size string, taken int, kept string, "
           "fp string, rid int, blob string, score string, row string, spans int")
@@ -295,6 +299,32 @@ def test_contamination(spark, docs, empty, monkeypatch, block):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_index_comes_in_small_row_groups_and_batches(spark, docs, monkeypatch):
+    """Shards are rows of megabytes: no task holds more than a few, however large its split."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1)
+    index = decontaminate.build_index(docs.coalesce(1))
+    groups = [m.row_group(g).num_rows for f in index.inputFiles()
+              for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in range(m.num_row_groups)]
+    assert sum(groups) == docs.count() and max(groups) <= decontaminate.GROUP_SHARDS
+
+    seen = []
+    found = DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return found(self, path, *args, **kwargs)
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    phrases = spark.createDataFrame([(1, 0, "a b")], "number long, block int, phrase string")
+    decontaminate.find_phrases(index, phrases)
+    assert seen and max(seen) <= decontaminate.GROUP_SHARDS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    with arrow_rows(spark, 3):
+        sizes = spark.range(10).coalesce(1).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sorted(r["n"] for r in sizes) == [1, 3, 3, 3]
+
+
 def test_proximity(spark):
     frame = spark.createDataFrame([(1, "a b c d"), (2, "a x b c d"), (3, "a x x x b c d"), (4, "d c b a")],
                                   "doc_id long, text string")
