@@ -252,7 +252,7 @@ def locate_records(packages: DataFrame) -> DataFrame:
 
                     def out() -> pa.RecordBatch:
                         return pa.RecordBatch.from_arrays(
-                            [pa.array([path] * len(rows)), pa.array([r[0] for r in rows], pa.int64()),
+                            [pa.array([path] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()),
                              pa.array([r[1] for r in rows], pa.int64())], names=["path", "start", "length"])
 
                     for place in package_records(lambda start, n: f.read_at(n, start), f.size()):
@@ -260,7 +260,8 @@ def locate_records(packages: DataFrame) -> DataFrame:
                         if len(rows) == 10_000:
                             yield out()
                             rows = []
-                    yield out()
+                    if rows:
+                        yield out()
 
     return packages.select("path").mapInArrow(work, LOCATED)
 

@@ -133,6 +133,18 @@ def test_packages_are_readable_archives(spark):
             assert len(lines) == r["records"] and all(json.loads(x.split(b" ", 2)[2])["offset"] for x in lines)
 
 
+@pytest.mark.parametrize("listed", [(10_000, 0, 7), (0,), (20_000, 10_001)])
+def test_packages_of_any_number_of_records(spark, tmp_path, listed):
+    """Also of none, and of as many as fill the batches they are listed in."""
+    for i, n in enumerate(listed):
+        lines = b"".join(b'u 1 {"offset": "%d", "length": "1", "filename": "data.warc.gz"}\n' % k for k in range(n))
+        (tmp_path / f"{i}.wacz").write_bytes(_zip({warc.ARCHIVE_MEMBER: b"x" * n, warc.INDEX_MEMBER: lines}))
+    packages = spark.createDataFrame([(f"file://{tmp_path}/{i}.wacz",) for i in range(len(listed))], "path string").coalesce(1)
+    located = warc.locate_records(packages).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("start").alias("places")).collect()
+    assert sorted((r["n"], r["places"]) for r in located) == sorted((n, n) for n in listed if n)
+
+
 def test_only_ranges_are_read():
     """Directory and index alone are read to find the records of a large package."""
     member = b"x" * (8 << 20)
